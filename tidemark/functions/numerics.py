@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,16 +39,21 @@ def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+def _session_is_utc() -> bool:
+    zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+    return zone in ("UTC", "Etc/UTC", "Z", "GMT", "+00:00")
+
+
 def epoch_micros(at: Column, dtype: T.DataType) -> Column:
     """Microseconds since 1970, independent of the session zone for zone-less input."""
-    if isinstance(dtype, T.TimestampNTZType):
-        day = F.unix_date(at.cast("date"))
-        seconds = F.hour(at) * 3600 + F.minute(at) * 60
-        fraction = F.date_part(F.lit("SECOND"), at) * MICROS
-        return day.cast("long") * F.lit(86_400 * MICROS) + (
-            seconds.cast("long") * F.lit(MICROS) + fraction.cast("long")
-        )
-    return F.unix_micros(at.cast("timestamp"))
+    if not isinstance(dtype, T.TimestampNTZType) or _session_is_utc():
+        return F.unix_micros(at.cast("timestamp"))
+    day = F.unix_date(at.cast("date"))
+    seconds = F.hour(at) * 3600 + F.minute(at) * 60
+    fraction = F.date_part(F.lit("SECOND"), at) * MICROS
+    return day.cast("long") * F.lit(86_400 * MICROS) + (
+        seconds.cast("long") * F.lit(MICROS) + fraction.cast("long")
+    )
 
 
 def iso_time(at: Column, dtype: T.DataType) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,11 @@ DRIFT_DETECTED = "DRIFT_DETECTED"
 
 
 def psi(
-    values: DataFrame, *, buckets: int = 10, policy: SkewPolicy | None = None
+    values: DataFrame,
+    features: Sequence[str],
+    *,
+    buckets: int = 10,
+    policy: SkewPolicy | None = None,
 ) -> DataFrame:
     """Population stability index of every feature.
 
@@ -29,12 +35,19 @@ def psi(
     are open, and an empty share counts as ``FLOOR_SHARE``. With fewer than two different
     edges the index is 0. Also gives size and mean of both sides.
 
-    ``feature`` is a list that the caller names, so the edge table is as short as that list.
+    Only the named ``features`` are read, so what is broadcast has one row for each of them.
+    The values are scanned twice: for the edges, and to place them in buckets.
     """
-    values = numbers(values, ["feature", "side"], "value")
+    values = numbers(values, "value", "feature", features)
     shares = [i / buckets for i in range(buckets + 1)]
     edges = interpolated(
-        values.where(F.col("side") == BASELINE), ["feature"], "value", shares, "edges", policy
+        values.where(F.col("side") == BASELINE).drop("side"),
+        "value",
+        shares,
+        "edges",
+        by="feature",
+        names=features,
+        policy=policy,
     ).select("feature", F.array_distinct("edges").alias("edges"))
 
     # Inner edges only: below the second edge is bucket 0, from the last but one on the top.
@@ -91,10 +104,14 @@ def psi(
 
 
 def drift_report(
-    values: DataFrame, *, buckets: int = 10, policy: SkewPolicy | None = None
+    values: DataFrame,
+    features: Sequence[str],
+    *,
+    buckets: int = 10,
+    policy: SkewPolicy | None = None,
 ) -> DataFrame:
     """Index, means, mean shift and status of features with enough values on both sides."""
-    found = psi(values, buckets=buckets, policy=policy).where(
+    found = psi(values, features, buckets=buckets, policy=policy).where(
         (F.col("baseline_count") >= MIN_VALUES) & (F.col("current_count") >= MIN_VALUES)
     )
     status = (

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numerics import MICROS, epoch_micros, micros_of, round_even
 from tidemark.functions.values import typed
+from tidemark.operators.slicing import SkewPolicy, join_answers
 from tidemark.specs import (
     CREATED_TIME,
     ENTITY_KEY,
@@ -64,15 +65,24 @@ def latest_values(history: DataFrame, view: FeatureView) -> DataFrame:
     order = [F.col(c) for c in recency(history, view)]
     present = [f for f in view.feature_names() if f in history.columns]
 
-    def newest(feature: str) -> Column:
+    # Time alone orders by a plain number, which keeps Spark on hash aggregation.
+    rank = order[0] if len(order) == 1 else F.struct(*order)
+    picks = []
+    for i, feature in enumerate(present):
         value = F.col(f"`{feature}`")
-        kept = F.struct(value.alias("value"), F.col(EVENT_TIME).alias("ts"))
-        return F.max_by(kept, F.when(value.isNotNull(), F.struct(*order))).alias(feature)
+        known = value.isNotNull()
+        picks.append(F.max_by(value, F.when(known, rank)).alias(f"_v{i}"))
+        picks.append(F.max(F.when(known, F.col(EVENT_TIME))).alias(f"_t{i}"))
+
+    def cell(i: int, feature: str) -> Column:
+        kept = F.struct(F.col(f"_v{i}").alias("value"), F.col(f"_t{i}").alias("ts"))
+        return F.when(F.col(f"_t{i}").isNotNull(), kept).alias(feature)
 
     return (
         history.where(F.col(ENTITY_KEY).isNotNull() & F.col(EVENT_TIME).isNotNull())
         .groupBy(ENTITY_KEY)
-        .agg(*[newest(f) for f in present])
+        .agg(*picks)
+        .select(ENTITY_KEY, *[cell(i, f) for i, f in enumerate(present)])
     )
 
 
@@ -100,14 +110,18 @@ def alive(cell: Column, ttl_seconds: int | None, now_us: Column, ts_us: Column)
 
 
 def lookup(
-    requests: DataFrame, states: Mapping[str, ViewState], refs: list[str], now: dt.datetime
+    requests: DataFrame,
+    states: Mapping[str, ViewState],
+    refs: list[str],
+    now: dt.datetime,
+    policy: SkewPolicy | None = None,
 ) -> DataFrame:
     """Add ``view:feature`` columns to ``requests``; one output row per request row.
 
     Unknown keys and expired values give null. The states are looked up once per distinct
-    key, on one partitioning by key for all views; requests for a popular key only meet
-    the answer in the last join, whose skew AQE can split. For output in request order,
-    sort by a position column of the caller's.
+    key, on one partitioning by key for all views; the requests meet the answers in a join
+    that stands popular keys. For output in request order, sort by a position column of
+    the caller's.
     """
     requests = requests.withColumn(ENTITY_KEY, F.col(ENTITY_KEY).cast("string"))
     keys = requests.select(ENTITY_KEY).where(F.col(ENTITY_KEY).isNotNull()).distinct()
@@ -143,7 +157,7 @@ def lookup(
         )
         answers = answers.join(cells, ENTITY_KEY, "left")
     labels = [f"{v}:{f}" for v, fs in refs_by_view(refs).items() for f in fs]
-    joined = requests.join(answers, ENTITY_KEY, "left")
+    joined = join_answers(requests, answers, ENTITY_KEY, policy)
     return joined.select(
         *[F.col(f"`{c}`") for c in requests.columns],
         *[nulls[c].alias(c) if c in nulls else F.col(f"`{c}`") for c in labels],

@@ -12,8 +12,9 @@ from tidemark.functions.values import typed
 from tidemark.operators.drift import BASELINE, CURRENT
 from tidemark.operators.pit import ViewData, point_in_time_join
 from tidemark.operators.slicing import SkewPolicy
-from tidemark.specs import ENTITY_KEY, EVENT_TIME, DataType, Ref, refs_by_view
+from tidemark.session import written
 from tidemark.sources.logs import newest
+from tidemark.specs import ENTITY_KEY, EVENT_TIME, DataType, Ref, refs_by_view
 
 # Defaults of the check.
 SAMPLE_SIZE = 500
@@ -39,7 +40,7 @@ def parity_checks(
     comparing them needs no second join.
     """
     if sample_size is not None:
-        log = newest(log, sample_size, EVENT_TIME, "inference_id")
+        log = written(newest(log, sample_size, EVENT_TIME, "inference_id"), "sample")
     labels = [Ref.parse(r).label for r in refs]
     joined = point_in_time_join(log, views, refs, use_ttl=use_ttl, policy=policy)
     dtypes = {

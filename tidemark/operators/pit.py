@@ -100,7 +100,7 @@ def point_in_time_join(
         joined = _as_of(_observation_side(spine.where(~lost)), inputs, packs, policy)
         # Observations that match nothing stay out of the shuffle: as one null key they
         # could be a large group.
-        unmatched = _observation_side(spine.where(lost)).select(_OBS)
+        unmatched = _observation_side(spine.where(lost)).select(_OBS, _AT)
         joined = joined.unionByName(unmatched, allowMissingColumns=True)
     else:
         joined = _observation_side(spine)
@@ -181,10 +181,12 @@ def _feature_side(
 ) -> DataFrame:
     at = epoch_micros(F.col(EVENT_TIME), data.schema[EVENT_TIME].dataType)
     rows = data.where(F.col(ENTITY_KEY).isNotNull() & F.col(EVENT_TIME).isNotNull())
-    created = F.lit(None).cast("long")
+    ranks = {}
     if CREATED_TIME in data.columns:
-        created = epoch_micros(F.col(CREATED_TIME), data.schema[CREATED_TIME].dataType)
-    tie = F.col(view.tie).cast("long") if view.tie else F.lit(None).cast("long")
+        made = epoch_micros(F.col(CREATED_TIME), data.schema[CREATED_TIME].dataType)
+        ranks["_created"] = made
+    if view.tie:
+        ranks["_tie"] = F.col(view.tie).cast("long")
 
     def pack(p: _Pack) -> Column:
         whole = F.struct(at.alias("at"), *[F.col(f"`{f}`") for f in p.features])
@@ -194,8 +196,7 @@ def _feature_side(
         F.col(ENTITY_KEY).cast("string").alias(ENTITY_KEY),
         at.alias(_AT),
         F.lit(0).alias("_side"),
-        created.alias("_created"),
-        tie.alias("_tie"),
+        *[c.alias(n) for n, c in ranks.items()],
         *[pack(p).alias(p.name) for p in packs],
     )
 
@@ -211,22 +212,23 @@ def _as_of(
     for side in inputs:
         merged = merged.unionByName(side, allowMissingColumns=True)
     splits = find_splits(merged, [ENTITY_KEY], _AT, policy)
+    ranks = [c for c in ("_created", "_tie") if c in merged.columns]
 
     def run(rows: DataFrame, keys: list[str]) -> DataFrame:
         so_far = (
             Window.partitionBy(*keys)
-            .orderBy(_AT, "_side", "_created", "_tie")
+            .orderBy(_AT, "_side", *ranks)
             .rowsBetween(Window.unboundedPreceding, 0)
         )
         newest = [F.last(n, ignorenulls=True).over(so_far).alias(n) for n in names]
-        return rows.select("_side", _OBS, *newest).where(F.col("_side") == 1).drop("_side")
+        return rows.select("_side", _OBS, _AT, *newest).where(F.col("_side") == 1).drop("_side")
 
     if not splits:
         return run(merged, [ENTITY_KEY])
 
     tagged = splits.assign(merged)
     # The order is null where the pack is, and max_by passes over rows with a null order.
-    rank = F.struct(F.col(_AT), F.col("_created"), F.col("_tie"))
+    rank = F.struct(_AT, *ranks)
     state = carry(
         tagged.where(HOT),
         splits,
@@ -240,8 +242,8 @@ def _as_of(
         answer = only_points(
             state.select(*splits.keys, *[F.col(f"{n}_after").alias(n) for n in names]), splits
         )
-        points = tagged.where(F.col(POINT) & (F.col("_side") == 1)).select(*splits.keys, _OBS)
-        points = points.join(F.broadcast(answer), splits.keys, "left").select(_OBS, *names)
+        points = tagged.where(F.col(POINT) & (F.col("_side") == 1)).select(*splits.keys, _OBS, _AT)
+        points = points.join(F.broadcast(answer), splits.keys, "left").select(_OBS, _AT, *names)
         done = done.unionByName(points)
     return done
 
@@ -255,10 +257,6 @@ def _unpack(
     use_ttl: bool,
 ) -> DataFrame:
     by_feature = {(p.view.name, f): p for p in packs for f in p.features}
-    seen_at = epoch_micros(
-        F.col(f"{_OBS}.{EVENT_TIME}"), joined.schema[_OBS].dataType[EVENT_TIME].dataType
-    )
-    joined = joined.withColumn("_seen", seen_at)
     out = [F.col(f"{_OBS}.`{c}`").alias(c) for c in spine_columns]
     for name, features in wanted.items():
         view = views[name].view
@@ -270,7 +268,7 @@ def _unpack(
                 continue
             value = F.col(f"{pack.name}.`{feature}`")
             if use_ttl and view.ttl_seconds is not None:
-                age = F.col("_seen") - F.col(f"{pack.name}.at")
+                age = F.col(_AT) - F.col(f"{pack.name}.at")
                 value = F.when(age <= view.ttl_seconds * MICROS, value)
             out.append(value.alias(label))
     return joined.select(*out)

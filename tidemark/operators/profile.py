@@ -19,7 +19,7 @@ def percentiles(
     df: DataFrame, value: str, *, digits: int = 4, policy: SkewPolicy | None = None
 ) -> DataFrame:
     """Nearest-rank percentiles in one row."""
-    found = nearest_rank(df, [], value, PERCENTILES, policy)
+    found = nearest_rank(df, value, PERCENTILES, policy=policy)
     return found.select(*[round_even(F.col(p), digits).alias(p) for p in PERCENTILES])
 
 

@@ -8,38 +8,42 @@ No task holds a whole column.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.slicing import SkewPolicy, find_splits, running_totals
 
-NUMBER_OF = "n"
+SIZE = "n"
+ALL = "_all"
 
 
-def numbers(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """The measured values as doubles, without nulls and NaN."""
+def numbers(df: DataFrame, value: str, by: str | None, names: Sequence[str]) -> DataFrame:
+    """The measured values as doubles, without nulls and NaN, for the named groups."""
     # Adding zero makes -0.0 and 0.0 one value.
     number = F.col(value).cast("double") + F.lit(0.0)
-    return df.select(*group, number.alias(value)).where(
+    group = F.lit(0).alias(ALL)
+    if by is not None:
+        df, group = df.where(F.col(by).isin(list(names))), F.col(by)
+    rest = [c for c in df.columns if c not in (by, value)]
+    return df.select(group, *rest, number.alias(value)).where(
         F.col(value).isNotNull() & ~F.isnan(value)
     )
 
 
-def _positions(
-    df: DataFrame, group: list[str], value: str, policy: SkewPolicy | None
-) -> DataFrame:
+def _positions(values: DataFrame, one: str, value: str, policy: SkewPolicy | None) -> DataFrame:
     """Distinct values, the zero-based ranks ``first .. last`` they cover, and group size."""
-    one = group or ["_all"]
-    values = numbers(df if group else df.withColumn("_all", F.lit(0)), one, value)
     # Only the number of distinct values matters, and a sketch finds that without a shuffle.
-    splits = find_splits(values, one, value, policy, size=F.approx_count_distinct(value))
-    counts = values.groupBy(*one, value).agg(F.count("*").alias("rows"))
-    ranked = running_totals(counts, one, value, {"upto": F.col("rows")}, splits=splits)
-    sizes = values.groupBy(*one).agg(F.count("*").alias(NUMBER_OF))
-    return ranked.join(sizes, one).select(
-        *one,
+    splits = find_splits(values, [one], value, policy, size=F.approx_count_distinct(value))
+    counts = values.groupBy(one, value).agg(F.count("*").alias("rows"))
+    ranked = running_totals(counts, [one], value, {"upto": F.col("rows")}, splits=splits)
+    # One row per group the caller has named.
+    sizes = values.groupBy(one).agg(F.count("*").alias(SIZE))
+    return ranked.join(F.broadcast(sizes), one).select(
+        one,
         value,
-        NUMBER_OF,
+        SIZE,
         (F.col("upto") - F.col("rows")).alias("first"),
         (F.col("upto") - 1).alias("last"),
     )
@@ -52,41 +56,49 @@ def _at(rank: Column, value: str) -> Column:
 
 def nearest_rank(
     df: DataFrame,
-    group: list[str],
     value: str,
     shares: dict[str, float],
+    *,
+    by: str | None = None,
+    names: Sequence[str] = (),
     policy: SkewPolicy | None = None,
 ) -> DataFrame:
-    """For each share ``p`` the value at rank ``ceil(p * n)``, the first rank being 1."""
-    placed = _positions(df, group, value, policy)
-    size = F.col(NUMBER_OF)
+    """For each share ``p`` the value at rank ``ceil(p * n)``, the first rank being 1.
+
+    One row, or one per group ``names`` of the column ``by``.
+    """
+    one = by or ALL
+    placed = _positions(numbers(df, value, by, names), one, value, policy)
+    size = F.col(SIZE)
 
     def rank(p: float) -> Column:
         wanted = F.ceil(F.lit(p) * size).cast("long") - 1
         return F.least(F.greatest(wanted, F.lit(0)), size - 1)
 
-    return placed.groupBy(*(group or ["_all"])).agg(
-        *[_at(rank(p), value).alias(name) for name, p in shares.items()]
-    ).drop("_all")
+    picks = [_at(rank(p), value).alias(name) for name, p in shares.items()]
+    return placed.groupBy(one).agg(*picks).drop(ALL)
 
 
 def interpolated(
     df: DataFrame,
-    group: list[str],
     value: str,
-    shares: list[float],
+    shares: Sequence[float],
     name: str,
+    *,
+    by: str | None = None,
+    names: Sequence[str] = (),
     policy: SkewPolicy | None = None,
 ) -> DataFrame:
     """An array with the linearly interpolated quantile for each share."""
-    placed = _positions(df, group, value, policy)
-    size = F.col(NUMBER_OF)
-    picks = [F.max(NUMBER_OF).alias(NUMBER_OF)]
+    one = by or ALL
+    placed = _positions(numbers(df, value, by, names), one, value, policy)
+    size = F.col(SIZE)
+    picks = [F.max(SIZE).alias(SIZE)]
     for i, p in enumerate(shares):
         below = F.floor((size - 1) * F.lit(p)).cast("long")
         picks.append(_at(below, value).alias(f"_lo{i}"))
         picks.append(_at(F.least(below + 1, size - 1), value).alias(f"_hi{i}"))
-    picked = placed.groupBy(*(group or ["_all"])).agg(*picks)
+    picked = placed.groupBy(one).agg(*picks)
 
     def between(i: int, p: float) -> Column:
         at = (size - 1) * F.lit(p)
@@ -97,4 +109,4 @@ def interpolated(
         return F.when(part < 0.5, low + gap * part).otherwise(high - gap * (F.lit(1.0) - part))
 
     quantiles = F.array(*[between(i, p) for i, p in enumerate(shares)])
-    return picked.select(*group, NUMBER_OF, quantiles.alias(name))
+    return picked.select(one, SIZE, quantiles.alias(name)).drop(ALL)

@@ -241,3 +241,41 @@ def only_points(answer: DataFrame, splits: Splits) -> DataFrame:
     """Rows of a carry table that belong to points: at most one per listed point."""
     where = splits.assign(splits.points.drop(POINT)).select(*splits.keys)
     return answer.join(F.broadcast(where), splits.keys, "left_semi")
+
+
+def join_answers(
+    requests: DataFrame, answers: DataFrame, key: str, policy: SkewPolicy | None = None
+) -> DataFrame:
+    """Left join of ``requests`` with a table that has one row per key.
+
+    Keys with very many requests are listed by a count, and their answers are broadcast: at
+    most one row per listed key. All other requests are joined by a shuffle.
+    """
+    policy = policy or SkewPolicy()
+    popular = None
+    if policy.detect:
+        found = (
+            requests.groupBy(key)
+            .agg(F.count("*").alias("_rows"))
+            .where((F.col("_rows") > policy.rows_per_slice) & F.col(key).isNotNull())
+            .orderBy(F.desc("_rows"), key)
+            .limit(policy.max_hot_groups)
+            .select(key)
+            .collect()
+        )
+        if found:
+            popular = requests.sparkSession.createDataFrame(
+                [tuple(r) for r in found], T.StructType([requests.schema[key]])
+            )
+    # A missing key has no answer and need not travel.
+    absent = requests.where(F.col(key).isNull())
+    known = requests.where(F.col(key).isNotNull())
+    if popular is None:
+        joined = known.join(answers, key, "left")
+    else:
+        listed = F.broadcast(popular)
+        few = F.broadcast(answers.join(listed, key, "left_semi"))
+        many = known.join(listed, key, "left_semi").join(few, key, "left")
+        rest = known.join(listed, key, "left_anti").join(answers, key, "left")
+        joined = many.unionByName(rest)
+    return joined.unionByName(absent, allowMissingColumns=True)

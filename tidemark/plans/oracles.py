@@ -150,7 +150,8 @@ FROM checks"""
 # Population stability index from sides(feature, side, value), quantiles by row number.
 _SIDES = f"""sides AS (
   SELECT event_type AS feature,
-         CASE WHEN ts < {_SPLIT} THEN 'baseline' ELSE 'current' END AS side, value FROM events)"""
+         CASE WHEN ts < {_SPLIT} THEN 'baseline' ELSE 'current' END AS side, value FROM events
+  WHERE event_type IN ('view', 'click', 'signup', 'error', 'purchase'))"""
 _PSI = """ordered AS (
   SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS rn,
          COUNT(*) OVER (PARTITION BY feature) AS n

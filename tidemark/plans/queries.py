@@ -25,7 +25,7 @@ from tidemark.operators.latest import ViewState
 from tidemark.operators.pit import ViewData, point_in_time_join
 from tidemark.plans import views as V
 from tidemark.plans.store import FeatureStore
-from tidemark.session import work_dir
+from tidemark.session import work_dir, written
 from tidemark.sources import logs
 from tidemark.sources.export import json_rows, read_csv, write_csv
 from tidemark.sources.history import HistoryTable, count_by_view, timeline
@@ -324,12 +324,13 @@ def parity_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parity_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.drift_report(parity.drift_values(_checks(spark, sf_dir)))
+    checks = written(_checks(spark, sf_dir), "checks")
+    return drift.drift_report(parity.drift_values(checks), EVENT_REFS)
 
 
 @query
 def drift_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = drift.psi(V.drift_sides(_events(spark, sf_dir)))
+    found = drift.psi(V.drift_sides(_events(spark, sf_dir)), V.EVENT_TYPES)
     return found.select(
         "feature", F.round("psi", 9).alias("psi"), "baseline_count", "current_count"
     )
@@ -337,12 +338,12 @@ def drift_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.drift_report(V.drift_sides(_events(spark, sf_dir)))
+    return drift.drift_report(V.drift_sides(_events(spark, sf_dir)), V.EVENT_TYPES)
 
 
 @query
 def drift_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.overall_status(drift.drift_report(V.drift_sides(_events(spark, sf_dir))))
+    return drift.overall_status(drift.drift_report(V.drift_sides(_events(spark, sf_dir)), V.EVENT_TYPES))
 
 
 # Quality

@@ -23,6 +23,7 @@ from tidemark.functions.transforms import (
 from tidemark.operators import drift, latest, parity, pit, profile, quality
 from tidemark.operators.grid import observation_grid
 from tidemark.operators.slicing import SkewPolicy
+from tidemark.session import written
 from tidemark.sources import logs
 from tidemark.sources.export import json_safe, write_csv
 from tidemark.sources.history import HistoryTable, count_by_view, next_batch
@@ -36,7 +37,7 @@ DATASET_SAMPLE = 15
 
 @dataclass(frozen=True)
 class ParityReport:
-    """Outcome of a parity check; all parts are lazy."""
+    """Outcome of a parity check, as three lazy reports on one written table."""
 
     summary: DataFrame
     mismatches: DataFrame
@@ -194,7 +195,7 @@ class FeatureStore:
         self.registry.check_refs(refs)
         now = now or _utc_now()
         names = [Ref.parse(r).view for r in refs]
-        served = latest.lookup(requests, self._states(names), refs, now)
+        served = latest.lookup(requests, self._states(names), refs, now, self.policy)
         if not log_for_skew_check:
             return served
         batch = next_batch()
@@ -298,10 +299,17 @@ class FeatureStore:
             use_ttl=use_ttl,
             policy=self.policy,
         )
+        # Three reports read the checks; they are joined once and written.
+        checks = written(checks, "parity")
+        numeric = [r for r in refs if self.registry.feature(r).dtype.numeric]
         return ParityReport(
             parity.summary(checks),
             parity.mismatches(checks),
-            drift.drift_report(parity.drift_values(checks), policy=self.policy),
+            drift.drift_report(
+                parity.drift_values(checks),
+                [Ref.parse(r).label for r in numeric],
+                policy=self.policy,
+            ),
         )
 
     def validate_quality(

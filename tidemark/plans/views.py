@@ -22,6 +22,7 @@ AS_OF = dt.datetime(2024, 1, 31)
 DRIFT_SPLIT = dt.datetime(2024, 1, 16)
 HOUR_US = 3600 * MICROS
 DAY_SECONDS = 86_400
+EVENT_TYPES = ("view", "click", "signup", "error", "purchase")
 SPINE_DATES = tuple(dt.datetime(y, 1, 1) for y in (1997, 1999, 2001))
 NAIVE = T.TimestampNTZType()
 
