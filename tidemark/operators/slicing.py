@@ -1,11 +1,11 @@
 """Ordered work on groups of any size.
 
 A window runs each of its groups in one task, so one key that holds a third of all rows
-would decide the run time of the job. ``find_splits`` looks for such groups with one
-pre-aggregated count and cuts their order axis (time or value) into slices that are small
-enough for a task; ``Splits.assign`` tags rows with their slice. Work on a sliced group is
-done per slice, and a small table with one row per slice carries the running state from
-slice to slice. Groups below the limit are not sliced and pay nothing but the count.
+would decide the run time of the job. ``find_splits`` looks for such groups in a sample of
+the keys and cuts their order axis (time or value) into slices that are small enough for a
+task; ``Splits.assign`` tags rows with their slice. Work on a sliced group is done per
+slice, and a small table with one row per slice carries the running state from slice to
+slice. Groups below the limit are not sliced and pay nothing but the sample.
 
 A slice that is still too large (a burst) is cut again, level by level. Rows of one group
 that share one order value cannot be cut; such an instant becomes a *point*, whose rows
@@ -22,13 +22,15 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT = "_hot"
 POINT = "_point"
 MIN_PARTS = 64
+SAMPLED_ROWS = 4096
+SEED = 17
 
 
 @dataclass(frozen=True)
@@ -77,7 +79,7 @@ class Splits:
             if i == 0:
                 hot = F.col("_lo").isNotNull()
                 df = df.withColumn(HOT, hot)
-            df = df.drop("_lo", "_width")
+            df = df.drop("_lo", "_width", "_parts")
         if not self.levels:
             df = df.withColumn(HOT, hot)
         if self.points is None:
@@ -89,7 +91,29 @@ class Splits:
 
 
 def _slice(order: str) -> Column:
-    return F.floor((F.col(order) - F.col("_lo")) / F.col("_width")).cast("long")
+    position = F.floor((F.col(order) - F.col("_lo")) / F.col("_width")).cast("long")
+    return F.greatest(F.least(position, F.col("_parts")), F.lit(-1))
+
+
+def _frequent(
+    df: DataFrame, cols: list[str], policy: SkewPolicy, *picks: Column
+) -> tuple[list[Row], float]:
+    """The largest groups by a sample, and the share of rows in the sample.
+
+    The sample is large enough to hold thousands of rows of any group above the limit. It
+    only decides how the work is cut; results never depend on it.
+    """
+    share = min(1.0, SAMPLED_ROWS / policy.rows_per_slice)
+    found = (
+        (df.sample(share, seed=SEED) if share < 1.0 else df)
+        .groupBy(*cols)
+        .agg(F.count("*").alias("_rows"), *picks)
+        .where(F.col("_rows") > policy.rows_per_slice * share * (0.5 if share < 1.0 else 1.0))
+        .orderBy(F.desc("_rows"), *cols)
+        .limit(policy.max_hot_groups)
+        .collect()
+    )
+    return found, share
 
 
 def find_splits(
@@ -101,57 +125,68 @@ def find_splits(
 ) -> Splits:
     """Find the groups of ``df`` that need slicing along the numeric column ``order``.
 
-    Runs one counting job, and one more per level for the large groups alone. ``size`` is
-    the aggregate that measures a group, by default its row count.
+    Runs one job over a sample. If that finds large groups, they are counted per slice, and
+    slices that are still too large are cut again. ``size`` is an aggregate that measures a
+    group in place of its row count; the groups are then few and measured without a sample.
     """
     policy = policy or SkewPolicy()
-    size = F.count("*") if size is None else size
     splits = Splits(list(group), order)
     if not policy.detect:
         return splits
-    spark = df.sparkSession
     wanted = df.select(*group, order).dropna()
+    ends = [F.min(order).alias("_lo"), F.max(order).alias("_hi")]
     order_type = wanted.schema[order].dataType
     key_fields = [wanted.schema[c] for c in group]
+    whole = isinstance(order_type, T.LongType)
     instants: list[tuple] = []
     cols = list(group)
     for level in range(policy.max_levels):
-        found = (
-            wanted.groupBy(*cols)
-            .agg(size.alias("_rows"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-            .where(F.col("_rows") > policy.rows_per_slice)
-            .orderBy(F.desc("_rows"), *cols)
-            .limit(policy.max_hot_groups)
-            .collect()
-        )
+        share = 1.0
+        if level == 0 and size is None and whole:
+            found, share = _frequent(wanted, cols, policy, *ends)
+        else:
+            measure = F.count("*") if size is None else size
+            found = (
+                wanted.groupBy(*cols)
+                .agg(measure.alias("_rows"), *ends)
+                .where(F.col("_rows") > policy.rows_per_slice)
+                .orderBy(F.desc("_rows"), *cols)
+                .limit(policy.max_hot_groups)
+                .collect()
+            )
         cuts = []
         for row in found:
-            if row["_lo"] == row["_hi"]:
-                instants.append((*(row[c] for c in group), row["_lo"]))
+            low, high, rows = row["_lo"], row["_hi"], row["_rows"] / share
+            if low == high and share == 1.0:
+                instants.append((*(row[c] for c in group), low))
                 continue
-            parts = max(policy.spread * -(-row["_rows"] // policy.rows_per_slice), MIN_PARTS)
-            width = (row["_hi"] - row["_lo"]) / parts
-            if isinstance(order_type, T.LongType):
+            parts = max(policy.spread * math.ceil(rows / policy.rows_per_slice), MIN_PARTS)
+            width = (high - low) / parts
+            if whole:
                 width = max(width, 1.0)
             if 0.0 < width < math.inf:
-                cuts.append((*(row[c] for c in cols), row["_lo"], float(width)))
+                cuts.append((*(row[c] for c in cols), low, float(width), parts))
         if not cuts:
             break
         fields = key_fields + [T.StructField(s, T.LongType()) for s in splits.slices]
-        fields += [T.StructField("_lo", order_type), T.StructField("_width", T.DoubleType())]
-        table = spark.createDataFrame(cuts, T.StructType(fields))
+        fields += [
+            T.StructField("_lo", order_type),
+            T.StructField("_width", T.DoubleType()),
+            T.StructField("_parts", T.LongType()),
+        ]
+        table = df.sparkSession.createDataFrame(cuts, T.StructType(fields))
         splits.levels.append((list(cols), table))
         wanted = (
             wanted.join(F.broadcast(table), cols)
             .withColumn(f"_slice{level}", _slice(order))
-            .drop("_lo", "_width")
+            .drop("_lo", "_width", "_parts")
         )
         cols.append(f"_slice{level}")
     if instants:
         fields = [*key_fields, T.StructField(order, order_type)]
-        splits.points = spark.createDataFrame(instants, T.StructType(fields)).withColumn(
-            POINT, F.lit(True)
-        )
+        splits.points = df.sparkSession.createDataFrame(
+            instants, T.StructType(fields)
+        ).withColumn(POINT, F.lit(True))
     return splits
 
 
@@ -254,18 +289,10 @@ def join_answers(
     policy = policy or SkewPolicy()
     popular = None
     if policy.detect:
-        found = (
-            requests.groupBy(key)
-            .agg(F.count("*").alias("_rows"))
-            .where((F.col("_rows") > policy.rows_per_slice) & F.col(key).isNotNull())
-            .orderBy(F.desc("_rows"), key)
-            .limit(policy.max_hot_groups)
-            .select(key)
-            .collect()
-        )
+        found, _ = _frequent(requests.select(key).dropna(), [key], policy)
         if found:
             popular = requests.sparkSession.createDataFrame(
-                [tuple(r) for r in found], T.StructType([requests.schema[key]])
+                [(r[key],) for r in found], T.StructType([requests.schema[key]])
             )
     # A missing key has no answer and need not travel.
     absent = requests.where(F.col(key).isNull())

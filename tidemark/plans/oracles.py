@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_K = """CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT)"""
+_K = """TRY_CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT)"""
 
 
 def _event_view(kind: str) -> str:

@@ -107,7 +107,7 @@ def _key(column: str) -> Column:
 
 
 def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("long")
+    return F.get_json_object("props", "$.k").try_cast("long")
 
 
 def event_history(events: DataFrame, kind: str) -> DataFrame:
