@@ -110,17 +110,20 @@ def test_other_scores(spark):
         score(churn, "fraud_sentinel_v2", prefix="")
 
 
-def test_match_rules(spark):
-    rows = [(1.0, 1.000009, True), (1.0, 1.1, False), (None, None, True), (None, 1.0, False), (1.0, None, False)]
-    df = spark.createDataFrame(rows, "a double, b double, want boolean")
-    got = df.select("want", same(typed(F.col("a"), DataType.FLOAT64), typed(F.col("b"), DataType.FLOAT64), DataType.FLOAT64, 1e-5).alias("m"))
-    assert all(r.want == r.m for r in got.collect())
-    mixed = spark.createDataFrame([(True, 1.0, True), (False, 1.0, False), (True, 2.0, True), (None, None, True)], "a boolean, b double, want boolean")
-    got = mixed.select("want", same(typed(F.col("a"), DataType.BOOLEAN), typed(F.col("b"), DataType.FLOAT64), DataType.BOOLEAN, 0.0).alias("m"))
-    assert all(r.want == r.m for r in got.collect())
-    words = spark.createDataFrame([("x", "x", True), ("x", "y", False), (None, "y", False)], "a string, b string, want boolean")
-    got = words.select("want", same(typed(F.col("a"), DataType.STRING), typed(F.col("b"), DataType.STRING), DataType.STRING, 0.0).alias("m"))
-    assert all(r.want == r.m for r in got.collect())
+@pytest.mark.parametrize(
+    "kind, left, right, pairs",
+    [
+        ("num", "double", "double", [(1.0, 1.000009, True), (1.0, 1.1, False), (None, None, True), (None, 1.0, False), (1.0, None, False)]),
+        ("flag", "boolean", "double", [(True, 1.0, True), (False, 1.0, False), (True, 2.0, True), (None, None, True), (None, 0.0, False)]),
+        ("text", "string", "string", [("x", "x", True), ("x", "y", False), (None, "y", False), (None, None, True)]),
+    ],
+)
+def test_match_rules(spark, kind, left, right, pairs):
+    types = {"double": DataType.FLOAT64, "boolean": DataType.BOOLEAN, "string": DataType.STRING}
+    df = spark.createDataFrame(pairs, f"a {left}, b {right}, want boolean").select(
+        "want", F.lit(kind).alias("kind"), typed("a", types[left]).alias("online"), typed("b", types[right]).alias("offline")
+    )
+    assert all(r.want == r.m for r in df.select("want", same(1e-5).alias("m")).collect())
 
 
 def test_validation(spark):

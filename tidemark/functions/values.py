@@ -10,14 +10,14 @@ from tidemark.specs import DataType
 TYPED = "struct<num: double, text: string, flag: boolean>"
 
 
-def typed(value: Column, dtype: DataType) -> Column:
-    """``value`` in the field of ``TYPED`` that fits its declared type, other fields null."""
-    num = value.cast("double") if dtype.numeric else F.lit(None).cast("double")
-    flag = value if dtype is DataType.BOOLEAN else F.lit(None).cast("boolean")
+def typed(value: str, dtype: DataType) -> Column:
+    """The column ``value`` in the field of ``TYPED`` for its declared type, others null."""
+    quoted = f"`{value}`" if "`" not in value else value
+    num = f"CAST({quoted} AS DOUBLE)" if dtype.numeric else "CAST(NULL AS DOUBLE)"
+    flag = quoted if dtype is DataType.BOOLEAN else "CAST(NULL AS BOOLEAN)"
+    text = "CAST(NULL AS STRING)"
     if dtype in (DataType.STRING, DataType.JSON):
-        text = value.cast("string")
+        text = f"CAST({quoted} AS STRING)"
     elif dtype is DataType.VECTOR:
-        text = F.to_json(value)
-    else:
-        text = F.lit(None).cast("string")
-    return F.struct(num.alias("num"), text.alias("text"), flag.alias("flag"))
+        text = f"to_json({quoted})"
+    return F.expr(f"named_struct('num', {num}, 'text', {text}, 'flag', {flag})")

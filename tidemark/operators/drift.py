@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numerics import round_even
@@ -52,45 +52,41 @@ def psi(
 
     # Inner edges only: below the second edge is bucket 0, from the last but one on the top.
     # Two equal outer edges leave one edge, hence no inner ones.
-    def inner(i: int) -> Column:
-        edge = F.get("edges", F.lit(i))
-        return F.when(F.lit(i) < F.size("edges") - 1, F.col("value") >= edge).otherwise(False)
-
-    bucket = sum((inner(i).cast("int") for i in range(1, buckets)), F.lit(0))
-    placed = values.join(F.broadcast(edges), "feature").withColumn("bucket", bucket)
+    inner = [
+        f"CASE WHEN {i} < size(edges) - 1 AND value >= get(edges, {i}) THEN 1 ELSE 0 END"
+        for i in range(1, buckets)
+    ]
+    placed = values.join(F.broadcast(edges), "feature").withColumn(
+        "bucket", F.expr(" + ".join(["0", *inner]))
+    )
 
-    def side(name: str, measure: Column) -> Column:
-        return F.sum(F.when(F.col("side") == name, measure).otherwise(0))
+    def total(side: str, measure: str) -> Column:
+        return F.expr(f"sum(CASE WHEN side = '{side}' THEN {measure} ELSE 0 END)")
 
     filled = placed.groupBy("feature", "bucket").agg(
-        F.first(F.size("edges")).alias("edge_count"),
-        side(BASELINE, F.lit(1)).alias("base_rows"),
-        side(CURRENT, F.lit(1)).alias("cur_rows"),
-        side(BASELINE, F.col("value")).alias("base_sum"),
-        side(CURRENT, F.col("value")).alias("cur_sum"),
+        F.expr("max(size(edges))").alias("edge_count"),
+        total(BASELINE, "1").alias("base_rows"),
+        total(CURRENT, "1").alias("cur_rows"),
+        total(BASELINE, "value").alias("base_sum"),
+        total(CURRENT, "value").alias("cur_sum"),
     )
     # At most ``buckets`` rows per feature from here on. A bucket with no value on either
     # side does not appear; both shares are the floor there and it adds nothing.
-    sizes = filled.groupBy("feature").agg(
-        F.max("edge_count").alias("edge_count"),
-        F.sum("base_rows").alias("baseline_count"),
-        F.sum("cur_rows").alias("current_count"),
-        F.sum("base_sum").alias("base_sum"),
-        F.sum("cur_sum").alias("cur_sum"),
+    whole = Window.partitionBy("feature")
+    shares = filled.select(
+        "*",
+        F.sum("base_rows").over(whole).alias("baseline_count"),
+        F.sum("cur_rows").over(whole).alias("current_count"),
     )
     base = F.greatest(F.try_divide("base_rows", "baseline_count"), F.lit(FLOOR_SHARE))
     cur = F.greatest(F.try_divide("cur_rows", "current_count"), F.lit(FLOOR_SHARE))
-    index = (
-        filled.select("feature", "base_rows", "cur_rows")
-        .join(F.broadcast(sizes), "feature")
-        .groupBy("feature")
-        .agg(
-            F.sum((cur - base) * F.log(cur / base)).alias("psi"),
-            *[
-                F.first(c).alias(c)
-                for c in ("edge_count", "baseline_count", "current_count", "base_sum", "cur_sum")
-            ],
-        )
+    index = shares.groupBy("feature").agg(
+        F.sum((cur - base) * F.log(cur / base)).alias("psi"),
+        F.max("edge_count").alias("edge_count"),
+        F.max("baseline_count").alias("baseline_count"),
+        F.max("current_count").alias("current_count"),
+        F.sum("base_sum").alias("base_sum"),
+        F.sum("cur_sum").alias("cur_sum"),
     )
     known = (F.col("edge_count") >= 2) & (F.col("current_count") > 0)
     return index.select(

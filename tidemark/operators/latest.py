@@ -172,7 +172,7 @@ def long_state(held: ViewState) -> DataFrame:
         *[
             F.struct(
                 F.lit(f.name).alias("feature"),
-                typed(F.col(f"`{f.name}`.value"), f.dtype).alias("held"),
+                typed(f"`{f.name}`.value", f.dtype).alias("held"),
                 F.col(f"`{f.name}`.ts").alias("ts"),
                 F.col(f"`{f.name}`").isNotNull().alias("known"),
             )

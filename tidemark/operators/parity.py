@@ -21,6 +21,9 @@ SAMPLE_SIZE = 500
 TOLERANCE = 1e-5
 SHOWN_MISMATCHES = 50
 
+SIDES = ("online", "offline")
+PARTS = ("num", "text", "flag")
+
 
 def parity_checks(
     log: DataFrame,
@@ -51,57 +54,53 @@ def parity_checks(
     pairs = [
         F.struct(
             F.lit(label).alias("feature"),
+            F.lit(_kind(dtypes[label])).alias("kind"),
             F.map_contains_key("features", label).alias("logged"),
             F.try_element_at("features", F.lit(label)).alias("online"),
-            typed(F.col(f"`{label}`"), dtypes[label]).alias("offline"),
-            same(
-                F.try_element_at("features", F.lit(label)),
-                typed(F.col(f"`{label}`"), dtypes[label]),
-                dtypes[label],
-                tolerance,
-            ).alias("matched"),
+            typed(label, dtypes[label]).alias("offline"),
         )
         for label in dict.fromkeys(labels)
     ]
-    return (
-        joined.select("inference_id", ENTITY_KEY, EVENT_TIME, F.inline(F.array(*pairs)))
-        .where("logged")
-        .select(
-            "inference_id",
-            ENTITY_KEY,
-            EVENT_TIME,
-            "feature",
-            *[
-                F.col(f"{side}.{part}").alias(f"{side}_{part}")
-                for side in ("online", "offline")
-                for part in ("num", "text", "flag")
-            ],
-            "matched",
-        )
+    logged = joined.select(
+        "inference_id", ENTITY_KEY, EVENT_TIME, F.inline(F.array(*pairs))
+    ).where("logged")
+    return logged.withColumn("matched", same(tolerance)).selectExpr(
+        "inference_id",
+        ENTITY_KEY,
+        EVENT_TIME,
+        "feature",
+        *[f"{side}.{part} AS {side}_{part}" for side in SIDES for part in PARTS],
+        "matched",
     )
 
 
-def same(online: Column, offline: Column, dtype: DataType, tolerance: float) -> Column:
-    """Match rule by declared type: nulls match each other and nothing else."""
+def _kind(dtype: DataType) -> str:
     if dtype is DataType.BOOLEAN:
-        left, right = _truth(online), _truth(offline)
-        equal = left == right
-    elif dtype.numeric:
-        left, right = online["num"], offline["num"]
-        equal = F.abs(left - right) <= tolerance
-    else:
-        left, right = online["text"], offline["text"]
-        equal = left == right
-    return (
-        F.when(left.isNull() & right.isNull(), True)
-        .when(left.isNull() | right.isNull(), False)
-        .otherwise(equal)
-    )
+        return "flag"
+    return "num" if dtype.numeric else "text"
+
 
+def same(tolerance: float) -> Column:
+    """Whether ``online`` and ``offline`` agree, by the declared ``kind`` of the feature.
 
-def _truth(value: Column) -> Column:
-    """Booleans, also where one side kept them as numbers."""
-    return F.coalesce(value["flag"], value["num"] != 0.0)
+    Nulls match each other and nothing else. Booleans also match where one side kept them
+    as numbers.
+    """
+    known = {
+        side: f"""CASE kind WHEN 'num' THEN {side}.num IS NOT NULL
+                            WHEN 'flag' THEN coalesce({side}.flag, {side}.num <> 0) IS NOT NULL
+                            ELSE {side}.text IS NOT NULL END"""
+        for side in SIDES
+    }
+    left, right = known.values()
+    return F.expr(
+        f"""CASE WHEN NOT ({left}) AND NOT ({right}) THEN TRUE
+                 WHEN NOT ({left}) OR NOT ({right}) THEN FALSE
+                 WHEN kind = 'num' THEN abs(online.num - offline.num) <= {tolerance!r}D
+                 WHEN kind = 'flag' THEN coalesce(online.flag, online.num <> 0)
+                                       = coalesce(offline.flag, offline.num <> 0)
+                 ELSE online.text = offline.text END"""
+    )
 
 
 def summary(checks: DataFrame) -> DataFrame:

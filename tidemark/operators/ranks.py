@@ -38,8 +38,8 @@ def _positions(values: DataFrame, one: str, value: str, policy: SkewPolicy | Non
     splits = find_splits(values, [one], value, policy, size=F.approx_count_distinct(value))
     counts = values.groupBy(one, value).agg(F.count("*").alias("rows"))
     ranked = running_totals(counts, [one], value, {"upto": F.col("rows")}, splits=splits)
-    # One row per group the caller has named.
-    sizes = values.groupBy(one).agg(F.count("*").alias(SIZE))
+    # One row per group the caller has named; Spark shuffles the counts once for both uses.
+    sizes = counts.groupBy(one).agg(F.sum("rows").alias(SIZE))
     return ranked.join(F.broadcast(sizes), one).select(
         one,
         value,
@@ -49,9 +49,9 @@ def _positions(values: DataFrame, one: str, value: str, policy: SkewPolicy | Non
     )
 
 
-def _at(rank: Column, value: str) -> Column:
-    covers = (F.col("first") <= rank) & (rank <= F.col("last"))
-    return F.max(F.when(covers, F.col(value)))
+def _at(rank: str, value: str) -> Column:
+    """The value that covers a rank."""
+    return F.expr(f"max(CASE WHEN first <= {rank} AND {rank} <= last THEN `{value}` END)")
 
 
 def nearest_rank(
@@ -69,11 +69,9 @@ def nearest_rank(
     """
     one = by or ALL
     placed = _positions(numbers(df, value, by, names), one, value, policy)
-    size = F.col(SIZE)
 
-    def rank(p: float) -> Column:
-        wanted = F.ceil(F.lit(p) * size).cast("long") - 1
-        return F.least(F.greatest(wanted, F.lit(0)), size - 1)
+    def rank(p: float) -> str:
+        return f"least(greatest(cast(ceil({p}D * {SIZE}) AS long) - 1, 0), {SIZE} - 1)"
 
     picks = [_at(rank(p), value).alias(name) for name, p in shares.items()]
     return placed.groupBy(one).agg(*picks).drop(ALL)
@@ -92,21 +90,21 @@ def interpolated(
     """An array with the linearly interpolated quantile for each share."""
     one = by or ALL
     placed = _positions(numbers(df, value, by, names), one, value, policy)
-    size = F.col(SIZE)
     picks = [F.max(SIZE).alias(SIZE)]
     for i, p in enumerate(shares):
-        below = F.floor((size - 1) * F.lit(p)).cast("long")
+        below = f"cast(floor(({SIZE} - 1) * {p}D) AS long)"
         picks.append(_at(below, value).alias(f"_lo{i}"))
-        picks.append(_at(F.least(below + 1, size - 1), value).alias(f"_hi{i}"))
+        picks.append(_at(f"least({below} + 1, {SIZE} - 1)", value).alias(f"_hi{i}"))
     picked = placed.groupBy(one).agg(*picks)
 
-    def between(i: int, p: float) -> Column:
-        at = (size - 1) * F.lit(p)
-        part = at - F.floor(at)
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        gap = high - low
+    def between(i: int, p: float) -> str:
         # From the nearer end, so that both ends come out exactly.
-        return F.when(part < 0.5, low + gap * part).otherwise(high - gap * (F.lit(1.0) - part))
-
-    quantiles = F.array(*[between(i, p) for i, p in enumerate(shares)])
+        part = f"(({SIZE} - 1) * {p}D - floor(({SIZE} - 1) * {p}D))"
+        gap = f"(_hi{i} - _lo{i})"
+        return (
+            f"CASE WHEN {part} < 0.5D THEN _lo{i} + {gap} * {part} "
+            f"ELSE _hi{i} - {gap} * (1D - {part}) END"
+        )
+
+    quantiles = F.expr(f"array({', '.join(between(i, p) for i, p in enumerate(shares))})")
     return picked.select(one, SIZE, quantiles.alias(name)).drop(ALL)

@@ -273,15 +273,16 @@ def inference_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     served = point_in_time_join(V.purchase_spine(events), V.event_views(events), EVENT_REFS)
     number = F.col("event_id")
     changed = [r for r in EVENT_REFS if r.endswith(":value")]
-    for ref in changed:
-        value = F.col(f"`{ref}`")
-        served = served.withColumn(
-            ref,
-            F.when(number % 17 == 0, F.lit(None))
-            .when(number % 10 == 0, value + 1.0)
-            .when(number % 7 == 0, value + 5e-6)
-            .otherwise(value),
-        )
+    served = served.withColumns(
+        {
+            ref: F.expr(
+                f"""CASE WHEN event_id % 17 = 0 THEN NULL
+                         WHEN event_id % 10 = 0 THEN `{ref}` + 1D
+                         WHEN event_id % 7 = 0 THEN `{ref}` + 5e-6D ELSE `{ref}` END"""
+            )
+            for ref in changed
+        }
+    )
     table = logs.LogTable(spark, work_dir(spark, "inferences"))
     table.append(
         logs.served_features(

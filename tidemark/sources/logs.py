@@ -40,7 +40,7 @@ def served_features(
     entries = [
         F.struct(
             F.lit(ref).alias("ref"),
-            typed(F.col(f"`{ref}`"), dtype).alias("value"),
+            typed(ref, dtype).alias("value"),
             (asked or {}).get(ref, F.lit(True)).alias("asked"),
         )
         for ref, dtype in refs.items()
