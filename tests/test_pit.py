@@ -139,11 +139,11 @@ def random_rows(rng, count, keys, span):
     ]
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("limit", [1, 7, 40, None])
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("limit", [1, 40, None])
 def test_any_slicing_gives_the_brute_force_result(spark, seed, limit):
     rng = random.Random(seed)
-    span = [50, 3000, 100_000, 5][seed]
+    span = [50, 100_000, 5][seed]
     keys = ["hot", "u1", "u2", "u3", None]
     spine = [(k, t if rng.random() > 0.05 else None, i) for i, (k, t) in enumerate(random_rows(rng, 120, keys, span))]
     histories = [

@@ -7,7 +7,7 @@ from tidemark.operators import drift, profile
 from tidemark.operators.ranks import interpolated, nearest_rank
 from tidemark.operators.slicing import SkewPolicy
 
-POLICIES = [SkewPolicy(detect=False), SkewPolicy(rows_per_slice=5), SkewPolicy(rows_per_slice=40)]
+POLICIES = [SkewPolicy(detect=False), SkewPolicy(rows_per_slice=20)]
 SHARES = [i / 10 for i in range(11)]
 
 

@@ -7,8 +7,8 @@ from tidemark.operators.slicing import SkewPolicy, find_splits, join_answers, ru
 
 
 @pytest.mark.parametrize("strict", [False, True])
-@pytest.mark.parametrize("limit", [1, 5, 30, None])
-@pytest.mark.parametrize("span", [3, 100, 10**9])
+@pytest.mark.parametrize("limit", [1, 30, None])
+@pytest.mark.parametrize("span", [3, 10**9])
 def test_running_totals(spark, limit, strict, span):
     rng = random.Random(span)
     rows = [(i, rng.choice("aaab"), rng.randint(0, span), rng.randint(1, 9)) for i in range(150)]

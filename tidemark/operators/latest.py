@@ -231,3 +231,8 @@ def _freshness(held: ViewState, now: dt.datetime) -> DataFrame:
         .when(F.col("ttl_remaining_seconds") < F.lit(ttl * 0.2), F.lit("EXPIRING_SOON"))
         .otherwise(F.lit("FRESH")),
     )
+
+
+def stalest(fresh: DataFrame, limit: int) -> DataFrame:
+    """The entities whose state is oldest, oldest first."""
+    return fresh.orderBy(F.desc("age_seconds"), "feature_view", ENTITY_KEY).limit(limit)

@@ -72,7 +72,11 @@ _STATES = ", ".join(
 )
 
 _DAY = "PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {} PRECEDING AND CURRENT ROW"
-_FRAUD = f"""raw_fraud AS (
+
+
+def _fraud(name: str = "fraud", where: str = "") -> str:
+    """User activity and risk per event, with the transformed features."""
+    return f"""raw_fraud AS (
   SELECT event_id, CAST(user_id AS VARCHAR) AS entity_key, ts AS event_timestamp,
          COUNT(*) OVER ({_DAY.format("6 HOURS")}) AS tx_count_10m,
          COUNT(*) OVER ({_DAY.format("1 DAY")}) AS tx_count_1h,
@@ -81,8 +85,8 @@ _FRAUD = f"""raw_fraud AS (
          CASE WHEN event_id % 50 <> 0 THEN value / 4e2 END AS risk_score,
          1e0 - CAST({_K} AS DOUBLE) / 1e2 AS device_trust_score,
          event_type = 'error' AS is_vpn
-  FROM events),
-fraud AS (
+  FROM events {where}),
+{name} AS (
   SELECT *,
     {_r("CAST(tx_count_10m AS DOUBLE) / greatest(CAST(tx_count_1h AS DOUBLE), 1e0)", 4)}
       AS velocity_ratio,
@@ -90,6 +94,9 @@ fraud AS (
       AS composite_risk
   FROM raw_fraud)"""
 
+
+_FRAUD = _fraud()
+
 _MERCHANT = f"""raw_merchant AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS entity_key,
          CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS event_timestamp,
@@ -565,3 +572,52 @@ ORACLES["stream_latest_state"] = ORACLES["latest_values"]
 ORACLES["dataset_rows"] = f"""WITH {_VIEWS}, grid AS ({ORACLES["dataset_grid"]})
 {_multi("grid", "s.*")}"""
 ORACLES["dataset_csv"] = ORACLES["dataset_rows"]
+ORACLES["freshness_stalest"] = f"""SELECT * FROM ({ORACLES["freshness"]})
+ORDER BY age_seconds DESC, feature_view, entity_key LIMIT 20"""
+ORACLES["store_totals"] = f"""SELECT CAST(sum(row_count) AS BIGINT) AS total_rows,
+       CAST(sum(state_keys) AS BIGINT) AS total_keys, CAST(0 AS BIGINT) AS logged_inferences
+FROM ({ORACLES["store_metrics"]})"""
+ORACLES["store_serving"] = f"""SELECT entity_key, {_NOW} AS event_timestamp,
+       "ev_view:value", CAST("ev_view:k" AS DOUBLE) AS "ev_view:k", "ev_click:value",
+       "ev_error:value" FROM ({ORACLES["online_lookup"]})"""
+ORACLES["store_historical"] = ORACLES["pit_multi_view"]
+ORACLES["dataset_summary"] = f"""SELECT COUNT(*) AS total_records, 4 AS features_joined
+FROM ({ORACLES["dataset_rows"]})"""
+ORACLES["dataset_sample"] = f"""SELECT * REPLACE
+  (strftime(event_timestamp, '%Y-%m-%dT%H:%M:%S.%f') AS event_timestamp)
+FROM ({ORACLES["dataset_rows"]}) ORDER BY entity_key, event_timestamp LIMIT 15"""
+ORACLES["defaults_filled"] = f"""WITH {_FRAUD}
+SELECT event_id, coalesce(risk_score, 1e-1) AS risk_score, is_vpn FROM fraud"""
+ORACLES["stream_recent"] = f"""WITH {_VIEWS}
+SELECT * FROM ev_view ORDER BY event_timestamp DESC, entity_key DESC LIMIT 30"""
+ORACLES["stream_transform"] = ORACLES["transform_exposure"]
+_SCORED = f"""p AS (SELECT event_id, entity_key, event_timestamp,
+  {_logistic("28e-1 * r + 12e-2 * n + 6e-4 * a - 19e-1 * t + CASE WHEN v THEN 12e-1 ELSE -3e-1 END - 4e-1")}
+  AS probability_score FROM fi)
+SELECT *, CASE WHEN probability_score >= 65e-2 THEN 'DECLINED'
+               WHEN probability_score >= 35e-2 THEN 'CHALLENGE_2FA' ELSE 'APPROVED' END AS decision
+FROM p"""
+ORACLES["score_as_of"] = f"""WITH {_SPINE},
+{_fraud("known", "WHERE event_type <> 'purchase'")},
+fraud AS (
+  SELECT s.event_id, s.entity_key, s.event_timestamp,
+         {", ".join(_ttl("f", c) + " AS " + c for c in ("composite_risk", "tx_count_10m", "tx_amount_1h", "device_trust_score", "is_vpn"))}
+  FROM spine s ASOF LEFT JOIN known f
+    ON s.entity_key = f.entity_key AND s.event_timestamp >= f.event_timestamp),
+{_FRAUD_IN}, {_SCORED}"""
+ORACLES["score_latest"] = f"""WITH {_CLV.replace("clv AS", "raw_clv AS")},
+live AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS entity_key, r.event_timestamp,
+         epoch_us(TIMESTAMP '2001-09-01') - epoch_us(r.event_timestamp) <= 2592000000000 AS fresh,
+         r.churn_probability, r.total_orders_count, r.total_spend_amount, r.avg_basket_value
+  FROM customer LEFT JOIN raw_clv r ON r.entity_key = CAST(c_custkey AS VARCHAR)),
+clv AS (
+  SELECT entity_key, event_timestamp,
+         CASE WHEN fresh THEN churn_probability END AS churn_probability,
+         CASE WHEN fresh THEN total_orders_count END AS total_orders_count,
+         CASE WHEN fresh THEN total_spend_amount END AS total_spend_amount,
+         CASE WHEN fresh THEN avg_basket_value END AS avg_basket_value FROM live),
+{_CHURN_IN}, p AS (SELECT entity_key, {_r("c", 4)} AS probability_score FROM ci)
+SELECT *, CASE WHEN probability_score >= 50e-2 THEN 'HIGH_CHURN_RISK'
+               WHEN probability_score >= 25e-2 THEN 'MODERATE_ENGAGEMENT'
+               ELSE 'LOYAL_CUSTOMER' END AS decision FROM p"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.numerics import epoch_micros
-from tidemark.functions.scoring import explode_contributions, score
+from tidemark.functions.scoring import explode_contributions, model, score
 from tidemark.functions.transforms import (
     FRAUD_RATIOS,
     MERCHANT_EXPOSURE,
@@ -24,13 +24,14 @@ from tidemark.operators.grid import observation_grid
 from tidemark.operators.latest import ViewState
 from tidemark.operators.pit import ViewData, point_in_time_join
 from tidemark.plans import views as V
-from tidemark.plans.store import FeatureStore
+from tidemark.plans.store import DATASET_SAMPLE, FRESHNESS_ROWS, FeatureStore
 from tidemark.session import work_dir, written
 from tidemark.sources import logs
-from tidemark.sources.export import json_rows, read_csv, write_csv
+from tidemark.sources.export import json_rows, json_safe, read_csv, write_csv
 from tidemark.sources.history import HistoryTable, count_by_view, timeline
 from tidemark.sources.state import StateTable
 from tidemark.specs import ENTITY_KEY, EVENT_TIME, DataType, Feature, FeatureView
+from tidemark.streaming.ingest import recent_events
 from tidemark.streaming.latest import start_latest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +163,11 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.freshness(_states(_events(spark, sf_dir)), V.AS_OF)
 
 
+@query
+def freshness_stalest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest.stalest(freshness(spark, sf_dir), FRESHNESS_ROWS)
+
+
 # Ingestion
 
 
@@ -211,13 +217,44 @@ def backfill_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_state(store.state("ev_view").read())
 
 
-@query
-def store_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _filled_store(spark: SparkSession, sf_dir: str) -> FeatureStore:
     store = _store(spark, "metrics")
     for name, held in V.event_views(_events(spark, sf_dir)).items():
         store.register_feature_view(held.view)
         store.ingest_batch(name, held.data)
-    return store.get_telemetry()
+    return store
+
+
+@query
+def store_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled_store(spark, sf_dir).get_telemetry()
+
+
+@query
+def store_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled_store(spark, sf_dir).totals()
+
+
+@query
+def store_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serve all signups from the stored state, then read the inference log back."""
+    store = _filled_store(spark, sf_dir)
+    requests = _events(spark, sf_dir).where(F.col("event_type") == "signup")
+    store.get_online_features(
+        requests.select(F.col("user_id").alias(ENTITY_KEY)), EVENT_REFS, now=V.AS_OF
+    )
+    log = store.inferences.read()
+    return log.select(
+        ENTITY_KEY,
+        EVENT_TIME,
+        *[F.col("features")[r]["num"].alias(r) for r in EVENT_REFS],
+    )
+
+
+@query
+def store_historical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spine = V.purchase_spine(_events(spark, sf_dir))
+    return _filled_store(spark, sf_dir).get_historical_features(spine, EVENT_REFS)
 
 
 # Transformations
@@ -414,6 +451,15 @@ def validate_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def defaults_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = FeatureView(
+        "risk", "user", (Feature("risk_score", default_value=0.1), Feature("is_vpn", DataType.BOOLEAN))
+    )
+    filled = quality.with_defaults(V.user_fraud(_events(spark, sf_dir)), view)
+    return filled.select("event_id", "risk_score", "is_vpn")
+
+
 @query
 def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, _ = quality.split_valid(V.user_fraud(_events(spark, sf_dir)), V.USER_FRAUD)
@@ -455,6 +501,19 @@ def dataset_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_rows(V.purchase_spine(_events(spark, sf_dir)), "json")
 
 
+@query
+def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dataset(spark, sf_dir).agg(
+        F.count("*").alias("total_records"), F.lit(len(EVENT_REFS)).alias("features_joined")
+    )
+
+
+@query
+def dataset_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dataset(spark, sf_dir).orderBy(ENTITY_KEY, EVENT_TIME).limit(DATASET_SAMPLE)
+    return json_safe(rows)
+
+
 # Scores
 
 
@@ -468,6 +527,30 @@ def score_fraud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score_columns(score(fraud, "fraud_sentinel_v2", prefix=""))
 
 
+@query
+def score_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every purchase with the features known just then."""
+    events = _events(spark, sf_dir)
+    history = FRAUD_RATIOS.apply(V.user_fraud(events.where(F.col("event_type") != "purchase")))
+    held = ViewData(V.USER_FRAUD, written(history, "fraud"))
+    chosen = model("fraud_sentinel_v2")
+    joined = point_in_time_join(V.purchase_spine(events), {chosen.view: held}, chosen.refs)
+    return score(joined, chosen.model_id).select(
+        "event_id", ENTITY_KEY, EVENT_TIME, "probability_score", "decision"
+    )
+
+
+@query
+def score_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every customer with the latest lifetime value."""
+    clv = V.clv(V.table(spark, sf_dir, "orders"))
+    states = {V.CLV.name: ViewState(V.CLV, latest.latest_values(clv, V.CLV))}
+    requests = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(ENTITY_KEY))
+    chosen = model("churn_predictor_v3")
+    found = latest.lookup(requests, states, chosen.refs, V.ORDERS_AS_OF)
+    return score(found, chosen.model_id).select(ENTITY_KEY, "probability_score", "decision")
+
+
 @query
 def score_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
     merchant = MERCHANT_EXPOSURE.apply(V.merchant_risk(V.table(spark, sf_dir, "lineitem")))
@@ -554,6 +637,26 @@ def stream_ingest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.history("ev_view").read().select(ENTITY_KEY, EVENT_TIME, "value", "k")
 
 
+@query
+def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recent_events(stream_ingest_history(spark, sf_dir))
+
+
+@query
+def stream_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merchant exposure computed in a stream, read back from history."""
+    store = _store(spark, "stream")
+    store.register_feature_view(V.MERCHANT_RISK)
+    path = work_dir(spark, "feed")
+    merchant = V.merchant_risk(V.table(spark, sf_dir, "lineitem"))
+    merchant.repartition(3, ENTITY_KEY).write.parquet(path)
+    feed = spark.readStream.schema(merchant.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    store.ingest_stream(
+        V.MERCHANT_RISK.name, feed, checkpoint=work_dir(spark, "stream-at"), name="merchants"
+    ).awaitTermination()
+    return store.history(V.MERCHANT_RISK.name).read().select(*merchant.columns, "exposure_score")
+
+
 @query
 def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = StateTable(spark, work_dir(spark, "state"), V.EVENT_VIEWS["ev_view"], V.NAIVE)

@@ -26,13 +26,17 @@ from tidemark.operators.slicing import SkewPolicy
 from tidemark.session import written
 from tidemark.sources import logs
 from tidemark.sources.export import json_safe, write_csv
-from tidemark.sources.history import HistoryTable, count_by_view, next_batch
+from tidemark.sources.history import HistoryTable, count_by_view, next_batch, normalise
 from tidemark.sources.state import StateTable
 from tidemark.specs import ENTITY_KEY, EVENT_TIME, Entity, FeatureView, Ref, Registry
 from tidemark.streaming.ingest import start_ingest
 
-# Fixed value: rows shown as a sample of a generated data set.
+# Rows shown as a sample of a generated data set, inferences read for drift
+# and for the parity rule of the quality table.
 DATASET_SAMPLE = 15
+DRIFT_SAMPLE = 300
+FRESHNESS_ROWS = 20
+QUALITY_SAMPLE = 100
 
 
 @dataclass(frozen=True)
@@ -143,6 +147,8 @@ class FeatureStore:
         if view.offline:
             table.append(rows, batch)
             rows = table.read_batch(batch)
+        else:
+            rows = normalise(rows, view)
         if view.online and sync_to_online:
             self.state(view_name).upsert(latest.latest_values(rows, view), batch)
 
@@ -231,11 +237,21 @@ class FeatureStore:
     def freshness(self, now: dt.datetime | None = None) -> DataFrame:
         return latest.freshness(self._states(), now or _utc_now())
 
+    def freshness_report(
+        self, now: dt.datetime | None = None, limit: int = FRESHNESS_ROWS
+    ) -> DataFrame:
+        """The stalest entities first, as a short list."""
+        return latest.stalest(self.freshness(now), limit)
+
     def predict(
         self, requests: DataFrame, model_id: str, *, now: dt.datetime | None = None
     ) -> DataFrame:
         """Latest features of each request, scored."""
-        return score(self.get_online_features(requests, model(model_id).refs, now=now), model_id)
+        scored = score(
+            self.get_online_features(requests, model(model_id).refs, now=now), model_id
+        )
+        self.audit.record("MODEL_INFERENCE", f"model {model_id} on a batch of requests")
+        return scored
 
     def score_history(self, entity_df: DataFrame, model_id: str) -> DataFrame:
         """Features as of each row's time, scored."""
@@ -327,11 +343,39 @@ class FeatureStore:
             if name in held:
                 parts.append(quality.check_table(held[name].data, view_rules))
         if parity_refs:
-            checked = self.verify_skew(parity_refs, sample_size=100).summary
+            checked = self.verify_skew(parity_refs, sample_size=QUALITY_SAMPLE).summary
             parts.append(quality.parity_rule(checked))
         if latencies is not None:
             parts.append(quality.latency_rule(profile.percentiles(latencies, "latency_ms")))
-        return reduce(DataFrame.unionByName, parts)
+        checked = written(reduce(DataFrame.unionByName, parts), "quality")
+        result = quality.quality_score(checked).first()
+        self.audit.record(
+            "QUALITY_VALIDATION",
+            f"{result.passed_count}/{result.total_rules} rules passed "
+            f"({result.quality_score_percent}%)",
+        )
+        return checked
+
+    def drift(self, refs: list[str] | None = None, *, sample_size: int = DRIFT_SAMPLE) -> DataFrame:
+        """Drift of served values against history, by default for all numeric features."""
+        return self.verify_skew(refs or self.registry.numeric_refs(), sample_size=sample_size).drift
+
+    def get_inference_logs(self, limit: int = logs.SHOWN_INFERENCES) -> DataFrame | None:
+        held = self.inferences.read()
+        return None if held is None else logs.newest(held, limit, EVENT_TIME, "inference_id")
+
+    def get_audit_logs(self) -> DataFrame | None:
+        return self.audit.recent()
+
+    def totals(self) -> DataFrame:
+        """One row: history rows, state keys and logged inferences over all views."""
+        held = self.inferences.read()
+        logged = 0 if held is None else held.count()
+        return self.get_telemetry().agg(
+            F.sum("row_count").alias("total_rows"),
+            F.sum("state_keys").alias("total_keys"),
+            F.lit(logged).cast("long").alias("logged_inferences"),
+        )
 
     def get_telemetry(self) -> DataFrame:
         """Rows of history and keys of state per view."""

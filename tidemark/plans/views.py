@@ -19,6 +19,7 @@ from tidemark.operators.slicing import SkewPolicy, running_totals
 from tidemark.specs import ENTITY_KEY, EVENT_TIME, DataType, Entity, Feature, FeatureView
 
 AS_OF = dt.datetime(2024, 1, 31)
+ORDERS_AS_OF = dt.datetime(2001, 9, 1)
 DRIFT_SPLIT = dt.datetime(2024, 1, 16)
 HOUR_US = 3600 * MICROS
 DAY_SECONDS = 86_400

@@ -7,6 +7,9 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.sources.logs import STREAM_EVENTS, newest
+from tidemark.specs import ENTITY_KEY, EVENT_TIME
+
 if TYPE_CHECKING:
     from tidemark.plans.store import FeatureStore
 
@@ -40,6 +43,11 @@ def start_ingest(
     )
 
 
+def recent_events(history: DataFrame, limit: int = STREAM_EVENTS) -> DataFrame:
+    """The newest ingested events, newest first."""
+    return newest(history, limit, EVENT_TIME, ENTITY_KEY)
+
+
 def stream_status(query: StreamingQuery) -> dict[str, Any]:
     """Whether the stream runs, how many rows it has read, and its last progress."""
     progress = query.recentProgress
