@@ -4,9 +4,11 @@ import random
 import pytest
 from conftest import T0, minutes
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.pit import ViewData, point_in_time_join, time_travel
 from tidemark.operators.slicing import SkewPolicy
+from tidemark.sources.history import HistoryTable
 from tidemark.specs import DataType, Feature, FeatureView
 
 SPINE = "entity_key string, event_timestamp timestamp_ntz, obs_id long"
@@ -205,3 +207,32 @@ def test_one_shuffle_for_all_views_and_pruned_scans(spark, tmp_path):
     assert "GreaterThanOrEqual(event_timestamp,2026-01-01T12:02" in formatted
     scans = [x for x in formatted.splitlines() if x.startswith("ReadSchema")]
     assert any("a:double" in x and "b:" not in x for x in scans)
+
+
+@pytest.mark.parametrize("limit", [5, None])
+def test_bucketed_histories_are_not_shuffled(spark, tmp_path, limit):
+    rng = random.Random(1)
+    views, plain = {}, {}
+    for name in ("p", "q"):
+        rows = [(k, t, rng.random(), i) for i, (k, t) in enumerate(random_rows(rng, 100, ["hot", "u1", "u2"], 10**6))]
+        table = HistoryTable(spark, str(tmp_path / name), view(name, tie="b"), T.TimestampNTZType())
+        table.append(spark.createDataFrame(rows, HISTORY))
+        views[name] = ViewData(view(name, tie="b"), table.bucketed(f"bucketed_{name}_{limit}", 4, policy=SkewPolicy(rows_per_slice=20)))
+        plain[name] = ViewData(view(name, tie="b"), table.read())
+        files = views[name].data.inputFiles()
+        by_bucket = [f.split("_")[-1].split(".")[0] for f in files]
+        assert max(by_bucket.count(x) for x in by_bucket) > 1  # the large key, several tasks
+        assert len(files) <= 4 + 4
+    spine = [(k, t, i) for i, (k, t) in enumerate(random_rows(rng, 80, ["hot", "u1", "u3", None], 10**6))]
+    spine = spark.createDataFrame(spine, SPINE)
+    refs = ["p:a", "q:a", "q:b"]
+    policy = SkewPolicy(detect=False) if limit is None else SkewPolicy(rows_per_slice=limit)
+    joined = point_in_time_join(spine, views, refs, buckets=4, policy=policy)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    if limit is None:
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert plan.count("Bucketed: true") == 2
+    else:
+        assert "Exchange hashpartitioning(entity_key" in plan and "_slice0" in plan
+    got = {r["obs_id"]: tuple(r[x] for x in refs) for r in joined.collect()}
+    assert got == run(spine, plain, refs)

@@ -51,3 +51,12 @@ def test_join_answers_keeps_every_request(spark, limit):
     assert sorted((r.n, r.v) for r in got) == sorted(
         ((n, want.get(k)) for k, n in requests), key=lambda p: p[0]
     )
+
+
+def test_a_large_group_leaves_its_task_even_if_input_is_partitioned_by_group(spark):
+    df = spark.range(2000).select(F.lit("hot").alias("g"), F.col("id").alias("at")).repartition("g")
+    got = running_totals(df, ["g"], "at", {"n": F.lit(1)}, policy=SkewPolicy(rows_per_slice=100))
+    per_task = got.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in per_task) == 2000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(g" in plan and "_slice0" in plan

@@ -25,6 +25,7 @@ from tidemark.operators.slicing import (
     find_splits,
     only_points,
     running_totals,
+    spread,
 )
 from tidemark.specs import (
     CREATED_TIME,
@@ -64,6 +65,7 @@ def point_in_time_join(
     use_ttl: bool = True,
     per_feature: bool = False,
     prune: bool = True,
+    buckets: int | None = None,
     policy: SkewPolicy | None = None,
 ) -> DataFrame:
     """Add a column ``view:feature`` to ``spine`` for every reference.
@@ -74,7 +76,9 @@ def point_in_time_join(
     the TTL is kept. Ties on time go to the newest created time, then to ``view.tie``.
     Observations without key or time, and views without data, get nulls.
 
-    ``prune`` limits the history scans to the times that the spine can reach.
+    ``prune`` limits the history scans to the times that the spine can reach. ``buckets`` says
+    that all histories are tables bucketed by key into that many buckets: the spine is then
+    partitioned alike and is the only thing shuffled, the histories stay where they are.
     """
     wanted = refs_by_view(refs)
     _check(views, wanted)
@@ -97,7 +101,10 @@ def point_in_time_join(
 
     lost = F.col(ENTITY_KEY).isNull() | F.col(EVENT_TIME).isNull()
     if packs:
-        joined = _as_of(_observation_side(spine.where(~lost)), inputs, packs, policy)
+        observations = _observation_side(spine.where(~lost))
+        if buckets is not None:
+            observations = observations.repartition(buckets, ENTITY_KEY)
+        joined = _as_of(observations, inputs, packs, policy)
         # Observations that match nothing stay out of the shuffle: as one null key they
         # could be a large group.
         unmatched = _observation_side(spine.where(lost)).select(_OBS, _AT)
@@ -237,7 +244,7 @@ def _as_of(
     )
     seeds = state.select(*splits.keys, *names, F.lit(0).alias("_side"))
     flowing = tagged.where(~F.col(POINT)).drop(HOT, POINT)
-    done = run(flowing.unionByName(seeds, allowMissingColumns=True), splits.keys)
+    done = run(spread(flowing.unionByName(seeds, allowMissingColumns=True), splits), splits.keys)
     if splits.points is not None:
         answer = only_points(
             state.select(*splits.keys, *[F.col(f"{n}_after").alias(n) for n in names]), splits

@@ -190,6 +190,15 @@ def find_splits(
     return splits
 
 
+def spread(df: DataFrame, splits: Splits) -> DataFrame:
+    """Rows partitioned by group and slice.
+
+    Said outright, because input that is already partitioned by group alone would satisfy a
+    window over group and slice, and the large group would stay in one task.
+    """
+    return df.repartition(*splits.keys)
+
+
 def carry(
     hot: DataFrame, splits: Splits, reduce: dict[str, Column], fold: Callable[[str, Window], Column]
 ) -> DataFrame:
@@ -258,7 +267,7 @@ def running_totals(
         F.lit(True).alias("_seed"),
     )
     flowing = tagged.where(~F.col(POINT)).withColumn("_seed", F.lit(False))
-    done = run(flowing.unionByName(seeds, allowMissingColumns=True), splits.keys)
+    done = run(spread(flowing.unionByName(seeds, allowMissingColumns=True), splits), splits.keys)
     done = done.where(~F.col("_seed"))
     if splits.points is not None:
         answer = state.select(

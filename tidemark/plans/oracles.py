@@ -580,6 +580,7 @@ FROM ({ORACLES["store_metrics"]})"""
 ORACLES["store_serving"] = f"""SELECT entity_key, {_NOW} AS event_timestamp,
        "ev_view:value", CAST("ev_view:k" AS DOUBLE) AS "ev_view:k", "ev_click:value",
        "ev_error:value" FROM ({ORACLES["online_lookup"]})"""
+ORACLES["pit_bucketed"] = ORACLES["pit_multi_view"]
 ORACLES["store_historical"] = ORACLES["pit_multi_view"]
 ORACLES["dataset_summary"] = f"""SELECT COUNT(*) AS total_records, 4 AS features_joined
 FROM ({ORACLES["dataset_rows"]})"""

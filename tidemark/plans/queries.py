@@ -28,7 +28,7 @@ from tidemark.plans.store import DATASET_SAMPLE, FRESHNESS_ROWS, FeatureStore
 from tidemark.session import work_dir, written
 from tidemark.sources import logs
 from tidemark.sources.export import json_rows, json_safe, read_csv, write_csv
-from tidemark.sources.history import HistoryTable, count_by_view, timeline
+from tidemark.sources.history import HistoryTable, count_by_view, next_batch, timeline
 from tidemark.sources.state import StateTable
 from tidemark.specs import ENTITY_KEY, EVENT_TIME, DataType, Feature, FeatureView
 from tidemark.streaming.ingest import recent_events
@@ -41,6 +41,7 @@ EVENT_REFS = ["ev_view:value", "ev_view:k", "ev_click:value", "ev_error:value"]
 ONE_USER = "7"
 GRID_OBSERVATIONS = 6
 TOP = logs.AUDIT_ROWS
+BUCKETS = 8
 
 
 def query(build: Query) -> Query:
@@ -257,6 +258,18 @@ def store_historical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled_store(spark, sf_dir).get_historical_features(spine, EVENT_REFS)
 
 
+@query
+def pit_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The multi-view join on histories bucketed by key: only the spine is shuffled."""
+    events, held = _events(spark, sf_dir), {}
+    for name, source in V.event_views(events).items():
+        table = HistoryTable(spark, work_dir(spark, name), source.view, V.NAIVE)
+        table.append(source.data)
+        bucketed = table.bucketed(f"{name}_{next_batch()}", BUCKETS)
+        held[name] = ViewData(source.view, bucketed)
+    return point_in_time_join(V.purchase_spine(events), held, EVENT_REFS, buckets=BUCKETS)
+
+
 # Transformations
 
 

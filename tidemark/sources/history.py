@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.numerics import micros_of, moment, nan_to_null
+from tidemark.functions.numerics import epoch_micros, micros_of, moment, nan_to_null
+from tidemark.operators.slicing import HOT, POINT, SkewPolicy, find_splits
 from tidemark.specs import BATCH, CREATED_TIME, ENTITY_KEY, EVENT_DATE, EVENT_TIME, FeatureView
 
 
@@ -125,6 +126,36 @@ class HistoryTable:
         found = read_or_none(self.spark, f"{self.path}/{BATCH}={batch}")
         return self.empty() if found is None else found
 
+    def bucketed(
+        self,
+        table: str,
+        buckets: int,
+        *,
+        path: str | None = None,
+        policy: SkewPolicy | None = None,
+    ) -> DataFrame:
+        """The history as catalog table ``table`` at ``path``, bucketed by key.
+
+        Point-in-time joins with ``buckets`` do not shuffle such tables. One task writes the
+        one file of a bucket. Only rows of very large keys are spread over tasks by time; a
+        null is passed over by the partitioning hash, so all others go by their key alone.
+        """
+        rows = self.read()
+        timed = rows.withColumn("_at", epoch_micros(F.col(EVENT_TIME), self.time_type))
+        splits = find_splits(timed, [ENTITY_KEY], "_at", policy)
+        if splits:
+            rows = splits.assign(timed)
+        by_time = [F.when(F.col(HOT), F.col(c)) for c in splits.slices]
+        (
+            rows.repartition(buckets, ENTITY_KEY, *by_time)
+            .drop("_at", HOT, POINT, *splits.slices)
+            .write.mode("overwrite")
+            .option("path", path or f"{self.path}-by-key/{next_batch()}")
+            .bucketBy(buckets, ENTITY_KEY)
+            .saveAsTable(table)
+        )
+        return self.spark.table(table)
+
     def empty(self) -> DataFrame:
         fields = [*self.view.schema(self.time_type).fields, T.StructField(EVENT_DATE, T.DateType())]
         return self.spark.createDataFrame([], T.StructType(fields))
