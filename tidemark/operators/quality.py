@@ -26,6 +26,19 @@ RULE_SCHEMA = T.StructType(
 )
 
 
+# Categories and texts of the rule table.
+SCHEMA, COMPLETENESS, VALIDITY = "SCHEMA", "COMPLETENESS", "VALIDITY"
+PARITY, PERFORMANCE = "PARITY", "PERFORMANCE"
+NO_NULLS = "0 nulls (100% complete)"
+IN_BOUNDS = "0 out-of-bounds rows"
+NO_NEGATIVES = "0 negative count rows"
+NO_SKEW = "0.0000% skew (100.000% parity)"
+SCHEMA_NAME = "Schema Columns Integrity ({})"
+PARITY_NAME = "Training-Serving Parity (Zero Skew Guarantee)"
+LATENCY_NAME = "Online Serving Latency SLA Bound (p50 < {:.2f} ms)"
+PASSED, WARNING = "PASSED", "WARNING"
+
+
 @dataclass(frozen=True)
 class Rule:
     """A check on one table.
@@ -67,8 +80,8 @@ def not_null(rule_id: str, name: str, column: str) -> Rule:
     return Rule(
         rule_id,
         name,
-        "COMPLETENESS",
-        "0 nulls (100% complete)",
+        COMPLETENESS,
+        NO_NULLS,
         (column,),
         lambda: F.count_if(F.col(f"`{column}`").isNull()),
         _none,
@@ -84,8 +97,8 @@ def in_range(rule_id: str, name: str, column: str, low: float, high: float) -> R
     return Rule(
         rule_id,
         name,
-        "VALIDITY",
-        "0 out-of-bounds rows",
+        VALIDITY,
+        IN_BOUNDS,
         (column,),
         outside,
         _none,
@@ -97,8 +110,8 @@ def not_negative(rule_id: str, name: str, *columns: str) -> Rule:
     return Rule(
         rule_id,
         name,
-        "VALIDITY",
-        "0 negative count rows",
+        VALIDITY,
+        NO_NEGATIVES,
         columns,
         lambda: F.count_if(reduce(Column.__or__, [F.col(f"`{c}`") < 0 for c in columns])),
         _none,
@@ -145,8 +158,8 @@ def schema_rules(held: list[ViewData]) -> DataFrame:
         rows.append(
             (
                 f"schema_columns_{view.name}",
-                f"Schema Columns Integrity ({view.name})",
-                "SCHEMA",
+                SCHEMA_NAME.format(view.name),
+                SCHEMA,
                 not missing,
                 f"All {len(expected)} columns present",
                 f"Missing: {missing}" if missing else f"All {len(present)} columns present",
@@ -160,10 +173,10 @@ def parity_rule(parity_summary: DataFrame) -> DataFrame:
     """Served values equal history."""
     return parity_summary.select(
         F.lit("zero_skew_guarantee").alias("rule_id"),
-        F.lit("Training-Serving Parity (Zero Skew Guarantee)").alias("name"),
-        F.lit("PARITY").alias("category"),
+        F.lit(PARITY_NAME).alias("name"),
+        F.lit(PARITY).alias("category"),
         (F.col("skew_rate_percent") == 0.0).alias("passed"),
-        F.lit("0.0000% skew (100.000% parity)").alias("expected"),
+        F.lit(NO_SKEW).alias("expected"),
         F.format_string(
             "%.4f%% skew across %d checked values", "skew_rate_percent", "total_checks"
         ).alias("observed"),
@@ -174,8 +187,8 @@ def latency_rule(percentiles: DataFrame, bound: float = 0.5) -> DataFrame:
     """The median of a measured latency is below a bound."""
     return percentiles.select(
         F.lit("serving_latency_sla").alias("rule_id"),
-        F.lit(f"Online Serving Latency SLA Bound (p50 < {bound:.2f} ms)").alias("name"),
-        F.lit("PERFORMANCE").alias("category"),
+        F.lit(LATENCY_NAME.format(bound)).alias("name"),
+        F.lit(PERFORMANCE).alias("category"),
         (F.col("p50") < bound).alias("passed"),
         F.lit(f"p50 latency < {bound:.2f} ms").alias("expected"),
         F.format_string(
@@ -196,7 +209,7 @@ def quality_score(rules: DataFrame) -> DataFrame:
         "passed_count",
         (total - good).alias("failed_count"),
         round_even(share, 1).alias("quality_score_percent"),
-        F.when(good == total, F.lit("PASSED")).otherwise(F.lit("WARNING")).alias("status"),
+        F.when(good == total, F.lit(PASSED)).otherwise(F.lit(WARNING)).alias("status"),
     )
 
 

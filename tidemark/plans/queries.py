@@ -399,6 +399,7 @@ def drift_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Quality
 
+# Ids, names and bounds of the rules.
 FRAUD_RULES = [
     quality.not_null(
         "null_check_risk_score", "Null Rate Check (user_fraud_features:risk_score)", "risk_score"
