@@ -5,24 +5,92 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.store import table
+from tidemark.llm import huffman, mil_quality, quality_rules
+from tidemark.llm.ngram_join import ngram_jaccard_components
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.store import table, work_dir
 from tidemark.llm.substring_dedup import substring_dedup
+from tidemark.llm.topk import top_k
 
 # The words of every text.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rules = quality_rules.fit_rules(docs, quality_rules.quality_labels(labels))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality_rules.apply_rules(docs.select("doc_id", "text"), rules).select(
+        "doc_id", *(f"stats.{c}" for c in counts), "base_failed", "kept", "rule"
+    )
+
+
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup(table(spark, sf_dir, "documents"), texts=False)
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_jaccard_components(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "token-ids")
+    manifest = huffman.write_token_ids(table(spark, sf_dir, "documents"), folder)
+    return huffman.read_token_ids(manifest, folder)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = mil_quality.fit(docs, mil_quality.quality_labels(labels))
+    return mil_quality.score_quality(docs, model).select(
+        "doc_id",
+        mil_quality.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= mil_quality.THRESHOLD).cast("int").alias("predicted"),
+        "n_passages",
+        "top_attention",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_topk_search": op2_topk_search,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_packing": op5_packing,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_token_files": op7_token_files,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        p AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+            FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        ),
+        r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op3_substring_dedup": f"""
         WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents),
         p AS (SELECT doc_id, w, unnest(range(len(w) - 12)) AS i FROM d WHERE len(w) >= 13),
@@ -43,4 +111,32 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM k LEFT JOIN kept USING (doc_id)
     """,
+    "op6_ngram_join": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), []) AS w
+            FROM documents
+        ),
+        p AS (
+            SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0
+        ),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM p),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+            FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ),
+        l AS (
+            SELECT x, y FROM c JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y
+            WHERE 100 * common >= 80 * (nx.n + ny.n - common)
+        ),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(doc_id, seen) AS (
+            SELECT x, x FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.seen
+        ),
+        m AS (SELECT doc_id, min(seen) AS seen FROM r GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
+               least(d.doc_id, coalesce(m.seen, d.doc_id)) AS component_id
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+    """,
 }
