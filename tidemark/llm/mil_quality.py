@@ -22,8 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.words import Words, text_blocks
 
@@ -209,28 +211,27 @@ def fit(
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last, data, offs in text_blocks(batch["text"]):
+        for first, last, data, offs in text_blocks(pc.struct_field(batch["row"], "text")):
             x, per_text = passages(data, offs)
             score, attention = model.scores(x, per_text)
             firsts = np.cumsum(per_text) - per_text
-            top = np.maximum.reduceat(attention, firsts)
-            columns = {n: batch[n].slice(first, last - first) for n in batch.schema.names if n != "text"}
             yield pa.RecordBatch.from_pydict(
-                columns
-                | {
+                {
+                    "row": batch["row"].slice(first, last - first),
                     "n_passages": pa.array(per_text.astype(np.int64)),
-                    "top_attention": pa.array(top.astype(np.float64)),
+                    "top_attention": pa.array(np.maximum.reduceat(attention, firsts).astype(np.float64)),
                     "score": pa.array(np.clip(score, 0, 1).astype(np.float64)),
                 }
             )
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: ``doc_id``, ``n_passages``, ``top_attention`` (the largest weight), ``score``."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(
-        lambda x: _score(x, model), "doc_id long, n_passages long, top_attention double, score double"
-    )
+    """``row`` (the columns given, as a struct), ``n_passages``, ``top_attention`` (the largest weight of a
+    passage) and ``score``."""
+    made = [("n_passages", T.LongType()), ("top_attention", T.DoubleType()), ("score", T.DoubleType())]
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    schema = T.StructType([rows.schema["row"], *(T.StructField(*x) for x in made)])
+    return rows.mapInArrow(lambda x: _score(x, model), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -45,20 +45,15 @@ FEATURES = (
 )
 
 
-def _repeat_words(size: int) -> Column:
-    """Words covered by ``size``-word windows that are found twice or more.
-
-    Window hashes share a long with their position and are sorted; equal neighbours are
-    compared word by word, so chance plays no part in what counts as equal.
-    """
-    bits = F.length(F.bin(F.col("n_words")))
+def _sorted_windows(size: int) -> Column:
+    """Hashes of all windows of ``size`` words, each with its place in the low bits, in order."""
     hashed = F.transform(
         F.sequence(F.lit(0), F.col("n_words").cast("int") - size),
-        lambda i: F.shiftleft(F.xxhash64(*(F.get("words", i + k) for k in range(size))), F.col("bits")).bitwiseOR(
-            i.cast("long")
-        ),
+        lambda i: F.call_function(
+            "shiftleft", F.xxhash64(*(F.get("words", i + k) for k in range(size))), F.col("bits")
+        ).bitwiseOR(i.cast("long")),
     )
-    return bits, F.when(F.col("n_words") >= size, F.sort_array(hashed))
+    return F.when(F.col("n_words") >= size, F.sort_array(hashed))
 
 
 def _same_window(a: Column, b: Column, size: int) -> Column:
@@ -67,8 +62,10 @@ def _same_window(a: Column, b: Column, size: int) -> Column:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct ``stats`` of counts and shares; narrow, without a shuffle."""
-    text = F.coalesce("text", F.lit(""))
+    """``row`` (the columns of ``docs``, as a struct) and ``stats``, a struct of counts and shares;
+    narrow, without a shuffle."""
+    text = F.coalesce("row.text", F.lit(""))
+    # Windows with one hash head are neighbours; their words decide whether they are equal.
     place = lambda x: x.bitwiseAND(F.col("mask")).cast("int")
     head = lambda x: x.bitwiseAND(F.bitwise_not("mask"))
 
@@ -84,13 +81,13 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     left = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("long")
-    bits, hashed = _repeat_words(WINDOW)
     counted = (
-        docs.withColumn("words", F.filter(F.split(text, SPACE), lambda w: w != ""))
+        docs.select(F.struct(*docs.columns).alias("row"))
+        .withColumn("words", F.filter(F.split(text, SPACE), lambda w: w != ""))
         .withColumn("n_words", F.size("words").cast("long"))
-        .withColumn("bits", bits)
-        .withColumn("mask", F.shiftleft(F.lit(1).cast("long"), F.col("bits")) - 1)
-        .withColumn("sorted", hashed)
+        .withColumn("bits", F.length(F.bin("n_words")))
+        .withColumn("mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1)
+        .withColumn("sorted", _sorted_windows(WINDOW))
         .withColumn("lines", lines)
         .withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
         .withColumn("n_symbols", left(SYMBOLS))
@@ -118,7 +115,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         share(F.col("n_repeat_words"), n).alias("repeat_share"),
         share(F.size(F.array_distinct("words")), n).alias("distinct_share"),
     )
-    return counted.select(*docs.columns, stats.alias("stats"))
+    return counted.select("row", stats.alias("stats"))
 
 
 def base_failed() -> Column:
@@ -226,7 +223,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_L
     # Broadcast: at most 2 * max_per_label narrow rows.
     met = statistics(narrow.join(F.broadcast(good.union(bad)), "doc_id"))
     fields = [F.col(f"stats.{f}").cast("double").alias(f) for f in FEATURES]
-    found = sorted(tuple(r) for r in met.where(~base_failed()).select("label", *fields).collect())
+    found = sorted(tuple(r) for r in met.where(~base_failed()).select("row.label", *fields).collect())
     if not found or len(counts) < 2:
         return []
     label = np.array([r[0] for r in found])
@@ -243,7 +240,7 @@ def fired_rule(rules: list[Rule]) -> Column:
 
 
 def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``docs`` with ``stats``, ``base_failed``, ``rule`` (the one that rejects) and ``kept``."""
+    """``row`` (the columns of ``docs``), ``stats``, ``base_failed``, ``rule`` (the one that rejects), ``kept``."""
     return (
         statistics(docs)
         .withColumn("base_failed", base_failed())

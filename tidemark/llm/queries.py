@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import huffman, mil_quality, quality_rules
+from tidemark.llm import huffman, mil_quality, quality_rules, resharding, warc
 from tidemark.llm.ngram_join import ngram_jaccard_components
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.sentencepiece_scan import sentencepiece_digests
 from tidemark.llm.store import table, work_dir
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.topk import top_k
@@ -23,7 +24,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_rules.fit_rules(docs, quality_rules.quality_labels(labels))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return quality_rules.apply_rules(docs.select("doc_id", "text"), rules).select(
-        "doc_id", *(f"stats.{c}" for c in counts), "base_failed", "kept", "rule"
+        "row.doc_id", *(f"stats.{c}" for c in counts), "base_failed", "kept", "rule"
     )
 
 
@@ -36,6 +37,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -54,9 +59,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = mil_quality.fit(docs, mil_quality.quality_labels(labels))
-    return mil_quality.score_quality(docs, model).select(
-        "doc_id",
-        mil_quality.held_out().alias("held_out"),
+    return mil_quality.score_quality(docs.select("doc_id", "text"), model).select(
+        "row.doc_id",
+        mil_quality.held_out("row.doc_id").alias("held_out"),
         "score",
         (F.col("score") >= mil_quality.THRESHOLD).cast("int").alias("predicted"),
         "n_passages",
@@ -64,14 +69,40 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "warc")
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(manifest, folder).drop("url")
+
+
+def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = resharding.old_shard_by_text()
+    plan = resharding.plan_shards(docs, old)
+    rows = resharding.rewrite(docs, plan, old, work_dir(spark, "shards"))
+    return rows.select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit(resharding.LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "old_shard",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_topk_search": op2_topk_search,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_packing": op5_packing,
     "op6_ngram_join": op6_ngram_join,
     "op7_token_files": op7_token_files,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_warc": op9_warc,
+    "op10_resharding": op10_resharding,
 }
 
 ORACLES: dict[str, str] = {
@@ -139,4 +170,16 @@ ORACLES: dict[str, str] = {
                least(d.doc_id, coalesce(m.seen, d.doc_id)) AS component_id
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
     """,
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+                   sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
 }

@@ -14,8 +14,8 @@ The law held is ``bytes``: shard sizes differ by about the smallest part.
 
 Rules: a document's size is its UTF-8 bytes (null text: none) and ``OVERHEAD``. Null ids, repeated ids and
 repeated rows are documents like others. Columns besides ``doc_id`` and ``text`` that the caller
-passes are rewritten as they are; ``old_shard``, ``shard``, ``slot``, ``size`` are this operator's names and
-replace columns of those names.
+passes are rewritten as they are, except those named ``old_shard``, ``shard``, ``slot`` or ``size``, which this
+operator's own replace.
 """
 
 from __future__ import annotations
@@ -115,24 +115,25 @@ def _fill(items: list[tuple], quotas: dict[int, int], home: int, rest: bool) ->
 
 
 def old_shard_by_text(old_shards: int = OLD_SHARDS) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(old_shards)).cast("int")
+    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(old_shards))
 
 
 def _placed(docs: DataFrame, old_shard: Column) -> DataFrame:
-    """``docs`` with size, old shard, block and part."""
-    text = F.coalesce("text", F.lit(""))
-    return (
-        docs.withColumn("size", (F.octet_length(text) + OVERHEAD).cast("long"))
-        .withColumn("old_shard", old_shard.cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64(text, F.lit("block")), F.lit(BLOCKS)).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("doc_id", text, F.lit("part")), F.lit(PARTS)).cast("int"))
+    """``row`` (the columns of ``docs``, as a struct) with size, old shard, block and part."""
+    text = F.coalesce("row.text", F.lit(""))
+    return docs.select(F.struct(*docs.columns).alias("row"), old_shard.cast("int").alias("old_shard")).select(
+        "row",
+        "old_shard",
+        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
+        F.pmod(F.xxhash64(text, F.lit("block")), F.lit(BLOCKS)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("row.doc_id", text, F.lit("part")), F.lit(PARTS)).cast("int").alias("part"),
     )
 
 
 def plan_shards(docs: DataFrame, old_shard: Column, shards: int = SHARDS) -> Plan:
     """Solve the transfers for equal capacities."""
     sized = written(
-        _placed(docs.select("doc_id", "text"), old_shard).groupBy("old_shard", "block", "part").agg(F.sum("size").alias("size")),
+        _placed(docs, old_shard).groupBy("old_shard", "block", "part").agg(F.sum("size").alias("size")),
         "sizes",
     )
     blocks = [tuple(r) for r in sized.groupBy("old_shard", "block").agg(F.sum("size")).collect()]
@@ -163,7 +164,7 @@ def plan_shards(docs: DataFrame, old_shard: Column, shards: int = SHARDS) -> Pla
 
 
 def apply_plan(docs: DataFrame, plan: Plan, old_shard: Column) -> DataFrame:
-    """``docs`` with ``size``, ``old_shard``, ``shard`` and ``cell``: what is numbered together in a shard."""
+    """``row``, ``size``, ``old_shard``, ``shard`` and ``cell``: what is numbered together in a shard."""
     spark = docs.sparkSession
     blocks = spark.createDataFrame(
         [(*k, j) for k, j in plan.blocks.items()], "old_shard int, block int, block_shard int"
@@ -199,8 +200,10 @@ def rewrite(docs: DataFrame, plan: Plan, old_shard: Column, folder: str) -> Data
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = assigned.withColumn("deal", F.pmod(F.xxhash64("cell"), F.lit(math.ceil(partitions / plan.shards))))
     dealt = dealt.join(F.broadcast(offsets), ["shard", "cell"]).repartition("shard", "deal")
-    inside = Window.partitionBy("shard", "deal", "cell").orderBy("doc_id", F.xxhash64("text"))
+    inside = Window.partitionBy("shard", "deal", "cell").orderBy("row.doc_id", F.xxhash64("row.text"))
     numbered = dealt.withColumn("slot", (F.row_number().over(inside) - 1 + F.col("before")).cast("long"))
-    numbered.drop("before", "cell", "deal").write.partitionBy("shard").parquet(folder)
-    columns = [*docs.columns, "size", "old_shard", "slot", "shard"]
-    return docs.sparkSession.read.parquet(folder).select(*dict.fromkeys(columns))
+    own = ["size", "old_shard", "slot", "shard"]
+    kept = [f"row.{c}" for c in docs.columns if c not in own]
+    numbered.select(*kept, *own).write.partitionBy("shard").parquet(folder)
+    schema = numbered.select(*kept, *own).schema
+    return docs.sparkSession.read.schema(schema).parquet(folder)

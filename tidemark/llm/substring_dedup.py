@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.store import buckets_for
 from tidemark.llm.words import (
@@ -192,14 +193,23 @@ def _digests(batches: Iterator[pa.RecordBatch], size: int, texts: bool) -> Itera
 
 
 def substring_dedup(
-    docs: DataFrame, size: int = WINDOW, texts: bool = True, chars_per_bucket: int = CHARS_PER_BUCKET
+    docs: DataFrame,
+    size: int = WINDOW,
+    texts: bool = True,
+    carry: tuple[str, ...] = (),
+    chars_per_bucket: int = CHARS_PER_BUCKET,
 ) -> DataFrame:
     """Per document: ``n_words``, ``n_removed``, ``kept_sha256`` (kept words joined by one space),
     ``removed`` (maximal intervals of word positions) and, with ``texts``, ``cleaned``: the text
-    without those intervals, all else as it was."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = narrow.join(repeated_windows(docs, size, chars_per_bucket), "doc_id", "left")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>"
-    return joined.mapInArrow(
-        lambda batches: _digests(batches, size, texts), schema + (", cleaned string" if texts else "")
+    without those intervals, all else as it was. Columns named in ``carry`` come as struct ``carried``."""
+    narrow = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "text",
+        *([F.struct(*carry).alias("carried")] if carry else []),
     )
+    joined = narrow.join(repeated_windows(docs, size, chars_per_bucket), "doc_id", "left")
+    made = "n_words long, n_removed long, kept_sha256 string, removed array<struct<start:long,end:long>>"
+    schema = joined.drop("text", "windows").schema
+    for field in T.StructType.fromDDL(made + (", cleaned string" if texts else "")):
+        schema = schema.add(field)
+    return joined.mapInArrow(lambda batches: _digests(batches, size, texts), schema)
