@@ -2,12 +2,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from tidemark.llm.packing import best_fit_decreasing, pack_documents, sequences
 from tidemark.llm.token_ids import WordIds, public_path
+from tidemark.llm.words import text_blocks
 
 
 def direct(text):
@@ -44,7 +46,10 @@ def test_word_cache_gives_the_library_s_ids(rows, cache):
     encoder = WordIds(public_path(), cache)
     texts = [t or "" for _, t in rows]
     texts += ["It's <|startoftext|>x <|STARTOFTEXT|> I'M 12ab'll ΑΣ ΟΔΟΣ é ́x Ǆ İ ...!? a b tail.\x1cx's 's"] * 2
-    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(t.encode() for t in texts)]
+    got = []
+    for _, _, data, offs in text_blocks(pa.array(texts), 5_000):
+        ids, bounds = encoder.encode(data, offs)
+        got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
     assert got == [direct(t) for t in texts]
 
 

@@ -89,10 +89,9 @@ def _pieces(
     encoder, end = word_ids(path), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         for first, last, data, offs in text_blocks(batch["text"]):
-            raw, rows = data.tobytes(), []
-            texts = [raw[a:b] for a, b in zip(offs[:-1], offs[1:])]
-            for doc_id, ids in zip(batch["doc_id"].slice(first, last - first).to_pylist(), encoder.encode(texts)):
-                ids += end
+            (ids_of_block, bounds), rows = encoder.encode(data, offs), []
+            for doc_id, a, b in zip(batch["doc_id"].slice(first, last - first).to_pylist(), bounds[:-1], bounds[1:]):
+                ids = ids_of_block[a:b].tobytes() + end
                 for start in range(0, len(ids), 4 * length):
                     piece = ids[start : start + 4 * length]
                     row = (doc_id, start // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)

@@ -4,27 +4,33 @@ The tokenizer (word_bpe_49k.json) drops white space and never joins across it, s
 those of its pieces between ASCII white space, one after the other. Each task keeps the ids of the
 pieces it has met and asks the tokenizers library only for new ones.
 
-Lower case is what the tokenizer makes of every ASCII piece anyway, and it splits letters from
-the marks that follow; so pieces are looked up without case and such marks before they count as new.
+Lower case is what the tokenizer makes of ASCII letters anyway, and it splits letters from the marks
+that follow; so a piece of letters and marks is looked up as these two before it counts as new. New
+runs of letters are encoded many at a time, as one text: each ends with the one token of an end of
+word that it has.
+
+Pieces are looked up by a 64-bit hash, once for each distinct piece of a block of texts. That two
+pieces share one is a matter of 1 in 1e13 a new piece.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import re
-from collections.abc import Iterable
 
 import numpy as np
 
+from tidemark.llm.words import Words
+
 MODEL = "word_bpe_49k.json"
-CACHE_WORDS = 600_000
-_ENCODE_AT_ONCE = 2_000
-_WORD_AND_MARKS = re.compile(rb"([a-z]+)([^a-z0-9'\x80-\xff]+)")
+CACHE_WORDS = 1_200_000
+_PIECES_AT_ONCE = 256
+# ASCII characters that are neither letter nor digit, but for the apostrophe (it begins endings).
+_MARKS = bytes(x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'")
 
 
 class WordIds:
-    """Ids (little-endian unsigned 32 bits) of texts, by the words in them."""
+    """Ids (unsigned 32 bits) of texts, by the words in them."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -32,43 +38,74 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache_words = cache_words
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, pieces: list[bytes]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(pieces), _ENCODE_AT_ONCE):
-            some = pieces[i : i + _ENCODE_AT_ONCE]
-            for piece, one in zip(some, encode([p.decode() for p in some], add_special_tokens=False)):
-                self.known[piece] = np.array(one.ids, "<u4").tobytes()
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        known = self.known
-        if len(known) + len(pieces) > self.cache_words:
-            known.clear()
-        new, made = set(), []
-        for piece in pieces:
-            if piece in known:
-                continue
-            plain = piece.lower() if piece.isascii() and b"<|" not in piece else piece
-            parts = _WORD_AND_MARKS.fullmatch(plain) if plain.isascii() and b"<|" not in plain else None
-            parts = parts.groups() if parts else (plain,)
-            new.update(p for p in parts if p not in known)
-            if parts != (piece,):
-                made.append((piece, parts))
-        self._encode(list(new))
-        for piece, parts in made:
-            known[piece] = b"".join([known[p] for p in parts])
-
-    def encode(self, texts: Iterable[bytes]) -> list[bytes]:
-        words = [(text or b"").split() for text in texts]
-        fresh = {w for ws in words for w in ws}
-        fresh.difference_update(self.known)
-        if fresh:
-            if len(self.known) + len(fresh) > self.cache_words:
-                fresh = {w for ws in words for w in ws}
-            self._learn(fresh)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        self.pieces: dict[int, bytes] = {}  # by hash
+        self.known: dict[bytes, bytes] = {}  # runs of letters, of marks, and all else
+        self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _encode_each(self, pieces: list[bytes]) -> None:
+        for piece, ids in zip(pieces, self._ids(pieces)):
+            self.known[piece] = np.array(ids, "<u4").tobytes()
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Runs of letters, in one text."""
+        ids = np.array(self._ids([b" ".join(words)])[0], "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            # A letter of one of them is written as letter and mark in lower case.
+            return self._encode_each(words)
+        raw, at = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist()):
+            self.known[word] = raw[at:end]
+            at = end
+
+    def _learn(self, pieces: dict[int, bytes]) -> None:
+        known, words, others, made = self.known, set(), set(), []
+        for key, piece in pieces.items():
+            plain = piece.lower()
+            body = plain.rstrip(_MARKS)
+            if body.isalpha() or body and not body.isascii() and body.decode().isalpha():
+                marks = plain[len(body) :]
+                if body not in known:
+                    words.add(body)
+            else:
+                body, marks = b"", piece
+            if marks and marks not in known:
+                others.add(marks)
+            made.append((key, body, marks))
+        known[b""] = b""
+        for some, encode in ((list(words), self._encode_words), (list(others), self._encode_each)):
+            for i in range(0, len(some), _PIECES_AT_ONCE):
+                encode(some[i : i + _PIECES_AT_ONCE])
+        for key, body, marks in made:
+            self.pieces[key] = known[body] + known[marks]
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block of texts, given as bytes and offsets, and the offsets of each text's ids."""
+        words = Words(data, offs)
+        hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        if len(self.pieces) + len(keys) > self.cache_words:
+            self.pieces.clear()
+            self.known.clear()
+        found = list(map(self.pieces.get, keys))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            raw, starts, ends = data.tobytes(), words.starts[first[new]], words.ends[first[new]]
+            self._learn({keys[i]: raw[a:b] for i, a, b in zip(new, starts.tolist(), ends.tolist())})
+            for i in new:
+                found[i] = self.pieces[keys[i]]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = (np.cumsum(sizes) - sizes)[which]
+        sizes = sizes[which]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        places = np.arange(ends[-1]) + np.repeat(begins - ends[:-1], sizes)
+        return flat[places], ends[words.bounds]
 
 
 @functools.cache
