@@ -9,6 +9,9 @@ decoded block beside block, one id of each at a time.
 File: ``MAGIC``; stream; then, deflated, the code lengths, the checkpoints, the documents and the
 sizes of all three; the tail's size (8 bytes); ``MAGIC``.
 
+Texts are tokenized once: tasks first write each file with a code of its own counts, which the
+manifest carries; with the counts of all files added up, a second pass codes the files anew.
+
 Tasks write files under names of their own; the manifest, a table that Spark commits, names those
 of the attempts that counted. So a lost executor or a second attempt leaves files nobody reads.
 
@@ -34,8 +37,16 @@ MAGIC = b"TIDEHUF1"
 MAX_BITS, BLOCK, END_ID = 18, 512, 2
 IDS_PER_FILE = 2_000_000
 _MANIFEST = pa.schema(
-    [("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]
+    [
+        ("part", pa.int32()),
+        ("number", pa.int32()),
+        ("file", pa.string()),
+        ("docs", pa.int64()),
+        ("ids", pa.int64()),
+        ("counts", pa.binary()),
+    ]
 )
+_MANIFEST_DDL = "part int, number int, file string, docs long, ids long, counts binary"
 _DOCS = pa.schema([("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -158,47 +169,40 @@ def read_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [int(v) if k else None for v, k in zip(values, known)], sizes, ids
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, counts = word_ids(path), np.zeros(end_id + 1, np.int64)
-    for batch in batches:
-        counts[end_id] += len(batch)
-        for _, _, data, offs in text_blocks(batch["text"]):
-            raw = data.tobytes()
-            ids = np.frombuffer(b"".join(encoder.encode(raw[a:b] for a, b in zip(offs[:-1], offs[1:]))), "<u4")
-            found = np.bincount(ids, minlength=len(counts))
-            found[: len(counts)] += counts
-            counts = found
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_pydict({"id": pa.array(used), "n": pa.array(counts[used])})
+def _put(files, root: str, part: int, number: int, doc_ids: list, sizes: list[int], ids: np.ndarray, lengths: np.ndarray) -> str:
+    name = new_name(f"part-{part:05d}-{number:05d}", ".ids")
+    body = _file_bytes(doc_ids, sizes, ids, canonical_codes(lengths), lengths)
+    with files.open_output_stream(f"{root}/{name}") as out:
+        out.write(body)
+    return name
 
 
 def _write(
-    batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, lengths: np.ndarray, ids_per_file: int
+    batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, max_bits: int, ids_per_file: int
 ) -> Iterator[pa.RecordBatch]:
+    """Files with a code of their own counts."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     files, root = file_system(folder)
-    encoder, end, codes = word_ids(path), np.array([end_id], "<u4").tobytes(), canonical_codes(lengths)
+    encoder, end = word_ids(path), np.array([end_id], "<u4").tobytes()
     doc_ids, texts_ids, held, number = [], [], 0, 0
 
     def flush() -> pa.RecordBatch:
         sizes = [len(x) // 4 for x in texts_ids]
-        name = new_name(f"part-{part:05d}-{number:05d}", ".ids")
-        body = _file_bytes(doc_ids, sizes, np.frombuffer(b"".join(texts_ids), "<u4"), codes, lengths)
-        with files.open_output_stream(f"{root}/{name}") as out:
-            out.write(body)
-        row = [[part], [number], [name], [len(sizes)], [sum(sizes)]]
+        ids = np.frombuffer(b"".join(texts_ids), "<u4")
+        counts = np.bincount(ids)
+        name = _put(files, root, part, number, doc_ids, sizes, ids, code_lengths(counts, max_bits))
+        row = [[part], [number], [name], [len(sizes)], [len(ids)], [zlib.compress(pack_ints(counts))]]
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _MANIFEST)], schema=_MANIFEST)
 
     for batch in batches:
         for first, last, data, offs in text_blocks(batch["text"]):
-            raw = data.tobytes()
-            made = encoder.encode(raw[a:b] for a, b in zip(offs[:-1], offs[1:]))
-            for doc_id, ids in zip(batch["doc_id"].slice(first, last - first).to_pylist(), made):
+            made, bounds = encoder.encode(data, offs)
+            for doc_id, a, b in zip(batch["doc_id"].slice(first, last - first).to_pylist(), bounds[:-1], bounds[1:]):
                 doc_ids.append(doc_id)
-                texts_ids.append(ids + end)
-                held += len(ids) // 4 + 1
+                texts_ids.append(made[a:b].tobytes() + end)
+                held += int(b - a) + 1
                 if held >= ids_per_file:
                     yield flush()
                     doc_ids, texts_ids, held, number = [], [], 0, number + 1
@@ -206,6 +210,27 @@ def _write(
         yield flush()
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        for packed in batch["counts"].to_pylist():
+            some = unpack_ints(zlib.decompress(packed))
+            total, some = (total, some) if len(total) >= len(some) else (some, total)
+            total[: len(some)] += some
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"id": pa.array(used), "n": pa.array(total[used])})
+
+
+def _code_anew(batches: Iterator[pa.RecordBatch], draft: str, folder: str, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+    (source, source_root), (files, root) = file_system(draft), file_system(folder)
+    for batch in batches:
+        for row in batch.to_pylist():
+            with source.open_input_file(f"{source_root}/{row['file']}") as f:
+                doc_ids, sizes, ids = read_file(f.read())
+            name = _put(files, root, row["part"], row["number"], doc_ids, sizes.tolist(), ids, lengths)
+            yield pa.RecordBatch.from_pylist([row | {"file": name}], schema=_MANIFEST)
+
+
 def _read(batches: Iterator[pa.RecordBatch], folder: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     files, root = file_system(folder)
     for batch in batches:
@@ -232,27 +257,22 @@ def write_token_ids(
 ) -> DataFrame:
     """Write the ids of all texts, ordered by ``doc_id``, under ``folder`` (shared by all executors);
     the manifest, with one row a file, comes back as a table."""
-    path = model_path or public_path()
+    path, draft = model_path or public_path(), f"{folder}/draft"
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = narrow.select("text").mapInArrow(
-        lambda x: _count(x, path, end_id), "id long, n long"
+    files, root = file_system(folder)
+    files.create_dir(f"{root}/draft", recursive=True)
+    ordered = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    drafts = written(
+        ordered.mapInArrow(lambda x: _write(x, draft, path, end_id, max_bits, ids_per_file), _MANIFEST_DDL), "drafts"
     )
     # One row an id of the vocabulary.
-    rows = counted.groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = drafts.select("counts").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([end_id, *(r["id"] for r in rows)]) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts, max_bits)
-    files, root = file_system(folder)
-    files.create_dir(root, recursive=True)
-    ordered = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return written(
-        ordered.mapInArrow(
-            lambda x: _write(x, folder, path, end_id, lengths, ids_per_file),
-            "part int, number int, file string, docs long, ids long",
-        ),
-        "manifest",
-    )
+    dealt = drafts.repartition(F.col("file"))
+    return written(dealt.mapInArrow(lambda x: _code_anew(x, draft, folder, lengths), _MANIFEST_DDL), "manifest").drop("counts")
 
 
 def read_token_ids(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
