@@ -115,7 +115,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         share(F.col("n_repeat_words"), n).alias("repeat_share"),
         share(F.size(F.array_distinct("words")), n).alias("distinct_share"),
     )
-    return counted.select("row", stats.alias("stats"))
+    # Through a generator, which filters on statistics don't pass: moved below, they would compute
+    # whole arrays again for every element.
+    return counted.select("row", F.explode(F.array(stats)).alias("stats"))
 
 
 def base_failed() -> Column:
