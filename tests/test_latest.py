@@ -76,8 +76,24 @@ def test_upserts_merge_feature_by_feature_and_late_events_lose(spark, tmp_path):
     rows = {r.entity_key: r for r in table.read().collect()}
     assert (rows["u"].f1.value, rows["u"].f2.value) == (2, "a")
     assert rows["w"].f1.value == 10
-    small = table.compact(str(tmp_path / "c"))
-    assert sorted(map(str, small.read().collect())) == sorted(map(str, rows.values()))
+    table.compact()
+    assert sorted(map(str, table.read().collect())) == sorted(map(str, rows.values()))
+    table.upsert(state(spark, [("w", minutes(2), 11, None)]).data, "1")
+    assert {r.entity_key: r.f1.value for r in table.read().collect()} == {"u": 2, "w": 11}
+    table.replace(state(spark, [("x", minutes(0), 1, None)]).data)
+    assert [r.entity_key for r in table.read().collect()] == ["x"]
+
+
+def test_state_breaks_ties_as_history_does(spark, tmp_path):
+    view = FeatureView("user_view", "user", VIEW.features, tie="n")
+    schema = "entity_key string, event_timestamp timestamp_ntz, created_timestamp timestamp_ntz, n long, f1 long"
+    made = [("u", T0, minutes(2), 1, 1), ("u", T0, minutes(1), 9, 2), ("u", T0, minutes(2), 0, 3)]
+    for order in ((0, 1, 2), (2, 1, 0), (1, 2, 0)):
+        table = StateTable(spark, str(tmp_path / f"s{order}"), view, T.TimestampNTZType())
+        for i, name in zip(order, ("view-00000000000000000001", "7", "z")):
+            rows = spark.createDataFrame([made[i]], schema)
+            table.upsert(latest.latest_values(rows, view), name)
+        assert table.read().first().f1.value == 1
 
 
 def test_entity_all_lists_known_features_of_every_view(spark):

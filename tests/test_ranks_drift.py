@@ -71,15 +71,20 @@ def test_psi_equals_numpy(spark, policy):
         assert r.psi == pytest.approx(numpy_psi(base[n], current[n]), rel=1e-9, abs=1e-12)
         assert r.current_mean == pytest.approx(current[n].mean())
     report = {r.feature: r for r in drift.drift_report(values, list(base)).collect()}
-    assert "one" not in report
+    assert report["one"].status == "TOO_FEW_VALUES" and report["one"].psi is None
     assert report["same"].psi == 0.0 and report["same"].status == "NORMAL"
     for n, r in report.items():
         psi = got[n].psi
+        if min(r.baseline_count, r.current_count) < drift.MIN_VALUES:
+            assert r.status == "TOO_FEW_VALUES"
+            continue
         want = "NORMAL" if psi < 0.1 else "MODERATE_DRIFT" if psi < 0.2 else "SIGNIFICANT_DRIFT"
         assert r.status == want
     assert drift.overall_status(drift.drift_report(values, ["same"])).first().overall_status == "NORMAL"
     assert drift.overall_status(drift.drift_report(values, [])).first().overall_status == "NORMAL"
     assert drift.overall_status(drift.drift_report(values, list(base))).first().overall_status == "DRIFT_DETECTED"
+    few = drift.overall_status(drift.drift_report(values, ["same", "one", "absent"])).first()
+    assert tuple(few) == (1, 2, "INCOMPLETE")
 
 
 def test_histogram_is_half_open_and_shows_empty_buckets(spark):

@@ -7,7 +7,7 @@ for logic that columns cannot express; it runs on Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -49,16 +49,17 @@ class PandasTransformation:
     description: str = ""
 
     def apply(self, df: DataFrame) -> DataFrame:
-        func, inputs, made = self.func, list(self.inputs), self.outputs.names
-        kept = [f for f in df.schema.fields if f.name not in made]
-        names = [f.name for f in kept]
+        """Only the inputs go through pandas; all other columns stay as they are."""
+        func, made = self.func, self.outputs.names
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                added = func(batch[inputs])
-                yield pd.concat([batch[names], added[made].set_axis(batch.index)], axis=1)
+        @F.pandas_udf(self.outputs)
+        def run(batch: pd.DataFrame) -> pd.DataFrame:
+            return func(batch)[made].reset_index(drop=True)
 
-        return df.mapInPandas(run, T.StructType([*kept, *self.outputs.fields]))
+        given = F.struct(*[F.col(f"`{c}`") for c in self.inputs])
+        kept = [F.col(f"`{c}`") for c in df.columns if c not in made]
+        whole = df.select(*kept, run(given).alias("_made"))
+        return whole.select(*kept, *[F.col("_made")[c].alias(c) for c in made])
 
 
 @dataclass
@@ -74,16 +75,6 @@ class TransformationRegistry:
         except KeyError:
             raise ValueError(f"unknown transformation {name!r}") from None
 
-    def list_all(self) -> list[dict[str, object]]:
-        return [
-            {
-                "name": t.name,
-                "input_fields": list(t.inputs),
-                "output_fields": list(t.outputs.names if isinstance(t.outputs, T.StructType) else t.outputs),
-                "description": t.description,
-            }
-            for t in self.known.values()
-        ]
 
 
 # The defaults and factors below define the feature values.

@@ -19,6 +19,7 @@ MIN_VALUES = 10
 MODERATE, SIGNIFICANT = 0.1, 0.2
 NORMAL, MODERATE_DRIFT, SIGNIFICANT_DRIFT = "NORMAL", "MODERATE_DRIFT", "SIGNIFICANT_DRIFT"
 DRIFT_DETECTED = "DRIFT_DETECTED"
+TOO_FEW_VALUES, INCOMPLETE = "TOO_FEW_VALUES", "INCOMPLETE"
 
 
 def psi(
@@ -106,12 +107,22 @@ def drift_report(
     buckets: int = 10,
     policy: SkewPolicy | None = None,
 ) -> DataFrame:
-    """Index, means, mean shift and status of features with enough values on both sides."""
-    found = psi(values, features, buckets=buckets, policy=policy).where(
-        (F.col("baseline_count") >= MIN_VALUES) & (F.col("current_count") >= MIN_VALUES)
+    """Index, means, mean shift and status of every feature asked for.
+
+    A feature with fewer than ``MIN_VALUES`` on a side, also with none, has no index and says so.
+    """
+    asked = values.sparkSession.createDataFrame([(f,) for f in dict.fromkeys(features)], "feature string")
+    counts = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("baseline_count", "current_count")}
+    # One row a feature on both sides.
+    found = (
+        asked.join(psi(values, features, buckets=buckets, policy=policy), "feature", "left")
+        .withColumns(counts)
+        .withColumn("enough", F.least("baseline_count", "current_count") >= MIN_VALUES)
+        .withColumn("psi", F.when(F.col("enough"), F.col("psi")))
     )
     status = (
-        F.when(F.col("psi") < MODERATE, F.lit(NORMAL))
+        F.when(~F.col("enough"), F.lit(TOO_FEW_VALUES))
+        .when(F.col("psi") < MODERATE, F.lit(NORMAL))
         .when(F.col("psi") < SIGNIFICANT, F.lit(MODERATE_DRIFT))
         .otherwise(F.lit(SIGNIFICANT_DRIFT))
     )
@@ -121,6 +132,8 @@ def drift_report(
         round_even(F.col("current_mean"), 4).alias("online_mean"),
         round_even(F.col("baseline_mean"), 4).alias("offline_mean"),
         status.alias("status"),
+        "baseline_count",
+        "current_count",
     )
     against = F.abs("offline_mean")
     shift = F.abs(F.col("online_mean") - F.col("offline_mean")) / F.when(
@@ -130,9 +143,15 @@ def drift_report(
 
 
 def overall_status(report: DataFrame) -> DataFrame:
-    """``NORMAL`` if every feature is, also if there is none."""
-    calm = F.coalesce(F.every(F.col("status") == NORMAL), F.lit(True))
+    """``NORMAL`` if every feature is, also if there is none; ``INCOMPLETE`` if nothing has drifted
+    but some feature could not be judged."""
+    few = F.count_if(F.col("status") == TOO_FEW_VALUES)
+    calm = F.count_if(F.col("status") == NORMAL)
     return report.agg(
-        F.count("*").alias("features_monitored"),
-        F.when(calm, F.lit(NORMAL)).otherwise(F.lit(DRIFT_DETECTED)).alias("overall_status"),
+        (F.count("*") - few).alias("features_monitored"),
+        few.alias("features_unjudged"),
+        F.when(calm + few < F.count("*"), F.lit(DRIFT_DETECTED))
+        .when(few > 0, F.lit(INCOMPLETE))
+        .otherwise(F.lit(NORMAL))
+        .alias("overall_status"),
     )

@@ -67,16 +67,17 @@ def latest_values(history: DataFrame, view: FeatureView) -> DataFrame:
 
     # Time alone orders by a plain number, which keeps Spark on hash aggregation.
     rank = order[0] if len(order) == 1 else F.struct(*order)
+    names = recency(history, view)
     picks = []
     for i, feature in enumerate(present):
         value = F.col(f"`{feature}`")
         known = value.isNotNull()
         picks.append(F.max_by(value, F.when(known, rank)).alias(f"_v{i}"))
-        picks.append(F.max(F.when(known, F.col(EVENT_TIME))).alias(f"_t{i}"))
+        picks.append(F.max(F.when(known, rank)).alias(f"_t{i}"))
 
     def cell(i: int, feature: str) -> Column:
-        kept = F.struct(F.col(f"_v{i}").alias("value"), F.col(f"_t{i}").alias("ts"))
-        return F.when(F.col(f"_t{i}").isNotNull(), kept).alias(feature)
+        won = {n: F.col(f"_t{i}") if len(names) == 1 else F.col(f"_t{i}")[n] for n in names}
+        return _cell(F.col(f"_v{i}"), won, view, F.col(f"_t{i}").isNotNull()).alias(feature)
 
     return (
         history.where(F.col(ENTITY_KEY).isNotNull() & F.col(EVENT_TIME).isNotNull())
@@ -86,16 +87,24 @@ def latest_values(history: DataFrame, view: FeatureView) -> DataFrame:
     )
 
 
+def _cell(value: Column, order: dict[str, Column], view: FeatureView, known: Column) -> Column:
+    """A state cell: the value and all that orders it against others."""
+    extra = [
+        order[c].alias(name)
+        for c, name in ((CREATED_TIME, "created"), (view.tie, "tie"))
+        if c is not None and c in order
+    ]
+    return F.when(known, F.struct(value.alias("value"), order[EVENT_TIME].alias("ts"), *extra))
+
+
 def state_of_rows(rows: DataFrame, view: FeatureView) -> DataFrame:
     """State from one row per entity; only declared features that exist are kept."""
     present = [f for f in view.feature_names() if f in rows.columns]
+    order = {c: F.col(f"`{c}`") for c in recency(rows, view)}
     return rows.select(
         ENTITY_KEY,
         *[
-            F.when(
-                F.col(f"`{f}`").isNotNull(),
-                F.struct(F.col(f"`{f}`").alias("value"), F.col(EVENT_TIME).alias("ts")),
-            ).alias(f)
+            _cell(F.col(f"`{f}`"), order, view, F.col(f"`{f}`").isNotNull()).alias(f)
             for f in present
         ],
     )
@@ -143,7 +152,7 @@ def lookup(
                 nulls[f"{name}:{f}"] = F.lit(None).cast(declared[f].dtype.spark)
         if not found:
             continue
-        cells = state.join(keys, ENTITY_KEY, "left_semi").select(
+        cells = state.select(
             ENTITY_KEY,
             *[
                 alive(

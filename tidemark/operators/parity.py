@@ -16,10 +16,8 @@ from tidemark.session import written
 from tidemark.sources.logs import newest
 from tidemark.specs import ENTITY_KEY, EVENT_TIME, DataType, Ref, refs_by_view
 
-# Defaults of the check.
-SAMPLE_SIZE = 500
+# Fixed value: numbers that differ by no more count as equal.
 TOLERANCE = 1e-5
-SHOWN_MISMATCHES = 50
 
 SIDES = ("online", "offline")
 PARTS = ("num", "text", "flag")
@@ -30,7 +28,7 @@ def parity_checks(
     views: Mapping[str, ViewData],
     refs: list[str],
     *,
-    sample_size: int | None = SAMPLE_SIZE,
+    sample_size: int | None = None,
     tolerance: float = TOLERANCE,
     use_ttl: bool = True,
     policy: SkewPolicy | None = None,
@@ -38,8 +36,8 @@ def parity_checks(
     """One row per logged value of a requested feature, with the value from history.
 
     ``log`` has ``inference_id, entity_key, event_timestamp, features`` as made by
-    ``served_features``. Only the newest ``sample_size`` inferences are checked, or all
-    with None. The logged values travel through the point-in-time join inside their row, so
+    ``served_features``. All of it is checked, or on request the newest ``sample_size``
+    inferences. The logged values travel through the point-in-time join inside their row, so
     comparing them needs no second join.
     """
     if sample_size is not None:
@@ -123,8 +121,8 @@ def summary(checks: DataFrame) -> DataFrame:
     )
 
 
-def mismatches(checks: DataFrame, limit: int | None = SHOWN_MISMATCHES) -> DataFrame:
-    """Values that differ, oldest inference first; all of them with ``limit=None``."""
+def mismatches(checks: DataFrame, limit: int | None = None) -> DataFrame:
+    """All values that differ, or the first ``limit``, oldest inference first."""
     found = checks.where(~F.col("matched")).drop("matched")
     if limit is None:
         return found

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,8 +147,12 @@ def check_table(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return measured.select(F.inline(F.array(*results)))
 
 
-def schema_rules(held: list[ViewData]) -> DataFrame:
-    """For every view whether its table has the key, the time and all declared columns."""
+def schema_rules(held: list[ViewData], spark: SparkSession | None = None) -> DataFrame:
+    """For every view whether its table has the key, the time and all declared columns.
+
+    ``data`` is the table as it is stored, not as read with the declared schema, and None if it was
+    never written. ``spark`` is needed if none was.
+    """
     rows = []
     for view_data in held:
         view = view_data.view
@@ -165,7 +169,7 @@ def schema_rules(held: list[ViewData]) -> DataFrame:
                 f"Missing: {missing}" if missing else f"All {len(present)} columns present",
             )
         )
-    spark = next(v.data for v in held if v.data is not None).sparkSession
+    spark = spark or next(v.data for v in held if v.data is not None).sparkSession
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
@@ -261,6 +265,12 @@ def split_valid(df: DataFrame, view: FeatureView) -> tuple[DataFrame, DataFrame]
     return df.where(good), df.where(~good)
 
 
+def rejects(df: DataFrame, view: FeatureView) -> DataFrame:
+    """Rows with an invalid value, and in ``reason`` the names of their features that are."""
+    named = [F.when(~valid(f, df), F.lit(f.name)) for f in view.features if f.name in df.columns]
+    return df.withColumn("reason", F.concat_ws(", ", *named)).where(F.col("reason") != "")
+
+
 def with_defaults(df: DataFrame, view: FeatureView) -> DataFrame:
     """Declared default values in place of nulls."""
     filled = {

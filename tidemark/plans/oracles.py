@@ -206,10 +206,11 @@ report AS (
   SELECT feature, round_even(psi * 1e5, 0) / 1e5 AS psi,
          round_even(mc * 1e4, 0) / 1e4 AS online_mean,
          round_even(mb * 1e4, 0) / 1e4 AS offline_mean,
-         CASE WHEN psi < 1e-1 THEN 'NORMAL' WHEN psi < 2e-1 THEN 'MODERATE_DRIFT'
-              ELSE 'SIGNIFICANT_DRIFT' END AS status
-  FROM psi WHERE nb >= 10 AND nc >= 10)"""
-_REPORT = f"""SELECT feature, psi, online_mean, offline_mean, status,
+         CASE WHEN psi IS NULL THEN 'TOO_FEW_VALUES' WHEN psi < 1e-1 THEN 'NORMAL'
+              WHEN psi < 2e-1 THEN 'MODERATE_DRIFT' ELSE 'SIGNIFICANT_DRIFT' END AS status,
+         nb AS baseline_count, nc AS current_count
+  FROM (SELECT * REPLACE (CASE WHEN nb >= 10 AND nc >= 10 THEN psi END AS psi) FROM psi) AS judged)"""
+_REPORT = f"""SELECT feature, psi, online_mean, offline_mean, status, baseline_count, current_count,
        {_r("abs(online_mean - offline_mean) / CASE WHEN abs(offline_mean) = 0 THEN 1e0 ELSE abs(offline_mean) END * 1e2", 2)}
          AS mean_shift_percent
 FROM report"""
@@ -437,9 +438,23 @@ sides AS (SELECT feature, 'baseline' AS side, offline_num AS value FROM checks
 SELECT feature, round(psi, 9) AS psi, nb AS baseline_count, nc AS current_count FROM psi""",
     "drift_report": f"WITH {_SIDES}, {_PSI} {_REPORT}",
     "drift_overall": f"""WITH {_SIDES}, {_PSI}
-SELECT COUNT(*) AS features_monitored,
-       CASE WHEN coalesce(bool_and(status = 'NORMAL'), TRUE) THEN 'NORMAL'
-            ELSE 'DRIFT_DETECTED' END AS overall_status FROM report""",
+SELECT COUNT(*) FILTER (WHERE status <> 'TOO_FEW_VALUES') AS features_monitored,
+       COUNT(*) FILTER (WHERE status = 'TOO_FEW_VALUES') AS features_unjudged,
+       CASE WHEN coalesce(bool_or(status LIKE '%DRIFT'), FALSE) THEN 'DRIFT_DETECTED'
+            WHEN coalesce(bool_or(status = 'TOO_FEW_VALUES'), FALSE) THEN 'INCOMPLETE'
+            ELSE 'NORMAL' END AS overall_status FROM report""",
+    "drift_few_values": f"""WITH asked AS (SELECT CAST(unnest(range(1, 41)) AS VARCHAR) AS feature),
+n AS (
+  SELECT CAST(user_id AS VARCHAR) AS feature,
+         COUNT(value) FILTER (WHERE ts < {_SPLIT}) AS nb, COUNT(value) FILTER (WHERE ts >= {_SPLIT}) AS nc
+  FROM events GROUP BY 1),
+sides AS (
+  SELECT CAST(user_id AS VARCHAR) AS feature,
+         CASE WHEN ts < {_SPLIT} THEN 'baseline' ELSE 'current' END AS side, value FROM events
+  WHERE user_id BETWEEN 1 AND 40), {_PSI}
+SELECT a.feature, coalesce(r.status, 'TOO_FEW_VALUES') AS status,
+       coalesce(n.nb, 0) AS baseline_count, coalesce(n.nc, 0) AS current_count
+FROM asked a LEFT JOIN n USING (feature) LEFT JOIN report r USING (feature)""",
     "quality_rules": f"WITH {_FRAUD}, {_MERCHANT}, {_CHECKS}, {_RULES} SELECT * FROM rules",
     "quality_score": f"""WITH {_FRAUD}, {_MERCHANT}, {_CHECKS}, {_RULES}
 SELECT COUNT(*) AS total_rules, COUNT(*) FILTER (WHERE passed) AS passed_count,
@@ -622,3 +637,22 @@ clv AS (
 SELECT *, CASE WHEN probability_score >= 50e-2 THEN 'HIGH_CHURN_RISK'
                WHEN probability_score >= 25e-2 THEN 'MODERATE_ENGAGEMENT'
                ELSE 'LOYAL_CUSTOMER' END AS decision FROM p"""
+ORACLES["backfill_over_state"] = ORACLES["backfill_state"]
+ORACLES["state_ties"] = """SELECT CAST(o_custkey AS VARCHAR) AS entity_key, o_totalprice,
+       o_orderdate AS o_totalprice_ts, o_orderpriority, o_orderdate AS o_orderpriority_ts
+FROM orders QUALIFY row_number() OVER
+  (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""
+ORACLES["compacted_history"] = f"""WITH {_VIEWS}
+SELECT entity_key, event_timestamp, value, CASE WHEN event_timestamp >= {_SPLIT} THEN k END AS k
+FROM ev_view"""
+ORACLES["store_parity"] = """SELECT 4 * COUNT(*) AS total_checks, 4 * COUNT(*) AS matched_features,
+       CAST(0 AS BIGINT) AS mismatched_features, 0e0 AS skew_rate_percent, 1e2 AS parity_rate_percent
+FROM events WHERE event_type = 'signup'"""
+ORACLES["quality_store"] = """SELECT 'schema_columns_ev_' || unnest(['view', 'click', 'error']) AS rule_id,
+       unnest([TRUE, FALSE, FALSE]) AS passed, 'All 4 columns present' AS expected"""
+ORACLES["rejected_rows"] = f"""WITH {_FRAUD}
+SELECT event_id, entity_key, 'risk_score' AS reason FROM fraud WHERE risk_score < 0 OR risk_score > 1"""
+ORACLES["dataset_csv_vector"] = """SELECT CAST(vec_id AS VARCHAR) AS entity_key,
+       CAST(unnest(range(len(embedding))) AS INTEGER) AS place, CAST(unnest(embedding) AS DOUBLE) AS value
+FROM embeddings"""
+ORACLES["stream_totals"] = """SELECT COUNT(*) AS total_streamed FROM events WHERE event_type = 'view'"""

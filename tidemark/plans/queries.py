@@ -24,14 +24,14 @@ from tidemark.operators.grid import observation_grid
 from tidemark.operators.latest import ViewState
 from tidemark.operators.pit import ViewData, point_in_time_join
 from tidemark.plans import views as V
-from tidemark.plans.store import DATASET_SAMPLE, FRESHNESS_ROWS, FeatureStore
+from tidemark.plans.store import DATASET_SAMPLE, FeatureStore
 from tidemark.session import work_dir, written
 from tidemark.sources import logs
 from tidemark.sources.export import json_rows, json_safe, read_csv, write_csv
 from tidemark.sources.history import HistoryTable, count_by_view, next_batch, timeline
 from tidemark.sources.state import StateTable
-from tidemark.specs import ENTITY_KEY, EVENT_TIME, DataType, Feature, FeatureView
-from tidemark.streaming.ingest import recent_events
+from tidemark.specs import CREATED_TIME, ENTITY_KEY, EVENT_TIME, DataType, Feature, FeatureView
+from tidemark.streaming.ingest import recent_events, stream_totals as totals_of_stream
 from tidemark.streaming.latest import start_latest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +40,9 @@ QUERIES: dict[str, Query] = {}
 EVENT_REFS = ["ev_view:value", "ev_view:k", "ev_click:value", "ev_error:value"]
 ONE_USER = "7"
 GRID_OBSERVATIONS = 6
-TOP = logs.AUDIT_ROWS
+# How many rows the queries show that are short by nature, and inferences of a newest-first check.
+TOP, STALEST, STREAM_EVENTS = 100, 20, 30
+NEWEST_INFERENCES, SHOWN_MISMATCHES = 500, 50
 BUCKETS = 8
 
 
@@ -166,7 +168,7 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def freshness_stalest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.stalest(freshness(spark, sf_dir), FRESHNESS_ROWS)
+    return latest.stalest(freshness(spark, sf_dir), STALEST)
 
 
 # Ingestion
@@ -218,6 +220,43 @@ def backfill_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_state(store.state("ev_view").read())
 
 
+@query
+def backfill_over_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backfill where the state holds older values that the newest rows lack."""
+    store = _store(spark, "backfill")
+    store.register_feature_view(V.EVENT_VIEWS["ev_view"])
+    store.ingest_batch("ev_view", V.sparse_history(_events(spark, sf_dir)))
+    store.backfill()
+    return _flat_state(store.state("ev_view").read())
+
+
+@query
+def state_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest orders, ingested in two batches of which the first has the newer rows, then compacted."""
+    store = _store(spark, "ties")
+    store.register_feature_view(V.ORDER_VALUE)
+    orders = V.order_history(V.table(spark, sf_dir, "orders"))
+    orders = orders.withColumn(CREATED_TIME, F.col(EVENT_TIME))
+    newer = F.col("o_orderkey") % 2 == 0
+    for part in (orders.where(newer), orders.where(~newer)):
+        store.ingest_batch("order_value", part)
+    store.compact()
+    return _flat_state(store.state("order_value").read())
+
+
+@query
+def compacted_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History of two batches after compaction, one of them replayed."""
+    store = _store(spark, "compact")
+    store.register_feature_view(V.EVENT_VIEWS["ev_view"])
+    parts = _halves(_events(spark, sf_dir))
+    for i, part in enumerate(parts):
+        store.ingest_batch("ev_view", part, batch=f"part-{i}")
+    store.compact()
+    store.ingest_batch("ev_view", parts[1], batch="part-1")
+    return store.history("ev_view").read().select(ENTITY_KEY, EVENT_TIME, "value", "k")
+
+
 def _filled_store(spark: SparkSession, sf_dir: str) -> FeatureStore:
     store = _store(spark, "metrics")
     for name, held in V.event_views(_events(spark, sf_dir)).items():
@@ -252,6 +291,29 @@ def store_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def store_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events to state, state to served rows and log, and the log against history."""
+    store = _filled_store(spark, sf_dir)
+    requests = _events(spark, sf_dir).where(F.col("event_type") == "signup")
+    store.get_online_features(
+        requests.select(F.col("user_id").alias(ENTITY_KEY)), EVENT_REFS, now=V.AS_OF
+    )
+    return store.verify_skew(EVENT_REFS).summary
+
+
+@query
+def quality_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schema rules of a store: a whole table, one whose files lack a column, one never written."""
+    store = _store(spark, "schemas")
+    history = V.event_views(_events(spark, sf_dir))
+    for held in history.values():
+        store.register_feature_view(held.view)
+    store.ingest_batch("ev_view", history["ev_view"].data)
+    store.ingest_batch("ev_click", history["ev_click"].data.drop("k"))
+    return store.validate_quality({}).select("rule_id", "passed", "expected")
+
+
 @query
 def store_historical(spark: SparkSession, sf_dir: str) -> DataFrame:
     spine = V.purchase_spine(_events(spark, sf_dir))
@@ -265,7 +327,7 @@ def pit_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, source in V.event_views(events).items():
         table = HistoryTable(spark, work_dir(spark, name), source.view, V.NAIVE)
         table.append(source.data)
-        bucketed = table.bucketed(f"{name}_{next_batch()}", BUCKETS)
+        bucketed = table.bucketed(f"bucketed_{name}", BUCKETS)
         held[name] = ViewData(source.view, bucketed)
     return point_in_time_join(V.purchase_spine(events), held, EVENT_REFS, buckets=BUCKETS)
 
@@ -367,7 +429,7 @@ def parity_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parity_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = parity.mismatches(_checks(spark, sf_dir, parity.SAMPLE_SIZE))
+    found = parity.mismatches(_checks(spark, sf_dir, NEWEST_INFERENCES), SHOWN_MISMATCHES)
     return found.select(
         "inference_id", ENTITY_KEY, EVENT_TIME, "feature", "online_num", "offline_num"
     )
@@ -397,6 +459,15 @@ def drift_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.overall_status(drift.drift_report(V.drift_sides(_events(spark, sf_dir)), V.EVENT_TYPES))
 
 
+@query
+def drift_few_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of every user's values: most users have too few of them, and the report says so."""
+    events = _events(spark, sf_dir)
+    users = [str(u) for u in range(1, 41)]
+    sides = V.drift_sides(events.withColumn("event_type", F.col("user_id").cast("string")))
+    return drift.drift_report(sides, users).select("feature", "status", "baseline_count", "current_count")
+
+
 # Quality
 
 # Ids, names and bounds of the rules.
@@ -480,6 +551,12 @@ def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("event_id", ENTITY_KEY, EVENT_TIME, "risk_score")
 
 
+@query
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = quality.rejects(V.user_fraud(_events(spark, sf_dir)), V.USER_FRAUD)
+    return bad.select("event_id", ENTITY_KEY, "reason")
+
+
 # Data sets
 
 
@@ -510,6 +587,16 @@ def dataset_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(rows, path)
 
 
+@query
+def dataset_csv_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors, written as CSV and read back, one row a component."""
+    vectors = V.vectors(V.table(spark, sf_dir, "embeddings"))
+    rows, path = vectors.select(ENTITY_KEY, "embedding"), work_dir(spark, "csv")
+    write_csv(rows, path)
+    parts = read_csv(rows, path).select(ENTITY_KEY, F.posexplode("embedding").alias("place", "value"))
+    return parts.withColumn("value", F.col("value").cast("double"))
+
+
 @query
 def dataset_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_rows(V.purchase_spine(_events(spark, sf_dir)), "json")
@@ -653,7 +740,19 @@ def stream_ingest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recent_events(stream_ingest_history(spark, sf_dir))
+    return recent_events(stream_ingest_history(spark, sf_dir), STREAM_EVENTS)
+
+
+@query
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream has written, from its stored batches."""
+    store = _store(spark, "stream")
+    store.register_feature_view(V.EVENT_VIEWS["ev_view"])
+    feed = V.event_history(_event_stream(spark, sf_dir), "view")
+    store.ingest_stream(
+        "ev_view", feed, checkpoint=work_dir(spark, "stream-at"), name="views"
+    ).awaitTermination()
+    return totals_of_stream(store.history("ev_view"), "views").select("total_streamed")
 
 
 @query

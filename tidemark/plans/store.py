@@ -28,15 +28,11 @@ from tidemark.sources import logs
 from tidemark.sources.export import json_safe, write_csv
 from tidemark.sources.history import HistoryTable, count_by_view, next_batch, normalise
 from tidemark.sources.state import StateTable
-from tidemark.specs import ENTITY_KEY, EVENT_TIME, Entity, FeatureView, Ref, Registry
+from tidemark.specs import BATCH, ENTITY_KEY, EVENT_TIME, Entity, FeatureView, Ref, Registry
 from tidemark.streaming.ingest import start_ingest
 
-# Rows shown as a sample of a generated data set, inferences read for drift
-# and for the parity rule of the quality table.
+# Fixed value: rows shown as a sample of a generated data set.
 DATASET_SAMPLE = 15
-DRIFT_SAMPLE = 300
-FRESHNESS_ROWS = 20
-QUALITY_SAMPLE = 100
 
 
 @dataclass(frozen=True)
@@ -163,7 +159,7 @@ class FeatureStore:
     def backfill(self, view_names: list[str] | None = None) -> DataFrame:
         """Rebuild the state of views from the newest history row of every entity.
 
-        Views that are not both online and offline are passed over. Reports rows, seconds
+        What the state held before is gone, also of entities that history does not know. Views that are not both online and offline are passed over. Reports rows, seconds
         and rows per second for each view.
         """
         report = []
@@ -172,11 +168,10 @@ class FeatureStore:
             if not (view.online and view.offline):
                 continue
             begun = time.perf_counter()
-            batch = next_batch()
             newest = latest.latest_row(self.history(name).read(), view)
             table = self.state(name)
-            table.upsert(latest.state_of_rows(newest, view), batch)
-            rows = table.read_batch(batch).count()
+            table.replace(latest.state_of_rows(newest, view))
+            rows = table.read().count()
             took = max(time.perf_counter() - begun, 0.001)
             report.append((name, rows, round(took * 1000.0, 2), round(rows / took, 1)))
         self.audit.record(
@@ -187,6 +182,17 @@ class FeatureStore:
             "feature_view string, synced_records long, elapsed_ms double, rows_per_sec double",
         )
 
+    def compact(self, view_names: list[str] | None = None) -> None:
+        """Rewrite history and state of views, and the logs, as one batch each."""
+        for name in view_names or list(self.registry.views):
+            self.history(name).compact()
+            self.state(name).compact()
+        self.inferences.compact()
+        self.audit.table.compact()
+
+    def _written(self, df: DataFrame, purpose: str) -> DataFrame:
+        return written(df, purpose, f"{self.path}/work/{purpose}-{next_batch()}")
+
     # Serving
 
     def get_online_features(
@@ -197,7 +203,11 @@ class FeatureStore:
         now: dt.datetime | None = None,
         log_for_skew_check: bool = True,
     ) -> DataFrame:
-        """Latest values for request rows with an ``entity_key`` column."""
+        """Latest values for request rows with an ``entity_key`` column.
+
+        Logged rows are computed once: they are written with an ``inference_id``, and what is
+        returned and what is logged are both read from there.
+        """
         self.registry.check_refs(refs)
         now = now or _utc_now()
         names = [Ref.parse(r).view for r in refs]
@@ -206,10 +216,13 @@ class FeatureStore:
             return served
         batch = next_batch()
         ident = F.concat(F.lit(f"{batch}-"), F.monotonically_increasing_id().cast("string"))
+        served = written(
+            served.withColumn("inference_id", ident), "served", f"{self.path}/served/{BATCH}={batch}"
+        )
         dtypes = {Ref.parse(r).label: self.registry.feature(r).dtype for r in refs}
         at = moment(micros_of(now), self.time_type)
         self.inferences.append(
-            logs.served_features(served, dtypes, inference_id=ident, at=at), batch
+            logs.served_features(served, dtypes, inference_id=F.col("inference_id"), at=at), batch
         )
         return served
 
@@ -237,10 +250,8 @@ class FeatureStore:
     def freshness(self, now: dt.datetime | None = None) -> DataFrame:
         return latest.freshness(self._states(), now or _utc_now())
 
-    def freshness_report(
-        self, now: dt.datetime | None = None, limit: int = FRESHNESS_ROWS
-    ) -> DataFrame:
-        """The stalest entities first, as a short list."""
+    def freshness_report(self, limit: int, now: dt.datetime | None = None) -> DataFrame:
+        """The ``limit`` stalest entities first; for all see ``freshness``."""
         return latest.stalest(self.freshness(now), limit)
 
     def predict(
@@ -277,7 +288,7 @@ class FeatureStore:
             end=end,
             zoned=not isinstance(self.time_type, T.TimestampNTZType),
         )
-        rows = self.get_historical_features(grid, refs)
+        rows = self._written(self.get_historical_features(grid, refs), "dataset")
         if csv_path is not None:
             write_csv(rows, csv_path)
         summary = rows.agg(
@@ -292,11 +303,16 @@ class FeatureStore:
         self,
         refs: list[str] | None = None,
         *,
-        sample_size: int | None = parity.SAMPLE_SIZE,
+        sample_size: int | None = None,
+        since: dt.datetime | None = None,
+        until: dt.datetime | None = None,
         float_tolerance: float = parity.TOLERANCE,
         use_ttl: bool = True,
     ) -> ParityReport:
-        """Logged inferences against history; by default every registered feature."""
+        """Logged inferences against history; by default every registered feature and the whole log.
+
+        ``since`` (inclusive) and ``until`` (exclusive) bound the time of the inferences.
+        """
         refs = refs or [f"{v.name}:{f}" for v in self.registry.views.values() for f in v.feature_names()]
         self.registry.check_refs(refs)
         log = self.inferences.read()
@@ -306,6 +322,10 @@ class FeatureStore:
                 "inference_id string, entity_key string, event_timestamp timestamp, features "
                 "map<string, struct<num: double, text: string, flag: boolean>>",
             )
+        if since is not None:
+            log = log.where(F.col(EVENT_TIME) >= moment(micros_of(since), self.time_type))
+        if until is not None:
+            log = log.where(F.col(EVENT_TIME) < moment(micros_of(until), self.time_type))
         checks = parity.parity_checks(
             log,
             self._histories([Ref.parse(r).view for r in refs]),
@@ -316,7 +336,7 @@ class FeatureStore:
             policy=self.policy,
         )
         # Three reports read the checks; they are joined once and written.
-        checks = written(checks, "parity")
+        checks = self._written(checks, "parity")
         numeric = [r for r in refs if self.registry.feature(r).dtype.numeric]
         return ParityReport(
             parity.summary(checks),
@@ -338,16 +358,17 @@ class FeatureStore:
     ) -> DataFrame:
         """Rule table: schema of the views, ``rules`` per view, parity and latency."""
         held = self._histories(views)
-        parts = [quality.schema_rules(list(held.values()))]
+        stored = [pit.ViewData(self.registry.view(n), self.history(n).physical()) for n in held]
+        parts = [quality.schema_rules(stored, self.spark)]
         for name, view_rules in rules.items():
             if name in held:
                 parts.append(quality.check_table(held[name].data, view_rules))
         if parity_refs:
-            checked = self.verify_skew(parity_refs, sample_size=QUALITY_SAMPLE).summary
+            checked = self.verify_skew(parity_refs).summary
             parts.append(quality.parity_rule(checked))
         if latencies is not None:
             parts.append(quality.latency_rule(profile.percentiles(latencies, "latency_ms")))
-        checked = written(reduce(DataFrame.unionByName, parts), "quality")
+        checked = self._written(reduce(DataFrame.unionByName, parts), "quality")
         result = quality.quality_score(checked).first()
         self.audit.record(
             "QUALITY_VALIDATION",
@@ -356,26 +377,32 @@ class FeatureStore:
         )
         return checked
 
-    def drift(self, refs: list[str] | None = None, *, sample_size: int = DRIFT_SAMPLE) -> DataFrame:
-        """Drift of served values against history, by default for all numeric features."""
-        return self.verify_skew(refs or self.registry.numeric_refs(), sample_size=sample_size).drift
+    def drift(self, refs: list[str] | None = None, **asked: Any) -> DataFrame:
+        """Drift of served values against history, by default for all numeric features; takes the
+        options of ``verify_skew``."""
+        return self.verify_skew(refs or self.registry.numeric_refs(), **asked).drift
 
-    def get_inference_logs(self, limit: int = logs.SHOWN_INFERENCES) -> DataFrame | None:
+    def get_inference_logs(self, limit: int | None = None) -> DataFrame | None:
+        """All logged inferences, or the newest ``limit``."""
         held = self.inferences.read()
-        return None if held is None else logs.newest(held, limit, EVENT_TIME, "inference_id")
+        if held is None or limit is None:
+            return held
+        return logs.newest(held, limit, EVENT_TIME, "inference_id")
 
-    def get_audit_logs(self) -> DataFrame | None:
-        return self.audit.recent()
+    def get_audit_logs(self, limit: int | None = None) -> DataFrame | None:
+        return self.audit.read() if limit is None else self.audit.recent(limit)
 
     def totals(self) -> DataFrame:
         """One row: history rows, state keys and logged inferences over all views."""
         held = self.inferences.read()
-        logged = 0 if held is None else held.count()
-        return self.get_telemetry().agg(
-            F.sum("row_count").alias("total_rows"),
-            F.sum("state_keys").alias("total_keys"),
-            F.lit(logged).cast("long").alias("logged_inferences"),
+        totals = self.get_telemetry().agg(
+            F.sum("row_count").alias("total_rows"), F.sum("state_keys").alias("total_keys")
         )
+        if held is None:
+            return totals.withColumn("logged_inferences", F.lit(0).cast("long"))
+        # One row on each side.
+        counted = held.agg(F.count("*").alias("logged_inferences")).withColumn("one", F.lit(1))
+        return totals.withColumn("one", F.lit(1)).join(counted, "one").drop("one")
 
     def get_telemetry(self) -> DataFrame:
         """Rows of history and keys of state per view."""

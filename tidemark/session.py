@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,27 +29,20 @@ def builder(app: str = "tidemark") -> SparkSession.Builder:
     return made
 
 
-@functools.cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
+def work_root(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, or where that is unset a folder
+    of the warehouse, in every mode. Both are shared by all executors."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-work"
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the session's shared checkpoint folder.
-
-    Only a local-mode session may fall back to this machine's temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.conf.get("spark.master", "local")
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = _local_root()
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")
+    """A new folder under the session's shared working folder."""
+    return f"{work_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as a table in the shared folder, for results that several jobs read."""
-    path = work_dir(df.sparkSession, purpose)
+def written(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, or at ``path``, for results that several jobs read."""
+    path = path or work_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

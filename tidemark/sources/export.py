@@ -10,18 +10,27 @@ from tidemark.functions.numerics import iso_time, nan_to_null
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV files with a header, one per partition; times in ISO-8601, null as empty."""
-    _text_times(df).write.mode("overwrite").option("header", True).csv(path)
+    """CSV files with a header, one per partition; times in ISO-8601, null as empty, arrays, maps
+    and structs as JSON."""
+    nested = {f.name: F.to_json(F.col(f"`{f.name}`")) for f in df.schema.fields if _nested(f)}
+    _text_times(df).withColumns(nested).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_csv(df: DataFrame, path: str) -> DataFrame:
     """Read files written by ``write_csv`` of ``df`` back to its types."""
-    return (
-        df.sparkSession.read.schema(df.schema)
+    flat = [T.StructField(f.name, T.StringType()) if _nested(f) else f for f in df.schema.fields]
+    found = (
+        df.sparkSession.read.schema(T.StructType(flat))
         .option("header", True)
         .option("enforceSchema", False)
         .csv(path)
     )
+    nested = {f.name: F.from_json(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if _nested(f)}
+    return found.withColumns(nested)
+
+
+def _nested(field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
 
 
 def json_safe(df: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Append-only feature history as Parquet, partitioned by batch and event date."""
+"""Append-only feature history as Parquet, partitioned by batch and event date.
+
+Files are sorted by key and time, so a reader of one key skips row groups. ``compact`` rewrites the
+history as one batch when many small ones have gathered; their names are kept, and a replay of
+one of them is passed over.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +18,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.numerics import epoch_micros, micros_of, moment, nan_to_null
 from tidemark.operators.slicing import HOT, POINT, SkewPolicy, find_splits
+from tidemark.sources.versions import Versions
 from tidemark.specs import BATCH, CREATED_TIME, ENTITY_KEY, EVENT_DATE, EVENT_TIME, FeatureView
 
 
@@ -79,19 +85,73 @@ class HistoryTable:
     view: FeatureView
     time_type: T.DataType = T.TimestampType()
 
+    @property
+    def versions(self) -> Versions:
+        return Versions(self.spark, self.path)
+
     def append(
         self, df: DataFrame, batch: str | None = None, now: dt.datetime | None = None
     ) -> None:
+        version = self.versions.current()
+        if batch is not None and version and self._is_compacted(batch, version):
+            return
+        rows = normalise(df, self.view, now=now).withColumn(EVENT_DATE, F.col(EVENT_TIME).cast("date"))
+        self._write(self._settled(rows), self.versions.folder(version), batch or next_batch())
+
+    def _write(self, rows: DataFrame, folder: str, batch: str) -> None:
         # The rebalance lets AQE size the files and split a date that holds many rows.
         (
-            normalise(df, self.view, now=now)
-            .withColumn(EVENT_DATE, F.col(EVENT_TIME).cast("date"))
-            .hint("rebalance", EVENT_DATE)
+            rows.hint("rebalance", EVENT_DATE)
+            .sortWithinPartitions(EVENT_DATE, ENTITY_KEY, EVENT_TIME)
             .write.mode("overwrite")
             .partitionBy(EVENT_DATE)
-            .parquet(f"{self.path}/{BATCH}={batch or next_batch()}")
+            .parquet(f"{folder}/{BATCH}={batch}")
         )
 
+    def _settled(self, rows: DataFrame) -> DataFrame:
+        """Columns that the view does not declare keep the type they first came with; a value that
+        does not fit is null. Only tables with such columns pay for the look at the files."""
+        declared = {*self.view.schema(self.time_type).names, EVENT_DATE}
+        own = [f for f in rows.schema.fields if f.name not in declared]
+        known = self.physical() if own else None
+        types = {} if known is None else {f.name: f.dataType for f in known.schema.fields}
+        changed = [f.name for f in own if types.get(f.name, f.dataType) != f.dataType]
+        return rows.withColumns({c: F.col(f"`{c}`").try_cast(types[c]) for c in changed})
+
+    def physical(self) -> DataFrame | None:
+        """What the files hold, by their own schemas; None if nothing was ever written."""
+        found = read_or_none(self.spark, self.versions.folder(), mergeSchema="true")
+        return None if found is None else found.drop(BATCH)
+
+    def _is_compacted(self, batch: str, version: int) -> bool:
+        names = read_or_none(self.spark, f"{self.path}-compacted/v{version:06d}")
+        return names is not None and not names.where(F.col(BATCH) == batch).isEmpty()
+
+    def compact(self) -> None:
+        """The same rows as one batch, in place of all batches so far."""
+        version = self.versions.current()
+        found = read_or_none(self.spark, self.versions.folder(version), mergeSchema="true")
+        if found is None:
+            return
+        names = found.select(F.col(BATCH).cast("string").alias(BATCH)).distinct()
+        older = read_or_none(self.spark, f"{self.path}-compacted/v{version:06d}")
+        if older is not None:
+            names = names.union(older)
+        names.write.mode("overwrite").parquet(f"{self.path}-compacted/v{version + 1:06d}")
+        self._write(found.drop(BATCH), self.versions.folder(version + 1), next_batch())
+        self.versions.publish(version + 1)
+
+    def batches(self) -> DataFrame:
+        """Rows of every batch that is still one of its own, and when its first was created."""
+        fields = [T.StructField(CREATED_TIME, self.time_type), T.StructField(BATCH, T.StringType())]
+        try:
+            found = self.spark.read.schema(T.StructType(fields)).parquet(self.versions.folder())
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = self.spark.createDataFrame([], T.StructType(fields))
+        return found.groupBy(BATCH).agg(F.count("*").alias("row_count"), F.min(CREATED_TIME).alias("first_created"))
+
     def read(self, *, evolved: bool = False) -> DataFrame:
         """All rows; columns that older files lack read as null.
 
@@ -100,13 +160,13 @@ class HistoryTable:
         """
         declared = self.view.schema(self.time_type)
         if evolved:
-            found = read_or_none(self.spark, self.path, mergeSchema="true")
+            found = self.physical()
             if found is None or EVENT_TIME not in found.columns:
                 return self.empty()
             missing = [f for f in declared.fields if f.name not in found.columns]
             return found.withColumns(
                 {f.name: F.lit(None).cast(f.dataType) for f in missing}
-            ).drop(BATCH)
+            )
         full = T.StructType(
             [
                 *declared.fields,
@@ -115,7 +175,7 @@ class HistoryTable:
             ]
         )
         try:
-            return self.spark.read.schema(full).parquet(self.path).drop(BATCH)
+            return self.spark.read.schema(full).parquet(self.versions.folder()).drop(BATCH)
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return self.empty()
@@ -123,7 +183,7 @@ class HistoryTable:
 
     def read_batch(self, batch: str) -> DataFrame:
         """The rows of one batch, with all their columns."""
-        found = read_or_none(self.spark, f"{self.path}/{BATCH}={batch}")
+        found = read_or_none(self.spark, f"{self.versions.folder()}/{BATCH}={batch}")
         return self.empty() if found is None else found
 
     def bucketed(
@@ -161,15 +221,16 @@ class HistoryTable:
         return self.spark.createDataFrame([], T.StructType(fields))
 
     def timeline(self, entity_key: str) -> DataFrame:
-        return timeline(self.read(), entity_key)
+        return timeline(self.read(), entity_key, self.view.tie)
 
     def count(self) -> int:
         return self.read().count()
 
 
-def timeline(history: DataFrame, entity_key: str) -> DataFrame:
-    """All rows of one entity in time order."""
-    return history.where(F.col(ENTITY_KEY) == entity_key).orderBy(EVENT_TIME)
+def timeline(history: DataFrame, entity_key: str, tie: str | None = None) -> DataFrame:
+    """All rows of one entity in time order, then by created time and ``tie``."""
+    order = [c for c in (EVENT_TIME, CREATED_TIME, tie) if c and c in history.columns]
+    return history.where(F.col(ENTITY_KEY) == entity_key).orderBy(*order)
 
 
 def count_by_view(histories: dict[str, DataFrame | None]) -> DataFrame:

@@ -10,14 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import typed
 from tidemark.sources.history import next_batch, read_or_none
+from tidemark.sources.versions import Versions
 from tidemark.specs import BATCH, ENTITY_KEY, EVENT_TIME, DataType
 
-# How many rows the newest-first views show or keep.
-AUDIT_ROWS = 100
-STREAM_EVENTS = 30
-KEPT_INFERENCES = 10_000
-SHOWN_INFERENCES = 100
-
 
 def newest(log: DataFrame, limit: int, at: str, *tie: str) -> DataFrame:
     """The newest ``limit`` rows, newest first; ties go to the largest tie columns."""
@@ -62,20 +57,24 @@ class LogTable:
     spark: SparkSession
     path: str
 
+    @property
+    def versions(self) -> Versions:
+        return Versions(self.spark, self.path)
+
     def append(self, rows: DataFrame, batch: str | None = None) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{BATCH}={batch or next_batch()}")
+        rows.write.mode("overwrite").parquet(f"{self.versions.folder()}/{BATCH}={batch or next_batch()}")
 
     def read(self) -> DataFrame | None:
-        found = read_or_none(self.spark, self.path)
+        found = read_or_none(self.spark, self.versions.folder())
         return None if found is None else found.drop(BATCH)
 
-    def rotate(self, path: str, keep: int, at: str, *tie: str) -> LogTable:
-        """The newest ``keep`` rows as a new log at ``path`` (retention)."""
-        made = LogTable(self.spark, path)
-        held = self.read()
+    def compact(self, since: Column | None = None) -> None:
+        """The log as one batch; rows for which ``since`` does not hold are let go (retention)."""
+        held, version = self.read(), self.versions.current() + 1
         if held is not None:
-            made.append(newest(held, keep, at, *tie))
-        return made
+            kept = held if since is None else held.where(since)
+            kept.write.parquet(f"{self.versions.folder(version)}/{BATCH}={next_batch()}")
+            self.versions.publish(version)
 
 
 @dataclass(frozen=True)
@@ -90,6 +89,9 @@ class AuditLog:
         schema = "timestamp timestamp, action string, details string"
         self.table.append(self.table.spark.createDataFrame(row, schema).coalesce(1))
 
-    def recent(self, limit: int = AUDIT_ROWS) -> DataFrame | None:
-        held = self.table.read()
+    def read(self) -> DataFrame | None:
+        return self.table.read()
+
+    def recent(self, limit: int) -> DataFrame | None:
+        held = self.read()
         return None if held is None else newest(held, limit, "timestamp", "action")

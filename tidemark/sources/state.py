@@ -2,38 +2,44 @@
 
 An upsert writes only the entities it touches, so its cost follows the batch and not the
 state. Reading takes the newest value of every feature over all deltas, in one aggregation
-with map-side combine. ``compact`` writes the merged state to a new table when the deltas
-have grown.
+with map-side combine. ``compact`` puts the merged state in place of the deltas when they have
+grown; ``replace`` does the same with a new state.
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.sources.history import next_batch
+from tidemark.sources.versions import Versions
 from tidemark.specs import BATCH, ENTITY_KEY, FeatureView
 
+COMMIT = "commit"
+
 
 def state_schema(view: FeatureView, time_type: T.DataType) -> T.StructType:
+    tie = view.get_feature(view.tie) if view.tie else None
+    order = [
+        T.StructField("ts", time_type),
+        T.StructField("created", time_type),
+        T.StructField("tie", tie.dtype.spark if tie else T.LongType()),
+    ]
     cells = [
-        T.StructField(
-            f.name,
-            T.StructType(
-                [T.StructField("value", f.dtype.spark), T.StructField("ts", time_type)]
-            ),
-        )
+        T.StructField(f.name, T.StructType([T.StructField("value", f.dtype.spark), *order]))
         for f in view.features
     ]
     return T.StructType([T.StructField(ENTITY_KEY, T.StringType()), *cells])
 
 
-def merge_states(deltas: DataFrame, view: FeatureView, order: str = BATCH) -> DataFrame:
-    """Newest value of every feature; equal times go to the later delta.
+def merge_states(deltas: DataFrame, view: FeatureView, order: str = COMMIT) -> DataFrame:
+    """Newest value of every feature, in the order of history: time, created time, tie column;
+    if all are equal, the delta written last.
 
     Features merge one by one, so a delta may hold some of them only.
     """
@@ -43,7 +49,8 @@ def merge_states(deltas: DataFrame, view: FeatureView, order: str = BATCH) -> Da
             F.max_by(
                 F.col(f"`{f}`"),
                 F.when(
-                    F.col(f"`{f}`").isNotNull(), F.struct(F.col(f"`{f}`.ts"), F.col(order))
+                    F.col(f"`{f}`").isNotNull(),
+                    F.struct(*[F.col(f"`{f}`.{c}") for c in ("ts", "created", "tie")], F.col(order)),
                 ),
             ).alias(f)
             for f in cells
@@ -60,24 +67,42 @@ class StateTable:
     view: FeatureView
     time_type: T.DataType = T.TimestampType()
 
+    @property
+    def versions(self) -> Versions:
+        return Versions(self.spark, self.path)
+
     def upsert(self, state: DataFrame, batch: str | None = None) -> None:
         """Add a delta; writing the same batch again replaces it."""
-        schema = state_schema(self.view, self.time_type)
-        rows = state.select(
-            *[
-                (F.col(f"`{f.name}`") if f.name in state.columns else F.lit(None))
-                .cast(f.dataType)
-                .alias(f.name)
-                for f in schema.fields
+        self._write(state, self.versions.folder(), batch or next_batch())
+
+    def replace(self, state: DataFrame) -> None:
+        """Put ``state`` in place of all that was there."""
+        version = self.versions.current() + 1
+        self._write(state, self.versions.folder(version), next_batch())
+        self.versions.publish(version)
+
+    def _write(self, state: DataFrame, folder: str, batch: str) -> None:
+        def cell(field: T.StructField) -> Column:
+            if field.name not in state.columns:
+                return F.lit(None).cast(field.dataType).alias(field.name)
+            if field.name == ENTITY_KEY:
+                return F.col(ENTITY_KEY).cast("string")
+            held, column = state.schema[field.name].dataType, F.col(f"`{field.name}`")
+            parts = [
+                (column[p.name] if p.name in held.names else F.lit(None)).cast(p.dataType).alias(p.name)
+                for p in field.dataType.fields
             ]
-        )
-        rows.write.mode("overwrite").parquet(f"{self.path}/{BATCH}={batch or next_batch()}")
+            return F.when(column.isNotNull(), F.struct(*parts)).alias(field.name)
+
+        rows = state.select(*[cell(f) for f in state_schema(self.view, self.time_type).fields])
+        rows = rows.withColumn(COMMIT, F.lit(time.time_ns()))
+        rows.write.mode("overwrite").parquet(f"{folder}/{BATCH}={batch}")
 
     def read(self) -> DataFrame:
         schema = state_schema(self.view, self.time_type)
-        full = T.StructType([*schema.fields, T.StructField(BATCH, T.StringType())])
+        full = T.StructType([*schema.fields, T.StructField(COMMIT, T.LongType())])
         try:
-            deltas = self.spark.read.schema(full).parquet(self.path)
+            deltas = self.spark.read.schema(full).parquet(self.versions.folder())
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return self.spark.createDataFrame([], schema)
@@ -87,10 +112,8 @@ class StateTable:
     def read_batch(self, batch: str) -> DataFrame:
         """The delta of one batch."""
         schema = state_schema(self.view, self.time_type)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{BATCH}={batch}")
+        return self.spark.read.schema(schema).parquet(f"{self.versions.folder()}/{BATCH}={batch}")
 
-    def compact(self, path: str) -> StateTable:
-        """The same state as one delta in a new table at ``path``."""
-        made = StateTable(self.spark, path, self.view, self.time_type)
-        made.upsert(self.read())
-        return made
+    def compact(self) -> None:
+        """The same state as one delta."""
+        self.replace(self.read())

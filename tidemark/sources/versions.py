@@ -1,0 +1,35 @@
+"""Which version of a table is current.
+
+A version is a folder that is written as a whole before its number is published, so readers see the
+old one or the new one. There is one published row a compaction or backfill, not one a batch.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Versions:
+    spark: SparkSession
+    path: str
+
+    def current(self) -> int:
+        try:
+            found = self.spark.read.schema("version long").json(f"{self.path}-versions")
+            return found.agg(F.max("version")).first()[0] or 0
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return 0
+            raise
+
+    def folder(self, version: int | None = None) -> str:
+        return f"{self.path}/v{self.current() if version is None else version:06d}"
+
+    def publish(self, version: int) -> None:
+        row = self.spark.createDataFrame([(version,)], "version long").coalesce(1)
+        row.write.mode("append").json(f"{self.path}-versions")

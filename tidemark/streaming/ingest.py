@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.sources.logs import STREAM_EVENTS, newest
-from tidemark.specs import ENTITY_KEY, EVENT_TIME
+from tidemark.sources.history import HistoryTable
+from tidemark.sources.logs import newest
+from tidemark.specs import BATCH, ENTITY_KEY, EVENT_TIME
 
 if TYPE_CHECKING:
     from tidemark.plans.store import FeatureStore
@@ -43,18 +46,27 @@ def start_ingest(
     )
 
 
-def recent_events(history: DataFrame, limit: int = STREAM_EVENTS) -> DataFrame:
+def recent_events(history: DataFrame, limit: int) -> DataFrame:
     """The newest ingested events, newest first."""
     return newest(history, limit, EVENT_TIME, ENTITY_KEY)
 
 
+def stream_totals(history: HistoryTable, name: str) -> DataFrame:
+    """Rows and batches that stream ``name`` has written, and when it began, from what is stored."""
+    own = history.batches().where(F.col(BATCH).rlike(f"^{re.escape(name)}-[0-9]{{20}}$"))
+    return own.agg(
+        F.coalesce(F.sum("row_count"), F.lit(0)).alias("total_streamed"),
+        F.count("*").alias("batches"),
+        F.min("first_created").alias("start_time"),
+        F.max(F.right(BATCH, F.lit(20)).cast("long")).alias("last_batch"),
+    )
+
+
 def stream_status(query: StreamingQuery) -> dict[str, Any]:
-    """Whether the stream runs, how many rows it has read, and its last progress."""
-    progress = query.recentProgress
+    """Whether the stream runs, and its last progress; for totals see ``stream_totals``."""
+    last = query.lastProgress
     return {
         "active": query.isActive,
-        "total_streamed": sum(p["numInputRows"] for p in progress),
-        "start_time": progress[0]["timestamp"] if progress else None,
-        "last_batch": progress[-1]["batchId"] if progress else None,
-        "rows_per_sec": progress[-1].get("processedRowsPerSecond") if progress else None,
+        "last_batch": last["batchId"] if last else None,
+        "rows_per_sec": last.get("processedRowsPerSecond") if last else None,
     }
