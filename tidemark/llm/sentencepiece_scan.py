@@ -177,11 +177,11 @@ class Chunk:
     def _places(self) -> dict[tuple[int, int], int]:
         return {(a, b): i for i, (a, b, _) in enumerate(self.inside)}
 
-    def _from(self, state: tuple[int, int]) -> tuple[list, int] | None | bool:
-        """The tokens behind an entry state up to one of the inside path, and that one's index.
-        None: no path has that state. False: the paths don't meet."""
+    def _from(self, state: tuple[int, int]) -> tuple[list, int, bool] | None:
+        """The tokens behind an entry state up to one of the inside path, that one's index, and
+        whether that path has the state; None if the paths don't meet."""
         if state == _START:
-            return [], 0
+            return [], 0, True
         a, b = self._span(state, self.left)
         size = _WINDOW
         while True:
@@ -190,15 +190,15 @@ class Chunk:
             for i, token in enumerate(tokens):
                 if token[:2] in self._places:
                     # The entry token itself belongs to the chunk before.
-                    return (tokens[1:i], self._places[token[:2]]) if tokens[0][:2] == (a, b) else None
+                    return tokens[1:i], self._places[token[:2]], tokens[0][:2] == (a, b)
             if end == self.right:
-                return False
+                return None
             size *= 2
 
-    def _to(self, state: tuple[int, int]) -> tuple[list, int] | None | bool:
-        """The tokens behind one of the inside path up to an exit state, and that one's index."""
+    def _to(self, state: tuple[int, int]) -> tuple[list, int, bool] | None:
+        """The tokens behind one of the inside path up to an exit state, and as above."""
         if state == _END:
-            return [], len(self.inside) - 1
+            return [], len(self.inside) - 1, True
         a, b = self._span(state, self.right)
         size = _WINDOW
         while True:
@@ -206,17 +206,15 @@ class Chunk:
             tokens = self._tokens(begin, b)
             for i in range(len(tokens) - 1, -1, -1):
                 if tokens[i][:2] in self._places:
-                    return (tokens[i + 1 :], self._places[tokens[i][:2]]) if tokens[-1][:2] == (a, b) else None
+                    return tokens[i + 1 :], self._places[tokens[i][:2]], tokens[-1][:2] == (a, b)
             if begin == self.left:
-                return False
+                return None
             size *= 2
 
     def _between(self, entry: tuple[int, int], exit_: tuple[int, int], into, out) -> list | None:
-        if into is None or out is None:
-            return None
         if into and out and into[1] <= out[1] + 1:
-            return into[0] + self.inside[into[1] : out[1] + 1] + out[0]
-        # The two ends meet each other before the inside path: all of the chunk at once.
+            return into[0] + self.inside[into[1] : out[1] + 1] + out[0] if into[2] and out[2] else None
+        # The path from one to the other need not touch the inside path: all of the chunk at once.
         a, b = self.left, self.right
         first = last = None
         if entry != _START:
@@ -245,8 +243,9 @@ class Chunk:
         for i, (entry, left) in enumerate(zip(self.entries, into)):
             for j, (exit_, right) in enumerate(zip(self.exits, out)):
                 if left and right and left[1] <= right[1] + 1:
-                    score[i, j] = len(left[0]) + right[1] + 1 - left[1] + len(right[0])
-                elif left is not None and right is not None:
+                    if left[2] and right[2]:
+                        score[i, j] = len(left[0]) + right[1] + 1 - left[1] + len(right[0])
+                else:
                     tokens = self._between(entry, exit_, left, right)
                     score[i, j] = -np.inf if tokens is None else len(tokens)
         return score
@@ -464,7 +463,7 @@ def encode_giants(
         .groupBy("row", "segment")
         .applyInArrow(
             _choose,
-            "row long, chunk long, tokens_before long, entry_back int, entry_on int, exit_back int, exit_on int",
+            "row long, chunk long, tokens_before long, entry_back long, entry_on long, exit_back long, exit_on long",
         )
     )
     return chunks.join(chosen, ["row", "chunk"]).mapInArrow(
