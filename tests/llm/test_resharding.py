@@ -70,7 +70,7 @@ def test_many_copies_are_spread(spark, tmp_path):
     got = S.rewrite(frame, plan, old, str(tmp_path / "shards")).collect()
     totals = check(got, [len(t) + 8 for t in texts], 24)
     mean = sum(totals) / 24
-    assert all(abs(t - mean) < 0.02 * mean for t in totals)
+    assert all(abs(t - mean) < 0.03 * mean for t in totals)
     # No plan moves fewer bytes: what an old shard has beyond a new one's size must go.
     least = sum(max(sum(r) - sum(totals) // 24, 0) for r in plan.flow)
     assert sum(x for i, r in enumerate(plan.flow) for j, x in enumerate(r) if i != j) <= least + 24

@@ -100,17 +100,23 @@ class Plan:
     shards: int
 
 
-def _fill(items: list[tuple], quotas: dict[int, int], home: int, rest: bool) -> tuple[dict, list]:
-    """Put (size, key) items, large first, where they fit: at home if possible, else where most is
-    left. What fits nowhere is returned, or, with ``rest``, put where most is left."""
+def _fill(items: list[tuple], quotas: dict[int, dict[int, int]], room: list[int], rest: bool) -> tuple[dict, list]:
+    """Put (size, old shard, key) items, large first, where the flow has room for them: at home if
+    possible, else where most is left. What fits nowhere is returned, or, with ``rest``, put into
+    the shard with most room."""
     placed, left = {}, []
-    for size, key in sorted(items, reverse=True):
-        target = max(quotas, key=lambda j: (quotas[j] >= size, j == home, quotas[j], -j))
-        if quotas[target] >= size or rest:
-            placed[key] = target
-            quotas[target] -= size
+    for size, i, key in sorted(items, reverse=True):
+        fits = [j for j, quota in quotas[i].items() if quota >= size and room[j] >= size]
+        if fits:
+            target = max(fits, key=lambda j: (j == i, quotas[i][j], -j))
+        elif rest:
+            target = max(range(len(room)), key=lambda j: (room[j], j == i, -j))
         else:
-            left.append(key)
+            left.append((size, i, key))
+            continue
+        placed[key] = target
+        quotas[i][target] = quotas[i].get(target, 0) - size
+        room[target] -= size
     return placed, left
 
 
@@ -146,20 +152,15 @@ def plan_shards(docs: DataFrame, old_shard: Column, shards: int = SHARDS) -> Pla
     capacity = [total // shards + (j < total % shards) for j in range(shards)]
     cost = [[int(i != j) for j in range(shards)] for i in range(old_shards)]
     flow = min_cost_flow(supply, capacity, cost)
-    whole, cut, quotas = {}, [], {}
-    for i in range(old_shards):
-        quotas[i] = {j: x for j, x in enumerate(flow[i]) if x}
-        placed, left = _fill(by_shard[i], quotas[i], i, rest=False) if quotas[i] else ({}, [])
-        whole |= {(i, b): j for b, j in placed.items()}
-        cut += [(i, b) for b in left]
-    parts: dict[int, list] = defaultdict(list)
-    if cut:
-        wanted = docs.sparkSession.createDataFrame(cut, "old_shard int, block int")
-        for r in sized.join(F.broadcast(wanted), ["old_shard", "block"], "left_semi").collect():
-            parts[r["old_shard"]].append((r["size"], (r["old_shard"], r["block"], r["part"])))
+    quotas = {i: {j: x for j, x in enumerate(flow[i]) if x} for i in range(old_shards)}
+    room = list(capacity)
+    whole, left = _fill([(size, i, (i, b)) for i in by_shard for size, b in by_shard[i]], quotas, room, rest=False)
     moved = {}
-    for i, items in parts.items():
-        moved |= _fill(items, quotas[i], i, rest=True)[0]
+    if left:
+        wanted = docs.sparkSession.createDataFrame([key for _, _, key in left], "old_shard int, block int")
+        parts = sized.join(F.broadcast(wanted), ["old_shard", "block"], "left_semi").collect()
+        items = [(r["size"], r["old_shard"], (r["old_shard"], r["block"], r["part"])) for r in parts]
+        moved, _ = _fill(items, quotas, room, rest=True)
     return Plan(flow, whole, moved, old_shards, shards)
 
 
