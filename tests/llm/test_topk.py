@@ -30,7 +30,7 @@ def test_top_k_is_that_of_brute_force(spark, block_rows, query_rows):
     vector = lambda s=1.0: [s * rng.gauss(0, 1) for _ in range(6)]
     rows = [(i, vector(rng.choice([0.01, 0.3, 1, 5]))) for i in range(200)]
     rows += [(200 + i, rows[3][1]) for i in range(60)]
-    rows += [(300, [0.0] * 6), (310, [0.0] * 6), (-20, vector()), (301, None), (302, [1.0, None, 0, 0, 0, 0])]
+    rows += [(300, [0.0] * 6), (310, [0.0] * 6), (-20, vector()), (301, None), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
     rows += [(303, [math.nan] * 6), (304, [math.inf] * 6), (None, vector()), rows[5], rows[10], (305, [])]
     frame = spark.createDataFrame([(i, v, "s", 1, 2) for i, v in rows], SCHEMA)
     got = sorted(tuple(r) for r in top_k(frame, 5, 10, block_rows=block_rows, query_rows=query_rows).collect())
