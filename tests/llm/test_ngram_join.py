@@ -66,23 +66,40 @@ def test_chains_of_near_copies(spark, seed):
 def test_a_block_tells_all_its_components():
     rng = np.random.default_rng(1)
     sets = [set(rng.integers(0, 12, 8).tolist()) for _ in range(60)]
+    known = [i % 50 for i in range(60)]
     block = pa.table(
         {
-            "key": [1] * 60,
             "class": list(range(60)),
+            "component": known,
+            "place": [0] * 60,
+            "pivot": [True] * 60,
             "n": [len(s) for s in sets],
             "keys": pa.array([sorted(s) for s in sets], pa.list_(pa.int64())),
         }
     )
-    got = _pivots(block, 80)["pivot"].to_pylist()
-    label = list(range(60))
-    for _ in range(60):
-        for i in range(60):
-            for j in range(60):
-                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-                    label[i] = label[j] = min(label[i], label[j])
-    assert len(set(label)) == len(set(got))
-    assert len(set(zip(label, got))) == len(set(got))
+
+    def labels(links):
+        label = list(range(60))
+        for _ in range(60):
+            for i, j in links:
+                label[i] = label[j] = min(label[i], label[j])
+        return label
+
+    same = [(i, j) for i in range(60) for j in range(i) if known[i] == known[j]]
+    linked = [
+        (i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    ]
+    # A common n-gram that comes first in all.
+    block = block.set_column(4, "n", pa.array([len(s) + 1 for s in sets]))
+    block = block.set_column(5, "keys", pa.array([[99, *sorted(s)] for s in sets], pa.list_(pa.int64())))
+    sets = [s | {99} for s in sets]
+    linked = [
+        (i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    ]
+    got = _pivots(block, 80, True)
+    got = list(zip(got["a"].to_pylist(), got["b"].to_pylist()))
+    assert {tuple(sorted(x)) for x in got} <= {tuple(sorted(x)) for x in linked}
+    assert labels(got + same) == labels(linked + same)
 
 
 def test_components_of_random_links(spark):

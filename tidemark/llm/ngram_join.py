@@ -6,13 +6,18 @@
    by their absence from then on.
 2. In the order (count, hash), a class can only link to another through its first
    ``n - ceil(t n) + 1`` n-grams. A class whose shared n-grams are fewer than ``t n`` drops out.
-3. Dense groups are settled first: each class goes to the block of one prefix n-gram, where pivots,
-   the most central first, are compared with all members in one pass each until all but the
-   members of the largest component have been pivots. Blocks that hold too much for a task are cut
-   in parts, and one class of each component goes on to the next round until no block is cut.
-4. Then all other pairs: classes of different components that share any prefix n-gram and pass
-   the length, positional and suffix filters, each pair verified once on the whole sets. So no
-   link between components is lost and no group emits all its pairs.
+3. Dense groups are settled first, in rounds: each class goes to the block of that n-gram of its prefix
+   which is in most components. There pivots, the most central first, are compared with all
+   members in one pass each, until all but the members of the largest component have been
+   pivots. Blocks that hold too much for a task are cut at random, differently each round.
+   Rounds end when few pairs are left, or when they no longer halve their number.
+4. Then all prefix n-grams that still join classes of different components are mapped to blocks,
+   those with members in common mostly to the same one, so that two classes with a common n-gram
+   meet in a block and a class is in few. Each class outside the block's largest component is a
+   pivot against all members, after the length, positional and suffix filters; members of that
+   component need no comparison with each other. Blocks too large for a task are cut into parts,
+   each of which meets all pivots. So no link between components is lost, and no pairs are
+   written out.
 
 The suffix filter compares how many n-grams fall in each of 16 hash ranges: the differences bound
 the number of n-grams in one set only from below.
@@ -41,12 +46,14 @@ from tidemark.llm.words import Words, mix, pack_ints, pack_tail, text_blocks, un
 
 SIZE, PERCENT = 5, 80
 CHARS_PER_BUCKET = 16_000_000
-KEYS_PER_PART = 1_000_000
+KEYS_PER_PART = 500_000
+# Rounds go on while more pairs than this many times the rows are left, and each halves them.
+FEW_PAIRS, LESS = 4, 0.5
 SUFFIX_RANGES = 16
 _KEY_BYTES = 7
 _SENT = pa.schema([("bucket", pa.int32()), ("classes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 _SHARED = pa.schema([("class", pa.int64()), ("key", pa.int64()), ("df", pa.int32())])
-_LINKED = pa.schema([("key", pa.int64()), ("class", pa.int64()), ("pivot", pa.int64()), ("centrality", pa.float64())])
+_LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 class _Sets:
@@ -154,125 +161,158 @@ def _shared(sent: pa.Table) -> pa.Table:
     )
 
 
-def _pivots(block: pa.Table, percent: int) -> pa.Table:
-    """Each class of a block with a pivot of its component."""
-    classes = block["class"].to_numpy()
-    sizes = block["n"].to_numpy().astype(np.int64)
+def _pivots(block: pa.Table, percent: int, shared: bool) -> pa.Table:
+    """Links that join the components of a block's classes, as far as any two of them are linked.
+
+    Rows marked ``pivot`` are compared with all others, each in one pass. If all are, those of the
+    component that is largest by then need not be. ``place`` is that of an n-gram that all have
+    (``shared``), or the earliest that the first n-gram in common with another may have.
+    """
+    classes, place = block["class"].to_numpy(), block["place"].to_numpy().astype(np.int64)
+    sizes, may = block["n"].to_numpy().astype(np.int64), block["pivot"].to_numpy(zero_copy_only=False)
+    _, root = np.unique(block["component"].to_numpy(), return_inverse=True)
     arrays = block["keys"].combine_chunks()
     if isinstance(arrays, pa.ChunkedArray):
         arrays = pa.concat_arrays(arrays.chunks)
     lengths = np.diff(arrays.offsets.to_numpy())
+    starts, alone = np.cumsum(lengths) - lengths, sizes - lengths
     keys = arrays.flatten().to_numpy()
-    starts = np.cumsum(lengths) - lengths
     _, ids = np.unique(keys, return_inverse=True)
+    owner = np.repeat(np.arange(len(classes)), lengths)
+    ranges = np.bincount(owner * SUFFIX_RANGES + keys % SUFFIX_RANGES, minlength=len(classes) * SUFFIX_RANGES)
+    ranges = ranges.reshape(-1, SUFFIX_RANGES)
     centrality = np.add.reduceat(np.bincount(ids)[ids], starts) / np.maximum(sizes, 1)
-    root, tried = np.arange(len(classes)), np.zeros(len(classes), bool)
-    while True:
-        weight = np.bincount(root, minlength=len(classes))
-        open_ = ~tried & ((root != weight.argmax()) | (weight.max() == 1))
+    tried, links, mark = ~may, [], np.zeros(len(ids), bool)
+    while root.min() != root.max():
+        open_ = ~tried & (root != np.bincount(root).argmax()) if may.all() else ~tried
         if not open_.any():
             break
         pivot = int(np.where(open_, centrality, -1.0).argmax())
         tried[pivot] = True
-        mark = np.zeros(ids.max() + 1, np.int32)
-        mark[ids[starts[pivot] : starts[pivot] + lengths[pivot]]] = 1
-        common = np.add.reduceat(mark[ids], starts)
-        linked = 100 * common >= percent * (sizes[pivot] + sizes - common)
-        linked[pivot] = True
-        merged = np.unique(root[linked])
-        root[np.isin(root, merged)] = root[pivot]
-    return pa.table(
-        [block["key"], block["class"], pa.array(classes[root]), pa.array(centrality)], schema=_LINKED
+        need = -(-percent * (sizes[pivot] + sizes) // (100 + percent))
+        some = root != root[pivot]
+        some &= 100 * np.minimum(sizes, sizes[pivot]) >= percent * np.maximum(sizes, sizes[pivot])
+        # What may be common from that place on, and before it.
+        most = np.minimum(lengths - place, lengths[pivot] - place[pivot])
+        most += np.minimum(place, place[pivot]) if shared else 0
+        some &= most >= need
+        apart = np.abs(ranges - ranges[pivot]).sum(axis=1)
+        some &= lengths + lengths[pivot] - apart >= 2 * need
+        some = np.flatnonzero(some)
+        if not len(some):
+            continue
+        own = ids[starts[pivot] : starts[pivot] + lengths[pivot]]
+        mark[own] = True
+        ends = np.cumsum(lengths[some])
+        at = np.arange(ends[-1]) + np.repeat(starts[some] - ends + lengths[some], lengths[some])
+        common = np.add.reduceat(mark[ids[at]].astype(np.int64), ends - lengths[some])
+        mark[own] = False
+        linked = some[100 * common >= percent * (sizes[pivot] + sizes[some] - common)]
+        # One link to each other component.
+        others, first = np.unique(root[linked], return_index=True)
+        links += [(classes[pivot], classes[i]) for i in linked[first]]
+        root[np.isin(root, others)] = root[pivot]
+    made = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table([pa.array(made[:, 0]), pa.array(made[:, 1])], schema=_LINKED)
+
+
+def _places(found: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Prefix n-grams of all classes, with the component so far."""
+    component = F.col("class")
+    if groups is not None:
+        found, component = found.join(groups, "class", "left"), F.coalesce("component", "class")
+    return found.select(
+        "class",
+        component.alias("component"),
+        "n",
+        F.size("keys").alias("weight"),
+        F.posexplode("prefix").alias("place", "key"),
+    )
+
+
+def _open_keys(rows: DataFrame) -> DataFrame:
+    """N-grams in more than one component: members, pairs between components, the largest one."""
+    return written(
+        rows.groupBy("key", "component")
+        .agg(F.count("*").alias("m"), F.sum("weight").alias("weight"))
+        .groupBy("key")
+        .agg(
+            F.count("*").alias("components"),
+            F.sum("m").alias("members"),
+            F.sum("weight").alias("weight"),
+            F.max(F.struct("m", "weight", "component")).alias("largest"),
+            ((F.pow(F.sum("m"), F.lit(2)) - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"),
+        )
+        .where("components > 1"),
+        "open",
     )
 
 
-def _settle_dense(found: DataFrame, percent: int, keys_per_part: int) -> DataFrame:
-    """Verified links (a, b) that connect what lies close together in blocks of one n-gram."""
-    members = found.select(F.element_at("prefix", -1).alias("key"), "class")
-    links = None
+def _settle(found: DataFrame, percent: int, keys_per_part: int) -> tuple[DataFrame | None, DataFrame]:
+    """Components (class, component) of what lies close together in blocks of one n-gram, and the
+    n-grams that are still in several."""
+    links = groups = left = None
+    rounds = 0
     while True:
-        sized = members.join(found.select("class", "n", "keys"), "class")
-        parts = sized.groupBy("key").agg(
-            F.count("*").alias("members"),
-            F.ceil(F.sum(F.size("keys")) / F.lit(keys_per_part)).cast("int").alias("parts"),
+        rows = _places(found, groups)
+        open_ = _open_keys(rows)
+        state = open_.agg(F.sum("pairs").alias("pairs"), F.sum("members").alias("members")).first()
+        if not state["pairs"] or left is not None and state["pairs"] > LESS * left:
+            return groups, open_
+        if links is not None and state["pairs"] <= FEW_PAIRS * state["members"]:
+            return groups, open_
+        left, rounds = state["pairs"], rounds + 1
+        chosen = (
+            rows.join(open_.withColumnRenamed("weight", "of_key"), "key")
+            .groupBy("class")
+            .agg(F.max(F.struct("components", "key", "of_key", "place")).alias("of"), F.first("component").alias("component"))
+            .withColumn("part", F.pmod(F.xxhash64("class", F.lit(rounds)), F.ceil(F.col("of.of_key") / keys_per_part)))
         )
-        blocks = (
-            sized.join(parts.where("members > 1"), "key")
-            .withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")))
-            .select("key", "part", "parts", "class", "n", "keys")
+        blocks = found.select("class", "n", "keys").join(
+            chosen.select("class", "component", "of.key", "of.place", "part", F.lit(True).alias("pivot")), "class"
         )
-        settled = written(
-            blocks.groupBy("key", "part").applyInArrow(
-                lambda block: _pivots(block, percent), "key long, class long, pivot long, centrality double"
-            ),
-            "settled",
+        new = written(
+            blocks.groupBy("key", "part").applyInArrow(lambda x: _pivots(x, percent, True), "a long, b long"),
+            "links",
         )
-        new = settled.where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
         links = new if links is None else links.union(new)
-        cut = parts.where("parts > 1 and members > 1").select("key")
-        left = settled.join(cut, "key", "left_semi")
-        if left.isEmpty():
-            return links
-        # One class of each component goes on; without any merging, the pairs stage has the rest.
-        onward = written(
-            left.groupBy("key", "pivot").agg(F.max_by("class", "centrality").alias("class")).select("key", "class"),
-            "onward",
-        )
-        if onward.count() > 0.5 * left.count():
-            return links
-        members = onward
+        groups = written(components(links), "groups").select(F.col("node").alias("class"), "component")
 
 
-def _pairs(found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Verified links between classes of different components (class, component)."""
-    rows = found.join(classes, "class", "left").select(
-        "class",
-        F.coalesce("component", "class").alias("component"),
-        "n",
-        (F.col("n") - F.size("keys")).alias("alone"),
-        F.posexplode("prefix").alias("place", "key"),
-    )
-    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rows = rows.join(open_.select("key"), "key")
-    one, two = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "key")) for x in "ab")
-    most = F.least("place_a", "place_b") + 1 + F.least(
-        F.col("n_a") - F.col("alone_a") - F.col("place_a"), F.col("n_b") - F.col("alone_b") - F.col("place_b")
-    ) - 1
-    need = lambda common: 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
-    pairs = (
-        one.join(two, "key")
-        .where(F.col("component_a") < F.col("component_b"))
-        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .where(need(most))
-        .select("class_a", "class_b")
-        .distinct()
-    )
-    ranges = F.transform(
-        F.sequence(F.lit(0), F.lit(SUFFIX_RANGES - 1)),
-        lambda i: F.size(F.filter("keys", lambda k: F.pmod(k, F.lit(SUFFIX_RANGES)) == i)),
+def _between(found: DataFrame, groups: DataFrame | None, open_: DataFrame, percent: int, keys_per_part: int) -> DataFrame:
+    """Verified links (a, b) that join all components with a link between them."""
+    rows = _places(found, groups).join(open_.select("key", "components"), "key")
+    # An n-gram goes to the block of the widest n-gram that one of its classes has.
+    widest = rows.groupBy("class").agg(F.max(F.struct("components", "key")).alias("widest"))
+    block = rows.join(widest, "class").groupBy("key").agg(F.max("widest")["key"].alias("block"))
+    met = written(
+        rows.join(block, "key")
+        .groupBy(F.col("block").alias("key"), "class")
+        .agg(F.first("component").alias("component"), F.min("place").alias("place"), F.first("weight").alias("weight")),
+        "met",
     )
-    marks = written(found.select("class", "n", ranges.alias("ranges")), "ranges")
-
-    def side(frame: DataFrame, x: str) -> DataFrame:
-        return frame.select(*(F.col(c).alias(f"{c}_{x}") for c in frame.columns))
-
-    # What one side alone has: its n-grams in no other class, and the surplus in each range.
-    apart = F.aggregate(
-        F.zip_with("ranges_a", "ranges_b", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d
+    parts = _open_keys(met).select(
+        "key",
+        F.col("largest.component").alias("largest"),
+        F.ceil(F.col("weight") / keys_per_part).cast("int").alias("parts"),
+        F.ceil((F.col("weight") - F.col("largest.weight")) / keys_per_part).cast("int").alias("pivot_parts"),
     )
-    shared = lambda x: F.aggregate(f"ranges_{x}", F.lit(0), lambda s, d: s + d)
-    kept = (
-        pairs.join(side(marks, "a"), "class_a")
-        .join(side(marks, "b"), "class_b")
-        .where(need(F.floor((shared("a") + shared("b") - apart) / 2)))
-        .select("class_a", "class_b")
+    rows = met.join(parts, "key").withColumn("pivot", F.col("component") != F.col("largest"))
+    row = ["key", "class", "component", "place"]
+    small = (F.col("parts") == 1) & (F.col("pivot_parts") == 1)
+    dealt = rows.where(small).select(*row, "pivot", F.lit(0).alias("part"), F.lit(0).alias("against"))
+    # In a large block, members of a part meet the pivots of each part of pivots.
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    large = rows.where(~small)
+    members = large.select(*row, F.lit(False).alias("pivot"), one("parts").alias("part"), every("pivot_parts").alias("against"))
+    pivots = large.where("pivot").select(
+        *row, "pivot", every("parts").alias("part"), one("pivot_parts").alias("against")
     )
-    sets = found.select("class", "n", "keys")
-    return (
-        kept.join(side(sets, "a"), "class_a")
-        .join(side(sets, "b"), "class_b")
-        .where(need(F.size(F.array_intersect("keys_a", "keys_b"))))
-        .select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    dealt = dealt.union(members).union(pivots)
+    blocks = found.select("class", "n", "keys").join(dealt, "class")
+    return blocks.groupBy("key", "part", "against").applyInArrow(
+        lambda x: _pivots(x, percent, False), "a long, b long"
     )
 
 
@@ -307,11 +347,11 @@ def ngram_jaccard_components(
         .withColumn("prefix", F.slice("keys", 1, (F.size("keys") - need + 1).cast("int"))),
         "found",
     )
-    links = written(_settle_dense(found, percent, keys_per_part), "dense")
-    groups = written(components(links), "groups").select(F.col("node").alias("class"), "component")
-    more = written(_pairs(found, groups, percent), "pairs")
-    if not more.isEmpty():
-        groups = written(components(links.union(more)), "groups").select(F.col("node").alias("class"), "component")
+    groups, open_ = _settle(found, percent, keys_per_part)
+    more = written(_between(found, groups, open_, percent, keys_per_part), "between")
+    if groups is not None:
+        more = more.union(groups.select(F.col("class").alias("a"), F.col("component").alias("b")))
+    groups = components(more).select(F.col("node").alias("class"), "component")
     placed = classes.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
     firsts = placed.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     of_class = placed.join(firsts, "component").select("class", "component_id")
