@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import file_system, new_name, written
+from tidemark.llm.store import file_system, new_name, spread, written
 from tidemark.llm.token_ids import public_path, word_ids
 from tidemark.llm.words import pack_ints, text_blocks, unpack_ints
 
@@ -271,8 +271,7 @@ def write_token_ids(
     for r in rows:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts, max_bits)
-    dealt = drafts.repartition(F.col("file"))
-    return written(dealt.mapInArrow(lambda x: _code_anew(x, draft, folder, lengths), _MANIFEST_DDL), "manifest").drop("counts")
+    return written(spread(drafts, "file").mapInArrow(lambda x: _code_anew(x, draft, folder, lengths), _MANIFEST_DDL), "manifest").drop("counts")
 
 
 def read_token_ids(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
@@ -281,6 +280,6 @@ def read_token_ids(manifest: DataFrame, folder: str, with_ids: bool = False) ->
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     # One row a file.
     placed = manifest.withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0)))
-    dealt = placed.select("file", "before").repartition(F.col("file"))
+    dealt = spread(placed.select("file", "before"), "file")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return dealt.mapInArrow(lambda x: _read(x, folder, with_ids), schema)

@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import work_dir, written
 
-__all__ = ["buckets_for", "file_system", "table", "work_dir", "written"]
+__all__ = ["buckets_for", "file_system", "new_name", "spread", "table", "work_dir", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +25,12 @@ def buckets_for(texts: DataFrame, column: str, chars_per_bucket: int) -> int:
     return max(2 * partitions, math.ceil(chars / chars_per_bucket))
 
 
+def spread(tasks: DataFrame, *columns: str) -> DataFrame:
+    """Small rows that each stand for much work, over all shuffle partitions: a stated number, which
+    AQE does not lower because the rows are few bytes."""
+    return tasks.repartition(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def file_system(uri: str):
     """Arrow's file system for a folder's address, and the folder's path on it."""
     from pyarrow import fs
@@ -38,7 +43,3 @@ def file_system(uri: str):
 def new_name(prefix: str, suffix: str) -> str:
     """A file name no other task attempt uses."""
     return f"{prefix}-{uuid.uuid4().hex}{suffix}"
-
-
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
