@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import written
+from tidemark.llm.store import spread, written
 
 MODEL = "piece_bpe_32k.model"
 GIANT_CHARS, CHUNK_CHARS, SEGMENT_CHUNKS = 50_000, 16_384, 64
@@ -446,9 +446,8 @@ def encode_giants(
         ),
         "chunks",
     )
-    spread = chunks.repartition("row", "chunk")
     matrices = written(
-        spread.mapInArrow(
+        spread(chunks, "row", "chunk").mapInArrow(
             lambda x: _matrices(x, path, segment_chunks),
             "row long, segment long, chunk long, chunks long, entry binary, exit binary, score binary",
         ),

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import file_system, new_name, written
+from tidemark.llm.store import file_system, new_name, spread, written
 
 MIN_BYTES = 100
 FILE_BYTES, RANGE_BYTES, READ_BYTES = 64 << 20, 4 << 20, 256 << 10
@@ -233,7 +233,7 @@ def read_warc(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYTES)
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long")))
     ranges = manifest.where("bytes > 0").select("file", "bytes", starts.alias("start"))
     ranges = ranges.withColumn("end", F.least(F.col("start") + range_bytes, "bytes"))
-    return ranges.repartition(F.col("file"), F.col("start")).mapInArrow(
+    return spread(ranges, "file", "start").mapInArrow(
         lambda x: _read(x, folder),
         "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string",
     )
