@@ -96,7 +96,7 @@ def test_a_block_tells_all_its_components():
     linked = [
         (i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
     ]
-    got = _pivots(block, 80, True)
+    got = _pivots(block, 80)
     got = list(zip(got["a"].to_pylist(), got["b"].to_pylist()))
     assert {tuple(sorted(x)) for x in got} <= {tuple(sorted(x)) for x in linked}
     assert labels(got + same) == labels(linked + same)

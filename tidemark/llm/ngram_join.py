@@ -6,18 +6,15 @@
    by their absence from then on.
 2. In the order (count, hash), a class can only link to another through its first
    ``n - ceil(t n) + 1`` n-grams. A class whose shared n-grams are fewer than ``t n`` drops out.
-3. Dense groups are settled first, in rounds: each class goes to the block of that n-gram of its prefix
-   which is in most components. There pivots, the most central first, are compared with all
-   members in one pass each, until all but the members of the largest component have been
-   pivots. Blocks that hold too much for a task are cut at random, differently each round.
-   Rounds end when few pairs are left, or when they no longer halve their number.
-4. Then all prefix n-grams that still join classes of different components are mapped to blocks,
-   those with members in common mostly to the same one, so that two classes with a common n-gram
-   meet in a block and a class is in few. Each class outside the block's largest component is a
-   pivot against all members, after the length, positional and suffix filters; members of that
-   component need no comparison with each other. Blocks too large for a task are cut into parts,
-   each of which meets all pivots. So no link between components is lost, and no pairs are
-   written out.
+3. Prefix n-grams of two classes or more are mapped to blocks, those with members in common mostly
+   to the same one: two classes with a common prefix n-gram meet in a block, and a class is in few.
+   In a block, pivots, the most central first, are compared with all members of other components
+   that pass the length, positional and suffix filters, in one pass each, until all but the
+   members of the largest component have been pivots. So no link between components is lost, a
+   dense group costs few passes, and no pairs are written out.
+4. Blocks that hold too much for a task are cut at random into parts, anew in each round, while that
+   halves the pairs between components; at last each class outside the largest component meets
+   every part.
 
 The suffix filter compares how many n-grams fall in each of 16 hash ranges: the differences bound
 the number of n-grams in one set only from below.
@@ -46,9 +43,9 @@ from tidemark.llm.words import Words, mix, pack_ints, pack_tail, text_blocks, un
 
 SIZE, PERCENT = 5, 80
 CHARS_PER_BUCKET = 16_000_000
-KEYS_PER_PART = 500_000
-# Rounds go on while more pairs than this many times the rows are left, and each halves them.
-FEW_PAIRS, LESS = 4, 0.5
+KEYS_PER_PART = 1_000_000
+# Rounds over blocks that were cut go on while each leaves no more than this share of the pairs.
+LESS = 0.5
 SUFFIX_RANGES = 16
 _KEY_BYTES = 7
 _SENT = pa.schema([("bucket", pa.int32()), ("classes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
@@ -161,12 +158,12 @@ def _shared(sent: pa.Table) -> pa.Table:
     )
 
 
-def _pivots(block: pa.Table, percent: int, shared: bool) -> pa.Table:
+def _pivots(block: pa.Table, percent: int) -> pa.Table:
     """Links that join the components of a block's classes, as far as any two of them are linked.
 
     Rows marked ``pivot`` are compared with all others, each in one pass. If all are, those of the
-    component that is largest by then need not be. ``place`` is that of an n-gram that all have
-    (``shared``), or the earliest that the first n-gram in common with another may have.
+    component that is largest by then need not be. ``place`` is the earliest that the first n-gram in
+    common with another may have.
     """
     classes, place = block["class"].to_numpy(), block["place"].to_numpy().astype(np.int64)
     sizes, may = block["n"].to_numpy().astype(np.int64), block["pivot"].to_numpy(zero_copy_only=False)
@@ -192,10 +189,7 @@ def _pivots(block: pa.Table, percent: int, shared: bool) -> pa.Table:
         need = -(-percent * (sizes[pivot] + sizes) // (100 + percent))
         some = root != root[pivot]
         some &= 100 * np.minimum(sizes, sizes[pivot]) >= percent * np.maximum(sizes, sizes[pivot])
-        # What may be common from that place on, and before it.
-        most = np.minimum(lengths - place, lengths[pivot] - place[pivot])
-        most += np.minimum(place, place[pivot]) if shared else 0
-        some &= most >= need
+        some &= np.minimum(lengths - place, lengths[pivot] - place[pivot]) >= need
         apart = np.abs(ranges - ranges[pivot]).sum(axis=1)
         some &= lengths + lengths[pivot] - apart >= 2 * need
         some = np.flatnonzero(some)
@@ -216,104 +210,79 @@ def _pivots(block: pa.Table, percent: int, shared: bool) -> pa.Table:
     return pa.table([pa.array(made[:, 0]), pa.array(made[:, 1])], schema=_LINKED)
 
 
-def _places(found: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """Prefix n-grams of all classes, with the component so far."""
-    component = F.col("class")
-    if groups is not None:
-        found, component = found.join(groups, "class", "left"), F.coalesce("component", "class")
-    return found.select(
-        "class",
-        component.alias("component"),
-        "n",
-        F.size("keys").alias("weight"),
-        F.posexplode("prefix").alias("place", "key"),
-    )
+def _blocks(found: DataFrame) -> DataFrame:
+    """``block``, ``class``, ``place`` (the first of the class's n-grams there), ``weight`` (its set's size)."""
+    rows = found.select("class", F.size("keys").alias("weight"), F.posexplode("prefix").alias("place", "key"))
+    open_ = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    rows = rows.join(open_, "key")
+    # An n-gram goes to the block of the widest n-gram that one of its classes has.
+    widest = rows.groupBy("class").agg(F.max(F.struct("members", "key")).alias("widest"))
+    block = rows.join(widest, "class").groupBy("key").agg(F.max("widest")["key"].alias("block"))
+    met = rows.join(block, "key").groupBy("block", "class")
+    return written(met.agg(F.min("place").alias("place"), F.first("weight").alias("weight")), "blocks")
 
 
-def _open_keys(rows: DataFrame) -> DataFrame:
-    """N-grams in more than one component: members, pairs between components, the largest one."""
-    return written(
-        rows.groupBy("key", "component")
-        .agg(F.count("*").alias("m"), F.sum("weight").alias("weight"))
-        .groupBy("key")
-        .agg(
-            F.count("*").alias("components"),
-            F.sum("m").alias("members"),
-            F.sum("weight").alias("weight"),
-            F.max(F.struct("m", "weight", "component")).alias("largest"),
-            ((F.pow(F.sum("m"), F.lit(2)) - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"),
-        )
-        .where("components > 1"),
-        "open",
-    )
+def _compared(found: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that the pivots of each block, part and set of pivots find."""
+    blocks = found.select("class", "n", "keys").join(dealt, "class")
+    made = blocks.groupBy("block", "part", "against").applyInArrow(lambda x: _pivots(x, percent), "a long, b long")
+    return written(made, "links")
 
 
-def _settle(found: DataFrame, percent: int, keys_per_part: int) -> tuple[DataFrame | None, DataFrame]:
-    """Components (class, component) of what lies close together in blocks of one n-gram, and the
-    n-grams that are still in several."""
-    links = groups = left = None
-    rounds = 0
-    while True:
-        rows = _places(found, groups)
-        open_ = _open_keys(rows)
-        state = open_.agg(F.sum("pairs").alias("pairs"), F.sum("members").alias("members")).first()
-        if not state["pairs"] or left is not None and state["pairs"] > LESS * left:
-            return groups, open_
-        if links is not None and state["pairs"] <= FEW_PAIRS * state["members"]:
-            return groups, open_
-        left, rounds = state["pairs"], rounds + 1
-        chosen = (
-            rows.join(open_.withColumnRenamed("weight", "of_key"), "key")
-            .groupBy("class")
-            .agg(F.max(F.struct("components", "key", "of_key", "place")).alias("of"), F.first("component").alias("component"))
-            .withColumn("part", F.pmod(F.xxhash64("class", F.lit(rounds)), F.ceil(F.col("of.of_key") / keys_per_part)))
-        )
-        blocks = found.select("class", "n", "keys").join(
-            chosen.select("class", "component", "of.key", "of.place", "part", F.lit(True).alias("pivot")), "class"
+def _between(rows: DataFrame, keys_per_part: int) -> DataFrame:
+    """Blocks of ``rows`` with each class outside the largest component against all parts."""
+    sizes = rows.groupBy("block", "component").agg(F.count("*").alias("m"), F.sum("weight").alias("weight"))
+    parts = (
+        sizes.groupBy("block")
+        .agg(F.count("*").alias("several"), F.sum("weight").alias("all"), F.max(F.struct("m", "weight", "component")).alias("top"))
+        .where("several > 1")
+        .select(
+            "block",
+            F.col("top.component").alias("largest"),
+            F.ceil(F.col("all") / keys_per_part).cast("int").alias("parts"),
+            F.ceil((F.col("all") - F.col("top.weight")) / keys_per_part).cast("int").alias("pivot_parts"),
         )
-        new = written(
-            blocks.groupBy("key", "part").applyInArrow(lambda x: _pivots(x, percent, True), "a long, b long"),
-            "links",
-        )
-        links = new if links is None else links.union(new)
-        groups = written(components(links), "groups").select(F.col("node").alias("class"), "component")
-
-
-def _between(found: DataFrame, groups: DataFrame | None, open_: DataFrame, percent: int, keys_per_part: int) -> DataFrame:
-    """Verified links (a, b) that join all components with a link between them."""
-    rows = _places(found, groups).join(open_.select("key", "components"), "key")
-    # An n-gram goes to the block of the widest n-gram that one of its classes has.
-    widest = rows.groupBy("class").agg(F.max(F.struct("components", "key")).alias("widest"))
-    block = rows.join(widest, "class").groupBy("key").agg(F.max("widest")["key"].alias("block"))
-    met = written(
-        rows.join(block, "key")
-        .groupBy(F.col("block").alias("key"), "class")
-        .agg(F.first("component").alias("component"), F.min("place").alias("place"), F.first("weight").alias("weight")),
-        "met",
-    )
-    parts = _open_keys(met).select(
-        "key",
-        F.col("largest.component").alias("largest"),
-        F.ceil(F.col("weight") / keys_per_part).cast("int").alias("parts"),
-        F.ceil((F.col("weight") - F.col("largest.weight")) / keys_per_part).cast("int").alias("pivot_parts"),
     )
-    rows = met.join(parts, "key").withColumn("pivot", F.col("component") != F.col("largest"))
-    row = ["key", "class", "component", "place"]
-    small = (F.col("parts") == 1) & (F.col("pivot_parts") == 1)
-    dealt = rows.where(small).select(*row, "pivot", F.lit(0).alias("part"), F.lit(0).alias("against"))
-    # In a large block, members of a part meet the pivots of each part of pivots.
+    rows = rows.join(parts, "block")
+    row = ["block", "class", "component", "place"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
-    large = rows.where(~small)
-    members = large.select(*row, F.lit(False).alias("pivot"), one("parts").alias("part"), every("pivot_parts").alias("against"))
-    pivots = large.where("pivot").select(
-        *row, "pivot", every("parts").alias("part"), one("pivot_parts").alias("against")
-    )
-    dealt = dealt.union(members).union(pivots)
-    blocks = found.select("class", "n", "keys").join(dealt, "class")
-    return blocks.groupBy("key", "part", "against").applyInArrow(
-        lambda x: _pivots(x, percent, False), "a long, b long"
+    members = rows.select(*row, F.lit(False).alias("pivot"), one("parts").alias("part"), every("pivot_parts").alias("against"))
+    pivots = rows.where(F.col("component") != F.col("largest")).select(
+        *row, F.lit(True).alias("pivot"), every("parts").alias("part"), one("pivot_parts").alias("against")
     )
+    return members.union(pivots)
+
+
+def _links(found: DataFrame, percent: int, keys_per_part: int) -> DataFrame:
+    """Verified links (a, b) that join all classes between which there is a path of links."""
+    met = _blocks(found)
+    sizes = met.groupBy("block").agg(F.sum("weight").alias("all"), F.count("*").alias("members")).where("members > 1")
+    parts = sizes.select("block", F.ceil(F.col("all") / keys_per_part).cast("int").alias("parts"))
+    rows = met.join(parts, "block").withColumn("component", F.col("class"))
+
+    def at_random(rows: DataFrame, round_: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("class", F.lit(round_)), F.col("parts")).cast("int")
+        return rows.select(
+            "block", "class", "component", "place", F.lit(True).alias("pivot"), part.alias("part"), F.lit(0).alias("against")
+        )
+
+    links, rounds, left = _compared(found, at_random(rows, 0), percent), 0, None
+    cut = written(rows.where("parts > 1").drop("component"), "cut")
+    if cut.isEmpty():
+        return links
+    while True:
+        groups = components(links).select(F.col("node").alias("class"), "component")
+        rows = cut.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        sizes = rows.groupBy("block", "component").agg(F.count("*").alias("m")).groupBy("block")
+        pairs = sizes.agg((F.pow(F.sum("m"), F.lit(2)) - F.sum(F.col("m") * F.col("m"))).alias("pairs"))
+        now = pairs.agg(F.sum("pairs")).first()[0]
+        if not now:
+            return links
+        if left is not None and now > LESS * left:
+            return links.union(_compared(found, _between(rows.drop("parts"), keys_per_part), percent))
+        left, rounds = now, rounds + 1
+        links = links.union(_compared(found, at_random(rows, rounds), percent))
 
 
 def ngram_jaccard_components(
@@ -347,11 +316,8 @@ def ngram_jaccard_components(
         .withColumn("prefix", F.slice("keys", 1, (F.size("keys") - need + 1).cast("int"))),
         "found",
     )
-    groups, open_ = _settle(found, percent, keys_per_part)
-    more = written(_between(found, groups, open_, percent, keys_per_part), "between")
-    if groups is not None:
-        more = more.union(groups.select(F.col("class").alias("a"), F.col("component").alias("b")))
-    groups = components(more).select(F.col("node").alias("class"), "component")
+    links = _links(found, percent, keys_per_part)
+    groups = components(links).select(F.col("node").alias("class"), "component")
     placed = classes.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
     firsts = placed.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     of_class = placed.join(firsts, "component").select("class", "component_id")
