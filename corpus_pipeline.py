@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,16 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The raw documents, which labels were given to; ``docs`` in a folder that has no such table."""
+    try:
+        return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return docs
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts good."""
     model = mil_quality.fit(docs, mil_quality.quality_labels(_labels(spark, sf_dir)))
@@ -31,8 +42,10 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base statistics and the learned decision list."""
-    rules = quality_rules.fit_rules(docs, quality_rules.quality_labels(_labels(spark, sf_dir)))
+    """Documents that pass the base statistics and the decision list, learned from the raw documents:
+    stage 1 leaves hardly a bad one to learn from."""
+    raw = _labelled(spark, docs, sf_dir)
+    rules = quality_rules.fit_rules(raw, quality_rules.quality_labels(_labels(spark, sf_dir)))
     return quality_rules.apply_rules(docs, rules).where("kept").select("row.*")
 
 

@@ -87,3 +87,12 @@ def test_empty_tables(empty, docs, spark):
     assert R.fit_rules(docs, none) == []
     assert R.fit_rules(empty, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, label int")) == []
     assert R.apply_rules(empty, []).collect() == []
+
+
+def test_labels_of_absent_documents_take_no_place_in_the_sample(spark):
+    made = [(i, ("#%& " if i % 2 else "") + " ".join(f"w{i}x{k}" for k in range(60))) for i in range(200)]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    labels = spark.range(20_000).selectExpr("id as doc_id", "cast(id % 2 = 0 as int) as label")
+    rules = R.fit_rules(frame, labels, max_per_label=100)
+    assert rules
+    assert {r[0] % 2 for r in R.apply_rules(frame, rules).where("kept").select("row.doc_id").collect()} == {0}

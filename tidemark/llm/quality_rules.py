@@ -1,7 +1,7 @@
 """Quality rules: base statistics of whole texts, and a decision list learned from labels.
 
 Everything that touches documents is a Spark expression. Statistics of labelled documents, at most
-``MAX_PER_LABEL`` of each label (those with the smallest hash of ``doc_id``), come to the driver,
+``MAX_PER_LABEL`` of each label (of the ids that documents have, those with the smallest hash), come to the driver,
 where sequential covering learns rules that reject: each rule grows by the condition with the
 highest gain (FOIL), is pruned from its end on rows kept apart, and takes the rows it covers out
 before the next rule is sought. The list goes back as one ordered conditional expression.
@@ -209,19 +209,21 @@ def learn_rules(rows: np.ndarray, bad: np.ndarray, importance: np.ndarray, seed:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL) -> list[Rule]:
-    """A decision list from ``labels`` (doc_id, label: 1 good, 0 bad)."""
+    """A decision list from ``labels`` (doc_id, label: 1 good, 0 bad) of ``docs``."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     clean = (
         labels.where("doc_id is not null and label in (0, 1)")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min("label").cast("int").alias("label"), F.max("label").alias("other"))
         .where("label = other")
         .drop("other")
+        # Labels of absent documents take no place in the sample and no part in its weights.
+        .join(narrow.select("doc_id").distinct(), "doc_id", "left_semi")
     )
     counts = {r["label"]: r["n"] for r in clean.groupBy("label").agg(F.count("*").alias("n")).collect()}
     good, bad = (
         clean.where(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_label) for x in (1, 0)
     )
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Broadcast: at most 2 * max_per_label narrow rows.
     met = statistics(narrow.join(F.broadcast(good.union(bad)), "doc_id"))
     fields = [F.col(f"stats.{f}").cast("double").alias(f) for f in FEATURES]
