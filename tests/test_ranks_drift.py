@@ -97,3 +97,25 @@ def test_basics(spark):
     df = spark.createDataFrame([(1.0, 0), (3.0, 2_000_000)], "v double, at long")
     row = profile.basics(df, "v", at_us=df["at"]).first()
     assert tuple(row) == (2, 1.0, 3.0, 2.0, 1.0)
+
+
+@pytest.mark.parametrize("policy", POLICIES)
+def test_features_of_a_table_are_reported_as_if_named(spark, policy):
+    rng = np.random.default_rng(8)
+    rows = [(f"f{i}", s, float(x)) for i in range(60) for s in ("baseline", "current") for x in rng.normal(i, 1, 4 + i)]
+    values = spark.createDataFrame(rows, "feature string, side string, value double")
+    names = [f"f{i}" for i in range(0, 60, 2)] + ["absent"]
+    asked = spark.createDataFrame([(n,) for n in names * 2], "feature string")
+    got = drift.drift_report(values, asked, policy=policy)
+    assert "Broadcast" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = drift.drift_report(values, names, policy=policy)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_drift_is_reported_of_every_user(spark):
+    from tidemark.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = [r.feature for r in QUERIES["drift_every_user"](spark, sf).collect()]
+    users = spark.read.parquet(f"{sf}/events.parquet").where("user_id is not null").select("user_id").distinct()
+    assert sorted(got) == sorted(str(r.user_id) for r in users.collect())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numerics import round_even
-from tidemark.operators.ranks import interpolated, numbers
+from tidemark.operators.ranks import interpolated, named_rows, numbers
 from tidemark.operators.slicing import SkewPolicy
 
 BASELINE, CURRENT = "baseline", "current"
@@ -24,7 +24,7 @@ TOO_FEW_VALUES, INCOMPLETE = "TOO_FEW_VALUES", "INCOMPLETE"
 
 def psi(
     values: DataFrame,
-    features: Sequence[str],
+    features: Sequence[str] | DataFrame,
     *,
     buckets: int = 10,
     policy: SkewPolicy | None = None,
@@ -36,8 +36,8 @@ def psi(
     are open, and an empty share counts as ``FLOOR_SHARE``. With fewer than two different
     edges the index is 0. Also gives size and mean of both sides.
 
-    Only the named ``features`` are read, so what is broadcast has one row for each of them.
-    The values are scanned twice: for the edges, and to place them in buckets.
+    Only the named ``features`` are read, so what is broadcast has one row for each of them. A
+    DataFrame with a column ``feature`` may name any number of them; then nothing is broadcast. The values are scanned twice: for the edges, and to place them in buckets.
     """
     values = numbers(values, "value", "feature", features)
     shares = [i / buckets for i in range(buckets + 1)]
@@ -57,7 +57,7 @@ def psi(
         f"CASE WHEN {i} < size(edges) - 1 AND value >= get(edges, {i}) THEN 1 ELSE 0 END"
         for i in range(1, buckets)
     ]
-    placed = values.join(F.broadcast(edges), "feature").withColumn(
+    placed = values.join(named_rows(edges, features), "feature").withColumn(
         "bucket", F.expr(" + ".join(["0", *inner]))
     )
 
@@ -102,16 +102,20 @@ def psi(
 
 def drift_report(
     values: DataFrame,
-    features: Sequence[str],
+    features: Sequence[str] | DataFrame,
     *,
     buckets: int = 10,
     policy: SkewPolicy | None = None,
 ) -> DataFrame:
-    """Index, means, mean shift and status of every feature asked for.
+    """Index, means, mean shift and status of every feature asked for, by name or in the column
+    ``feature`` of a DataFrame of any size.
 
     A feature with fewer than ``MIN_VALUES`` on a side, also with none, has no index and says so.
     """
-    asked = values.sparkSession.createDataFrame([(f,) for f in dict.fromkeys(features)], "feature string")
+    if isinstance(features, DataFrame):
+        asked = features = features.select("feature").distinct()
+    else:
+        asked = values.sparkSession.createDataFrame([(f,) for f in dict.fromkeys(features)], "feature string")
     counts = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("baseline_count", "current_count")}
     # One row a feature on both sides.
     found = (

@@ -19,28 +19,40 @@ SIZE = "n"
 ALL = "_all"
 
 
-def numbers(df: DataFrame, value: str, by: str | None, names: Sequence[str]) -> DataFrame:
+def named_rows(rows: DataFrame, names: Sequence[str] | DataFrame) -> DataFrame:
+    """Rows of which each group has one: broadcast for groups named one by one, for the groups of a
+    DataFrame, of which there may be any number, as they are."""
+    return rows if isinstance(names, DataFrame) else F.broadcast(rows)
+
+
+def numbers(df: DataFrame, value: str, by: str | None, names: Sequence[str] | DataFrame) -> DataFrame:
     """The measured values as doubles, without nulls and NaN, for the named groups."""
     # Adding zero makes -0.0 and 0.0 one value.
     number = F.col(value).cast("double") + F.lit(0.0)
     group = F.lit(0).alias(ALL)
     if by is not None:
-        df, group = df.where(F.col(by).isin(list(names))), F.col(by)
+        if isinstance(names, DataFrame):
+            df = df.join(names.select(by), by, "left_semi")
+        else:
+            df = df.where(F.col(by).isin(list(names)))
+        group = F.col(by)
     rest = [c for c in df.columns if c not in (by, value)]
     return df.select(group, *rest, number.alias(value)).where(
         F.col(value).isNotNull() & ~F.isnan(value)
     )
 
 
-def _positions(values: DataFrame, one: str, value: str, policy: SkewPolicy | None) -> DataFrame:
+def _positions(
+    values: DataFrame, one: str, value: str, policy: SkewPolicy | None, names: Sequence[str] | DataFrame
+) -> DataFrame:
     """Distinct values, the zero-based ranks ``first .. last`` they cover, and group size."""
     # Only the number of distinct values matters, and a sketch finds that without a shuffle.
     splits = find_splits(values, [one], value, policy, size=F.approx_count_distinct(value))
     counts = values.groupBy(one, value).agg(F.count("*").alias("rows"))
     ranked = running_totals(counts, [one], value, {"upto": F.col("rows")}, splits=splits)
-    # One row per group the caller has named; Spark shuffles the counts once for both uses.
+    # One row per group; Spark shuffles the counts once for both uses.
     sizes = counts.groupBy(one).agg(F.sum("rows").alias(SIZE))
-    return ranked.join(F.broadcast(sizes), one).select(
+    return ranked.join(named_rows(sizes, names), one).select(
         one,
         value,
         SIZE,
@@ -60,7 +72,7 @@ def nearest_rank(
     shares: dict[str, float],
     *,
     by: str | None = None,
-    names: Sequence[str] = (),
+    names: Sequence[str] | DataFrame = (),
     policy: SkewPolicy | None = None,
 ) -> DataFrame:
     """For each share ``p`` the value at rank ``ceil(p * n)``, the first rank being 1.
@@ -68,7 +80,7 @@ def nearest_rank(
     One row, or one per group ``names`` of the column ``by``.
     """
     one = by or ALL
-    placed = _positions(numbers(df, value, by, names), one, value, policy)
+    placed = _positions(numbers(df, value, by, names), one, value, policy, names)
 
     def rank(p: float) -> str:
         return f"least(greatest(cast(ceil({p}D * {SIZE}) AS long) - 1, 0), {SIZE} - 1)"
@@ -84,12 +96,12 @@ def interpolated(
     name: str,
     *,
     by: str | None = None,
-    names: Sequence[str] = (),
+    names: Sequence[str] | DataFrame = (),
     policy: SkewPolicy | None = None,
 ) -> DataFrame:
     """An array with the linearly interpolated quantile for each share."""
     one = by or ALL
-    placed = _positions(numbers(df, value, by, names), one, value, policy)
+    placed = _positions(numbers(df, value, by, names), one, value, policy, names)
     picks = [F.max(SIZE).alias(SIZE)]
     for i, p in enumerate(shares):
         below = f"cast(floor(({SIZE} - 1) * {p}D) AS long)"

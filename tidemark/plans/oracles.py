@@ -455,6 +455,17 @@ sides AS (
 SELECT a.feature, coalesce(r.status, 'TOO_FEW_VALUES') AS status,
        coalesce(n.nb, 0) AS baseline_count, coalesce(n.nc, 0) AS current_count
 FROM asked a LEFT JOIN n USING (feature) LEFT JOIN report r USING (feature)""",
+    "drift_every_user": f"""WITH n AS (
+  SELECT CAST(user_id AS VARCHAR) AS feature,
+         COUNT(value) FILTER (WHERE ts < {_SPLIT}) AS nb, COUNT(value) FILTER (WHERE ts >= {_SPLIT}) AS nc
+  FROM events WHERE user_id IS NOT NULL GROUP BY 1),
+sides AS (
+  SELECT CAST(user_id AS VARCHAR) AS feature,
+         CASE WHEN ts < {_SPLIT} THEN 'baseline' ELSE 'current' END AS side, value FROM events
+  WHERE user_id IS NOT NULL), {_PSI}
+SELECT n.feature, coalesce(r.status, 'TOO_FEW_VALUES') AS status,
+       n.nb AS baseline_count, n.nc AS current_count
+FROM n LEFT JOIN report r USING (feature)""",
     "quality_rules": f"WITH {_FRAUD}, {_MERCHANT}, {_CHECKS}, {_RULES} SELECT * FROM rules",
     "quality_score": f"""WITH {_FRAUD}, {_MERCHANT}, {_CHECKS}, {_RULES}
 SELECT COUNT(*) AS total_rules, COUNT(*) FILTER (WHERE passed) AS passed_count,
