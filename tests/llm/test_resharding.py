@@ -94,3 +94,29 @@ def test_only_affected_shards_are_written(spark, tmp_path):
 def test_empty_table(empty, tmp_path):
     plan = S.plan_shards(empty, S.old_shard_by_text())
     assert S.rewrite(empty, plan, S.old_shard_by_text(), str(tmp_path / "s")).collect() == []
+
+
+def test_untouched_shards_are_returned(spark, tmp_path):
+    frame = spark.createDataFrame([(i, "same size", i // 10) for i in range(30)], "doc_id long, text string, at int")
+    balanced = S.rewrite(frame, S.plan_shards(frame, F.col("at"), 3), F.col("at"), str(tmp_path / "t"), untouched=True)
+    got = balanced.collect()
+    assert check(got, [17] * 30, 3) == [170] * 3 and all(r["shard"] == r["old_shard"] == r["doc_id"] // 10 for r in got)
+    old = F.when(F.col("doc_id") < 10, 0).when(F.col("doc_id") < 25, 2).otherwise(1)
+    plan = S.plan_shards(frame, old, 3)
+    got = S.rewrite(frame, plan, old, str(tmp_path / "s"), untouched=True).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(30)) and check(got, [17] * 30, 3) == [170] * 3
+
+
+def test_query_keeps_documents_of_untouched_shards(spark, tmp_path):
+    from tidemark.llm.queries import QUERIES
+
+    texts = spark.range(2_000).selectExpr("id as doc_id", "format_string('text %05d', id) as text")
+    old = defaultdict(list)
+    for r in texts.withColumn("old", S.old_shard_by_text()).collect():
+        old[r["old"]].append((r["doc_id"], r["text"]))
+    # 240 documents of one size for 24 shards of 10; twelve old shards hold 10 already.
+    some = [x for j in range(20) for x in old[j][: 10 if j < 12 else 15]]
+    spark.createDataFrame(some, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op10_resharding"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in some)
+    check(got, [18] * 240, 24)

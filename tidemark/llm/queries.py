@@ -79,7 +79,7 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     old = resharding.old_shard_by_text()
     plan = resharding.plan_shards(docs, old)
-    rows = resharding.rewrite(docs, plan, old, work_dir(spark, "shards"))
+    rows = resharding.rewrite(docs, plan, old, work_dir(spark, "shards"), untouched=True)
     return rows.select(
         "doc_id",
         "size",

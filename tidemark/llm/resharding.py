@@ -185,15 +185,18 @@ def apply_plan(docs: DataFrame, plan: Plan, old_shard: Column) -> DataFrame:
     )
 
 
-def rewrite(docs: DataFrame, plan: Plan, old_shard: Column, folder: str) -> DataFrame:
+def rewrite(docs: DataFrame, plan: Plan, old_shard: Column, folder: str, untouched: bool = False) -> DataFrame:
     """Write the affected shards, those that give or take bytes, under ``folder`` (one folder a
-    shard), and return their rows as read back, with ``slot``: the place in the shard, from 0."""
+    shard), and return their rows as read back, with ``slot``: the place in the shard, from 0. With
+    ``untouched`` also the rows of all other shards, which are numbered and not written."""
     n_old, affected = plan.old_shards, []
     for j in range(plan.shards):
         stays = plan.flow[j][j] if j < n_old else 0
         if sum(row[j] for row in plan.flow) != stays or j < n_old and sum(plan.flow[j]) != stays:
             affected.append(j)
-    assigned = apply_plan(docs, plan, old_shard).where(F.col("shard").isin(affected))
+    rest = untouched and len(affected) < plan.shards
+    assigned = apply_plan(docs, plan, old_shard)
+    assigned = assigned if rest else assigned.where(F.col("shard").isin(affected))
     counts = written(assigned.groupBy("shard", "cell").agg(F.count("*").alias("n")), "cells")
     # Rows here are cells, of which a shard has a bounded number.
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -205,6 +208,8 @@ def rewrite(docs: DataFrame, plan: Plan, old_shard: Column, folder: str) -> Data
     numbered = dealt.withColumn("slot", (F.row_number().over(inside) - 1 + F.col("before")).cast("long"))
     own = ["size", "old_shard", "slot", "shard"]
     kept = [f"row.{c}" for c in docs.columns if c not in own]
-    numbered.select(*kept, *own).write.partitionBy("shard").parquet(folder)
-    schema = numbered.select(*kept, *own).schema
-    return docs.sparkSession.read.schema(schema).parquet(folder)
+    made = numbered.select(*kept, *own)
+    moved = made.where(F.col("shard").isin(affected)) if rest else made
+    moved.write.partitionBy("shard").parquet(folder)
+    back = docs.sparkSession.read.schema(made.schema).parquet(folder)
+    return back.unionByName(made.where(~F.col("shard").isin(affected))) if rest else back
