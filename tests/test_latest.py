@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import T0, minutes
+from times import T0, minutes
 
 from tidemark.operators import latest
 from tidemark.operators.latest import ViewState

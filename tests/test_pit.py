@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import T0, minutes
+from times import T0, minutes
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
