@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import huffman, mil_quality, quality_rules, resharding, warc
+from tidemark.llm.filter_audit import filter_audit
+from tidemark.llm.katz import katz_scores
 from tidemark.llm.ngram_join import ngram_jaccard_components
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.sentencepiece_scan import sentencepiece_digests
+from tidemark.llm.spelling import spelling_variants
 from tidemark.llm.store import table, work_dir
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.topk import top_k
@@ -92,6 +95,18 @@ def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_topk_search": op2_topk_search,
@@ -103,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_warc": op9_warc,
     "op10_resharding": op10_resharding,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_katz_scores": op13_katz_scores,
 }
 
 ORACLES: dict[str, str] = {
@@ -182,4 +200,91 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "op11_filter_audit": f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+        ),
+        f AS (
+            SELECT doc_id, part,
+                   (len(w) < 200)::INTEGER + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INTEGER
+                   + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INTEGER
+                   + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER
+                   + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INTEGER AS bits
+            FROM d
+        ),
+        l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+        c AS (
+            SELECT part, bits, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+            FROM f LEFT JOIN l USING (doc_id) GROUP BY part, bits
+        ),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+        o AS (
+            SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bs
+            FROM x AS p, x AS q, x AS r, x AS s, x AS t
+            WHERE p.b + q.b + r.b + s.b + t.b = 31 AND len(list_distinct([p.b, q.b, r.b, s.b, t.b])) = 5
+        ),
+        steps AS (
+            SELECT filter_order, step::INTEGER AS step, bs[step] AS bit, coalesce(list_sum(bs[1 : step - 1]), 0)::INTEGER AS before
+            FROM o, range(1, 6) AS r(step)
+        ),
+        e AS (SELECT *, (bits & bit) <> 0 AS fails, (bits & before) <> 0 AS earlier FROM c, steps)
+        SELECT part, filter_order, step,
+               coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0)::BIGINT AS kept,
+               coalesce(sum(n) FILTER (fails AND NOT earlier), 0)::BIGINT AS removed,
+               coalesce(sum(n) FILTER (fails AND earlier), 0)::BIGINT AS redundant,
+               coalesce(sum(n) FILTER (bits = bit), 0)::BIGINT AS unique_fails,
+               coalesce(sum(good) FILTER (fails AND NOT earlier), 0)::BIGINT AS good_lost,
+               coalesce(sum(toxic) FILTER (fails AND NOT earlier), 0)::BIGINT AS toxic_lost,
+               coalesce(sum(n * (120 // greatest(bit_count(bits), 1))) FILTER (fails), 0)::BIGINT AS shapley
+        FROM e GROUP BY part, filter_order, step
+    """,
+    "op12_spelling_variants": """
+        WITH RECURSIVE crc AS (
+            SELECT list(c ORDER BY b) AS t FROM (
+                SELECT b, list_reduce([b] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+                FROM range(256) AS r(b)
+            )
+        ),
+        d AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+            FROM documents
+        ),
+        u AS (
+            SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS x FROM d WHERE length(run) >= 5 GROUP BY doc_id, run
+        ),
+        h AS (
+            SELECT doc_id, run, n, coalesce(xor(4294967295, list_reduce(
+                [4294967295] || list_transform(range(len(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))), 1) AS h
+            FROM u, crc
+        ),
+        r AS (
+            SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+                   ELSE run END AS word, n FROM h
+        ),
+        w AS (SELECT word, sum(n)::BIGINT AS n FROM r WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        v AS (SELECT word, n, i, left(word, i) || '_' || substr(word, i + 2) AS gap, left(word, i) || substr(word, i + 2) AS less
+              FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+        p AS (
+            SELECT a.word, b.word AS near FROM v AS a JOIN v AS b ON a.gap = b.gap AND a.word <> b.word
+            UNION SELECT a.word, b.word FROM v AS a JOIN w AS b ON a.less = b.word
+            UNION SELECT b.word, a.word FROM v AS a JOIN w AS b ON a.less = b.word
+        ),
+        m AS (
+            SELECT p.word, count(*) AS n_near, first(p.near ORDER BY b.n DESC, hex(encode(p.near))) AS near,
+                   max(b.n) AS near_n FROM p JOIN w AS b ON b.word = p.near GROUP BY p.word
+        ),
+        f AS (
+            SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near,
+                   CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+            FROM w LEFT JOIN m USING (word)
+        ),
+        e(word, root, n) AS (
+            SELECT word, word, n FROM f UNION ALL SELECT e.word, f.form, f.form_n FROM e JOIN f ON f.word = e.root WHERE f.form IS NOT NULL
+        ),
+        g AS (SELECT word, last(root ORDER BY n) AS root FROM e GROUP BY word)
+        SELECT f.word, form, root, f.n, n_near, form_n FROM f JOIN g USING (word)
+    """,
 }
