@@ -50,7 +50,7 @@ from tidemark.llm.words import Words, mix, pack_gaps, pack_ints, text_blocks, un
 
 FOLDS, HELD_OUT = 5, 1
 K = 5
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 WORDS_PER_BUCKET, PAIRS_PER_BUCKET = 2_000_000, 2_000_000
 CONTEXT_TOKENS, MOST_CONTEXTS = 1_000_000, 100_000
 _END = np.uint64(0xA076_1D64_78BD_642F)
@@ -294,32 +294,31 @@ class _Pairs:
         self.seen = np.bincount(self.pair[learned[self.known]], minlength=len(order))
 
 
-def _send_pairs(batches: Iterator[pa.RecordBatch], plan: _Plan) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            p = _Pairs(row, plan)
-            steps = np.diff(p.word, prepend=0)
-            steps[p.starts] = p.word[p.starts]
-            run_sizes = np.diff(np.append(p.starts, len(p.context)))
-            run_bucket, found = p.bucket[p.starts], []
-            for a, b in _runs(run_bucket):
-                first, end = p.starts[a], p.starts[a] + run_sizes[a:b].sum()
-                contexts = p.context[p.starts[a:b]]
-                found.append(
-                    (
-                        int(run_bucket[a]),
-                        row["block"],
-                        pack_gaps(contexts),
-                        pack_ints(run_sizes[a:b]),
-                        pack_ints(steps[first:end]),
-                        pack_ints(p.seen[first:end]),
-                        pack_ints(p.word_counts[first:end]),
-                        pack_gaps(contexts[p.spread[p.starts[a:b]]]),
-                    )
+def _send_pairs(blocks: pa.Table, plan: _Plan) -> pa.Table:
+    """What a block sends; its row comes alone."""
+    found = []
+    for row in blocks.to_pylist():
+        p = _Pairs(row, plan)
+        steps = np.diff(p.word, prepend=0)
+        steps[p.starts] = p.word[p.starts]
+        run_sizes = np.diff(np.append(p.starts, len(p.context)))
+        run_bucket = p.bucket[p.starts]
+        for a, b in _runs(run_bucket):
+            first, end = p.starts[a], p.starts[a] + run_sizes[a:b].sum()
+            contexts = p.context[p.starts[a:b]]
+            found.append(
+                (
+                    int(run_bucket[a]),
+                    row["block"],
+                    pack_gaps(contexts),
+                    pack_ints(run_sizes[a:b]),
+                    pack_ints(steps[first:end]),
+                    pack_ints(p.seen[first:end]),
+                    pack_ints(p.word_counts[first:end]),
+                    pack_gaps(contexts[p.spread[p.starts[a:b]]]),
                 )
-            if found:
-                yield _rows(found, _PAIRS_SENT_ARROW)
+            )
+    return pa.Table.from_batches([_rows(found, _PAIRS_SENT_ARROW)] if found else [], _PAIRS_SENT_ARROW)
 
 
 def _count_pairs(sent: pa.Table, vocabulary: Vocabulary) -> pa.Table:
@@ -380,32 +379,33 @@ class Model:
         return total, left / (1 - own)
 
 
-def _evaluate(batches: Iterator[pa.RecordBatch], plan: _Plan, model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            p = _Pairs(row, plan)
-            score = np.log10(model.vocabulary.own(p.counts))
-            backed_off = np.ones(len(p.counts), bool)
-            if len(p.context):
-                answers = sorted(row["pairs"], key=lambda x: x["bucket"])
-                counts = np.concatenate([unpack_ints(x["counts"]) for x in answers])
-                numbers = np.concatenate([unpack_ints(x["numbers"]) for x in answers]).reshape(-1, NUMBERS)
-                own = np.concatenate([np.frombuffer(x["own"], np.float64) for x in answers])
-                spread = np.flatnonzero(p.spread[p.starts])
-                if len(spread):
-                    at = np.searchsorted(model.contexts, p.context[p.starts[spread]])
-                    numbers[spread], own = model.numbers[at], own.copy()
-                    own[spread] = model.own[at]
-                total, weight = model.weights(numbers, own)
-                met = counts > 0
-                pair = np.log10(weight)[p.run]
-                pair[met] = np.log10(model.pairs.lowered(counts[met]) / total[p.run[met]])
-                backed_off[p.known] = ~met[p.pair]
-                score[p.known] = np.where(met[p.pair], 0, score[p.known]) + pair[p.pair]
-            base = model.vocabulary.base(p.counts)
-            sums = lambda x: np.add.reduceat(x, p.firsts)
-            yield pa.RecordBatch.from_pydict(
+def _evaluate(blocks: pa.Table, plan: _Plan, model: Model) -> pa.Table:
+    """Scores of a block's documents; its row comes alone."""
+    made = []
+    for row in blocks.to_pylist():
+        p = _Pairs(row, plan)
+        score = np.log10(model.vocabulary.own(p.counts))
+        backed_off = np.ones(len(p.counts), bool)
+        if len(p.context):
+            answers = sorted(row["pairs"], key=lambda x: x["bucket"])
+            counts = np.concatenate([unpack_ints(x["counts"]) for x in answers])
+            numbers = np.concatenate([unpack_ints(x["numbers"]) for x in answers]).reshape(-1, NUMBERS)
+            own = np.concatenate([np.frombuffer(x["own"], np.float64) for x in answers])
+            spread = np.flatnonzero(p.spread[p.starts])
+            if len(spread):
+                at = np.searchsorted(model.contexts, p.context[p.starts[spread]])
+                numbers[spread], own = model.numbers[at], own.copy()
+                own[spread] = model.own[at]
+            total, weight = model.weights(numbers, own)
+            met = counts > 0
+            pair = np.log10(weight)[p.run]
+            pair[met] = np.log10(model.pairs.lowered(counts[met]) / total[p.run[met]])
+            backed_off[p.known] = ~met[p.pair]
+            score[p.known] = np.where(met[p.pair], 0, score[p.known]) + pair[p.pair]
+        base = model.vocabulary.base(p.counts)
+        sums = lambda x: np.add.reduceat(x, p.firsts)
+        made.append(
+            pa.table(
                 {
                     "doc_id": pa.array(row["doc_ids"], pa.int64()),
                     "held_out": pa.array(row["held"], pa.bool_()),
@@ -416,6 +416,8 @@ def _evaluate(batches: Iterator[pa.RecordBatch], plan: _Plan, model: Model) -> I
                     "score": pa.array(sums(score)),
                 }
             )
+        )
+    return pa.concat_tables(made)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, n_backed_off long, base_score double, score double"
@@ -466,7 +468,8 @@ def katz_scores(
     plan = _Plan(word_buckets, max(partitions, math.ceil(tokens / pairs_per_bucket)), spread)
     answers = words.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "ids", "counts")).alias("answers"))
     met = blocks.select("block", "held", "sizes", "words", "tokens").join(answers, "block")
-    sent = met.mapInArrow(lambda x: _send_pairs(x, plan), _PAIRS_SENT)
+    # Joined by block, rows lie by block: one at a time in Python.
+    sent = met.groupBy("block").applyInArrow(lambda x: _send_pairs(x, plan), _PAIRS_SENT)
     pairs = written(sent.groupBy("bucket").applyInArrow(lambda x: _count_pairs(x, vocabulary), _PAIRS), "pairs")
     discount = Discount.of(_sum_lists(pairs.where("block is null and context is null"), K + 1))
     # At most tokens / spread contexts.
@@ -480,7 +483,7 @@ def katz_scores(
         .agg(F.collect_list(F.struct("bucket", "counts", "numbers", "own")).alias("pairs"))
     )
     met = blocks.select("block", "doc_ids", "held", "sizes", "words", "tokens").join(answers, "block").join(found, "block", "left")
-    scores = met.mapInArrow(lambda x: _evaluate(x, plan, model), _SCORES)
+    scores = met.groupBy("block").applyInArrow(lambda x: _evaluate(x, plan, model), _SCORES)
     return scores.withColumn("train_tokens", F.lit(vocabulary.tokens).cast("long"))
 
 
