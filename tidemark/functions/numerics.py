@@ -56,6 +56,16 @@ def epoch_micros(at: Column, dtype: T.DataType) -> Column:
     )
 
 
+def at_micros(micros: Column, dtype: T.DataType) -> Column:
+    """The time of ``dtype`` for microseconds since 1970; the inverse of ``epoch_micros``."""
+    if not isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_micros(micros)
+    # Whole seconds and the rest apart: an interval's seconds are a decimal.
+    seconds = (F.pmod(micros, F.lit(86_400 * MICROS)).cast("decimal(20,0)") / MICROS).cast("decimal(18,6)")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(micros / F.lit(86_400 * MICROS)).cast("int"))
+    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def iso_time(at: Column, dtype: T.DataType) -> Column:
     """ISO-8601 text; an offset is written only for zoned time."""
     zone = "" if isinstance(dtype, T.TimestampNTZType) else "XXX"

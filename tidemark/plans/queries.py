@@ -28,7 +28,8 @@ from tidemark.plans.store import DATASET_SAMPLE, FeatureStore
 from tidemark.session import work_dir, written
 from tidemark.sources import logs
 from tidemark.sources.export import json_rows, json_safe, read_csv, write_csv
-from tidemark.sources.history import HistoryTable, count_by_view, next_batch, timeline
+from tidemark.sources.batches import next_batch
+from tidemark.sources.history import HistoryTable, count_by_view, timeline
 from tidemark.sources.state import StateTable
 from tidemark.specs import CREATED_TIME, ENTITY_KEY, EVENT_TIME, DataType, Feature, FeatureView
 from tidemark.streaming.ingest import recent_events, stream_totals as totals_of_stream

@@ -26,7 +26,8 @@ from tidemark.operators.slicing import SkewPolicy
 from tidemark.session import written
 from tidemark.sources import logs
 from tidemark.sources.export import json_safe, write_csv
-from tidemark.sources.history import HistoryTable, count_by_view, next_batch, normalise
+from tidemark.sources.batches import next_batch
+from tidemark.sources.history import HistoryTable, count_by_view, normalise
 from tidemark.sources.state import StateTable
 from tidemark.specs import BATCH, ENTITY_KEY, EVENT_TIME, Entity, FeatureView, Ref, Registry
 from tidemark.streaming.ingest import start_ingest
@@ -159,7 +160,8 @@ class FeatureStore:
     def backfill(self, view_names: list[str] | None = None) -> DataFrame:
         """Rebuild the state of views from the newest history row of every entity.
 
-        What the state held before is gone, also of entities that history does not know. Views that are not both online and offline are passed over. Reports rows, seconds
+        What the state held before is gone, also of entities that history does not know; deltas that land
+        meanwhile stay. Views that are not both online and offline are passed over. Reports rows, seconds
         and rows per second for each view.
         """
         report = []
@@ -168,9 +170,11 @@ class FeatureStore:
             if not (view.online and view.offline):
                 continue
             begun = time.perf_counter()
-            newest = latest.latest_row(self.history(name).read(), view)
             table = self.state(name)
-            table.replace(latest.state_of_rows(newest, view))
+            # Before history is listed: a delta that lands from now on is not in it for sure, and stays.
+            deltas = table.deltas()
+            newest = latest.latest_row(self.history(name).read(), view)
+            table.replace(latest.state_of_rows(newest, view), deltas)
             rows = table.read().count()
             took = max(time.perf_counter() - begun, 0.001)
             report.append((name, rows, round(took * 1000.0, 2), round(rows / took, 1)))

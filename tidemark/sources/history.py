@@ -1,32 +1,25 @@
-"""Append-only feature history as Parquet, partitioned by batch and event date.
+"""Append-only feature history as Parquet, one folder a batch.
 
-Files are sorted by key and time, so a reader of one key skips row groups. ``compact`` rewrites the
-history as one batch when many small ones have gathered; their names are kept, and a replay of
-one of them is passed over.
+A batch has as many files as its bytes need, however many days it spans. Rows lie by event date, key and
+time, so readers of some days skip pages and row groups by their statistics. ``compact`` puts one batch in
+place of many small ones; what lands meanwhile stays, and a replay of a compacted batch is passed over.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import time
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.numerics import epoch_micros, micros_of, moment, nan_to_null
+from tidemark.functions.numerics import at_micros, epoch_micros, micros_of, moment, nan_to_null
 from tidemark.operators.slicing import HOT, POINT, SkewPolicy, find_splits
-from tidemark.sources.versions import Versions
+from tidemark.sources.batches import BatchFolder, next_batch, read_or_none
 from tidemark.specs import BATCH, CREATED_TIME, ENTITY_KEY, EVENT_DATE, EVENT_TIME, FeatureView
 
 
-def next_batch() -> str:
-    """A name for a batch that sorts after all earlier ones."""
-    return f"{time.time_ns():020d}"
-
-
 def normalise(
     df: DataFrame, view: FeatureView, *, now: dt.datetime | None = None
 ) -> DataFrame:
@@ -62,16 +55,6 @@ def normalise(
     )
 
 
-def read_or_none(spark: SparkSession, path: str, **options: object) -> DataFrame | None:
-    """A Parquet table, or None if nothing was ever written to ``path``."""
-    try:
-        return spark.read.options(**options).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 @dataclass(frozen=True)
 class HistoryTable:
     """History of one view.
@@ -86,26 +69,22 @@ class HistoryTable:
     time_type: T.DataType = T.TimestampType()
 
     @property
-    def versions(self) -> Versions:
-        return Versions(self.spark, self.path)
+    def folder(self) -> BatchFolder:
+        return BatchFolder(self.spark, self.path)
 
     def append(
         self, df: DataFrame, batch: str | None = None, now: dt.datetime | None = None
     ) -> None:
-        version = self.versions.current()
-        if batch is not None and version and self._is_compacted(batch, version):
-            return
         rows = normalise(df, self.view, now=now).withColumn(EVENT_DATE, F.col(EVENT_TIME).cast("date"))
-        self._write(self._settled(rows), self.versions.folder(version), batch or next_batch())
+        self._write(self._settled(rows), batch or next_batch())
 
-    def _write(self, rows: DataFrame, folder: str, batch: str) -> None:
-        # The rebalance lets AQE size the files and split a date that holds many rows.
+    def _write(self, rows: DataFrame, batch: str) -> None:
+        # The rebalance lets AQE size the files: few dates a file, and several files for a large date.
         (
             rows.hint("rebalance", EVENT_DATE)
             .sortWithinPartitions(EVENT_DATE, ENTITY_KEY, EVENT_TIME)
             .write.mode("overwrite")
-            .partitionBy(EVENT_DATE)
-            .parquet(f"{folder}/{BATCH}={batch}")
+            .parquet(self.folder.folder(batch))
         )
 
     def _settled(self, rows: DataFrame) -> DataFrame:
@@ -120,37 +99,38 @@ class HistoryTable:
 
     def physical(self) -> DataFrame | None:
         """What the files hold, by their own schemas; None if nothing was ever written."""
-        found = read_or_none(self.spark, self.versions.folder(), mergeSchema="true")
+        found = self.folder.read(mergeSchema="true")
         return None if found is None else found.drop(BATCH)
 
-    def _is_compacted(self, batch: str, version: int) -> bool:
-        names = read_or_none(self.spark, f"{self.path}-compacted/v{version:06d}")
-        return names is not None and not names.where(F.col(BATCH) == batch).isEmpty()
-
     def compact(self) -> None:
-        """The same rows as one batch, in place of all batches so far."""
-        version = self.versions.current()
-        found = read_or_none(self.spark, self.versions.folder(version), mergeSchema="true")
+        """The same rows as one batch, in place of all batches there are now."""
+        names = self.folder.seen().visible
+        found = self.folder.read(names=names, mergeSchema="true") if names else None
         if found is None:
             return
-        names = found.select(F.col(BATCH).cast("string").alias(BATCH)).distinct()
-        older = read_or_none(self.spark, f"{self.path}-compacted/v{version:06d}")
-        if older is not None:
-            names = names.union(older)
-        names.write.mode("overwrite").parquet(f"{self.path}-compacted/v{version + 1:06d}")
-        self._write(found.drop(BATCH), self.versions.folder(version + 1), next_batch())
-        self.versions.publish(version + 1)
+        output = self.folder.output()
+        self._write(found.drop(BATCH), output)
+        counts = self._counts(names).withColumn("first_created", epoch_micros(F.col("first_created"), self.time_type))
+        self.folder.publish(output, names, whole=False, counts=counts)
+
+    def _counts(self, names: frozenset[str] | None = None) -> DataFrame:
+        """Rows of batches, and when the first was created."""
+        fields = T.StructType([T.StructField(CREATED_TIME, self.time_type)])
+        found = self.folder.read(fields, names)
+        if found is None:
+            full = T.StructType([*fields.fields, T.StructField(BATCH, T.StringType())])
+            found = self.spark.createDataFrame([], full)
+        return found.groupBy(BATCH).agg(F.count("*").alias("row_count"), F.min(CREATED_TIME).alias("first_created"))
 
     def batches(self) -> DataFrame:
-        """Rows of every batch that is still one of its own, and when its first was created."""
-        fields = [T.StructField(CREATED_TIME, self.time_type), T.StructField(BATCH, T.StringType())]
-        try:
-            found = self.spark.read.schema(T.StructType(fields)).parquet(self.versions.folder())
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            found = self.spark.createDataFrame([], T.StructType(fields))
-        return found.groupBy(BATCH).agg(F.count("*").alias("row_count"), F.min(CREATED_TIME).alias("first_created"))
+        """Rows of every batch that was ever appended, compacted since or not, and when its first was created."""
+        seen = self.folder.seen()
+        counted = self._counts(frozenset(seen.visible)).where(~F.col(BATCH).startswith("change-"))
+        kept = [(r.replaced, r.row_count, r.first_created) for r in seen.records if r.replaced and not r.replaced.startswith("change-")]
+        if not kept:
+            return counted
+        older = self.spark.createDataFrame(kept, f"{BATCH} string, row_count long, micros long")
+        return counted.unionByName(older.select(BATCH, "row_count", at_micros(F.col("micros"), self.time_type).alias("first_created")))
 
     def read(self, *, evolved: bool = False) -> DataFrame:
         """All rows; columns that older files lack read as null.
@@ -167,23 +147,12 @@ class HistoryTable:
             return found.withColumns(
                 {f.name: F.lit(None).cast(f.dataType) for f in missing}
             )
-        full = T.StructType(
-            [
-                *declared.fields,
-                T.StructField(BATCH, T.StringType()),
-                T.StructField(EVENT_DATE, T.DateType()),
-            ]
-        )
-        try:
-            return self.spark.read.schema(full).parquet(self.versions.folder()).drop(BATCH)
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return self.empty()
-            raise
+        found = self.folder.read(T.StructType([*declared.fields, T.StructField(EVENT_DATE, T.DateType())]))
+        return self.empty() if found is None else found.drop(BATCH)
 
     def read_batch(self, batch: str) -> DataFrame:
         """The rows of one batch, with all their columns."""
-        found = read_or_none(self.spark, f"{self.versions.folder()}/{BATCH}={batch}")
+        found = read_or_none(self.spark, self.folder.folder(batch))
         return self.empty() if found is None else found
 
     def bucketed(

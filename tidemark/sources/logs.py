@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import typed
-from tidemark.sources.history import next_batch, read_or_none
-from tidemark.sources.versions import Versions
+from tidemark.sources.batches import BatchFolder, next_batch
 from tidemark.specs import BATCH, ENTITY_KEY, EVENT_TIME, DataType
 
 
@@ -58,23 +57,44 @@ class LogTable:
     path: str
 
     @property
-    def versions(self) -> Versions:
-        return Versions(self.spark, self.path)
+    def folder(self) -> BatchFolder:
+        return BatchFolder(self.spark, self.path)
 
     def append(self, rows: DataFrame, batch: str | None = None) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.versions.folder()}/{BATCH}={batch or next_batch()}")
+        rows.write.mode("overwrite").parquet(self.folder.folder(batch or next_batch()))
 
     def read(self) -> DataFrame | None:
-        found = read_or_none(self.spark, self.versions.folder())
+        found = self.folder.read()
         return None if found is None else found.drop(BATCH)
 
-    def compact(self, since: Column | None = None) -> None:
-        """The log as one batch; rows for which ``since`` does not hold are let go (retention)."""
-        held, version = self.read(), self.versions.current() + 1
-        if held is not None:
-            kept = held if since is None else held.where(since)
-            kept.write.parquet(f"{self.versions.folder(version)}/{BATCH}={next_batch()}")
-            self.versions.publish(version)
+    def compact(self) -> None:
+        """The log as one batch."""
+        self._rewrite(self.folder.seen().visible, None, whole=False)
+
+    def _rewrite(self, names: frozenset[str], kept: Column | None, *, whole: bool) -> None:
+        held = self.folder.read(names=names) if names else None
+        if held is None:
+            return
+        output = self.folder.output()
+        (held if kept is None else held.where(kept)).drop(BATCH).write.parquet(self.folder.folder(output))
+        self.folder.publish(output, names, whole=whole)
+
+    def expire(self, kept: Column) -> None:
+        """Let go of the rows for which ``kept`` does not hold (retention).
+
+        Batches without a row to keep go out of sight as they are; only those that hold rows of both
+        kinds are written anew. All others are not touched."""
+        names = self.folder.seen().visible
+        held = self.folder.read(names=names) if names else None
+        if held is None:
+            return
+        counts = held.groupBy(BATCH).agg(F.count_if(kept).alias("stay"), F.count("*").alias("n"))
+        # One row a batch.
+        found = counts.where("stay < n").collect()
+        over = frozenset(r[BATCH] for r in found if not r["stay"])
+        if over:
+            self.folder.publish(None, over, whole=True)
+        self._rewrite(frozenset(r[BATCH] for r in found if r["stay"]), kept, whole=True)
 
 
 @dataclass(frozen=True)

@@ -3,7 +3,7 @@
 An upsert writes only the entities it touches, so its cost follows the batch and not the
 state. Reading takes the newest value of every feature over all deltas, in one aggregation
 with map-side combine. ``compact`` puts the merged state in place of the deltas when they have
-grown; ``replace`` does the same with a new state.
+grown; ``replace`` does the same with a new state. Deltas that land meanwhile stay.
 """
 
 from __future__ import annotations
@@ -11,14 +11,12 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.history import next_batch
-from tidemark.sources.versions import Versions
-from tidemark.specs import BATCH, ENTITY_KEY, FeatureView
+from tidemark.sources.batches import BatchFolder, next_batch
+from tidemark.specs import ENTITY_KEY, FeatureView
 
 COMMIT = "commit"
 
@@ -68,20 +66,27 @@ class StateTable:
     time_type: T.DataType = T.TimestampType()
 
     @property
-    def versions(self) -> Versions:
-        return Versions(self.spark, self.path)
+    def folder(self) -> BatchFolder:
+        return BatchFolder(self.spark, self.path)
 
     def upsert(self, state: DataFrame, batch: str | None = None) -> None:
         """Add a delta; writing the same batch again replaces it."""
-        self._write(state, self.versions.folder(), batch or next_batch())
+        self._write(state, batch or next_batch())
 
-    def replace(self, state: DataFrame) -> None:
-        """Put ``state`` in place of all that was there."""
-        version = self.versions.current() + 1
-        self._write(state, self.versions.folder(version), next_batch())
-        self.versions.publish(version)
+    def deltas(self) -> frozenset[str]:
+        """Names of the deltas there are now; take them before reading what ``replace`` is to write."""
+        return self.folder.seen().visible
 
-    def _write(self, state: DataFrame, folder: str, batch: str) -> None:
+    def replace(self, state: DataFrame, deltas: frozenset[str] | None = None) -> None:
+        """Put ``state`` in place of ``deltas``, by default of all there are when it is called."""
+        self._change(state, self.deltas() if deltas is None else deltas, whole=True)
+
+    def _change(self, state: DataFrame, deltas: frozenset[str], *, whole: bool) -> None:
+        output = self.folder.output()
+        self._write(state, output)
+        self.folder.publish(output, deltas, whole=whole)
+
+    def _write(self, state: DataFrame, batch: str) -> None:
         def cell(field: T.StructField) -> Column:
             if field.name not in state.columns:
                 return F.lit(None).cast(field.dataType).alias(field.name)
@@ -96,24 +101,22 @@ class StateTable:
 
         rows = state.select(*[cell(f) for f in state_schema(self.view, self.time_type).fields])
         rows = rows.withColumn(COMMIT, F.lit(time.time_ns()))
-        rows.write.mode("overwrite").parquet(f"{folder}/{BATCH}={batch}")
+        rows.write.mode("overwrite").parquet(self.folder.folder(batch))
 
     def read(self) -> DataFrame:
+        return self._merged(None)
+
+    def _merged(self, deltas: frozenset[str] | None) -> DataFrame:
         schema = state_schema(self.view, self.time_type)
-        full = T.StructType([*schema.fields, T.StructField(COMMIT, T.LongType())])
-        try:
-            deltas = self.spark.read.schema(full).parquet(self.versions.folder())
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return self.spark.createDataFrame([], schema)
-            raise
-        return merge_states(deltas, self.view)
+        found = self.folder.read(T.StructType([*schema.fields, T.StructField(COMMIT, T.LongType())]), deltas)
+        return self.spark.createDataFrame([], schema) if found is None else merge_states(found, self.view)
 
     def read_batch(self, batch: str) -> DataFrame:
         """The delta of one batch."""
-        schema = state_schema(self.view, self.time_type)
-        return self.spark.read.schema(schema).parquet(f"{self.versions.folder()}/{BATCH}={batch}")
+        return self.spark.read.schema(state_schema(self.view, self.time_type)).parquet(self.folder.folder(batch))
 
     def compact(self) -> None:
         """The same state as one delta."""
-        self.replace(self.read())
+        deltas = self.deltas()
+        if deltas:
+            self._change(self._merged(deltas), deltas, whole=False)
