@@ -80,3 +80,32 @@ def test_without_two_labels_scores_are_the_share(docs, spark, labels, share):
 def test_empty_table(empty, spark):
     model = M.fit(empty, spark.createDataFrame([(1, 1)], "doc_id long, label int"))
     assert M.score_quality(empty, model).collect() == []
+
+
+def test_whole_bags_absent_labels_and_repeated_ids(spark):
+    """Labels of no document take no place, a long document is learned from whole, and many rows of one id
+    don't all come to the driver."""
+    long = " ".join(f"word{k}" for k in range(64 * 300)) + " ### $$$ %%%" * 30
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(80))) for i in range(100)]
+    rows += [(100 + i, " ".join(f"#w{i} $x{k}" for k in range(80))) for i in range(100)]
+    rows += [(300, long)] + [(301, f"text {k} under one id") for k in range(500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, 1) for i in range(100)] + [(100 + i, 0) for i in range(100)] + [(300, 0), (301, 1)]
+    labels += [(1000 + i, i % 2) for i in range(20_000)]
+    labelled = spark.createDataFrame(labels, "doc_id long, label int")
+    seen = []
+
+    def train(x, per_text, label, importance, seed=7):
+        seen.append((per_text, label))
+        return plain(x, per_text, label, importance, seed)
+
+    plain, M.train = M.train, train
+    try:
+        model = M.fit(frame, labelled, max_per_label=60)
+        M.fit(frame, labelled, max_per_label=400)
+        M.fit(frame, labelled, max_per_label=400, max_passages=100)
+    finally:
+        M.train = plain
+    assert model.weights
+    assert all((label == y).sum() <= 60 for y in (0, 1) for label in [seen[0][1]])
+    assert max(seen[1][0]) > 300 and seen[2][0].sum() <= 100

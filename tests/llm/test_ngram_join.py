@@ -120,3 +120,19 @@ def test_components_of_random_links(spark):
 def test_empty_tables(empty, spark):
     assert ngram_jaccard_components(empty).collect() == []
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_block_of_many_short_near_copies_is_cut(spark, monkeypatch):
+    from tidemark.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "CLASSES_PER_PART", 10)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        words[rng.randrange(40)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join([*base[:6], *(f"y{i}z{k}" for k in range(20))])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got_of(frame) == sorted(expected(rows), key=str)

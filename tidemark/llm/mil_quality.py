@@ -5,12 +5,13 @@ word lengths and repeated words, then a learned layer); gated attention, ``softm
 sigmoid(U h)))``, weighs the passages, and the weighted sum of their encodings is scored. The
 weights come from document labels alone: nothing says which passage made a document bad.
 
-Training takes at most ``MAX_PER_LABEL`` documents of each label, those with the smallest hash of
-``doc_id``, and at most ``MAX_PASSAGES`` passages of each, spread evenly; the bounds are parameters.
-Scoring reads whole texts, in the tasks that read them, and shuffles nothing.
+Training takes at most ``MAX_PER_LABEL`` rows of each label, those with the smallest hash of ``doc_id``, and of
+these, in that order, as many as have ``MAX_PASSAGES`` passages together; a row is learned from with all its
+passages or not at all. Both bounds are parameters. Scoring reads whole texts, in the tasks that read them, and
+shuffles nothing; only texts go to Python, and only scores come back.
 
 Rules: a null or empty text is one passage without words. Labels of a document that contradict each
-other, null labels and labels without document are not learned from. With only one label, or
+other, null labels and labels without document are not learned from, nor is a row repeated. With only one label, or
 none, every score is the share of 1 among the labels learned from (0.5 without any). Columns
 besides ``doc_id`` and ``text`` are ignored.
 """
@@ -19,18 +20,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidemark.llm.store import written
 from tidemark.llm.words import Words, text_blocks
 
 PASSAGE_WORDS = 64
-MAX_PER_LABEL, MAX_PASSAGES = 2_000, 64
+MAX_PER_LABEL, MAX_PASSAGES = 2_000, 200_000
 THRESHOLD = 0.3
 FOLDS = 5
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 32, 16, 30, 64, 0.01, 1e-4
@@ -166,41 +167,54 @@ def train(x: np.ndarray, per_text: np.ndarray, label: np.ndarray, importance: np
     return Model(share, mean, scale, tuple(w.astype(np.float32) for w in weights))
 
 
-def _bags(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offs in text_blocks(batch["text"]):
             x, per_text = passages(data, offs)
             ends = np.cumsum(per_text)
-            bags = []
-            for end, n in zip(ends, per_text):
-                take = np.unique(np.linspace(end - n, end - 1, min(n, most)).round().astype(np.int64))
-                bags.append(x[take].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_pydict(
-                {"label": batch["label"].slice(first, last - first), "bag": pa.array(bags, pa.binary())}
-            )
+            bags = [x[end - n : end].astype("<f4").tobytes() for end, n in zip(ends, per_text)]
+            rows = batch.slice(first, last - first)
+            made = [rows["label"], rows["place"], pa.array(per_text.astype(np.int64)), pa.array(bags, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["label", "place", "n", "bag"])
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL, max_passages: int = MAX_PASSAGES
 ) -> Model:
     """Learn from ``labels`` (doc_id, label 0 or 1); see the bounds above."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     clean = (
         labels.where("doc_id is not null and label in (0, 1)")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min("label").cast("int").alias("label"), F.max("label").alias("other"))
         .where("label = other")
         .drop("other")
+        # Labels of absent documents take no place in the sample.
+        .join(narrow.select("doc_id").distinct(), "doc_id", "left_semi")
     )
     counts = {r["label"]: r["n"] for r in clean.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for label in (0, 1):
         some = clean.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_label)
         chosen = some if chosen is None else chosen.union(some)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Broadcast: at most 2 * max_per_label narrow rows.
-    met = narrow.join(F.broadcast(chosen), "doc_id").select("label", "text", "doc_id")
-    bags = met.mapInArrow(lambda x: _bags(x, max_passages), "label int, bag binary")
-    rows = sorted((r["label"], bytes(r["bag"])) for r in bags.collect())
+    met = narrow.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    order = [F.xxhash64("doc_id"), F.xxhash64("text")]
+    # An id may have many texts.
+    bounded = reduce(
+        DataFrame.union, (met.where(F.col("label") == x).orderBy(*order).limit(max_per_label) for x in (0, 1))
+    )
+    placed = bounded.withColumn("place", F.struct(F.xxhash64("doc_id").alias("a"), F.xxhash64("text").alias("b")))
+    bags = written(
+        placed.select("label", "place", "text").mapInArrow(
+            _bags, "label int, place struct<a: long, b: long>, n long, bag binary"
+        ),
+        "bags",
+    )
+    # At most max_per_label rows a label.
+    so_far = F.sum("n").over(Window.partitionBy("label").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    whole = bags.withColumn("so_far", so_far).where(F.col("so_far") <= max_passages // 2)
+    rows = sorted((r["label"], bytes(r["bag"])) for r in whole.select("label", "bag").collect())
     if not rows:
         return Model(0.5)
     label = np.array([r[0] for r in rows], np.float64)
@@ -209,29 +223,31 @@ def fit(
     return train(np.concatenate(parts), np.array([len(p) for p in parts]), label, importance)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, last, data, offs in text_blocks(pc.struct_field(batch["row"], "text")):
+_MADE = "struct<n_passages: long, top_attention: double, score: double>"
+
+
+def _score(texts: Iterator[pa.Array], model: Model) -> Iterator[pa.Array]:
+    for column in texts:
+        parts = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        for _, _, data, offs in text_blocks(column):
             x, per_text = passages(data, offs)
             score, attention = model.scores(x, per_text)
-            firsts = np.cumsum(per_text) - per_text
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "row": batch["row"].slice(first, last - first),
-                    "n_passages": pa.array(per_text.astype(np.int64)),
-                    "top_attention": pa.array(np.maximum.reduceat(attention, firsts).astype(np.float64)),
-                    "score": pa.array(np.clip(score, 0, 1).astype(np.float64)),
-                }
-            )
+            most = np.maximum.reduceat(attention, np.cumsum(per_text) - per_text)
+            parts.append((per_text.astype(np.int64), most.astype(np.float64), np.clip(score, 0, 1).astype(np.float64)))
+        made = [pa.array(np.concatenate(x)) for x in zip(*parts)]
+        yield pa.StructArray.from_arrays(made, names=["n_passages", "top_attention", "score"])
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """``row`` (the columns given, as a struct), ``n_passages``, ``top_attention`` (the largest weight of a
     passage) and ``score``."""
-    made = [("n_passages", T.LongType()), ("top_attention", T.DoubleType()), ("score", T.DoubleType())]
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    schema = T.StructType([rows.schema["row"], *(T.StructField(*x) for x in made)])
-    return rows.mapInArrow(lambda x: _score(x, model), schema)
+
+    @F.arrow_udf(_MADE)
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _score(texts, model)
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), scored("text").alias("made"))
+    return rows.select("row", "made.*")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -12,9 +12,9 @@
    that pass the length, positional and suffix filters, in one pass each, until all but the
    members of the largest component have been pivots. So no link between components is lost, a
    dense group costs few passes, and no pairs are written out.
-4. Blocks that hold too much for a task are cut at random into parts, anew in each round, while that
-   halves the pairs between components; at last each class outside the largest component meets
-   every part.
+4. Blocks that hold too much for a task, n-grams or classes, are cut at random into parts, anew in each
+   round, while that halves the pairs between components; at last each class outside the largest
+   component meets every part.
 
 The suffix filter compares how many n-grams fall in each of 16 hash ranges: the differences bound
 the number of n-grams in one set only from below.
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -44,6 +44,8 @@ from tidemark.llm.words import Words, mix, pack_ints, pack_tail, text_blocks, un
 SIZE, PERCENT = 5, 80
 CHARS_PER_BUCKET = 16_000_000
 KEYS_PER_PART = 1_000_000
+# A part has at least so many classes, or half a partition's share of all where that is more.
+CLASSES_PER_PART = 200
 # Rounds over blocks that were cut go on while each leaves no more than this share of the pairs.
 LESS = 0.5
 SUFFIX_RANGES = 16
@@ -53,18 +55,40 @@ _SHARED = pa.schema([("class", pa.int64()), ("key", pa.int64()), ("df", pa.int32
 _LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _classes(words: Words, hashes: np.ndarray) -> np.ndarray:
+    """A hash of each text's words in their order; 0 without words."""
+    place = np.arange(len(hashes)) - words.bounds[words.owners()]
+    out = np.zeros(len(words.counts), np.uint64)
+    has = np.flatnonzero(words.counts)
+    if len(has):
+        placed = mix(hashes ^ mix(place.astype(np.uint64), 21), 22)
+        out[has] = mix(np.add.reduceat(placed, words.bounds[has]), 23)
+    return out
+
+
+def class_of(text: str = "text") -> Column:
+    """The ``class`` that ``ngram_jaccard_components`` gives each text; null without words."""
+
+    @F.arrow_udf("long")
+    def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for _, _, data, offs in text_blocks(column):
+                words = Words(data, offs, fold=True)
+                parts.append((_classes(words, words.hashes()), words.counts))
+            classes, counts = (np.concatenate(x) for x in zip(*parts))
+            yield pa.array(classes.view(np.int64), mask=counts == 0)
+
+    return made(text)
+
+
 class _Sets:
     """N-gram sets of a block of texts: class and set size per text, and (owner, key) pairs."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, size: int) -> None:
         words = Words(data, offs, fold=True)
         hashes, owner, counts = words.hashes(), words.owners(), words.counts
-        place = np.arange(len(hashes)) - words.bounds[owner]
-        self.classes = np.zeros(len(counts), np.uint64)
-        has = np.flatnonzero(counts)
-        if len(has):
-            placed = mix(hashes ^ mix(place.astype(np.uint64), 21), 22)
-            self.classes[has] = mix(np.add.reduceat(placed, words.bounds[has]), 23)
+        self.classes = _classes(words, hashes)
         keys, owners = [], []
         for n in range(1, size + 1):
             found = window_hashes(hashes, n, 31 + n)
@@ -229,18 +253,24 @@ def _compared(found: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
     return written(made, "links")
 
 
-def _between(rows: DataFrame, keys_per_part: int) -> DataFrame:
+def _parts(weight: Column, members: Column, keys_per_part: int, classes_per_part: int) -> Column:
+    return F.ceil(F.greatest(weight / keys_per_part, members / classes_per_part)).cast("int")
+
+
+def _between(rows: DataFrame, keys_per_part: int, classes_per_part: int) -> DataFrame:
     """Blocks of ``rows`` with each class outside the largest component against all parts."""
     sizes = rows.groupBy("block", "component").agg(F.count("*").alias("m"), F.sum("weight").alias("weight"))
     parts = (
         sizes.groupBy("block")
-        .agg(F.count("*").alias("several"), F.sum("weight").alias("all"), F.max(F.struct("m", "weight", "component")).alias("top"))
+        .agg(F.count("*").alias("several"), F.sum("m").alias("members"), F.sum("weight").alias("all"), F.max(F.struct("m", "weight", "component")).alias("top"))
         .where("several > 1")
         .select(
             "block",
             F.col("top.component").alias("largest"),
-            F.ceil(F.col("all") / keys_per_part).cast("int").alias("parts"),
-            F.ceil((F.col("all") - F.col("top.weight")) / keys_per_part).cast("int").alias("pivot_parts"),
+            _parts(F.col("all"), F.col("members"), keys_per_part, classes_per_part).alias("parts"),
+            _parts(
+                F.col("all") - F.col("top.weight"), F.col("members") - F.col("top.m"), keys_per_part, classes_per_part
+            ).alias("pivot_parts"),
         )
     )
     rows = rows.join(parts, "block")
@@ -258,7 +288,9 @@ def _links(found: DataFrame, percent: int, keys_per_part: int) -> DataFrame:
     """Verified links (a, b) that join all classes between which there is a path of links."""
     met = _blocks(found)
     sizes = met.groupBy("block").agg(F.sum("weight").alias("all"), F.count("*").alias("members")).where("members > 1")
-    parts = sizes.select("block", F.ceil(F.col("all") / keys_per_part).cast("int").alias("parts"))
+    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes_per_part = max(CLASSES_PER_PART, met.count() // (2 * partitions))
+    parts = sizes.select("block", _parts(F.col("all"), F.col("members"), keys_per_part, classes_per_part).alias("parts"))
     rows = met.join(parts, "block").withColumn("component", F.col("class"))
 
     def at_random(rows: DataFrame, round_: int) -> DataFrame:
@@ -280,7 +312,7 @@ def _links(found: DataFrame, percent: int, keys_per_part: int) -> DataFrame:
         if not now:
             return links
         if left is not None and now > LESS * left:
-            return links.union(_compared(found, _between(rows.drop("parts"), keys_per_part), percent))
+            return links.union(_compared(found, _between(rows.drop("parts"), keys_per_part, classes_per_part), percent))
         left, rounds = now, rounds + 1
         links = links.union(_compared(found, at_random(rows, rounds), percent))
 

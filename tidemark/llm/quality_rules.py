@@ -224,8 +224,11 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_L
     good, bad = (
         clean.where(F.col("label") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_label) for x in (1, 0)
     )
-    # Broadcast: at most 2 * max_per_label narrow rows.
-    met = statistics(narrow.join(F.broadcast(good.union(bad)), "doc_id"))
+    # Broadcast: at most 2 * max_per_label narrow rows. An id may have many rows: at most so many of a label go on.
+    rows = narrow.join(F.broadcast(good.union(bad)), "doc_id").dropDuplicates(["doc_id", "text"])
+    order = [F.xxhash64("doc_id"), F.xxhash64("text")]
+    some = [rows.where(F.col("label") == x).orderBy(*order).limit(max_per_label) for x in (1, 0)]
+    met = statistics(some[0].union(some[1]))
     fields = [F.col(f"stats.{f}").cast("double").alias(f) for f in FEATURES]
     found = sorted(tuple(r) for r in met.where(~base_failed()).select("row.label", *fields).collect())
     if not found or len(counts) < 2:
