@@ -2,41 +2,29 @@
 
 Every stage takes the session, the documents that the stage before it kept, and the folder of the tables.
 All but the last return the columns of ``documents``. Empty inputs give empty results; rows with a
-null ``doc_id`` pass the filters on their text alone and are never counted as copies.
+null ``doc_id`` pass the filters on their text alone and are never counted as copies. Both quality
+stages learn from the raw documents and labels of the folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mil_quality, quality_rules
-from tidemark.llm.ngram_join import ngram_jaccard_components
+from tidemark.llm.ngram_join import class_of, ngram_jaccard_components
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.store import table
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.session import written
 
 
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/labels.parquet")
-
-
-def _labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The raw documents, which labels were given to; ``docs`` in a folder that has no such table."""
-    try:
-        return spark.read.parquet(f"{sf_dir}/documents.parquet")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return docs
-
-
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts good."""
-    model = mil_quality.fit(docs, mil_quality.quality_labels(_labels(spark, sf_dir)))
+    raw = table(spark, sf_dir, "documents")
+    model = mil_quality.fit(raw, mil_quality.quality_labels(table(spark, sf_dir, "labels")))
     scored = mil_quality.score_quality(docs, model)
     return scored.where(F.col("score") >= mil_quality.THRESHOLD).select("row.*")
 
@@ -44,17 +32,24 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base statistics and the decision list, learned from the raw documents:
     stage 1 leaves hardly a bad one to learn from."""
-    raw = _labelled(spark, docs, sf_dir)
-    rules = quality_rules.fit_rules(raw, quality_rules.quality_labels(_labels(spark, sf_dir)))
+    raw, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rules = quality_rules.fit_rules(raw, quality_rules.quality_labels(labels))
     return quality_rules.apply_rules(docs, rules).where("kept").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id, once."""
+    """Of each group of near copies one row with its smallest id. Rows under one id with different texts
+    are documents of their own; those with equal words are copies."""
     groups = ngram_jaccard_components(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.union(docs.where("doc_id is null")).select(*docs.columns)
+    first = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("class").alias("of"))
+    kept = first.select(F.col("component_id").alias("_id"), F.col("of").alias("_class"))
+    # A text without words is in no class; under its id it is a copy of its like.
+    rows = docs.withColumn("_words", class_of("text"))
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_words") == F.col("_class"))
+    chosen = rows.where("doc_id is not null and _words is not null").join(kept, same, "left_semi")
+    chosen = chosen.dropDuplicates(["doc_id", "_words"]).select(*docs.columns)
+    wordless = rows.where("doc_id is not null and _words is null").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return chosen.union(wordless).union(docs.where("doc_id is null"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +72,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-# Learned verdicts are beyond SQL; tests compare each stage with a plain version.
+# Learned verdicts are beyond SQL; tests/llm/test_pipeline.py compares each stage with a plain version.
 ORACLE_SQL = None
 
 
