@@ -89,3 +89,21 @@ def test_little_padding(spark):
 
 def test_empty_table(empty):
     assert pack_documents(empty).collect() == []
+
+
+def test_the_cache_of_pieces_begins_anew_and_stays_right():
+    import numpy as np
+
+    from tidemark.llm.token_ids import Cache
+
+    rng = np.random.default_rng(3)
+    of = {int(k): np.arange(n, dtype="<u4").tobytes() for k, n in zip(rng.integers(0, 2**64, 90_000, np.uint64), rng.integers(0, 5, 90_000))}
+    keys, cache = np.array(sorted(of), np.uint64), Cache(60_000)
+    for _ in range(12):
+        some = np.unique(rng.choice(keys, 30_000))
+        cache.add({k: of[k] for k in some[cache.missing(some)].tolist()})
+        assert not cache.missing(some).any()
+        flat, begins, sizes = cache.ids(some)
+        assert all(flat[b : b + n].tobytes() == of[k] for k, b, n in zip(some[:300].tolist(), begins, sizes))
+        assert len(cache.keys) + len(cache.recent) <= 60_000 + 30_000
+        cache.settle()

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import work_dir, written
+from tidemark.llm.store import lean, work_dir, written
 from tidemark.llm.words import Words, mix, pack_gaps, pack_ints, text_blocks, unpack_gaps, unpack_ints
 
 FOLDS, HELD_OUT = 5, 1
@@ -431,7 +431,7 @@ def _blocks(docs: DataFrame, held: Column, block_bytes: int) -> tuple[DataFrame,
     # At least as many as shuffle partitions, so that joins shuffle the other side alone.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / (4 * block_bytes)))
     name = f"tidemark_blocks_{uuid.uuid4().hex[:12]}"
-    made = narrow.mapInArrow(lambda x: _tokenise(x, block_bytes), _BLOCKS)
+    made = narrow.mapInArrow(lambda x: lean(_tokenise(x, block_bytes)), _BLOCKS)
     writer = made.write.bucketBy(buckets, "block").sortBy("block").option("path", work_dir(spark, "blocks"))
     writer.format("parquet").saveAsTable(name)
     return spark.table(name), name

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import written
+from tidemark.llm.store import lean, written
 from tidemark.llm.words import Words, text_blocks
 
 PASSAGE_WORDS = 64
@@ -207,7 +207,7 @@ def fit(
     placed = bounded.withColumn("place", F.struct(F.xxhash64("doc_id").alias("a"), F.xxhash64("text").alias("b")))
     bags = written(
         placed.select("label", "place", "text").mapInArrow(
-            _bags, "label int, place struct<a: long, b: long>, n long, bag binary"
+            lambda x: lean(_bags(x)), "label int, place struct<a: long, b: long>, n long, bag binary"
         ),
         "bags",
     )
@@ -244,7 +244,7 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf(_MADE)
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return _score(texts, model)
+        return lean(_score(texts, model))
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), scored("text").alias("made"))
     return rows.select("row", "made.*")

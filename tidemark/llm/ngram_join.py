@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.store import buckets_for, written
+from tidemark.llm.store import buckets_for, lean, written
 from tidemark.llm.words import Words, mix, pack_ints, pack_tail, text_blocks, unpack_ints, unpack_tail, window_hashes
 
 SIZE, PERCENT = 5, 80
@@ -328,11 +328,11 @@ def ngram_jaccard_components(
     and ``component_id``, the smallest ``doc_id`` reachable by links of similarity ``percent``."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = written(
-        narrow.mapInArrow(lambda x: _members(x, size), "doc_id long, class long, n long"), "members"
+        narrow.mapInArrow(lambda x: lean(_members(x, size)), "doc_id long, class long, n long"), "members"
     )
     buckets = buckets_for(narrow, "text", chars_per_bucket)
     sent = narrow.where("doc_id is not null").mapInArrow(
-        lambda x: _by_bucket(x, size, buckets), "bucket int, classes binary, counts binary, keys binary"
+        lambda x: lean(_by_bucket(x, size, buckets)), "bucket int, classes binary, counts binary, keys binary"
     )
     shared = sent.groupBy("bucket").applyInArrow(_shared, "class long, key long, df int")
     known = members.where("class is not null and doc_id is not null")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import lean
 from tidemark.llm.token_ids import public_path, word_ids
 from tidemark.llm.words import text_blocks
 
@@ -131,7 +132,7 @@ def pack_documents(
     # No text has more tokens than bytes; what this says of the piece count is a bound, not an estimate.
     groups = max(1, math.ceil((rows + chars / length) / pieces_per_group))
     schema = _PIECES + (", ids binary" if with_ids else "")
-    pieces = narrow.mapInArrow(lambda x: _pieces(x, path, length, end_id, with_ids), schema)
+    pieces = narrow.mapInArrow(lambda x: lean(_pieces(x, path, length, end_id, with_ids)), schema)
     dealt = pieces.withColumn(
         "group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long")
     )

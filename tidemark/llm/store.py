@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
+from collections.abc import Iterator
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import work_dir, written
 
-__all__ = ["buckets_for", "file_system", "new_name", "spread", "table", "work_dir", "written"]
+__all__ = ["buckets_for", "file_system", "lean", "new_name", "spread", "table", "work_dir", "written"]
+
+
+_Batch = TypeVar("_Batch")
+
+
+def lean(batches: Iterator[_Batch]) -> Iterator[_Batch]:
+    """The same batches; after the last, the worker gives the memory it has freed back to the system.
+
+    Spark keeps Python workers for the next task: what they hold without need is missing elsewhere."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.store import buckets_for
+from tidemark.llm.store import buckets_for, lean
 from tidemark.llm.words import (
     Words,
     pack_gaps,
@@ -128,7 +128,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, chars_per_bucket: int
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = buckets_for(narrow, "text", chars_per_bucket)
     sent = narrow.mapInArrow(
-        lambda batches: _by_bucket(batches, size, buckets),
+        lambda batches: lean(_by_bucket(batches, size, buckets)),
         "bucket int, docs binary, counts binary, places binary, keys binary",
     )
     found = sent.groupBy("bucket").applyInArrow(_repeats, "doc_id long, window long")
@@ -152,7 +152,9 @@ def removed_words(words: Words, windows: np.ndarray, size: int) -> np.ndarray:
 
 
 def _digests(batches: Iterator[pa.RecordBatch], size: int, texts: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    # Parts of a batch, so that what is made of it need not lie beside all of it.
+    parts = (b.slice(first, end - first) for b in batches for first, end, _, _ in text_blocks(b["text"], 4 << 20))
+    for batch in parts:
         n_words, n_removed, digests, spans, cleaned = [], [], [], [], []
         windows = batch["windows"]
         for i, text in enumerate(batch["text"].cast(pa.large_binary())):
@@ -212,4 +214,4 @@ def substring_dedup(
     schema = joined.drop("text", "windows").schema
     for field in T.StructType.fromDDL(made + (", cleaned string" if texts else "")):
         schema = schema.add(field)
-    return joined.mapInArrow(lambda batches: _digests(batches, size, texts), schema)
+    return joined.mapInArrow(lambda batches: lean(_digests(batches, size, texts)), schema)

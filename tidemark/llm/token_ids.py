@@ -10,7 +10,8 @@ runs of letters are encoded many at a time, as one text: each ends with the one
 word that it has.
 
 Pieces are looked up by a 64-bit hash, once for each distinct piece of a block of texts. That two
-pieces share one is a matter of 1 in 1e13 a new piece.
+pieces share one is a matter of 1 in 1e13 a new piece. The cache lies in arrays, some 25 bytes a piece, so that
+the workers that Spark keeps hold little.
 """
 
 from __future__ import annotations
@@ -23,12 +24,74 @@ import numpy as np
 from tidemark.llm.words import Words
 
 MODEL = "word_bpe_49k.json"
-CACHE_WORDS = 1_200_000
+CACHE_WORDS, CACHE_RUNS = 1_200_000, 100_000
+_RECENT = 40_000
 _PIECES_AT_ONCE = 256
 # ASCII characters that are neither letter nor digit, but for the apostrophe (it begins endings).
 _MARKS = bytes(x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'")
 
 
+class Cache:
+    """Ids of pieces by hash: sorted arrays, and what came since they were last merged.
+
+    At ``limit`` pieces the cache begins anew; one row of ids, by hash, answers a whole block."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.flat = [np.zeros(0, np.uint32)]
+        self.length = 0
+        self.recent: dict[int, bytes] = {}
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the distinct ``hashes`` the cache lacks."""
+        at = np.searchsorted(self.keys, hashes)
+        found = np.zeros(len(hashes), bool)
+        inside = at < len(self.keys)
+        found[inside] = self.keys[at[inside]] == hashes[inside]
+        if self.recent:
+            rest = np.flatnonzero(~found)
+            found[rest] = [k in self.recent for k in hashes[rest].tolist()]
+        return ~found
+
+    def add(self, made: dict[int, bytes]) -> None:
+        """A piece of 65,535 ids or more is kept only until the next merge."""
+        self.recent.update(made)
+
+    def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and where each hash's are and how many."""
+        at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
+        found = self.keys[at] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+        begins, sizes = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        begins[found], sizes[found] = self.starts[at[found]], self.sizes[at[found]]
+        rest = np.flatnonzero(~found)
+        late = [self.recent[k] for k in hashes[rest].tolist()]
+        sizes[rest] = np.fromiter(map(len, late), np.int64, len(late)) // 4
+        begins[rest] = self.length + np.cumsum(sizes[rest]) - sizes[rest]
+        return np.concatenate([*self.flat, np.frombuffer(b"".join(late), "<u4")]), begins, sizes
+
+    def settle(self) -> None:
+        """Between blocks: merge what is recent, or begin anew."""
+        if len(self.keys) + len(self.recent) > self.limit:
+            return self._empty()
+        if len(self.recent) < _RECENT:
+            return
+        made = {k: v for k, v in self.recent.items() if len(v) < 4 * 65_535}
+        sizes = np.fromiter(map(len, made.values()), np.int64, len(made)) // 4
+        self.flat = [np.concatenate([*self.flat, np.frombuffer(b"".join(made.values()), "<u4")])]
+        keys = np.concatenate((self.keys, np.fromiter(made, np.uint64, len(made))))
+        starts = np.concatenate((self.starts, self.length + np.cumsum(sizes) - sizes))
+        sizes = np.concatenate((self.sizes, sizes.astype(np.uint16)))
+        self.length = len(self.flat[0])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts, self.sizes = keys[order], starts[order], sizes[order]
+        self.recent = {}
+
+
 class WordIds:
     """Ids (unsigned 32 bits) of texts, by the words in them."""
 
@@ -37,8 +100,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache_words = cache_words
-        self.pieces: dict[int, bytes] = {}  # by hash
+        self.pieces = Cache(cache_words)
         self.known: dict[bytes, bytes] = {}  # runs of letters, of marks, and all else
         self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -81,28 +143,22 @@ class WordIds:
         for some, encode in ((list(words), self._encode_words), (list(others), self._encode_each)):
             for i in range(0, len(some), _PIECES_AT_ONCE):
                 encode(some[i : i + _PIECES_AT_ONCE])
-        for key, body, marks in made:
-            self.pieces[key] = known[body] + known[marks]
+        self.pieces.add({key: known[body] + known[marks] for key, body, marks in made})
+        if len(known) > CACHE_RUNS:
+            known.clear()
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts, given as bytes and offsets, and the offsets of each text's ids."""
         words = Words(data, offs)
         hashes, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(self.pieces) + len(keys) > self.cache_words:
-            self.pieces.clear()
-            self.known.clear()
-        found = list(map(self.pieces.get, keys))
-        new = [i for i, ids in enumerate(found) if ids is None]
-        if new:
+        new = np.flatnonzero(self.pieces.missing(hashes))
+        if len(new):
             raw, starts, ends = data.tobytes(), words.starts[first[new]], words.ends[first[new]]
-            self._learn({keys[i]: raw[a:b] for i, a, b in zip(new, starts.tolist(), ends.tolist())})
-            for i in new:
-                found[i] = self.pieces[keys[i]]
-        flat = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begins = (np.cumsum(sizes) - sizes)[which]
-        sizes = sizes[which]
+            keys = hashes[new].tolist()
+            self._learn({k: raw[a:b] for k, a, b in zip(keys, starts.tolist(), ends.tolist())})
+        flat, begins, sizes = self.pieces.ids(hashes)
+        self.pieces.settle()
+        begins, sizes = begins[which], sizes[which]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         places = np.arange(ends[-1]) + np.repeat(begins - ends[:-1], sizes)
         return flat[places], ends[words.bounds]
