@@ -21,8 +21,18 @@ from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.session import written
 
 
+# Bytes of a batch between Spark and Python: a task holds few of them at a time.
+BATCH_BYTES = 8 << 20
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    """A setting of this application's session; it stays after the stage."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts good."""
+    _bounded_batches(spark)
     raw = table(spark, sf_dir, "documents")
     model = mil_quality.fit(raw, mil_quality.quality_labels(table(spark, sf_dir, "labels")))
     scored = mil_quality.score_quality(docs, model)
@@ -32,6 +42,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base statistics and the decision list, learned from the raw documents:
     stage 1 leaves hardly a bad one to learn from."""
+    _bounded_batches(spark)
     raw, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rules = quality_rules.fit_rules(raw, quality_rules.quality_labels(labels))
     return quality_rules.apply_rules(docs, rules).where("kept").select("row.*")
@@ -40,6 +51,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row with its smallest id. Rows under one id with different texts
     are documents of their own; those with equal words are copies."""
+    _bounded_batches(spark)
     groups = ngram_jaccard_components(docs)
     first = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("class").alias("of"))
     kept = first.select(F.col("component_id").alias("_id"), F.col("of").alias("_class"))
@@ -54,13 +66,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that an earlier one has."""
-    made = substring_dedup(docs, carry=tuple(docs.columns))
+    _bounded_batches(spark)
     changed = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    # Texts cross to Python once.
+    made = substring_dedup(docs, carry=tuple(c for c in docs.columns if c not in changed))
     return made.select(*(changed[c].alias(c) if c in changed else f"carried.{c}" for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, placed in sequences."""
+    _bounded_batches(spark)
     return pack_documents(docs)
 
 
