@@ -11,11 +11,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.keys import entity_key
 from tidemark.functions.numerics import MICROS, epoch_micros, moment
 from tidemark.operators.slicing import (
     HOT,
@@ -27,17 +29,20 @@ from tidemark.operators.slicing import (
     running_totals,
     spread,
 )
+from tidemark.session import written
 from tidemark.specs import (
     CREATED_TIME,
     ENTITY_KEY,
     EVENT_DATE,
     EVENT_TIME,
+    Entity,
     FeatureView,
     refs_by_view,
 )
 
 _AT = "_at"
 _OBS = "_obs"
+_ROW = "_row"
 
 
 @dataclass(frozen=True)
@@ -64,6 +69,7 @@ def point_in_time_join(
     *,
     use_ttl: bool = True,
     per_feature: bool = False,
+    as_known: bool = False,
     prune: bool = True,
     buckets: int | None = None,
     policy: SkewPolicy | None = None,
@@ -76,6 +82,11 @@ def point_in_time_join(
     the TTL is kept. Ties on time go to the newest created time, then to ``view.tie``.
     Observations without key or time, and views without data, get nulls.
 
+    ``as_known`` also asks that the row had been created by the observation's time: a row that came
+    late is not seen before it came, however early its own time is. Rows are then swept in the order
+    in which they became available, and the newest so far is a running maximum. Without a created
+    time a row is known from its own time on.
+
     ``prune`` limits the history scans to the times that the spine can reach. ``buckets`` says
     that all histories are tables bucketed by key into that many buckets: the spine is then
     partitioned alike and is the only thing shuffled, the histories stay where they are.
@@ -97,14 +108,14 @@ def point_in_time_join(
         made = [_Pack(f"_p{len(packs) + i}", held.view, g) for i, g in enumerate(groups)]
         packs += made
         data = _reachable(held, span, use_ttl) if span else held.data
-        inputs.append(_feature_side(data, held.view, made, per_feature))
+        inputs.append(_feature_side(data, held.view, made, per_feature, as_known))
 
     lost = F.col(ENTITY_KEY).isNull() | F.col(EVENT_TIME).isNull()
     if packs:
         observations = _observation_side(spine.where(~lost))
         if buckets is not None:
             observations = observations.repartition(buckets, ENTITY_KEY)
-        joined = _as_of(observations, inputs, packs, policy)
+        joined = _as_of(observations, inputs, packs, as_known, policy)
         # Observations that match nothing stay out of the shuffle: as one null key they
         # could be a large group.
         unmatched = _observation_side(spine.where(lost)).select(_OBS, _AT)
@@ -184,7 +195,7 @@ def _observation_side(spine: DataFrame) -> DataFrame:
 
 
 def _feature_side(
-    data: DataFrame, view: FeatureView, packs: list[_Pack], per_feature: bool
+    data: DataFrame, view: FeatureView, packs: list[_Pack], per_feature: bool, as_known: bool
 ) -> DataFrame:
     at = epoch_micros(F.col(EVENT_TIME), data.schema[EVENT_TIME].dataType)
     rows = data.where(F.col(ENTITY_KEY).isNotNull() & F.col(EVENT_TIME).isNotNull())
@@ -195,13 +206,19 @@ def _feature_side(
     if view.tie:
         ranks["_tie"] = F.col(view.tie).cast("long")
 
+    # Before all other fields, so that the order of packs is that of their rows.
+    rank = F.struct(at.alias("at"), *[c.alias(n) for n, c in ranks.items()])
+
     def pack(p: _Pack) -> Column:
-        whole = F.struct(at.alias("at"), *[F.col(f"`{f}`") for f in p.features])
+        first = [rank.alias("rank")] if as_known else []
+        whole = F.struct(*first, at.alias("at"), *[F.col(f"`{f}`") for f in p.features])
         return F.when(F.col(f"`{p.features[0]}`").isNotNull(), whole) if per_feature else whole
 
+    # Nulls are passed over.
+    available = F.greatest(at, ranks["_created"]) if as_known and "_created" in ranks else at
     return rows.select(
         F.col(ENTITY_KEY).cast("string").alias(ENTITY_KEY),
-        at.alias(_AT),
+        available.alias(_AT),
         F.lit(0).alias("_side"),
         *[c.alias(n) for n, c in ranks.items()],
         *[pack(p).alias(p.name) for p in packs],
@@ -212,9 +229,16 @@ def _as_of(
     observations: DataFrame,
     inputs: list[DataFrame],
     packs: list[_Pack],
+    as_known: bool,
     policy: SkewPolicy | None,
 ) -> DataFrame:
     names = [p.name for p in packs]
+
+    def newest_so_far(name: str, window: Window) -> Column:
+        if as_known:
+            return F.max_by(name, F.col(f"{name}.rank")).over(window)
+        return F.last(name, ignorenulls=True).over(window)
+
     merged = observations
     for side in inputs:
         merged = merged.unionByName(side, allowMissingColumns=True)
@@ -227,7 +251,7 @@ def _as_of(
             .orderBy(_AT, "_side", *ranks)
             .rowsBetween(Window.unboundedPreceding, 0)
         )
-        newest = [F.last(n, ignorenulls=True).over(so_far).alias(n) for n in names]
+        newest = [newest_so_far(n, so_far).alias(n) for n in names]
         return rows.select("_side", _OBS, _AT, *newest).where(F.col("_side") == 1).drop("_side")
 
     if not splits:
@@ -239,8 +263,8 @@ def _as_of(
     state = carry(
         tagged.where(HOT),
         splits,
-        {n: F.max_by(n, F.when(F.col(n).isNotNull(), rank)) for n in names},
-        lambda n, w: F.last(n, ignorenulls=True).over(w),
+        {n: F.max_by(n, F.col(f"{n}.rank") if as_known else F.when(F.col(n).isNotNull(), rank)) for n in names},
+        newest_so_far,
     )
     seeds = state.select(*splits.keys, *names, F.lit(0).alias("_side"))
     flowing = tagged.where(~F.col(POINT)).drop(HOT, POINT)
@@ -281,6 +305,54 @@ def _unpack(
     return joined.select(*out)
 
 
+def join_entities(
+    spine: DataFrame,
+    views: Mapping[str, ViewData],
+    refs: list[str],
+    entities: Mapping[str, Entity],
+    **options: Any,
+) -> DataFrame:
+    """Features of several entities for a spine that has the join keys of each.
+
+    Every observation goes out once per entity, with the entity's name before its key, and so do the
+    histories: one point-in-time join serves all. What an observation finds is put together again
+    by a row number, which is written with the spine, so that it is the same for all its copies. Takes the
+    options of ``point_in_time_join``; an observation without an entity's key gets nulls for it.
+    """
+    wanted = refs_by_view(refs)
+    _check(views, wanted)
+    names = list(dict.fromkeys(views[n].view.entity_name for n in wanted))
+    missing = [n for n in names if n not in entities]
+    if missing:
+        raise ValueError(f"unknown entities {missing}")
+    at = spine.schema[EVENT_TIME].dataType
+    if isinstance(at, T.StringType):
+        spine = spine.withColumn(EVENT_TIME, F.to_timestamp(EVENT_TIME))
+    numbered = written(spine.withColumn(_ROW, F.monotonically_increasing_id()), "spine")
+
+    def of(entity: str, key: Column) -> Column:
+        return F.concat(F.lit(f"{entity}:"), key).alias(ENTITY_KEY)
+
+    keys = F.array(*[of(n, entity_key(entities[n].join_keys)) for n in names])
+    whole = F.struct(*[F.col(f"`{c}`") for c in spine.columns])
+    out = numbered.select(_ROW, EVENT_TIME, whole.alias("_whole"), F.posexplode(keys).alias("_which", ENTITY_KEY))
+    # The observation itself travels once.
+    out = out.select(_ROW, EVENT_TIME, ENTITY_KEY, F.when(F.col("_which") == 0, F.col("_whole")).alias("_whole"))
+    prefixed = {
+        n: ViewData(v.view, None if v.data is None else v.data.withColumn(ENTITY_KEY, of(v.view.entity_name, F.col(ENTITY_KEY).cast("string"))))
+        for n, v in views.items()
+        if n in wanted
+    }
+    joined = point_in_time_join(out, prefixed, refs, **options)
+    labels = [f"{n}:{f}" for n, features in wanted.items() for f in features]
+    # At most one row of an observation has a value of a view.
+    made = joined.groupBy(_ROW).agg(
+        F.first("_whole", ignorenulls=True).alias("_whole"),
+        *[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in labels],
+    )
+    return made.select("_whole.*", *[F.col(f"`{c}`") for c in labels])
+
+
 def time_travel(
     timeline: DataFrame,
     views: Mapping[str, ViewData],

@@ -443,18 +443,6 @@ SELECT COUNT(*) FILTER (WHERE status <> 'TOO_FEW_VALUES') AS features_monitored,
        CASE WHEN coalesce(bool_or(status LIKE '%DRIFT'), FALSE) THEN 'DRIFT_DETECTED'
             WHEN coalesce(bool_or(status = 'TOO_FEW_VALUES'), FALSE) THEN 'INCOMPLETE'
             ELSE 'NORMAL' END AS overall_status FROM report""",
-    "drift_few_values": f"""WITH asked AS (SELECT CAST(unnest(range(1, 41)) AS VARCHAR) AS feature),
-n AS (
-  SELECT CAST(user_id AS VARCHAR) AS feature,
-         COUNT(value) FILTER (WHERE ts < {_SPLIT}) AS nb, COUNT(value) FILTER (WHERE ts >= {_SPLIT}) AS nc
-  FROM events GROUP BY 1),
-sides AS (
-  SELECT CAST(user_id AS VARCHAR) AS feature,
-         CASE WHEN ts < {_SPLIT} THEN 'baseline' ELSE 'current' END AS side, value FROM events
-  WHERE user_id BETWEEN 1 AND 40), {_PSI}
-SELECT a.feature, coalesce(r.status, 'TOO_FEW_VALUES') AS status,
-       coalesce(n.nb, 0) AS baseline_count, coalesce(n.nc, 0) AS current_count
-FROM asked a LEFT JOIN n USING (feature) LEFT JOIN report r USING (feature)""",
     "drift_every_user": f"""WITH n AS (
   SELECT CAST(user_id AS VARCHAR) AS feature,
          COUNT(value) FILTER (WHERE ts < {_SPLIT}) AS nb, COUNT(value) FILTER (WHERE ts >= {_SPLIT}) AS nc
@@ -667,3 +655,42 @@ ORACLES["dataset_csv_vector"] = """SELECT CAST(vec_id AS VARCHAR) AS entity_key,
        CAST(unnest(range(len(embedding))) AS INTEGER) AS place, CAST(unnest(embedding) AS DOUBLE) AS value
 FROM embeddings"""
 ORACLES["stream_totals"] = """SELECT COUNT(*) AS total_streamed FROM events WHERE event_type = 'view'"""
+ORACLES["pit_as_known"] = f"""WITH {_SPINE},
+late AS (
+  SELECT CAST(user_id AS VARCHAR) AS entity_key, ts AS event_timestamp, event_id, value, {_K} AS k,
+         ts + to_hours(CAST(event_id % 7 * 3 AS INTEGER)) AS created_timestamp
+  FROM events WHERE event_type = 'view'),
+found AS (
+  SELECT s.*, l.event_timestamp AS feature_time, l.value, l.k FROM spine s LEFT JOIN late l
+    ON s.entity_key = l.entity_key AND l.event_timestamp <= s.event_timestamp
+    AND l.created_timestamp <= s.event_timestamp
+  QUALIFY row_number() OVER (PARTITION BY s.event_id, s.entity_key, s.event_timestamp
+    ORDER BY l.event_timestamp DESC NULLS LAST, l.created_timestamp DESC, l.event_id DESC) = 1)
+SELECT entity_key, event_timestamp, event_id,
+       CASE WHEN epoch_us(event_timestamp) - epoch_us(feature_time) <= 86400000000 THEN value END AS "late_view:value",
+       CASE WHEN epoch_us(event_timestamp) - epoch_us(feature_time) <= 86400000000 THEN k END AS "late_view:k"
+FROM found"""
+_KEYED_ROWS = f"""e AS (SELECT *, {_K} AS k FROM events),
+spine AS (SELECT event_id, user_id, k, ts AS event_timestamp FROM e WHERE event_type = 'purchase')"""
+
+
+def _last(name: str, kind: str, same: str, ttl: str = "TRUE") -> str:
+    """The last value of an event kind with the keys of the spine row, by an inequality join."""
+    return f"""{name} AS (
+  SELECT s.event_id, CASE WHEN {ttl} THEN e.value END AS value FROM spine s JOIN e
+    ON e.event_type = '{kind}' AND {same} AND e.ts <= s.event_timestamp
+  QUALIFY row_number() OVER (PARTITION BY s.event_id ORDER BY e.ts DESC, e.event_id DESC) = 1)"""
+
+
+_IN_TTL = "epoch_us(s.event_timestamp) - epoch_us(e.ts) <= 86400000000"
+_BOTH = _last("ui", "view", "e.user_id = s.user_id AND e.k = s.k")
+ORACLES["pit_composite_key"] = f"""WITH {_KEYED_ROWS}, {_BOTH}
+SELECT s.*, ui.value AS "user_item_view:value" FROM spine s LEFT JOIN ui USING (event_id)"""
+ORACLES["pit_multi_entity"] = f"""WITH {_KEYED_ROWS}, {_BOTH},
+{_last("c", "click", "e.user_id = s.user_id", _IN_TTL)},
+{_last("i", "view", "e.k = s.k", _IN_TTL)}
+SELECT s.*, c.value AS "ev_click:value", i.value AS "item_view:value", ui.value AS "user_item_view:value"
+FROM spine s LEFT JOIN c USING (event_id) LEFT JOIN i USING (event_id) LEFT JOIN ui USING (event_id)"""
+ORACLES["store_parity_late"] = f"""SELECT entity_key, 'ev_view:value' AS feature, "ev_view:value" AS online_num,
+       1e6 + CAST(entity_key AS DOUBLE) AS offline_num
+FROM ({ORACLES["online_lookup"]}) WHERE CAST(entity_key AS BIGINT) % 3 = 0"""

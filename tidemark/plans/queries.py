@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.numerics import epoch_micros
+from tidemark.functions.keys import with_entity_key
+from tidemark.functions.numerics import MICROS, epoch_micros, micros_of, moment
 from tidemark.functions.scoring import explode_contributions, model, score
 from tidemark.functions.transforms import (
     FRAUD_RATIOS,
@@ -31,7 +32,7 @@ from tidemark.sources.export import json_rows, json_safe, read_csv, write_csv
 from tidemark.sources.batches import next_batch
 from tidemark.sources.history import HistoryTable, count_by_view, timeline
 from tidemark.sources.state import StateTable
-from tidemark.specs import CREATED_TIME, ENTITY_KEY, EVENT_TIME, DataType, Feature, FeatureView
+from tidemark.specs import CREATED_TIME, ENTITY_KEY, EVENT_TIME, DataType, Entity, Feature, FeatureView
 from tidemark.streaming.ingest import recent_events, stream_totals as totals_of_stream
 from tidemark.streaming.latest import start_latest
 
@@ -115,6 +116,66 @@ def pit_row_level_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return point_in_time_join(V.purchase_spine(events), {"ev_view": held}, EVENT_REFS[:2])
 
 
+LATE = FeatureView("late_view", "user", (Feature("value"), Feature("k", DataType.INT64)), V.DAY_SECONDS, tie="event_id")
+
+
+@query
+def pit_as_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of which most arrive hours late; a purchase sees only what had arrived."""
+    events = _events(spark, sf_dir)
+    late = events.where("event_type = 'view'").select(
+        F.col("user_id").cast("string").alias(ENTITY_KEY),
+        F.col("ts").alias(EVENT_TIME),
+        F.expr("ts + make_interval(0, 0, 0, 0, cast(event_id % 7 * 3 as int), 0, 0)").alias(CREATED_TIME),
+        "event_id",
+        "value",
+        V._k().alias("k"),
+    )
+    refs = ["late_view:value", "late_view:k"]
+    return point_in_time_join(V.purchase_spine(events), {"late_view": ViewData(LATE, late)}, refs, as_known=True)
+
+
+ITEM_VIEW = FeatureView("item_view", "item", (Feature("value"),), V.DAY_SECONDS, tie="event_id")
+USER_ITEM_VIEW = FeatureView("user_item_view", "user_item", (Feature("value"),), tie="event_id")
+KEYED = {
+    "user": Entity("user", ("user_id",)),
+    "item": Entity("item", ("k",)),
+    "user_item": Entity("user_item", ("user_id", "k")),
+}
+
+
+def _keyed(events: DataFrame, kind: str, view: FeatureView) -> ViewData:
+    rows = events.where(F.col("event_type") == kind).withColumn("k", V._k())
+    keyed = with_entity_key(rows, KEYED[view.entity_name])
+    return ViewData(view, keyed.select(ENTITY_KEY, F.col("ts").alias(EVENT_TIME), "event_id", "value"))
+
+
+def _keyed_spine(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'purchase'").select("event_id", "user_id", V._k().alias("k"), F.col("ts").alias(EVENT_TIME))
+
+
+@query
+def pit_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last view by the same user of the same item."""
+    events = _events(spark, sf_dir)
+    spine = with_entity_key(_keyed_spine(events), KEYED["user_item"])
+    held = {"user_item_view": _keyed(events, "view", USER_ITEM_VIEW)}
+    return point_in_time_join(spine, held, ["user_item_view:value"]).drop(ENTITY_KEY)
+
+
+@query
+def pit_multi_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the user, of the item and of both, for each purchase, in one join."""
+    events = _events(spark, sf_dir)
+    held = {
+        "ev_click": V.event_views(events)["ev_click"],
+        "item_view": _keyed(events, "view", ITEM_VIEW),
+        "user_item_view": _keyed(events, "view", USER_ITEM_VIEW),
+    }
+    refs = ["ev_click:value", "item_view:value", "user_item_view:value"]
+    return pit.join_entities(_keyed_spine(events), held, refs, KEYED)
+
+
 @query
 def entity_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline(V.event_history(_events(spark, sf_dir), "view"), ONE_USER)
@@ -303,6 +364,26 @@ def store_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.verify_skew(EVENT_REFS).summary
 
 
+@query
+def store_parity_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every third user that reach history after serving: exactly their inferences differ."""
+    store = _store(spark, "late")
+    held = V.event_views(_events(spark, sf_dir))["ev_view"]
+    store.register_feature_view(held.view)
+    store.ingest_batch("ev_view", held.data)
+    signups = _events(spark, sf_dir).where(F.col("event_type") == "signup")
+    store.get_online_features(signups.select(F.col("user_id").alias(ENTITY_KEY)), ["ev_view:value"], now=V.AS_OF)
+    users = signups.where("user_id % 3 = 0").select("user_id").distinct()
+    late = users.select(
+        F.col("user_id").cast("string").alias(ENTITY_KEY),
+        moment(micros_of(V.AS_OF) - MICROS, V.NAIVE).alias(EVENT_TIME),
+        (F.lit(1e6) + F.col("user_id")).alias("value"),
+    )
+    store.ingest_batch("ev_view", late, sync_to_online=False)
+    found = store.verify_skew(["ev_view:value"]).mismatches
+    return found.select(ENTITY_KEY, "feature", "online_num", "offline_num")
+
+
 @query
 def quality_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema rules of a store: a whole table, one whose files lack a column, one never written."""
@@ -460,15 +541,6 @@ def drift_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.overall_status(drift.drift_report(V.drift_sides(_events(spark, sf_dir)), V.EVENT_TYPES))
 
 
-@query
-def drift_few_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drift of the values of users 1 to 40, named one by one; ``drift_every_user`` has all."""
-    events = _events(spark, sf_dir)
-    users = [str(u) for u in range(1, 41)]
-    sides = V.drift_sides(events.withColumn("event_type", F.col("user_id").cast("string")))
-    return drift.drift_report(sides, users).select("feature", "status", "baseline_count", "current_count")
-
-
 @query
 def drift_every_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift of every user's values: most users have too few of them, and the report says so."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.keys import with_entity_key
 from tidemark.functions.numerics import micros_of, moment
 from tidemark.functions.scoring import model, score
 from tidemark.functions.transforms import (
@@ -139,7 +140,7 @@ class FeatureStore:
         """
         view = self.registry.view(view_name)
         batch = batch or next_batch()
-        rows = self.transform(view_name, df)
+        rows = self.transform(view_name, with_entity_key(df, self.registry.entities[view.entity_name]))
         table = self.history(view_name)
         if view.offline:
             table.append(rows, batch)
@@ -230,11 +231,20 @@ class FeatureStore:
         )
         return served
 
-    def get_historical_features(self, entity_df: DataFrame, refs: list[str]) -> DataFrame:
-        """Features as known at each row's ``event_timestamp``, with the views' TTLs."""
+    def get_historical_features(
+        self, entity_df: DataFrame, refs: list[str], *, as_known: bool = False
+    ) -> DataFrame:
+        """Features as of each row's ``event_timestamp``, with the views' TTLs.
+
+        A spine without ``entity_key`` has the join keys of the views' entities, one or several. ``as_known``
+        leaves out rows that were created after the observation.
+        """
         self.registry.check_refs(refs)
-        names = [Ref.parse(r).view for r in refs]
-        return pit.point_in_time_join(entity_df, self._histories(names), refs, policy=self.policy)
+        histories = self._histories([Ref.parse(r).view for r in refs])
+        options = {"as_known": as_known, "policy": self.policy}
+        if ENTITY_KEY not in entity_df.columns:
+            return pit.join_entities(entity_df, histories, refs, self.registry.entities, **options)
+        return pit.point_in_time_join(entity_df, histories, refs, **options)
 
     def get_timeline(self, entity_key: str, view_name: str) -> DataFrame:
         return self.history(view_name).timeline(entity_key)
