@@ -67,9 +67,10 @@ class LogTable:
         found = self.folder.read()
         return None if found is None else found.drop(BATCH)
 
-    def compact(self) -> None:
-        """The log as one batch."""
-        self._rewrite(self.folder.seen().visible, None, whole=False)
+    def compact(self, since: Column | None = None) -> None:
+        """The log as one batch; rows for which ``since`` does not hold are let go. ``expire`` alone lets
+        rows go without writing all others anew."""
+        self._rewrite(self.folder.seen().visible, since, whole=since is not None)
 
     def _rewrite(self, names: frozenset[str], kept: Column | None, *, whole: bool) -> None:
         held = self.folder.read(names=names) if names else None

@@ -70,8 +70,12 @@ class StateTable:
         return BatchFolder(self.spark, self.path)
 
     def upsert(self, state: DataFrame, batch: str | None = None) -> None:
-        """Add a delta; writing the same batch again replaces it."""
-        self._write(state, batch or next_batch())
+        """Add a delta; writing the same batch again replaces it. Where a change has replaced the batch,
+        it becomes a delta anew: merging the same values twice changes nothing."""
+        name = batch or next_batch()
+        if batch is not None and batch in self.folder.seen().hidden:
+            name = f"{batch}-{next_batch()}"
+        self._write(state, name)
 
     def deltas(self) -> frozenset[str]:
         """Names of the deltas there are now; take them before reading what ``replace`` is to write."""
