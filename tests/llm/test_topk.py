@@ -19,7 +19,8 @@ def expected(rows, k, every):
     made = []
     for q in sorted({i for i, _ in usable if i % every == 0}):
         vector = min(v for i, v in usable if i == q)
-        scored = [(-sum(a * b for a, b in zip(vector, v)), i) for i, v in usable if i != q]
+        alike = [(i, v) for i, v in usable if i != q and len(v) == len(vector)]
+        scored = [(-sum(a * b for a, b in zip(vector, v)), i) for i, v in alike]
         made += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k], 1)]
     return made
 
@@ -37,10 +38,24 @@ def test_top_k_is_that_of_brute_force(spark, block_rows, query_rows):
     assert got == expected(rows, 5, 10)
 
 
-def test_other_lengths_take_no_part(spark):
-    rows = [(0, [1.0, 2.0]), (1, [1.0, 1.0]), (2, [9.0]), (3, [5.0, 5.0, 5.0])]
+def test_each_width_is_searched_by_itself(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4 + 2 * (i >= 120))]) for i in range(300)]
+    # A query in rows of two widths: its first row in component order counts.
+    rows += [(50, [-9.0] + [0.5] * 5), (2, [9.0]), (200, [-8.0] * 4)]
     frame = spark.createDataFrame([(i, v, "s", 1, 2) for i, v in rows], SCHEMA)
-    assert [tuple(r) for r in top_k(frame, 5, 50).collect()] == [(0, 1, 1, 3 * 65536)]
+    for block_rows in (16, 8192):
+        got = sorted(tuple(r) for r in top_k(frame, 5, 50, block_rows=block_rows).collect())
+        assert got == expected(rows, 5, 50)
+        assert {r[0] for r in got} == {0, 50, 100, 150, 200, 250}
+
+
+def test_rounds_end_when_no_block_is_left(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) * (8 if i % 20 == 0 else 0.01) for _ in range(6)]) for i in range(600)]
+    frame = spark.createDataFrame([(i, v, "s", 1, 2) for i, v in rows], SCHEMA)
+    got = sorted(tuple(r) for r in top_k(frame, 2, 100, block_rows=20, query_rows=2).collect())
+    assert got == expected(rows, 2, 100)
 
 
 def test_empty_tables(spark):

@@ -45,6 +45,8 @@ GIANT_CHARS, CHUNK_CHARS, SEGMENT_CHUNKS = 50_000, 16_384, 64
 CACHE_WORDS = 400_000
 _SPACE = "▁"
 _START, _END = (0, 0), (-1, 0)
+_CUT_CHUNKS = 64
+_CHUNK = "row long, chunk long, chunks long, before string, text string, behind string"
 _WINDOW = 64
 _RESULT = pa.schema(
     [
@@ -419,6 +421,27 @@ def _digest(rows: pa.Table) -> pa.Table:
     return pa.table(made)
 
 
+def _cut(batches: Iterator[pa.RecordBatch], chunk_chars: int, margin: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of each text with up to ``margin`` characters on both sides, in one pass over it:
+    slicing a Python string costs its slice, wherever that lies."""
+    for batch in batches:
+        for row, text in zip(batch["row"], batch["text"]):
+            normal = _SPACE + text.as_py().replace(" ", _SPACE)
+            count = -(-len(normal) // chunk_chars)
+            for first in range(0, count, _CUT_CHUNKS):
+                begins = [i * chunk_chars for i in range(first, min(first + _CUT_CHUNKS, count))]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "row": pa.array([row.as_py()] * len(begins), pa.int64()),
+                        "chunk": pa.array([b // chunk_chars for b in begins], pa.int64()),
+                        "chunks": pa.array([count] * len(begins), pa.int64()),
+                        "before": [normal[max(b - margin, 0) : b] for b in begins],
+                        "text": [normal[b : b + chunk_chars] for b in begins],
+                        "behind": [normal[b + chunk_chars : b + chunk_chars + margin] for b in begins],
+                    }
+                )
+
+
 def encode_giants(
     giants: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, segment_chunks: int = SEGMENT_CHUNKS
 ) -> DataFrame:
@@ -426,25 +449,8 @@ def encode_giants(
     margin = pieces(path).longest
     if chunk_chars < 2 * margin:
         raise ValueError(f"a chunk must have {2 * margin} characters or more")
-    normal = F.concat(F.lit(_SPACE), F.translate("text", " ", _SPACE))
-    longest = F.length("normal")
-
-    def piece(i):
-        begin = i * chunk_chars
-        return F.struct(
-            i.alias("chunk"),
-            F.ceil(longest / chunk_chars).cast("long").alias("chunks"),
-            F.substring("normal", F.greatest(begin - margin, F.lit(0)) + 1, F.least(F.lit(margin), begin)).alias("before"),
-            F.substring("normal", begin + 1, F.lit(chunk_chars)).alias("text"),
-            F.substring("normal", begin + chunk_chars + 1, F.lit(margin)).alias("behind"),
-        )
-
-    numbers = F.sequence(F.lit(0).cast("int"), (F.ceil(longest / chunk_chars) - 1).cast("int"))
     chunks = written(
-        giants.select("row", normal.alias("normal")).select("row", F.inline(F.transform(numbers, piece))).withColumn(
-            "chunk", F.col("chunk").cast("long")
-        ),
-        "chunks",
+        giants.select("row", "text").mapInArrow(lambda x: _cut(x, chunk_chars, margin), _CHUNK), "chunks"
     )
     matrices = written(
         spread(chunks, "row", "chunk").mapInArrow(

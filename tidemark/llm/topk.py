@@ -2,18 +2,22 @@
 
 Vectors are sorted by falling length into blocks. They are rotated onto the eigenvectors of their
 Gram matrix (the right singular vectors), so that the first few components hold most of a
-product. A query meets the block of longest vectors first, which gives it a threshold; from then on
+product. Queries go over the blocks in rounds, the longest vectors first: one block, one more, two, four
+and so on. What they have found so far is their threshold in the next round, where
 
-* a block whose longest vector times the query is below the threshold ends the search, and
+* a block whose longest vector times the query is below the threshold is not visited; once no block is
+  left for any query, the search ends, and
 * a vector whose product over the leading components, plus the product of the remaining lengths
   (Cauchy-Schwarz), is below it is passed over.
 
 What is left gets its exact integer product. Bounds carry a margin for rounding and keep ties. Query
-blocks and vector blocks meet through a join on the block numbers that a query block still needs.
+blocks and vector blocks meet through a join on the block numbers that a query block still needs; a
+joined row is one task's piece of work, so vector blocks are shuffled once a round and not once a pair.
 
-Rules: vectors that are null, hold null or non-finite components, have no ``vec_id``, or another
-length than most vectors have (ties: the longer) take no part. A row repeated takes part once a
-row; a query repeated gets one answer, that of its first row in (``vec_id``, components) order.
+Rules: vectors that are null, hold null or non-finite components, or have no ``vec_id`` take no part. Only
+vectors with as many components have a product, so each width is searched by itself. A row repeated
+takes part once a row; a query repeated gets one answer, that of its first row in (``vec_id``,
+components) order, whose width counts.
 Columns besides ``vec_id`` and ``embedding`` are ignored.
 """
 
@@ -96,9 +100,16 @@ def _best(
         yield i, ids[may][order], scores[order]
 
 
-def _search(pair: pa.Table, width: int, rotation: np.ndarray, lead: int, k: int) -> pa.Table:
-    """One block of queries against one block of vectors."""
-    row = pair.to_pylist()[0]
+def _search(
+    batches: Iterator[pa.RecordBatch], width: int, rotation: np.ndarray, lead: int, k: int
+) -> Iterator[pa.RecordBatch]:
+    """Each row is one block of queries and one block of vectors."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield _search_pair(batch.slice(i, 1).to_pylist()[0], width, rotation, lead, k)
+
+
+def _search_pair(row: dict, width: int, rotation: np.ndarray, lead: int, k: int) -> pa.RecordBatch:
     queries, v = (np.frombuffer(row[c], "<i8").reshape(-1, width).astype(np.float64) for c in ("q_vectors", "vectors"))
     query_ids, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
     out: tuple[list, list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
@@ -107,7 +118,7 @@ def _search(pair: pa.Table, width: int, rotation: np.ndarray, lead: int, k: int)
         out[0].append(np.full(len(found), query_ids[i]))
         out[1].append(found)
         out[2].append(scores)
-    return pa.table([pa.array(np.concatenate(x).astype(np.int64)) for x in out], schema=_HITS)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], schema=_HITS)
 
 
 def _pack_vectors(rows: pa.Table, width: int) -> pa.Table:
@@ -157,41 +168,51 @@ def top_k(
     """``query_id``, ``rank``, ``vec_id``, ``score``: for every row whose id is divisible by ``every``,
     the ``k`` highest products among all other rows, ties to the smaller id."""
     integers = written(to_integers(vectors, scale), "integers")
-    widths = integers.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
-    if widths is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = widths["width"]
-    integers = integers.where(F.size("v") == width)
-    rotation, lead = _rotation(integers, width)
-    blocks = _by_length(integers, width, block_rows, widths["count"])
-    longest = blocks.agg(F.min("block")).first()[0]
-
     asked = integers.where(F.pmod("vec_id", F.lit(every)) == 0)
     asked = asked.groupBy("vec_id").agg(F.min(F.struct("v", "squared")).alias("one")).select("vec_id", "one.*")
-    asked = asked.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(-(-widths["count"] // (every * query_rows)))))
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # Widths are few: their number doesn't grow with the rows.
+    for width, count in integers.groupBy(F.size("v").alias("width")).count().orderBy("width").collect():
+        same = [x.where(F.size("v") == width) for x in (integers, asked)]
+        found = found.union(_top_k_of_width(*same, width, count, k, every, block_rows, query_rows))
+    return found
+
 
-    def search(floors: DataFrame, among: DataFrame) -> DataFrame:
+def _top_k_of_width(
+    integers: DataFrame, asked: DataFrame, width: int, count: int, k: int, every: int, block_rows: int, query_rows: int
+) -> DataFrame:
+    rotation, lead = _rotation(integers, width)
+    blocks = _by_length(integers, width, block_rows, count)
+    spans = written(blocks.select("block", "longest"), "spans")
+    blocks_end = (spans.agg(F.max("block")).first()[0] or 0) + 1
+    asked = asked.withColumn("q_block", F.pmod(F.xxhash64("vec_id"), F.lit(-(-count // (every * query_rows)))))
+    best = integers.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    begin, end = 0, 1
+    while begin < blocks_end:
+        floors = best.groupBy(F.col("query_id").alias("vec_id")).agg(
+            F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor")
+        )
+        informed = asked.join(floors, "vec_id", "left").withColumn("least", F.coalesce("floor", F.lit(float("-inf"))))
         queries = written(
-            floors.groupBy("q_block").applyInArrow(lambda x: _pack_queries(x, width), _QUERIES), "queries"
+            informed.groupBy("q_block").applyInArrow(lambda x: _pack_queries(x, width), _QUERIES), "queries"
         )
-        # The search by length: a block of queries goes on to the blocks that any of them may need.
-        needed = queries.select("q_block", "reach").join(
-            among.select("block", "longest"), F.col("longest") * (1 + 1e-9) + 1e-9 >= F.col("reach")
+        # Descriptors only. Blocks get shorter: where none of these is needed, no later one is.
+        visited = spans.where((F.col("block") >= begin) & (F.col("block") < end))
+        needed = written(
+            queries.select("q_block", "reach").join(
+                visited, F.col("longest") * (1 + 1e-9) + 1e-9 >= F.col("reach")
+            ).select("q_block", "block"),
+            "needed",
         )
-        pairs = needed.select("q_block", "block").join(queries, "q_block").join(among.drop("longest"), "block")
-        return pairs.groupBy("q_block", "block").applyInArrow(
+        if needed.isEmpty():
+            break
+        pairs = needed.join(queries, "q_block")
+        hits = pairs.join(blocks.drop("longest"), "block").mapInArrow(
             lambda x: _search(x, width, rotation, lead, k), "query_id long, vec_id long, score long"
         )
-
-    first = written(
-        search(asked.withColumn("least", F.lit(float("-inf"))), blocks.where(F.col("block") == longest)), "first"
-    )
-    floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(
-        F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor")
-    )
-    informed = asked.join(floors, "vec_id", "left").withColumn("least", F.coalesce("floor", F.lit(float("-inf"))))
-    rest = search(informed.drop("floor"), blocks.where(F.col("block") != longest))
-    ranked = first.union(rest).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    )
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ranked = best.drop("rank").union(hits).withColumn(
+            "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        )
+        best = written(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
+        begin, end = end, 2 * end
+    return best
