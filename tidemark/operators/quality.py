@@ -220,7 +220,8 @@ def quality_score(rules: DataFrame) -> DataFrame:
 def valid(feature: Feature, df: DataFrame) -> Column:
     """Whether a value has the feature's type and lies within its inclusive bounds.
 
-    Null is valid. An integer is a valid FLOAT64, as is a boolean a valid INT64 or FLOAT64.
+    Null is valid. An integer is a valid FLOAT64, as is a boolean a valid INT64 or FLOAT64. Booleans
+    count as 0 and 1; texts have texts as bounds, in code-point order; other types have no order.
     """
     value, dtype = F.col(f"`{feature.name}`"), df.schema[feature.name].dataType
     whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
@@ -232,13 +233,16 @@ def valid(feature: Feature, df: DataFrame) -> Column:
     }.get(feature.dtype)
     if accepted is not None and not isinstance(dtype, accepted):
         return value.isNull()
-    good = F.lit(True)
-    if feature.dtype.numeric:
-        number = value.cast("double")
-        if feature.min_value is not None:
-            good = good & ~(number < feature.min_value)
-        if feature.max_value is not None:
-            good = good & ~(number > feature.max_value)
+    bounds = [b for b in (feature.min_value, feature.max_value) if b is not None]
+    text = feature.dtype is DataType.STRING
+    ordered = text or feature.dtype.numeric or feature.dtype is DataType.BOOLEAN
+    if bounds and (not ordered or any(isinstance(b, str) is not text for b in bounds)):
+        raise ValueError(f"feature {feature.name!r}: {feature.dtype.value} has no order with {bounds}")
+    good, held = F.lit(True), value if text else value.cast("double")
+    if feature.min_value is not None:
+        good = good & ~(held < F.lit(feature.min_value))
+    if feature.max_value is not None:
+        good = good & ~(held > F.lit(feature.max_value))
     return value.isNull() | good
 
 

@@ -694,3 +694,29 @@ FROM spine s LEFT JOIN c USING (event_id) LEFT JOIN i USING (event_id) LEFT JOIN
 ORACLES["store_parity_late"] = f"""SELECT entity_key, 'ev_view:value' AS feature, "ev_view:value" AS online_num,
        1e6 + CAST(entity_key AS DOUBLE) AS offline_num
 FROM ({ORACLES["online_lookup"]}) WHERE CAST(entity_key AS BIGINT) % 3 = 0"""
+# The first quarter of the time range as microseconds, rounded up like the feed's parts.
+ORACLES["stream_dedup"] = f"""WITH v AS (SELECT * FROM events WHERE event_type = 'view'),
+r AS (SELECT min(epoch_us(ts)) AS first, (max(epoch_us(ts)) - min(epoch_us(ts))) // 4 + 1 AS quarter FROM v)
+SELECT event_id, CAST(user_id AS VARCHAR) AS entity_key, ts AS event_timestamp, value, {_K} AS k,
+       NOT (epoch_us(ts) - first < quarter AND event_id % 50 = 7) AS taken
+FROM v CROSS JOIN r"""
+ORACLES["stream_ttl_state"] = f"""WITH {_SPARSE},
+alive AS (SELECT * FROM sparse WHERE epoch_us(event_timestamp) >=
+  (SELECT max(epoch_us(event_timestamp)) FROM sparse) - 86400000000),
+s AS (SELECT entity_key, arg_max(value, event_timestamp) FILTER (value IS NOT NULL) AS value,
+             arg_max(k, event_timestamp) FILTER (k IS NOT NULL) AS k FROM alive GROUP BY entity_key)
+SELECT * FROM s WHERE value IS NOT NULL OR k IS NOT NULL"""
+ORACLES["sketch_quantiles"] = f"""WITH x AS (
+  SELECT 'value' AS feature, count(value) FILTER (NOT isnan(value)) AS n FROM events
+  UNION ALL SELECT 'k', count({_K}) FROM events)
+SELECT feature, n, CAST(share AS DOUBLE) AS share, true AS within_bound
+FROM x CROSS JOIN (SELECT unnest([0.1, 0.5, 0.9]) AS share) WHERE n > 0"""
+ORACLES["sketch_key_overlap"] = """WITH v AS (
+  SELECT DISTINCT 'ev_' || event_type AS name, user_id FROM events
+  WHERE event_type IN ('view', 'click', 'error') AND user_id IS NOT NULL),
+n AS (SELECT name, count(*) AS keys FROM v GROUP BY name),
+b AS (SELECT a.name AS view_a, c.name AS view_b, count(*) AS both_keys
+      FROM v a JOIN v c ON a.user_id = c.user_id AND a.name < c.name GROUP BY ALL)
+SELECT x.name AS view_a, y.name AS view_b, x.keys AS keys_a, y.keys AS keys_b,
+       coalesce(both_keys, 0) AS keys_both, x.keys + y.keys - coalesce(both_keys, 0) AS keys_any
+FROM n x JOIN n y ON x.name < y.name LEFT JOIN b ON view_a = x.name AND view_b = y.name"""

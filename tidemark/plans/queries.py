@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.keys import with_entity_key
 from tidemark.functions.numerics import MICROS, epoch_micros, micros_of, moment
@@ -20,7 +21,7 @@ from tidemark.functions.transforms import (
     RATIO_CALC,
     PandasTransformation,
 )
-from tidemark.operators import drift, latest, parity, pit, profile, quality
+from tidemark.operators import drift, latest, parity, pit, profile, quality, sketches
 from tidemark.operators.grid import observation_grid
 from tidemark.operators.latest import ViewState
 from tidemark.operators.pit import ViewData, point_in_time_join
@@ -33,8 +34,10 @@ from tidemark.sources.batches import next_batch
 from tidemark.sources.history import HistoryTable, count_by_view, timeline
 from tidemark.sources.state import StateTable
 from tidemark.specs import CREATED_TIME, ENTITY_KEY, EVENT_TIME, DataType, Entity, Feature, FeatureView
+from tidemark.streaming.expiry import start_expiring
 from tidemark.streaming.ingest import recent_events, stream_totals as totals_of_stream
 from tidemark.streaming.latest import start_latest
+from tidemark.streaming.once import missed, once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -860,3 +863,111 @@ def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         state, feed, checkpoint=work_dir(spark, "state-at"), name="latest"
     ).awaitTermination()
     return _flat_state(state.read())
+
+
+PARTS = 4
+
+
+def _in_time_parts(events: DataFrame) -> tuple[DataFrame, int]:
+    """Events with ``part``, the quarter of their time range, and the quarter's length in seconds."""
+    at = epoch_micros(F.col("ts"), events.schema["ts"].dataType)
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    length = ((last or 0) - (first or 0)) // PARTS + 1
+    return events.withColumn("part", F.floor((at - (first or 0)) / length).cast("int")), max(length // MICROS, 1)
+
+
+def _fed_in_parts(
+    rows: DataFrame, path: str, start: Callable[[DataFrame], StreamingQuery]
+) -> None:
+    """Let the parts arrive one after the other, each followed by a restart of the stream."""
+    arriving = rows.drop("part")
+    for part in range(PARTS):
+        rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(path)
+        start(rows.sparkSession.readStream.schema(arriving.schema).parquet(path)).awaitTermination()
+
+
+@query
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of which a third come again with the next quarter, and some of the first quarter with the last:
+    history takes each once, and the audit finds those beyond the declared delay of one and a half quarters."""
+    views, seconds = _in_time_parts(_events(spark, sf_dir).where("event_type = 'view'"))
+    held_back = "part = 0 AND event_id % 50 = 7"
+    parts = f"""CASE WHEN {held_back} THEN array({PARTS - 1})
+        WHEN event_id % 3 = 0 THEN array(part, least(part + 1, {PARTS - 1})) ELSE array(part) END"""
+    arrivals = written(
+        views.select(
+            F.col("user_id").cast("string").alias(ENTITY_KEY),
+            F.col("ts").alias(EVENT_TIME),
+            F.col("ts").alias(CREATED_TIME),
+            "event_id",
+            "value",
+            V._k().alias("k"),
+            F.explode(F.expr(parts)).alias("part"),
+        ),
+        "arrivals",
+    )
+    store = _store(spark, "dedup")
+    store.register_feature_view(LATE)
+    at = work_dir(spark, "dedup-at")
+    delay = f"{seconds + seconds // 2} seconds"
+    _fed_in_parts(
+        arrivals,
+        work_dir(spark, "feed"),
+        lambda stream: store.ingest_stream(
+            LATE.name, once(stream, ["event_id"], delay), checkpoint=at, name="views"
+        ),
+    )
+    columns = ["event_id", ENTITY_KEY, EVENT_TIME, "value", "k"]
+    taken = store.history(LATE.name).read().select(*columns)
+    late = missed(arrivals.select(*columns), taken, ["event_id"])
+    return taken.withColumn("taken", F.lit(True)).union(late.withColumn("taken", F.lit(False)))
+
+
+@query
+def stream_ttl_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is alive when the last event has come, from a stream that forgets what has expired."""
+    view = V.EVENT_VIEWS["ev_view"]
+    events, _ = _in_time_parts(_events(spark, sf_dir).where("event_type = 'view'"))
+    state, at = StateTable(spark, work_dir(spark, "state"), view, V.NAIVE), work_dir(spark, "ttl-at")
+    _fed_in_parts(
+        written(events, "arrivals"),
+        work_dir(spark, "feed"),
+        lambda stream: start_expiring(state, V.sparse_history(stream), checkpoint=at, name="alive"),
+    )
+    now = events.agg(F.max(epoch_micros(F.col("ts"), V.NAIVE)).alias("now"))
+    cells = [
+        latest.alive(
+            F.col(f.name), view.ttl_seconds, F.col("now"), epoch_micros(F.col(f"{f.name}.ts"), V.NAIVE)
+        ).alias(f.name)
+        for f in view.features
+    ]
+    alive = state.read().crossJoin(F.broadcast(now)).select(ENTITY_KEY, *cells)  # one row
+    return alive.where(reduce(lambda a, b: a | b, [F.col(f.name).isNotNull() for f in view.features]))
+
+
+SKETCHED = (0.1, 0.5, 0.9)
+
+
+@query
+def sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether merged daily sketches of value and k keep their rank error, judged by a scan."""
+    events = _events(spark, sf_dir).select("ts", "value", V._k().alias("k"))
+    daily = sketches.value_sketches(events, ["value", "k"], event_time="ts")
+    found = written(sketches.sketched_quantiles(daily, SKETCHED), "quantiles")
+    values = events.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in ("value", "k")]))
+    ).where("x IS NOT NULL AND NOT isnan(x)")
+    ranks = values.join(F.broadcast(found), "feature").groupBy("feature", "n", "share").agg(  # six rows
+        (F.count_if(F.col("x") < F.col("value")) / F.col("n")).alias("below"),
+        (F.count_if(F.col("x") <= F.col("value")) / F.col("n")).alias("upto"),
+    )
+    error = sketches.rank_error()
+    fits = (F.col("below") <= F.col("share") + error) & (F.col("upto") >= F.col("share") - error)
+    return ranks.select("feature", "n", "share", fits.alias("within_bound"))
+
+
+@query
+def sketch_key_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that each two views share, from daily sketches; exact up to 4,096 users."""
+    held = {name: view.data for name, view in V.event_views(_events(spark, sf_dir)).items()}
+    return sketches.key_overlap(sketches.key_sketches(held))

@@ -70,8 +70,8 @@ class Feature:
     dtype: DataType = DataType.FLOAT64
     description: str = ""
     default_value: Any = None
-    min_value: float | None = None
-    max_value: float | None = None
+    min_value: float | str | None = None
+    max_value: float | str | None = None
 
 
 @dataclass(frozen=True)
