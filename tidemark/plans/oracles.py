@@ -720,3 +720,10 @@ b AS (SELECT a.name AS view_a, c.name AS view_b, count(*) AS both_keys
 SELECT x.name AS view_a, y.name AS view_b, x.keys AS keys_a, y.keys AS keys_b,
        coalesce(both_keys, 0) AS keys_both, x.keys + y.keys - coalesce(both_keys, 0) AS keys_any
 FROM n x JOIN n y ON x.name < y.name LEFT JOIN b ON view_a = x.name AND view_b = y.name"""
+ORACLES["spine_row_ids"] = f"""WITH {_SPINE}
+SELECT *, row_number() OVER (ORDER BY event_timestamp, event_id) - 1 AS row_no FROM spine"""
+ORACLES["lookup_in_order"] = f"""SELECT *, row_number() OVER (ORDER BY request_no) - 1 AS row_no
+FROM ({ORACLES["online_lookup"]})"""
+ORACLES["parity_store_all"] = """SELECT 8 * COUNT(*) AS total_checks, 8 * COUNT(*) AS matched_features,
+       CAST(0 AS BIGINT) AS mismatched_features, 0e0 AS skew_rate_percent, 1e2 AS parity_rate_percent
+FROM events WHERE event_type = 'signup'"""

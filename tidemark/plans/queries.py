@@ -21,9 +21,10 @@ from tidemark.functions.transforms import (
     RATIO_CALC,
     PandasTransformation,
 )
-from tidemark.operators import drift, latest, parity, pit, profile, quality, sketches
+from tidemark.operators import drift, latest, ordinals, parity, pit, profile, quality, sketches
 from tidemark.operators.grid import observation_grid
 from tidemark.operators.latest import ViewState
+from tidemark.operators.ordinals import row_numbers
 from tidemark.operators.pit import ViewData, point_in_time_join
 from tidemark.plans import views as V
 from tidemark.plans.store import DATASET_SAMPLE, FeatureStore
@@ -221,6 +222,22 @@ def online_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.lookup(requests, _states(events), EVENT_REFS, V.AS_OF)
 
 
+@query
+def spine_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases numbered by time, then by id."""
+    return row_numbers(V.purchase_spine(_events(spark, sf_dir)), EVENT_TIME, "event_id")
+
+
+@query
+def lookup_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers for signups in the order of their ids."""
+    events = _events(spark, sf_dir)
+    requests = events.where(F.col("event_type") == "signup").select(
+        F.col("event_id").alias("request_no"), F.col("user_id").alias(ENTITY_KEY)
+    )
+    return ordinals.lookup_in_order(requests, _states(events), EVENT_REFS, V.AS_OF, "request_no")
+
+
 @query
 def entity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.entity_all(_states(_events(spark, sf_dir)), ONE_USER)
@@ -367,6 +384,28 @@ def store_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.verify_skew(EVENT_REFS).summary
 
 
+TYPED = FeatureView("ev_typed", "user", (Feature("label", DataType.STRING), Feature("high", DataType.BOOLEAN)))
+
+
+@query
+def parity_store_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every registered feature, numbers, texts and truths, served and checked against history."""
+    store = _filled_store(spark, sf_dir)
+    store.register_feature_view(TYPED)
+    views = V.event_history(_events(spark, sf_dir), "view")
+    typed = views.select(
+        ENTITY_KEY,
+        EVENT_TIME,
+        F.concat(F.lit("k"), F.col("k").cast("string")).alias("label"),
+        (F.col("value") > 50).alias("high"),
+    )
+    store.ingest_batch("ev_typed", typed)
+    refs = [f"{v.name}:{f}" for v in store.registry.views.values() for f in v.feature_names()]
+    requests = _events(spark, sf_dir).where(F.col("event_type") == "signup")
+    store.get_online_features(requests.select(F.col("user_id").alias(ENTITY_KEY)), refs, now=V.AS_OF)
+    return store.verify_skew().summary
+
+
 @query
 def store_parity_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every third user that reach history after serving: exactly their inferences differ."""
