@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -119,21 +119,21 @@ def not_negative(rule_id: str, name: str, *columns: str) -> Rule:
     )
 
 
-def check_table(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """All rules of a table in one scan. A rule whose columns are missing has not passed."""
-    runnable = [r for r in rules if set(r.columns) <= set(df.columns)]
-    rows = F.col("_rows")
-    measured = df.agg(
-        F.count("*").alias("_rows"), *[r.measure().alias(f"_m{i}") for i, r in enumerate(runnable)]
-    )
+def measures(rules: list[Rule], columns: Sequence[str]) -> dict[str, Column]:
+    """What one pass over a table has to find for the rules that its columns allow, and its rows."""
+    runnable = {f"_m{i}": r.measure() for i, r in enumerate(rules) if set(r.columns) <= set(columns)}
+    return {"_rows": F.count(F.lit(1)), **runnable}
+
+
+def judged(measured: DataFrame, rules: list[Rule], columns: Sequence[str], *keys: str) -> DataFrame:
+    """The rule rows of a measured table; ``keys`` are kept in front of them."""
     results = []
-    for rule in rules:
-        if rule in runnable:
-            found = F.col(f"_m{runnable.index(rule)}")
-            passed, observed = rule.passed(found), rule.observed(found, rows)
-        else:
-            missing = sorted(set(rule.columns) - set(df.columns))
-            passed, observed = F.lit(False), F.lit(f"Missing columns: {missing}")
+    for i, rule in enumerate(rules):
+        missing = sorted(set(rule.columns) - set(columns))
+        passed, observed = F.lit(False), F.lit(f"Missing columns: {missing}")
+        if not missing:
+            found = F.col(f"_m{i}")
+            passed, observed = rule.passed(found), rule.observed(found, F.col("_rows"))
         results.append(
             F.struct(
                 F.lit(rule.rule_id).alias("rule_id"),
@@ -144,7 +144,13 @@ def check_table(df: DataFrame, rules: list[Rule]) -> DataFrame:
                 observed.alias("observed"),
             )
         )
-    return measured.select(F.inline(F.array(*results)))
+    return measured.select(*keys, F.inline(F.array(*results)))
+
+
+def check_table(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """All rules of a table in one scan. A rule whose columns are missing has not passed."""
+    found = df.agg(*[m.alias(n) for n, m in measures(rules, df.columns).items()])
+    return judged(found, rules, df.columns)
 
 
 def schema_rules(held: list[ViewData], spark: SparkSession | None = None) -> DataFrame:
@@ -223,7 +229,7 @@ def valid(feature: Feature, df: DataFrame) -> Column:
     Null is valid. An integer is a valid FLOAT64, as is a boolean a valid INT64 or FLOAT64. Booleans
     count as 0 and 1; texts have texts as bounds, in code-point order; other types have no order.
     """
-    value, dtype = F.col(f"`{feature.name}`"), df.schema[feature.name].dataType
+    dtype = df.schema[feature.name].dataType
     whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
     accepted = {
         DataType.INT64: whole,
@@ -232,7 +238,13 @@ def valid(feature: Feature, df: DataFrame) -> Column:
         DataType.BOOLEAN: (T.BooleanType,),
     }.get(feature.dtype)
     if accepted is not None and not isinstance(dtype, accepted):
-        return value.isNull()
+        return F.col(f"`{feature.name}`").isNull()
+    return _within(feature)
+
+
+def _within(feature: Feature) -> Column:
+    """Whether a value of an accepted type lies within the feature's bounds."""
+    value = F.col(f"`{feature.name}`")
     bounds = [b for b in (feature.min_value, feature.max_value) if b is not None]
     text = feature.dtype is DataType.STRING
     ordered = text or feature.dtype.numeric or feature.dtype is DataType.BOOLEAN
@@ -246,6 +258,29 @@ def valid(feature: Feature, df: DataFrame) -> Column:
     return value.isNull() | good
 
 
+def bound_rules(view: FeatureView) -> list[Rule]:
+    """One rule for each declared feature with bounds: no value lies outside of them."""
+    made = []
+    for f in view.features:
+        if f.min_value is None and f.max_value is None:
+            continue
+        low = "" if f.min_value is None else f"{f.min_value} <= "
+        high = "" if f.max_value is None else f" <= {f.max_value}"
+        made.append(
+            Rule(
+                f"bounds_{f.name}",
+                f"Declared bounds ({low}{f.name}{high})",
+                VALIDITY,
+                IN_BOUNDS,
+                (f.name,),
+                lambda f=f: F.count_if(~_within(f)),
+                _none,
+                _violating,
+            )
+        )
+    return made
+
+
 def validate_features(df: DataFrame, view: FeatureView) -> DataFrame:
     """Checked and violating values per declared feature, in one scan."""
     present = [f for f in view.features if f.name in df.columns]

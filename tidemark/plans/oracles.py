@@ -727,3 +727,18 @@ FROM ({ORACLES["online_lookup"]})"""
 ORACLES["parity_store_all"] = """SELECT 8 * COUNT(*) AS total_checks, 8 * COUNT(*) AS matched_features,
        CAST(0 AS BIGINT) AS mismatched_features, 0e0 AS skew_rate_percent, 1e2 AS parity_rate_percent
 FROM events WHERE event_type = 'signup'"""
+_FRAUD_IDS = "('null_check_risk_score', 'range_check_risk_score', 'range_check_device_trust', 'non_negative_tx_counts')"
+ORACLES["quality_ingested"] = f"""SELECT * FROM ({ORACLES["quality_rules"]}) WHERE rule_id IN {_FRAUD_IDS}"""
+_BATCHED = f"""parts AS (SELECT *, CASE WHEN event_timestamp < {_SPLIT} THEN 'early' ELSE 'late' END AS batch FROM fraud),
+counted AS (
+  SELECT batch, COUNT(*) AS n, COUNT(*) FILTER (risk_score IS NULL) AS nulls,
+         COUNT(*) FILTER (risk_score < 0 OR risk_score > 1) AS risk,
+         COUNT(*) FILTER (device_trust_score < 0 OR device_trust_score > 1) AS trust,
+         COUNT(*) FILTER (tx_count_10m < 0 OR tx_count_1h < 0) AS below
+  FROM parts GROUP BY batch)"""
+ORACLES["quality_per_batch"] = f"""WITH {_FRAUD}, {_BATCHED}
+SELECT batch, 'null_check_risk_score' AS rule_id, nulls = 0 AS passed, nulls || ' nulls out of ' || n || ' rows (' ||
+       CAST({_r("CAST(nulls AS DOUBLE) / n * 1e2", 2)} AS VARCHAR) || '%)' AS observed FROM counted
+UNION ALL SELECT batch, 'range_check_risk_score', risk = 0, risk || ' violating rows' FROM counted
+UNION ALL SELECT batch, 'range_check_device_trust', trust = 0, trust || ' violating rows' FROM counted
+UNION ALL SELECT batch, 'non_negative_tx_counts', below = 0, below || ' violating rows' FROM counted"""

@@ -641,6 +641,29 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _measured_store(spark: SparkSession, sf_dir: str) -> FeatureStore:
+    """Fraud features in two batches, each measured by the rules while it was written."""
+    store = _store(spark, "measured")
+    store.register_feature_view(V.USER_FRAUD)
+    store.register_rules("user_fraud_features", FRAUD_RULES)
+    fraud = V.user_fraud(_events(spark, sf_dir))
+    split = F.lit(V.DRIFT_SPLIT.isoformat(sep=" ")).cast("timestamp_ntz")
+    for name, part in (("early", F.col(EVENT_TIME) < split), ("late", F.col(EVENT_TIME) >= split)):
+        store.ingest_batch("user_fraud_features", fraud.where(part), batch=name, sync_to_online=False)
+    return store
+
+
+@query
+def quality_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured_store(spark, sf_dir).batch_quality("user_fraud_features").select("batch", "rule_id", "passed", "observed")
+
+
+@query
+def quality_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over all batches, added up from what was found in each."""
+    return _measured_store(spark, sf_dir).ingested_quality("user_fraud_features")
+
+
 @query
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_score(quality_rules(spark, sf_dir))

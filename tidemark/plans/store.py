@@ -27,7 +27,7 @@ from tidemark.operators.slicing import SkewPolicy
 from tidemark.session import written
 from tidemark.sources import logs
 from tidemark.sources.export import json_safe, write_csv
-from tidemark.sources.batches import next_batch
+from tidemark.sources.batches import BatchFolder, next_batch
 from tidemark.sources.history import HistoryTable, count_by_view, normalise
 from tidemark.sources.state import StateTable
 from tidemark.specs import BATCH, ENTITY_KEY, EVENT_TIME, Entity, FeatureView, Ref, Registry
@@ -35,6 +35,13 @@ from tidemark.streaming.ingest import start_ingest
 
 # Fixed value: rows shown as a sample of a generated data set.
 DATASET_SAMPLE = 15
+MEASURED = T.StructType(
+    [
+        T.StructField("rule_id", T.StringType()),
+        T.StructField("found", T.LongType()),
+        T.StructField("row_count", T.LongType()),
+    ]
+)
 
 
 @dataclass(frozen=True)
@@ -80,6 +87,7 @@ class FeatureStore:
         self.policy = policy
         self.registry = Registry()
         self.transformations = TransformationRegistry()
+        self.rules: dict[str, list[quality.Rule]] = {}
         self.inferences = logs.LogTable(spark, f"{path}/log/inferences")
         self.audit = logs.AuditLog(logs.LogTable(spark, f"{path}/log/audit"))
 
@@ -96,8 +104,25 @@ class FeatureStore:
     def register_transformation(self, made: Transformation | PandasTransformation) -> None:
         self.transformations.register(made)
 
+    def register_rules(self, view_name: str, rules: list[quality.Rule] | None = None) -> None:
+        """Rules that every batch of a view is measured by while it is written; by default the declared
+        bounds. Their measures must be counts, which add up over batches."""
+        view = self.registry.view(view_name)
+        if not view.offline:
+            raise ValueError(f"view {view_name!r} keeps no history")
+        rules = quality.bound_rules(view) if rules is None else list(rules)
+        known = set(view.schema(self.time_type).names)
+        unknown = sorted({c for r in rules for c in r.columns} - known)
+        if unknown:
+            raise ValueError(f"view {view_name!r} does not declare {unknown}")
+        self.rules[view_name] = rules
+
     # Tables
 
+    def measured(self, view_name: str) -> BatchFolder:
+        """What the rules of a view found in its batches, a row a rule and batch."""
+        return BatchFolder(self.spark, f"{self.path}/measured/{view_name}")
+
     def history(self, view_name: str) -> HistoryTable:
         view = self.registry.view(view_name)
         return HistoryTable(self.spark, f"{self.path}/history/{view_name}", view, self.time_type)
@@ -143,13 +168,25 @@ class FeatureStore:
         rows = self.transform(view_name, with_entity_key(df, self.registry.entities[view.entity_name]))
         table = self.history(view_name)
         if view.offline:
-            table.append(rows, batch)
+            self._append(table, rows, batch)
             rows = table.read_batch(batch)
         else:
             rows = normalise(rows, view)
         if view.online and sync_to_online:
             self.state(view_name).upsert(latest.latest_values(rows, view), batch)
 
+    def _append(self, table: HistoryTable, rows: DataFrame, batch: str) -> None:
+        rules = self.rules.get(table.view.name)
+        if not rules:
+            table.append(rows, batch)
+            return
+        columns = table.view.schema(self.time_type).names
+        found = table.append(rows, batch, measures=quality.measures(rules, columns))
+        counts = [(r.rule_id, found[f"_m{i}"], found["_rows"]) for i, r in enumerate(rules)]
+        kept = self.spark.createDataFrame(counts, MEASURED).coalesce(1)
+        # A replay of the batch replaces what was found in it.
+        kept.write.mode("overwrite").parquet(self.measured(table.view.name).folder(batch))
+
     def ingest_stream(
         self, view_name: str, stream: DataFrame, *, checkpoint: str, name: str, **trigger: Any
     ) -> StreamingQuery:
@@ -391,6 +428,34 @@ class FeatureStore:
         )
         return checked
 
+    def batch_quality(self, view_name: str) -> DataFrame:
+        """The rule rows of every batch of a view, from what was found while it was written."""
+        return self._judged(view_name, BATCH)
+
+    def ingested_quality(self, view_name: str) -> DataFrame:
+        """The rule rows over all batches of a view, as a scan of its history would give them.
+
+        A rule registered later than a batch has not seen that batch; ``validate_quality`` scans.
+        """
+        return self._judged(view_name)
+
+    def _judged(self, view_name: str, *keys: str) -> DataFrame:
+        rules = self.rules.get(view_name, [])
+        if not rules:
+            raise ValueError(f"view {view_name!r} has no rules")
+        held = self.measured(view_name).read(MEASURED)
+        if held is None:
+            held = self.spark.createDataFrame([], T.StructType([*MEASURED.fields, T.StructField(BATCH, T.StringType())]))
+        # One row a rule and batch comes in, one row a batch (or one at all) goes out.
+        found = [
+            F.coalesce(F.sum(F.when(F.col("rule_id") == r.rule_id, F.col("found"))), F.lit(0)).alias(f"_m{i}")
+            for i, r in enumerate(rules)
+        ]
+        rows = F.sum(F.when(F.col("rule_id") == rules[0].rule_id, F.col("row_count")))
+        summed = held.groupBy(*keys).agg(F.coalesce(rows, F.lit(0)).alias("_rows"), *found)
+        columns = self.registry.view(view_name).schema(self.time_type).names
+        return quality.judged(summed, rules, columns, *keys)
+
     def drift(self, refs: list[str] | None = None, **asked: Any) -> DataFrame:
         """Drift of served values against history, by default for all numeric features; takes the
         options of ``verify_skew``."""

@@ -8,9 +8,11 @@ place of many small ones; what lands meanwhile stays, and a replay of a compacte
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,19 +75,31 @@ class HistoryTable:
         return BatchFolder(self.spark, self.path)
 
     def append(
-        self, df: DataFrame, batch: str | None = None, now: dt.datetime | None = None
-    ) -> None:
+        self,
+        df: DataFrame,
+        batch: str | None = None,
+        now: dt.datetime | None = None,
+        measures: dict[str, Column] | None = None,
+    ) -> dict[str, Any] | None:
+        """Write a batch. ``measures``, aggregates over its rows by name, are taken in the same pass and
+        returned; in them a declared feature that the batch lacks is null."""
         rows = normalise(df, self.view, now=now).withColumn(EVENT_DATE, F.col(EVENT_TIME).cast("date"))
-        self._write(self._settled(rows), batch or next_batch())
+        return self._write(self._settled(rows), batch or next_batch(), measures)
 
-    def _write(self, rows: DataFrame, batch: str) -> None:
+    def _write(
+        self, rows: DataFrame, batch: str, measures: dict[str, Column] | None = None
+    ) -> dict[str, Any] | None:
         # The rebalance lets AQE size the files: few dates a file, and several files for a large date.
-        (
-            rows.hint("rebalance", EVENT_DATE)
-            .sortWithinPartitions(EVENT_DATE, ENTITY_KEY, EVENT_TIME)
-            .write.mode("overwrite")
-            .parquet(self.folder.folder(batch))
-        )
+        rows = rows.hint("rebalance", EVENT_DATE).sortWithinPartitions(EVENT_DATE, ENTITY_KEY, EVENT_TIME)
+        seen = None
+        if measures:
+            # After the last shuffle: a writing task that succeeds counts once, however often it ran.
+            declared = self.view.schema(self.time_type).fields
+            absent = {f.name: F.lit(None).cast(f.dataType) for f in declared if f.name not in rows.columns}
+            seen = Observation(f"batch-{uuid.uuid4().hex}")
+            rows = rows.withColumns(absent).observe(seen, *[m.alias(n) for n, m in measures.items()]).drop(*absent)
+        rows.write.mode("overwrite").parquet(self.folder.folder(batch))
+        return None if seen is None else seen.get
 
     def _settled(self, rows: DataFrame) -> DataFrame:
         """Columns that the view does not declare keep the type they first came with; a value that
