@@ -1,4 +1,4 @@
-"""One struct that holds a value of any feature type, for tables that mix features."""
+"""Values of any feature type in one column: a struct for tables that mix features, VARIANT for fields nobody declared."""
 
 from __future__ import annotations
 
@@ -21,3 +21,21 @@ def typed(value: str, dtype: DataType) -> Column:
     elif dtype is DataType.VECTOR:
         text = f"to_json({quoted})"
     return F.expr(f"named_struct('num', {num}, 'text', {text}, 'flag', {flag})")
+
+
+def field_of(variant: Column, name: str, dtype: str) -> Column:
+    """A top-level field of a VARIANT column as ``dtype``, null where it is absent or does not fit."""
+    if "'" in name:
+        raise ValueError(f"field name {name!r} holds a quote")
+    return F.try_variant_get(variant, f"$['{name}']", dtype)
+
+
+def field_type(variant: Column, name: str) -> Column:
+    """The type that a top-level field of a VARIANT column has in this row, null where it is absent."""
+    return F.schema_of_variant(field_of(variant, name, "variant"))
+
+
+def json_field(text: Column, name: str, dtype: str) -> Column:
+    """A top-level field of a JSON feature as ``dtype``, null where it is absent, the text is no JSON or
+    the value does not fit."""
+    return field_of(F.try_parse_json(text), name, dtype)

@@ -742,3 +742,10 @@ SELECT batch, 'null_check_risk_score' AS rule_id, nulls = 0 AS passed, nulls ||
 UNION ALL SELECT batch, 'range_check_risk_score', risk = 0, risk || ' violating rows' FROM counted
 UNION ALL SELECT batch, 'range_check_device_trust', trust = 0, trust || ' violating rows' FROM counted
 UNION ALL SELECT batch, 'non_negative_tx_counts', below = 0, below || ' violating rows' FROM counted"""
+ORACLES["append_variant"] = f"""WITH v AS (
+  SELECT *, ts >= {_SPLIT} AS late, CAST(event_id AS BIGINT) AS id FROM events WHERE event_type = 'view')
+SELECT CAST(user_id AS VARCHAR) AS entity_key, ts AS event_timestamp,
+       CASE WHEN late THEN 'STRING' ELSE 'BIGINT' END AS note_type,
+       CASE WHEN late THEN 'e' || id ELSE CAST(id AS VARCHAR) END AS note,
+       CASE WHEN NOT late THEN id END AS note_number,
+       CASE WHEN late THEN value > 50 END AS high, CASE WHEN late THEN {_K} END AS k FROM v"""

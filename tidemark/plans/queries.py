@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.keys import with_entity_key
 from tidemark.functions.numerics import MICROS, epoch_micros, micros_of, moment
 from tidemark.functions.scoring import explode_contributions, model, score
+from tidemark.functions.values import field_of, field_type, json_field
 from tidemark.functions.transforms import (
     FRAUD_RATIOS,
     MERCHANT_EXPOSURE,
@@ -284,6 +285,35 @@ def append_evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.read(evolved=True)
 
 
+GROWING = FeatureView("ev_view", "user", (Feature("value"),), extra="extra")
+
+
+@query
+def append_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undeclared columns of which one changes its type between batches, and one comes later."""
+    history = HistoryTable(spark, work_dir(spark, "variant"), GROWING, V.NAIVE)
+    events = _events(spark, sf_dir).where("event_type = 'view'")
+    rows = events.select(F.col("user_id").alias(ENTITY_KEY), F.col("ts").alias(EVENT_TIME), "value", "event_id", "props")
+    split = F.lit(V.DRIFT_SPLIT.isoformat(sep=" ")).cast("timestamp_ntz")
+    number = F.col("event_id").alias("note")
+    text = F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("note")
+    own = (ENTITY_KEY, EVENT_TIME, "value")
+    history.append(rows.where(F.col(EVENT_TIME) < split).select(*own, number), now=V.AS_OF)
+    history.append(
+        rows.where(F.col(EVENT_TIME) >= split).select(*own, text, (F.col("value") > 50).alias("high"), "props"), now=V.AS_OF
+    )
+    extra = F.col("extra")
+    return history.read().select(
+        ENTITY_KEY,
+        EVENT_TIME,
+        field_type(extra, "note").alias("note_type"),
+        field_of(extra, "note", "string").alias("note"),
+        field_of(extra, "note", "bigint").alias("note_number"),
+        field_of(extra, "high", "boolean").alias("high"),
+        json_field(field_of(extra, "props", "string"), "k", "bigint").alias("k"),
+    )
+
+
 @query
 def ingest_batch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _store(spark, "ingest")

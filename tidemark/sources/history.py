@@ -29,7 +29,9 @@ def normalise(
 
     Keys become text, declared features get their declared type (null where a value does
     not fit), NaN becomes null, and a missing created time is filled in. Columns that the
-    view does not declare are kept: the table grows with its data.
+    view does not declare are kept: the table grows with its data. If the view has an ``extra`` column
+    they go into it, with their own types; a batch may bring that column itself, as VARIANT, but then no
+    other undeclared ones.
     """
     time_type = df.schema[EVENT_TIME].dataType
     if not isinstance(time_type, (T.TimestampType, T.TimestampNTZType)):
@@ -38,8 +40,15 @@ def normalise(
     if CREATED_TIME in df.columns:
         created = F.col(CREATED_TIME)
     features: dict[str, Column] = {}
+    declared_names = {*view.feature_names(), view.tie, view.extra}
+    system = (ENTITY_KEY, EVENT_TIME, CREATED_TIME, EVENT_DATE, BATCH)
+    others = [f for f in df.columns if view.extra and f not in declared_names and f not in system]
+    if view.extra in df.columns and (others or not isinstance(df.schema[view.extra].dataType, T.VariantType)):
+        raise ValueError(f"column {view.extra!r} holds undeclared fields and must be VARIANT and the only one: {others}")
+    if others:
+        features[view.extra] = F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in others]))
     for field in df.schema.fields:
-        if field.name in (ENTITY_KEY, EVENT_TIME, CREATED_TIME, EVENT_DATE, BATCH):
+        if field.name in others or field.name in system:
             continue
         value = F.col(f"`{field.name}`")
         declared = view.get_feature(field.name)

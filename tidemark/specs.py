@@ -79,7 +79,8 @@ class FeatureView:
     """A named feature table.
 
     ``tie`` names a column that decides between rows of one entity with equal event and
-    created time (largest wins).
+    created time (largest wins). ``extra`` names one VARIANT column that takes all columns that the view
+    does not declare, each value with its own type, so that a type may change between batches.
     """
 
     name: str
@@ -91,6 +92,7 @@ class FeatureView:
     offline: bool = True
     description: str = ""
     tie: str | None = None
+    extra: str | None = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "features", tuple(self.features))
@@ -100,6 +102,8 @@ class FeatureView:
         clash = {n for n in names if n in SYSTEM_COLUMNS or names.count(n) > 1}
         if clash:
             raise ValueError(f"view {self.name!r}: reserved or repeated names {sorted(clash)}")
+        if self.extra in (*names, *SYSTEM_COLUMNS, EVENT_DATE, BATCH) or self.extra and self.extra == self.tie:
+            raise ValueError(f"view {self.name!r}: the name {self.extra!r} is taken")
 
     def feature_names(self) -> list[str]:
         return [f.name for f in self.features]
@@ -117,8 +121,10 @@ class FeatureView:
         ]
         if self.tie and self.tie not in self.feature_names():
             system.append(T.StructField(self.tie, T.LongType()))
+        extra = [T.StructField(self.extra, T.VariantType())] if self.extra else []
         return T.StructType(
             system
+            + extra
             + [
                 T.StructField(
                     f.name,
