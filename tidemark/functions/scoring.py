@@ -257,6 +257,39 @@ def score(df: DataFrame, model_id: str, *, prefix: str | None = None) -> DataFra
     )
 
 
+# What is recommended and shown for each decision.
+ACTIONS = {
+    "DECLINED": ("danger", "Block transaction immediately; alert fraud ops center."),
+    "CHALLENGE_2FA": ("warning", "Trigger step-up biometric / SMS authentication challenge."),
+    "APPROVED": ("success", "Instant settlement approved under zero-friction SLA."),
+    "TIER_3_RESTRICTED": ("danger", "Place 14-day rolling reserve on merchant settlements."),
+    "TIER_2_MONITORED": ("warning", "Standard settlement with daily volume velocity caps."),
+    "TIER_1_PRIME": ("success", "Instant accelerated next-day settlement eligible."),
+    "HIGH_CHURN_RISK": ("danger", "Dispatch personalized 25% retention incentive credit."),
+    "MODERATE_ENGAGEMENT": ("warning", "Enroll in weekly curated product recommendation digest."),
+    "LOYAL_CUSTOMER": ("success", "VIP customer status. Eligible for early access concierge."),
+}
+
+
+def with_actions(scored: DataFrame) -> DataFrame:
+    """Add ``decision_badge``, ``action_recommendation`` and ``probability_percent`` to scored rows.
+
+    All are null where the decision is null or none of the scorers'.
+    """
+    badge = action = F
+    for decision, (shown, text) in ACTIONS.items():
+        badge = badge.when(F.col("decision") == decision, F.lit(shown))
+        action = action.when(F.col("decision") == decision, F.lit(text))
+    known = F.col("decision").isin(*ACTIONS)
+    return scored.withColumns(
+        {
+            "decision_badge": badge,
+            "action_recommendation": action,
+            "probability_percent": F.when(known, _percent(F.col("probability_score") * 100)),
+        }
+    )
+
+
 def explode_contributions(scored: DataFrame, keys: list[str]) -> DataFrame:
     """One row per score and feature."""
     return scored.select(*keys, F.inline("contributions"))

@@ -749,3 +749,27 @@ SELECT CAST(user_id AS VARCHAR) AS entity_key, ts AS event_timestamp,
        CASE WHEN late THEN 'e' || id ELSE CAST(id AS VARCHAR) END AS note,
        CASE WHEN NOT late THEN id END AS note_number,
        CASE WHEN late THEN value > 50 END AS high, CASE WHEN late THEN {_K} END AS k FROM v"""
+ORACLES["store_reopened"] = ORACLES["online_lookup"]
+# Badge and action of each decision.
+_ACTIONS = """actions(decision, decision_badge, action_recommendation) AS (VALUES
+  ('DECLINED', 'danger', 'Block transaction immediately; alert fraud ops center.'),
+  ('CHALLENGE_2FA', 'warning', 'Trigger step-up biometric / SMS authentication challenge.'),
+  ('APPROVED', 'success', 'Instant settlement approved under zero-friction SLA.'),
+  ('TIER_3_RESTRICTED', 'danger', 'Place 14-day rolling reserve on merchant settlements.'),
+  ('TIER_2_MONITORED', 'warning', 'Standard settlement with daily volume velocity caps.'),
+  ('TIER_1_PRIME', 'success', 'Instant accelerated next-day settlement eligible.'),
+  ('HIGH_CHURN_RISK', 'danger', 'Dispatch personalized 25% retention incentive credit.'),
+  ('MODERATE_ENGAGEMENT', 'warning', 'Enroll in weekly curated product recommendation digest.'),
+  ('LOYAL_CUSTOMER', 'success', 'VIP customer status. Eligible for early access concierge.'))"""
+_SCORED_BY = " UNION ALL ".join(
+    f"SELECT '{model}' AS model_id, entity_key, event_timestamp, probability_score, decision FROM ({ORACLES[name]})"
+    for model, name in (
+        ("fraud_sentinel_v2", "score_fraud"),
+        ("merchant_underwriter_v1", "score_merchant"),
+        ("churn_predictor_v3", "score_churn"),
+    )
+)
+ORACLES["score_actions"] = f"""WITH {_ACTIONS}, scored AS ({_SCORED_BY})
+SELECT model_id, entity_key, event_timestamp, decision_badge, action_recommendation,
+       printf('%.1f%%', {_r("probability_score * 1e2", 1)}) AS probability_percent
+FROM scored LEFT JOIN actions USING (decision)"""

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.keys import with_entity_key
 from tidemark.functions.numerics import MICROS, epoch_micros, micros_of, moment
-from tidemark.functions.scoring import explode_contributions, model, score
+from tidemark.functions.scoring import explode_contributions, model, score, with_actions
 from tidemark.functions.values import field_of, field_type, json_field
 from tidemark.functions.transforms import (
     FRAUD_RATIOS,
@@ -403,6 +403,18 @@ def store_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def store_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups served by a store that knows its views only from what was saved."""
+    saved = _filled_store(spark, sf_dir)
+    saved.save_registry()
+    store = FeatureStore.open(spark, saved.path, time_type=V.NAIVE)
+    requests = _events(spark, sf_dir).where(F.col("event_type") == "signup").select(
+        F.col("event_id").alias("request_no"), F.col("user_id").alias(ENTITY_KEY)
+    )
+    return store.get_online_features(requests, EVENT_REFS, now=V.AS_OF, log_for_skew_check=False)
+
+
 @query
 def store_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events to state, state to served rows and log, and the log against history."""
@@ -841,6 +853,15 @@ def score_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score_columns(score(clv, "churn_predictor_v3", prefix=""))
 
 
+@query
+def score_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the three scorers recommends."""
+    scored = {"fraud_sentinel_v2": score_fraud, "merchant_underwriter_v1": score_merchant, "churn_predictor_v3": score_churn}
+    shown = ("entity_key", "event_timestamp", "decision_badge", "action_recommendation", "probability_percent")
+    parts = [with_actions(s(spark, sf_dir)).select(F.lit(m).alias("model_id"), *shown) for m, s in scored.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def score_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     fraud = FRAUD_RATIOS.apply(V.user_fraud(_events(spark, sf_dir)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import time
 from dataclasses import dataclass
 from functools import reduce
@@ -93,6 +94,28 @@ class FeatureStore:
 
     # Registration
 
+    def save_registry(self) -> None:
+        """Keep the entities and views beside the tables, for ``open``. Transformations and rules are code
+        and are registered anew in each session."""
+        text = json.dumps(self.registry.to_dict(), sort_keys=True)
+        row = self.spark.createDataFrame([(text,)], "definitions string").coalesce(1)
+        row.write.mode("overwrite").parquet(self._registries.folder(next_batch()))
+
+    @property
+    def _registries(self) -> BatchFolder:
+        return BatchFolder(self.spark, f"{self.path}/registry")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **options: Any) -> FeatureStore:
+        """The store at ``path`` with the registry that was saved last; it is an error if none was."""
+        store = cls(spark, path, **options)
+        saved = sorted(store._registries.present())
+        if not saved:
+            raise ValueError(f"no registry was saved at {path!r}")
+        row = spark.read.parquet(store._registries.folder(saved[-1])).first()
+        store.registry = Registry.from_dict(json.loads(row.definitions))
+        return store
+
     def register_entity(self, entity: Entity) -> Entity:
         return self.registry.register_entity(entity)
 

@@ -6,7 +6,7 @@ on write and every reference is checked against them before a job starts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from enum import Enum
 from typing import Any, NamedTuple
 
@@ -183,6 +183,23 @@ class Registry:
         self.views[view.name] = view
         return view
 
+    def to_dict(self) -> dict[str, list[dict[str, Any]]]:
+        """All definitions as plain values that JSON can hold."""
+        return {
+            "entities": [asdict(e) for e in self.entities.values()],
+            "feature_views": [asdict(v) for v in self.views.values()],
+        }
+
+    @classmethod
+    def from_dict(cls, made: dict[str, list[dict[str, Any]]]) -> Registry:
+        registry = cls()
+        for e in made["entities"]:
+            registry.register_entity(Entity(**{**e, "join_keys": tuple(e["join_keys"])}))
+        for v in made["feature_views"]:
+            features = tuple(Feature(**{**f, "dtype": DataType(f["dtype"])}) for f in v["features"])
+            registry.register_feature_view(FeatureView(**{**v, "features": features}))
+        return registry
+
     def view(self, name: str) -> FeatureView:
         try:
             return self.views[name]
