@@ -773,3 +773,6 @@ ORACLES["score_actions"] = f"""WITH {_ACTIONS}, scored AS ({_SCORED_BY})
 SELECT model_id, entity_key, event_timestamp, decision_badge, action_recommendation,
        printf('%.1f%%', {_r("probability_score * 1e2", 1)}) AS probability_percent
 FROM scored LEFT JOIN actions USING (decision)"""
+_GROWN = f"""SELECT entity_key, event_timestamp, value, CASE WHEN event_timestamp >= {_SPLIT} THEN k END AS k FROM ev_view"""
+ORACLES["grid_timeline"] = f"WITH {_VIEWS} {_GROWN} WHERE entity_key = '7'"
+ORACLES["grid_range"] = f"WITH {_VIEWS} {_GROWN} WHERE event_timestamp >= {_SPLIT}"

@@ -33,6 +33,7 @@ from tidemark.session import work_dir, written
 from tidemark.sources import logs
 from tidemark.sources.export import json_rows, json_safe, read_csv, write_csv
 from tidemark.sources.batches import next_batch
+from tidemark.sources.grid import GridTable
 from tidemark.sources.history import HistoryTable, count_by_view, timeline
 from tidemark.sources.state import StateTable
 from tidemark.specs import CREATED_TIME, ENTITY_KEY, EVENT_TIME, DataType, Entity, Feature, FeatureView
@@ -377,6 +378,28 @@ def _filled_store(spark: SparkSession, sf_dir: str) -> FeatureStore:
     return store
 
 
+def _grid_table(spark: SparkSession, sf_dir: str) -> GridTable:
+    store = _store(spark, "grid")
+    store.register_feature_view(V.EVENT_VIEWS["ev_view"])
+    for i, part in enumerate(_halves(_events(spark, sf_dir))):
+        store.ingest_batch("ev_view", part, batch=f"part-{i}", sync_to_online=False)
+    store.grid("ev_view").refresh(store.history("ev_view"), key_cells=BUCKETS)
+    return store.grid("ev_view")
+
+
+@query
+def grid_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline of one key from a history laid out by key and month: one cell is read."""
+    return _grid_table(spark, sf_dir).timeline(ONE_USER).select(ENTITY_KEY, EVENT_TIME, "value", "k")
+
+
+@query
+def grid_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys from mid-January on, from the same layout."""
+    since = _grid_table(spark, sf_dir).read(since=V.DRIFT_SPLIT)
+    return since.select(ENTITY_KEY, EVENT_TIME, "value", "k")
+
+
 @query
 def store_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled_store(spark, sf_dir).get_telemetry()

@@ -29,6 +29,7 @@ from tidemark.session import written
 from tidemark.sources import logs
 from tidemark.sources.export import json_safe, write_csv
 from tidemark.sources.batches import BatchFolder, next_batch
+from tidemark.sources.grid import GridTable
 from tidemark.sources.history import HistoryTable, count_by_view, normalise
 from tidemark.sources.state import StateTable
 from tidemark.specs import BATCH, ENTITY_KEY, EVENT_TIME, Entity, FeatureView, Ref, Registry
@@ -150,6 +151,11 @@ class FeatureStore:
         view = self.registry.view(view_name)
         return HistoryTable(self.spark, f"{self.path}/history/{view_name}", view, self.time_type)
 
+    def grid(self, view_name: str) -> GridTable:
+        """The history laid out by key and month, once ``grid(...).refresh(history(...))`` has run."""
+        view = self.registry.view(view_name)
+        return GridTable(self.spark, f"{self.path}/grid/{view_name}", view, self.time_type)
+
     def state(self, view_name: str) -> StateTable:
         view = self.registry.view(view_name)
         return StateTable(self.spark, f"{self.path}/state/{view_name}", view, self.time_type)
