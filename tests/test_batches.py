@@ -150,3 +150,21 @@ def test_changes_of_a_table_without_batches(store):
     store.compact()
     store.state("v").replace(store.state("v").read())
     assert keys(store) == ([], [])
+
+
+@pytest.mark.parametrize("offline", [True, False])
+def test_a_replay_is_no_newer_than_its_first_run(spark, tmp_path, offline):
+    """Two batches with one event time: the later one wins, also when the first is written again, be it
+    before or after a compaction that freed its space."""
+    store = FeatureStore(spark, str(tmp_path / "store"))
+    store.register_entity(Entity("user", ("user_id",)))
+    store.register_feature_view(FeatureView("v", "user", (Feature("a"),), offline=offline))
+    for value, batch in ((1.0, "one"), (2.0, "two"), (1.0, "one")):
+        put(spark, store, "u", value, batch)
+    assert [r.a.value for r in store.state("v").read().collect()] == [2.0]
+    if offline:
+        store.history("v").compact()
+        store.history("v").folder.release()
+    store.state("v").compact()
+    put(spark, store, "u", 1.0, "one")
+    assert [r.a.value for r in store.state("v").read().collect()] == [2.0]

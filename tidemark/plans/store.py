@@ -32,7 +32,7 @@ from tidemark.sources.batches import BatchFolder, next_batch
 from tidemark.sources.grid import GridTable
 from tidemark.sources.history import HistoryTable, count_by_view, normalise
 from tidemark.sources.state import StateTable
-from tidemark.specs import BATCH, ENTITY_KEY, EVENT_TIME, Entity, FeatureView, Ref, Registry
+from tidemark.specs import BATCH, CREATED_TIME, ENTITY_KEY, EVENT_TIME, Entity, FeatureView, Ref, Registry
 from tidemark.streaming.ingest import start_ingest
 
 # Fixed value: rows shown as a sample of a generated data set.
@@ -193,6 +193,7 @@ class FeatureStore:
         The state is taken from the batch as it was written, so the input is computed once.
         """
         view = self.registry.view(view_name)
+        again = batch is not None
         batch = batch or next_batch()
         rows = self.transform(view_name, with_entity_key(df, self.registry.entities[view.entity_name]))
         table = self.history(view_name)
@@ -200,7 +201,9 @@ class FeatureStore:
             self._append(table, rows, batch)
             rows = table.read_batch(batch)
         else:
-            rows = normalise(rows, view)
+            # A replay keeps the created time of the first run, as it does in history.
+            filled = again and CREATED_TIME not in rows.columns
+            rows = normalise(rows, view, now=self.state(view_name).first_created(batch) if filled else None)
         if view.online and sync_to_online:
             self.state(view_name).upsert(latest.latest_values(rows, view), batch)
 

@@ -23,12 +23,13 @@ from tidemark.specs import BATCH, CREATED_TIME, ENTITY_KEY, EVENT_DATE, EVENT_TI
 
 
 def normalise(
-    df: DataFrame, view: FeatureView, *, now: dt.datetime | None = None
+    df: DataFrame, view: FeatureView, *, now: dt.datetime | int | None = None
 ) -> DataFrame:
     """Rows as the history holds them.
 
     Keys become text, declared features get their declared type (null where a value does
-    not fit), NaN becomes null, and a missing created time is filled in. Columns that the
+    not fit), NaN becomes null, and a missing created time is filled in: ``now``, as a moment or in
+    microseconds, or the time of the job. Columns that the
     view does not declare are kept: the table grows with its data. If the view has an ``extra`` column
     they go into it, with their own types; a batch may bring that column itself, as VARIANT, but then no
     other undeclared ones.
@@ -36,7 +37,9 @@ def normalise(
     time_type = df.schema[EVENT_TIME].dataType
     if not isinstance(time_type, (T.TimestampType, T.TimestampNTZType)):
         time_type = T.TimestampType()
-    created = moment(micros_of(now), time_type) if now else F.current_timestamp()
+    created = F.current_timestamp()
+    if now is not None:
+        created = moment(now if isinstance(now, int) else micros_of(now), time_type)
     if CREATED_TIME in df.columns:
         created = F.col(CREATED_TIME)
     features: dict[str, Column] = {}
@@ -87,14 +90,30 @@ class HistoryTable:
         self,
         df: DataFrame,
         batch: str | None = None,
-        now: dt.datetime | None = None,
+        now: dt.datetime | int | None = None,
         measures: dict[str, Column] | None = None,
     ) -> dict[str, Any] | None:
         """Write a batch. ``measures``, aggregates over its rows by name, are taken in the same pass and
-        returned; in them a declared feature that the batch lacks is null."""
+        returned; in them a declared feature that the batch lacks is null. A batch that is written again
+        keeps the created time that it was given first, so a replay never looks newer than it is."""
+        if now is None and batch is not None and CREATED_TIME not in df.columns:
+            now = self._first_created(batch)
         rows = normalise(df, self.view, now=now).withColumn(EVENT_DATE, F.col(EVENT_TIME).cast("date"))
         return self._write(self._settled(rows), batch or next_batch(), measures)
 
+    def _first_created(self, batch: str) -> int | None:
+        """When a batch was first written, in microseconds; None for a new one."""
+        held = read_or_none(self.spark, self.folder.folder(batch))
+        if held is None or CREATED_TIME not in held.columns:
+            return None
+        at = F.min(epoch_micros(F.col(CREATED_TIME), held.schema[CREATED_TIME].dataType))
+        found = held.agg(at.alias("at")).first().at
+        if found is None:
+            # Its space was freed after a compaction, which kept the time.
+            kept = [r.first_created for r in self.folder.seen().records if r.replaced == batch]
+            found = min((k for k in kept if k is not None), default=None)
+        return found
+
     def _write(
         self, rows: DataFrame, batch: str, measures: dict[str, Column] | None = None
     ) -> dict[str, Any] | None:

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.batches import BatchFolder, next_batch
+from tidemark.functions.numerics import epoch_micros
+from tidemark.sources.batches import BatchFolder, next_batch, read_or_none
 from tidemark.specs import ENTITY_KEY, FeatureView
 
 COMMIT = "commit"
@@ -119,6 +120,14 @@ class StateTable:
         """The delta of one batch."""
         return self.spark.read.schema(state_schema(self.view, self.time_type)).parquet(self.folder.folder(batch))
 
+    def first_created(self, batch: str) -> int | None:
+        """The created time that a delta carries, in microseconds; None if there is no such delta."""
+        held = read_or_none(self.spark, self.folder.folder(batch))
+        if held is None or not self.view.features:
+            return None
+        cells = [F.max(epoch_micros(F.col(f"`{f}`.created"), self.time_type)) for f in self.view.feature_names()]
+        return max((at for at in held.agg(*cells).first() if at is not None), default=None)
+
     def compact(self) -> None:
         """The same state as one delta."""
         deltas = self.deltas()
