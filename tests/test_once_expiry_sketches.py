@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.latest import alive, latest_values
 from tidemark.operators.quality import split_valid
-from tidemark.operators.sketches import between, key_overlap, key_sketches, rank_error, sketched_quantiles, value_sketches
+from tidemark.operators.sketches import between, key_overlap, key_sketches, rank_error, sketched_quantiles, slots_for, value_sketches
 from tidemark.plans import views as V
 from tidemark.functions.numerics import epoch_micros
 from tidemark.sources.state import StateTable
@@ -131,6 +131,25 @@ def test_key_sketches_count_and_intersect(spark):
     assert sketched_quantiles(value_sketches(empty, ["value"]), [0.5]).collect() == []
 
 
+def test_key_counts_are_exact_with_slots_enough(spark):
+    def rows(first, last):
+        return spark.range(first, last).selectExpr(
+            "cast(id as string) as entity_key", "timestamp_ntz'2026-01-01' + make_interval(0, 0, 0, cast(id % 9 as int)) as event_timestamp"
+        )
+
+    held = {"a": rows(0, 100_000), "b": rows(50_000, 150_000), "c": rows(149_999, 150_001)}
+    slots = slots_for(held)
+    assert 100 < slots < 200
+    got = sorted(map(tuple, key_overlap(key_sketches(held, slots=slots)).collect()))
+    assert got == [
+        ("a", "b", 100_000, 100_000, 50_000, 150_000),
+        ("a", "c", 100_000, 2, 0, 100_002),
+        ("b", "c", 100_000, 2, 1, 100_001),
+    ]
+    empty = {"a": spark.createDataFrame([], EVENT)}
+    assert slots_for(empty) == 1
+
+
 def test_bounds_of_every_type(spark):
     view = FeatureView(
         "v", "u", (Feature("s", DataType.STRING, min_value="b", max_value="d"), Feature("t", DataType.BOOLEAN, min_value=1))

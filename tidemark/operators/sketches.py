@@ -6,13 +6,16 @@ task sends one sketch per day and column, a few kilobytes each, whatever its row
 is exact in what it promises: the error bound of the parts is that of the whole.
 
 Quantiles are off by at most ``rank_error(k)`` of the ranks in 99 of 100 cases; below ``k`` values they
-are exact. Distinct counts are exact up to ``2 ** log_entries`` keys; beyond, the relative standard error is
-``1 / sqrt(2 ** log_entries)``. For exact answers see ``ranks`` and ``history``.
+are exact. Distinct counts are exact up to ``2 ** log_entries`` keys a slot; beyond, the relative standard error
+is ``1 / sqrt(slots * 2 ** log_entries)``. With one slot a sketch is a few kilobytes whatever the keys; with
+``slots_for`` the counts are exact, and the sketches of a day hold 8 bytes for each of its keys, dealt by slot.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,10 +77,7 @@ def sketched_quantiles(sketches: DataFrame, shares: Sequence[float], k: int = KL
     return merged.select("feature", "n", F.inline(F.array(*points)))
 
 
-def key_sketches(
-    histories: Mapping[str, DataFrame], log_entries: int = LOG_ENTRIES, event_time: str = EVENT_TIME
-) -> DataFrame:
-    """``feature_view``, ``day``, ``sketch`` of the entities with a row on that day."""
+def _keys(histories: Mapping[str, DataFrame], event_time: str) -> DataFrame:
     parts = [
         rows.where(F.col(ENTITY_KEY).isNotNull()).select(
             F.lit(name).alias("feature_view"),
@@ -88,23 +88,61 @@ def key_sketches(
     ]
     if not parts:
         raise ValueError("no views")
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part)
-    return whole.groupBy("feature_view", DAY).agg(F.theta_sketch_agg(ENTITY_KEY, log_entries).alias("sketch"))
+    return reduce(DataFrame.union, parts)
+
+
+def slots_for(histories: Mapping[str, DataFrame], log_entries: int = LOG_ENTRIES, event_time: str = EVENT_TIME) -> int:
+    """So many slots that the counts of ``key_overlap`` are exact: on average a quarter of the keys that a
+    sketch holds exactly fall in a slot."""
+    keys = _keys(histories, event_time).agg(F.approx_count_distinct(ENTITY_KEY)).first()[0]
+    return max(1, math.ceil(4 * keys / 2**log_entries))
+
+
+def key_sketches(
+    histories: Mapping[str, DataFrame],
+    log_entries: int = LOG_ENTRIES,
+    event_time: str = EVENT_TIME,
+    slots: int = 1,
+) -> DataFrame:
+    """``feature_view``, ``day``, ``slot``, ``sketch`` of the entities with a row on that day.
+
+    A key belongs to one of ``slots`` slots by its hash, each with a sketch of its own. Sketches that are to
+    be merged must have the same number of slots.
+    """
+    slot = F.pmod(F.xxhash64(ENTITY_KEY), F.lit(slots)).cast("int").alias("slot")
+    whole = _keys(histories, event_time)
+    return whole.groupBy("feature_view", DAY, slot).agg(F.theta_sketch_agg(ENTITY_KEY, log_entries).alias("sketch"))
 
 
 def key_overlap(sketches: DataFrame, log_entries: int = LOG_ENTRIES) -> DataFrame:
     """``view_a``, ``view_b``, ``keys_a``, ``keys_b``, ``keys_both``, ``keys_any`` of each two views over all
-    days of ``sketches``; one row per view stands behind the pairs, not its keys."""
-    merged = sketches.groupBy("feature_view").agg(F.theta_union_agg("sketch", log_entries).alias("s"))
-    a = merged.select(F.col("feature_view").alias("view_a"), F.col("s").alias("a"))
-    b = merged.select(F.col("feature_view").alias("view_b"), F.col("s").alias("b"))
-    return a.join(b, F.col("view_a") < F.col("view_b")).select(
-        "view_a",
-        "view_b",
-        F.theta_sketch_estimate("a").alias("keys_a"),
-        F.theta_sketch_estimate("b").alias("keys_b"),
-        F.theta_sketch_estimate(F.theta_intersection("a", "b")).alias("keys_both"),
-        F.theta_sketch_estimate(F.theta_union("a", "b", log_entries)).alias("keys_any"),
+    days of ``sketches``; one row per view and slot stands behind the pairs, not its keys."""
+    merged = sketches.groupBy("feature_view", "slot").agg(F.theta_union_agg("sketch", log_entries).alias("s"))
+    n = F.theta_sketch_estimate
+    totals = merged.groupBy("feature_view").agg(F.sum(n("s")).alias("keys"))
+    a = merged.select("slot", F.col("feature_view").alias("view_a"), F.col("s").alias("a"))
+    b = merged.select("slot", F.col("feature_view").alias("view_b"), F.col("s").alias("b"))
+    # A slot that one of the views lacks has nothing in common.
+    common = (
+        a.join(b, "slot")
+        .where("view_a < view_b")
+        .groupBy("view_a", "view_b")
+        .agg(
+            F.sum(n(F.theta_intersection("a", "b"))).alias("both"),
+            F.sum(n("a") + n("b") - n(F.theta_union("a", "b", log_entries))).alias("twice"),
+        )
+    )
+    of_a = totals.select(F.col("feature_view").alias("view_a"), F.col("keys").alias("keys_a"))
+    of_b = totals.select(F.col("feature_view").alias("view_b"), F.col("keys").alias("keys_b"))
+    return (
+        of_a.join(of_b, F.col("view_a") < F.col("view_b"))
+        .join(common, ["view_a", "view_b"], "left")
+        .select(
+            "view_a",
+            "view_b",
+            "keys_a",
+            "keys_b",
+            F.coalesce("both", F.lit(0)).alias("keys_both"),
+            (F.col("keys_a") + F.col("keys_b") - F.coalesce("twice", F.lit(0))).alias("keys_any"),
+        )
     )

@@ -1104,6 +1104,6 @@ def sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sketch_key_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users that each two views share, from daily sketches; exact up to 4,096 users."""
+    """Users that each two views share, from daily sketches; exact, in as many slots as the users need."""
     held = {name: view.data for name, view in V.event_views(_events(spark, sf_dir)).items()}
-    return sketches.key_overlap(sketches.key_sketches(held))
+    return sketches.key_overlap(sketches.key_sketches(held, slots=sketches.slots_for(held)))
