@@ -41,3 +41,18 @@ def test_entry(spark):
 
     assert entry(spark).count() > 0
     assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql()) <= set(queries())
+
+
+def test_late_rows_beside_events_of_the_last_second(spark, tmp_path):
+    at = "timestamp_ntz'2024-01-31' + make_interval(0, 0, 0, 0, 0, 0, {} / 1000)"
+    views = {1: -90_000, 3: -500, 6: 0, 9: 700, 12: -90_000_000}
+    events = [f"({10 * u}, {at.format(ms)}, {u}L, 'view', {u} + 0.5D)" for u, ms in views.items()]
+    events += [f"({10 * u + 1}, {at.format(-5_000)}, {u}L, 'signup', 0D)" for u in (*views, 15, 16)]
+    columns = "event_id, ts, user_id, event_type, value"
+    made = spark.sql(f"SELECT *, '{{\"k\": 1}}' AS props FROM VALUES {', '.join(events)} AS t({columns})")
+    made.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["store_parity_late"](spark, str(tmp_path)).toArrow()
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert rows_of(got) == rows_of(own.sql(ORACLES["store_parity_late"]).to_arrow_table())
+    assert sorted(got["entity_key"].to_pylist(), key=int) == ["3", "6", "9", "12", "15"]

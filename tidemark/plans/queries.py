@@ -473,7 +473,10 @@ def parity_store_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def store_parity_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of every third user that reach history after serving: exactly their inferences differ."""
+    """Rows of every third user that reach history after serving: exactly their inferences differ.
+
+    The rows have the time of the inferences and come last, so no other row is newer to them.
+    """
     store = _store(spark, "late")
     held = V.event_views(_events(spark, sf_dir))["ev_view"]
     store.register_feature_view(held.view)
@@ -483,7 +486,7 @@ def store_parity_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = signups.where("user_id % 3 = 0").select("user_id").distinct()
     late = users.select(
         F.col("user_id").cast("string").alias(ENTITY_KEY),
-        moment(micros_of(V.AS_OF) - MICROS, V.NAIVE).alias(EVENT_TIME),
+        moment(micros_of(V.AS_OF), V.NAIVE).alias(EVENT_TIME),
         (F.lit(1e6) + F.col("user_id")).alias("value"),
     )
     store.ingest_batch("ev_view", late, sync_to_online=False)
