@@ -10,7 +10,7 @@ from tidemark.plans import views as V
 from tidemark.functions.numerics import epoch_micros
 from tidemark.sources.state import StateTable
 from tidemark.specs import DataType, Feature, FeatureView
-from tidemark.streaming.expiry import expiring_stream, start_expiring
+from tidemark.streaming.expiry import SLICES, expiring_stream, start_expiring
 from tidemark.streaming.once import missed, once
 from times import T0, minutes
 
@@ -89,6 +89,29 @@ def test_expired_state_is_forgotten_and_reads_the_same(spark, tmp_path):
     assert served(state.read()) == [("u1", None, 7), ("u2", 5.0, None), ("u4", 4.5, big)]
 
 
+def test_expiring_state_is_spark_s_own_and_bounded(spark, tmp_path):
+    batches = [
+        [(i, f"u{i % 3}", minutes(i / 6), float(i) if i % 2 else None, i) for i in range(n, n + 180)]
+        for n in (0, 180, 360)
+    ]
+    state, plans = StateTable(spark, str(tmp_path / "state"), VIEW, V.NAIVE), []
+
+    def start(stream):
+        plans.append(expiring_stream(stream, VIEW)._jdf.queryExecution().analyzed().toString())
+        return start_expiring(state, stream, checkpoint=str(tmp_path / "at"), name="t")
+
+    query = run(spark, batches, EVENT, tmp_path, start)
+    assert not any("Pandas" in plan for plan in plans)
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    # Of an hour and a half, the slices of one TTL, and those cut by its ends, for each of three users.
+    assert kept and 3 * SLICES <= kept[-1] <= 3 * (SLICES + 2)
+    whole = spark.createDataFrame([r for b in batches for r in b], EVENT)
+    merged = state.read().select("entity_key", "value", "k")
+    want = latest_values(whole, VIEW).select("entity_key", "value", "k")
+    values = lambda x: sorted((r[0], r[1].value, r[1].ts, r[2].value, r[2].ts) for r in x.collect())
+    assert values(merged) == values(want)
+
+
 def test_expiry_needs_a_ttl(spark):
     empty = spark.createDataFrame([], EVENT)
     with pytest.raises(ValueError):

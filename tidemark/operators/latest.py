@@ -57,10 +57,11 @@ def latest_row(history: DataFrame, view: FeatureView) -> DataFrame:
     )
 
 
-def latest_values(history: DataFrame, view: FeatureView) -> DataFrame:
+def latest_values(history: DataFrame, view: FeatureView, *per: Column) -> DataFrame:
     """State from history: the newest non-null value of every feature, with its own time.
 
-    One aggregation with map-side combine: a task sends one row per entity.
+    One aggregation with map-side combine: a task sends one row per entity, or per entity and
+    values of ``per``.
     """
     order = [F.col(c) for c in recency(history, view)]
     present = [f for f in view.feature_names() if f in history.columns]
@@ -81,7 +82,7 @@ def latest_values(history: DataFrame, view: FeatureView) -> DataFrame:
 
     return (
         history.where(F.col(ENTITY_KEY).isNotNull() & F.col(EVENT_TIME).isNotNull())
-        .groupBy(ENTITY_KEY)
+        .groupBy(ENTITY_KEY, *per)
         .agg(*picks)
         .select(ENTITY_KEY, *[cell(i, f) for i, f in enumerate(present)])
     )

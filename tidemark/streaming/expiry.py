@@ -1,138 +1,48 @@
 """Latest state of a stream that forgets what has outlived the view's TTL.
 
-``streaming.latest`` keeps one row per entity for ever. Here each entity's state has a timer on event
-time: once the watermark passes the time of its oldest cell by the TTL, that cell goes, and with the
-last cell the entity. So the state holds entities seen within one TTL and not all there ever were.
+``streaming.latest`` keeps one row per entity for ever. Here the newest values are kept per entity and
+slice of event time, a quarter of the TTL long, and Spark drops a slice once the watermark has passed its
+end. So the state holds entities seen within one TTL and a quarter, not all there ever were, each with at
+most as many rows as there are slices in that span. It is Spark's own aggregation, combined within
+each task before the shuffle; no entity is handled by itself in Python.
 
 The watermark stays a TTL (and a second, as it is coarser than event time) behind the newest event.
-An event behind it has expired by then and is passed over. What is left equals the TTL rule
-applied when reading, at any moment from the newest event on.
+A slice behind it holds only what has expired by then, and events that still come for it are passed over.
+What is left equals the TTL rule applied when reading, at any moment from the newest event on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.functions.numerics import at_micros, epoch_micros
-from tidemark.operators.latest import recency
+from tidemark.functions.numerics import MICROS
+from tidemark.operators.latest import latest_values
 from tidemark.sources.state import StateTable
-from tidemark.specs import CREATED_TIME, ENTITY_KEY, EVENT_TIME, FeatureView
+from tidemark.specs import ENTITY_KEY, EVENT_TIME, FeatureView
 from tidemark.streaming.once import event_instant
 
-_NONE = -(2**63)
-
-
-def _carried(dtype: T.DataType) -> T.DataType:
-    """Pandas has no whole numbers beside nulls, so these cross as text."""
-    return T.StringType() if isinstance(dtype, T.LongType) else dtype
-
-
-def _newest(rows: pd.DataFrame, value: str, order: list[str]) -> tuple | None:
-    """The newest non-null value of a column with its order, the last of equals."""
-    known = rows[rows[value].notna()]
-    if known.empty:
-        return None
-    row = known.sort_values(order, kind="stable").iloc[-1]
-    held = row[value]
-    return (getattr(held, "tolist", lambda: held)(), *[int(row[c]) for c in order])
-
-
-def _advance(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, features: int, order: list[str]
-) -> Iterator[pd.DataFrame]:
-    """Merge a micro-batch's events of one entity, drop expired cells and set the next timer. Parts of a
-    micro-batch come one by one, so an entity with very many events needs no more memory than others."""
-    width = 1 + len(order)
-    flat = list(state.get) if state.exists else [None] * (width * features)
-    cells = [tuple(flat[i * width : (i + 1) * width]) for i in range(features)]
-    changed = False
-    for rows in batches:
-        for i in range(features):
-            new = _newest(rows, f"v{i}", order)
-            if new is not None and (cells[i][1] is None or new[1:] >= cells[i][1:]):
-                cells[i], changed = new, True
-    passed = state.getCurrentWatermarkMs() * 1000
-    cells = [c if c[1] is not None and c[1] >= passed else (None,) * width for c in cells]
-    times = [c[1] for c in cells if c[1] is not None]
-    row = [x for c in cells for x in c]
-    if times:
-        state.update(tuple(row))
-        state.setTimeoutTimestamp(min(times) // 1000 + 1)
-    elif state.exists:
-        state.remove()
-    if changed and times:
-        names = [f"{c}_{i}" for i in range(features) for c in ("v", *order)]
-        yield pd.DataFrame({"entity": [key[0]]} | {n: pd.Series([x], dtype=object) for n, x in zip(names, row)})
+_AT = "_at"
+SLICES = 4
 
 
 def expiring_stream(events: DataFrame, view: FeatureView) -> DataFrame:
-    """Entities that changed in a micro-batch, as cells ``struct<value, ts, created, tie>`` per feature.
-
-    Needs a TTL; the tie column, if the view has one, must be a whole number.
-    """
+    """Entities that changed in a micro-batch, as cells ``struct<value, ts, created, tie>`` per feature, one
+    row for each slice of time that changed. Needs a TTL."""
     if view.ttl_seconds is None:
         raise ValueError(f"view {view.name!r} has no TTL, so nothing expires")
-    columns = recency(events, view)
-    tie = events.schema[view.tie].dataType if view.tie in columns else T.LongType()
-    if not isinstance(tie, T.IntegralType):
-        raise ValueError(f"view {view.name!r}: the tie column must be a whole number")
-    features = [f for f in view.features if f.name in events.columns]
-    order = [f"o{j}" for j in range(len(columns))]
-
-    def number(name: str) -> Column:
-        dtype = events.schema[name].dataType
-        held = F.col(name).cast("long") if isinstance(dtype, T.IntegralType) else epoch_micros(F.col(name), dtype)
-        return F.coalesce(held, F.lit(_NONE))
-
-    flat = events.where(F.col(ENTITY_KEY).isNotNull() & F.col(EVENT_TIME).isNotNull()).select(
-        F.col(ENTITY_KEY).cast("string").alias("entity"),
-        event_instant(events).alias("at"),
-        *[number(c).alias(o) for c, o in zip(columns, order)],
-        *[F.col(f"`{f.name}`").cast(f.dtype.spark).cast(_carried(f.dtype.spark)).alias(f"v{i}") for i, f in enumerate(features)],
-    )
-    held = T.StructType(
-        [
-            field
-            for i, f in enumerate(features)
-            for field in (
-                T.StructField(f"v_{i}", _carried(f.dtype.spark)),
-                *[T.StructField(f"{o}_{i}", T.LongType()) for o in order],
-            )
-        ]
+    timed = (
+        events.where(F.col(ENTITY_KEY).isNotNull() & F.col(EVENT_TIME).isNotNull())
+        .withColumn(ENTITY_KEY, F.col(ENTITY_KEY).cast("string"))
+        .withColumn(_AT, event_instant(events))
+        .withWatermark(_AT, f"{view.ttl_seconds + 1} seconds")
     )
-    count = len(features)
-    merged = (
-        flat.withWatermark("at", f"{view.ttl_seconds + 1} seconds")
-        .groupBy("entity")
-        .applyInPandasWithState(
-            lambda key, batches, state: _advance(key, batches, state, count, order),
-            T.StructType([T.StructField("entity", T.StringType()), *held.fields]),
-            held,
-            "update",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-    )
-
-    def back(name: str, i: int) -> Column:
-        j = columns.index(name)
-        kept = F.when(F.col(f"o{j}_{i}") != _NONE, F.col(f"o{j}_{i}"))
-        return kept if name == view.tie else at_micros(kept, events.schema[name].dataType)
-
-    def cell(i: int) -> Column:
-        named = [(EVENT_TIME, "ts"), (CREATED_TIME, "created"), (view.tie, "tie")]
-        value = F.col(f"v_{i}").cast(features[i].dtype.spark)
-        parts = [back(c, i).alias(name) for c, name in named if c in columns]
-        return F.when(F.col(f"o0_{i}").isNotNull(), F.struct(value.alias("value"), *parts))
-
-    return merged.select(F.col("entity").alias(ENTITY_KEY), *[cell(i).alias(f.name) for i, f in enumerate(features)])
+    slice_ = F.window(_AT, f"{max(view.ttl_seconds * MICROS // SLICES, 1)} microseconds")
+    return latest_values(timed, view, slice_)
 
 
 def start_expiring(
@@ -145,8 +55,11 @@ def start_expiring(
 ) -> StreamingQuery:
     """Write the entities that changed in each micro-batch as a delta of the state table."""
 
+    def known(changed: DataFrame) -> Column:
+        return reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in changed.columns if c != ENTITY_KEY])
+
     def write(changed: DataFrame, batch_id: int) -> None:
-        state.upsert(changed, batch=f"{name}-{batch_id:020d}")
+        state.upsert(changed.where(known(changed)), batch=f"{name}-{batch_id:020d}")
 
     return (
         expiring_stream(stream, state.view)
