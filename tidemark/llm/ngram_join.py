@@ -1,11 +1,14 @@
 """Jaccard join on word n-grams: rare-first prefix filtering, each pair verified once.
 
-1. Documents with the same word sequence form a class; all work below is per class. Tasks hash the
-   n-grams of each class (Rabin-Karp) and send them packed by hash bucket through one shuffle.
-   Buckets count in how many classes an n-gram is; those in one class alone, the rarest, are known
-   by their absence from then on.
+1. Documents with the same word sequence form a class; tasks pass over those they have seen. They hash the
+   n-grams of the others (Rabin-Karp) and send them packed by hash bucket through one shuffle, with a
+   document's place in its block of texts, a byte or two, in place of its class: the more buckets there
+   are, the fewer n-grams of a document fall in one, and a class would be sent with nearly each of them.
+   The classes of a block are sent once. Buckets count in how many documents an n-gram is; those in one alone,
+   the rarest, are known by their absence from then on. What is shared goes back to its block.
 2. In the order (count, hash), a class can only link to another through its first
-   ``n - ceil(t n) + 1`` n-grams. A class whose shared n-grams are fewer than ``t n`` drops out.
+   ``n - ceil(t n) + 1`` n-grams. A document whose shared n-grams are fewer than ``t n`` drops out in its
+   block; of those of a class one is kept, and all work below is per class.
 3. Prefix n-grams of two classes or more are mapped to blocks, those with members in common mostly
    to the same one: two classes with a common prefix n-gram meet in a block, and a class is in few.
    In a block, pivots, the most central first, are compared with all members of other components
@@ -50,8 +53,14 @@ CLASSES_PER_PART = 200
 LESS = 0.5
 SUFFIX_RANGES = 16
 _KEY_BYTES = 7
-_SENT = pa.schema([("bucket", pa.int32()), ("classes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
-_SHARED = pa.schema([("class", pa.int64()), ("key", pa.int64()), ("df", pa.int32())])
+# ``texts`` and ``more`` are places in the block, as ``_pack_places`` makes them. A row with ``classes`` tells the
+# classes of a block, and in ``more`` the sizes of their sets.
+_SENT = pa.schema(
+    [("bucket", pa.int32()), ("block", pa.int64())]
+    + [(name, pa.binary()) for name in ("texts", "more", "keys", "counts", "classes")]
+)
+_SHARED = pa.schema(list(_SENT)[1:])
+_KEPT = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
 _LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -120,6 +129,28 @@ def _members(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
             )
 
 
+def _pack_places(places: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending places in a block, many of them repeated: for each the gap to the one before with up to three
+    repeats in the low bits, and apart from that the repeats beyond."""
+    firsts = np.flatnonzero(np.diff(places, prepend=-1))
+    repeats = np.diff(np.append(firsts, len(places))) - 1
+    gaps = np.diff(places[firsts], prepend=0)
+    return pack_ints(gaps << 2 | np.minimum(repeats, 3)), pack_ints(repeats[repeats > 2] - 3)
+
+
+def _unpack_places(texts: bytes, more: bytes) -> np.ndarray:
+    packed = unpack_ints(texts)
+    repeats = packed & 3
+    repeats[repeats == 3] += unpack_ints(more)
+    return np.repeat(np.cumsum(packed >> 2), repeats + 1)
+
+
+def _block_of(classes: np.ndarray) -> int:
+    """A hash of the classes of a block's texts in their order, so that a task that runs again gives the same."""
+    placed = mix(classes ^ mix(np.arange(len(classes), dtype=np.uint64), 51), 52)
+    return int(mix(np.add.reduce(placed, keepdims=True), 53).view(np.int64)[0])
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # at most one entry a row of this task's split
     for batch in batches:
@@ -130,30 +161,30 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> It
                 if n and one not in seen:
                     seen.add(one)
                     fresh[i] = True
+            if not fresh.any():
+                continue
             use = fresh[sets.owners]
-            keys, classes = sets.keys[use], sets.classes[sets.owners[use]]
+            keys, texts = sets.keys[use], sets.owners[use]
             bucket = (mix(keys, 41) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            keys, classes, bucket = keys[order], classes[order], bucket[order]
+            keys, texts, bucket = keys[order], texts[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            rows = []
+            block = _block_of(sets.classes)
+            rows = [(-1 - block % buckets, block, None, pack_ints(sets.sizes), None, None, sets.classes.tobytes())]
             for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-                firsts = np.flatnonzero(np.diff(classes[a:b].view(np.int64), prepend=~classes[a : a + 1].view(np.int64)))
-                counts = np.diff(np.append(firsts, b - a))
-                rows.append((bucket[a], classes[a:b][firsts].tobytes(), pack_ints(counts), pack_tail(keys[a:b], _KEY_BYTES)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _SENT)], schema=_SENT)
+                rows.append((bucket[a], block, *_pack_places(texts[a:b]), pack_tail(keys[a:b], _KEY_BYTES), None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
 
 def _shared(sent: pa.Table) -> pa.Table:
-    """(class, key, df) of the bucket's n-grams that are in two classes or more."""
+    """The bucket's n-grams that are in two documents or more, with their counts, by block."""
     bucket = sent["bucket"][0].as_py()
-    classes = np.concatenate(
-        [
-            np.repeat(np.frombuffer(c, np.int64), unpack_ints(n))
-            for c, n in zip(sent["classes"].to_pylist(), sent["counts"].to_pylist())
-        ]
-    )
+    if bucket < 0:
+        return sent.drop_columns(["bucket"]).cast(_SHARED)
+    blocks = sent["block"].to_pylist()
+    texts = [_unpack_places(t, m).astype(np.int32) for t, m in zip(sent["texts"].to_pylist(), sent["more"].to_pylist())]
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    texts = np.concatenate(texts)
     keys = np.concatenate([unpack_tail(k, _KEY_BYTES) for k in sent["keys"].to_pylist()])
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
@@ -161,25 +192,46 @@ def _shared(sent: pa.Table) -> pa.Table:
     same = ordered[1:] == ordered[:-1]
     many[1:] |= same
     many[:-1] |= same
-    keys, classes = ordered[many], classes[order[many]]
-    order = np.lexsort((classes, keys))
-    keys, classes = keys[order], classes[order]
-    pair = np.ones(len(keys), bool)
-    pair[1:] = (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1])
-    keys, classes = keys[pair], classes[pair]
+    keys, order = ordered[many], order[many]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     group = np.cumsum(new) - 1
-    df = np.bincount(group, minlength=1)[group] if len(group) else np.zeros(0, np.int64)
-    use = df > 1
-    return pa.table(
-        [
-            pa.array(classes[use]),
-            pa.array(mix(keys[use], bucket + 1).view(np.int64)),
-            pa.array(df[use].astype(np.int32)),
-        ],
-        schema=_SHARED,
-    )
+    counts = np.bincount(group)[group] if len(group) else group
+    # Back in the order in which they came, by block and text.
+    back = np.argsort(order)
+    at, keys, counts = order[back], mix(keys[back], bucket + 1), counts[back]
+    row, texts = row[at], texts[at].astype(np.int64)
+    cuts = np.flatnonzero(np.diff(row, prepend=-1))
+    rows = [
+        (blocks[row[a]], *_pack_places(texts[a:b]), keys[a:b].tobytes(), pack_ints(counts[a:b]), None)
+        for a, b in zip(cuts, [*cuts[1:], len(row)])
+    ]
+    columns = zip(*rows) if rows else [[] for _ in _SHARED]
+    return pa.table([pa.array(x, f.type) for x, f in zip(columns, _SHARED)], schema=_SHARED)
+
+
+def _kept(block: pa.Table, percent: int) -> pa.Table:
+    """``class``, ``n`` and the shared n-grams in the order (count, hash) of a block's documents that have enough."""
+    told = block.filter(block["classes"].is_valid())
+    shared = block.filter(block["classes"].is_null())
+    if not len(shared):
+        return _KEPT.empty_table()
+    classes = np.frombuffer(told["classes"][0].as_py(), np.int64)
+    sizes = unpack_ints(told["more"][0].as_py())
+    texts = np.concatenate([_unpack_places(*x) for x in zip(shared["texts"].to_pylist(), shared["more"].to_pylist())])
+    keys = np.concatenate([np.frombuffer(x, np.int64) for x in shared["keys"].to_pylist()])
+    counts = np.concatenate([unpack_ints(x) for x in shared["counts"].to_pylist()])
+    order = np.lexsort((keys, counts, texts))
+    texts, keys = texts[order], keys[order]
+    # Blocks with the same texts have the same number; each text's n-grams are taken once.
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])
+    texts, keys = texts[new], keys[new]
+    lengths = np.bincount(texts, minlength=len(classes))
+    enough = (lengths > 0) & (100 * lengths >= percent * sizes)
+    offsets = np.append(0, np.cumsum(lengths[enough])).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[enough[texts]]))
+    return pa.table([pa.array(classes[enough]), pa.array(sizes[enough]), lists], schema=_KEPT)
 
 
 def _pivots(block: pa.Table, percent: int) -> pa.Table:
@@ -303,6 +355,8 @@ def _links(found: DataFrame, percent: int, keys_per_part: int) -> DataFrame:
     cut = written(rows.where("parts > 1").drop("component"), "cut")
     if cut.isEmpty():
         return links
+    # Later rounds read and send the n-grams of these classes alone.
+    found = written(found.join(cut.select("class").distinct(), "class", "left_semi"), "cut-keys")
     while True:
         groups = components(links).select(F.col("node").alias("class"), "component")
         rows = cut.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -331,20 +385,18 @@ def ngram_jaccard_components(
         narrow.mapInArrow(lambda x: lean(_members(x, size)), "doc_id long, class long, n long"), "members"
     )
     buckets = buckets_for(narrow, "text", chars_per_bucket)
+    packed = "block long, texts binary, more binary, keys binary, counts binary, classes binary"
     sent = narrow.where("doc_id is not null").mapInArrow(
-        lambda x: lean(_by_bucket(x, size, buckets)), "bucket int, classes binary, counts binary, keys binary"
+        lambda x: lean(_by_bucket(x, size, buckets)), f"bucket int, {packed}"
     )
-    shared = sent.groupBy("bucket").applyInArrow(_shared, "class long, key long, df int")
+    shared = sent.groupBy("bucket").applyInArrow(_shared, packed)
+    kept = shared.groupBy("block").applyInArrow(lambda x: _kept(x, percent), "class long, n long, keys array<long>")
     known = members.where("class is not null and doc_id is not null")
-    classes = known.groupBy("class").agg(F.first("n").alias("n"), F.min("doc_id").alias("first_doc"))
+    classes = known.groupBy("class").agg(F.min("doc_id").alias("first_doc"))
     need = F.expr(f"({percent} * n + 99) div 100")
     found = written(
-        shared.groupBy("class")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("pairs"))
-        .join(classes.select("class", "n"), "class")
-        .where(100 * F.size("pairs") >= percent * F.col("n"))
-        .select("class", "n", F.col("pairs.key").alias("keys"))
-        # The n-grams of the prefix that other classes have: those of one class come before them.
+        kept.dropDuplicates(["class"])
+        # The n-grams of the prefix that other documents have: those of one alone come before them.
         .withColumn("prefix", F.slice("keys", 1, (F.size("keys") - need + 1).cast("int"))),
         "found",
     )
