@@ -136,3 +136,30 @@ def test_a_block_of_many_short_near_copies_is_cut(spark, monkeypatch):
     rows += [(1000 + i, " ".join([*base[:6], *(f"y{i}z{k}" for k in range(20))])) for i in range(60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert got_of(frame) == sorted(expected(rows), key=str)
+
+
+def test_later_rounds_read_the_classes_of_cut_blocks_alone(spark, monkeypatch):
+    from tidemark.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "CLASSES_PER_PART", 10)
+    read, compared = [], ngram_join._compared
+    monkeypatch.setattr(ngram_join, "_compared", lambda found, *x: read.append(found.count()) or compared(found, *x))
+    base = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join([*base[:20], f"x{i}", *base[21:]])) for i in range(60)]
+    for i in range(100):
+        own = [f"y{i}z{k}" for k in range(30)]
+        rows += [(1000 + 2 * i, " ".join(own)), (1001 + 2 * i, " ".join([*own, "more"]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_of(frame) == sorted(expected(rows), key=str)
+    assert read[0] == 260 and len(read) > 1 and set(read[1:]) == {60}
+
+
+def test_places_are_sent_in_a_byte_or_two():
+    from tidemark.llm.ngram_join import _pack_places, _unpack_places
+
+    rng = np.random.default_rng(3)
+    for size, most in ((0, 9), (1, 1), (500, 40), (500, 2_000), (500, 10**6)):
+        places = np.sort(rng.integers(0, most, size))
+        packed = _pack_places(places)
+        assert _unpack_places(*packed).tolist() == places.tolist()
+        assert most > 2_000 or sum(map(len, packed)) <= size
