@@ -117,6 +117,39 @@ def test_components_of_random_links(spark):
     assert got == label
 
 
+def test_stars_need_no_step_and_hubs_are_out_of_them(spark, monkeypatch):
+    from tidemark.llm import components as of
+
+    sent, step = [], of._to_smallest
+    monkeypatch.setattr(of, "_to_smallest", lambda links, large: sent.append(links.count()) or step(links, large))
+    stars = [(10 * i + k, 10 * i) for i in range(20) for k in range(1, 10)]
+    made = components(spark.createDataFrame(stars, "a long, b long"))
+    assert sent == [] and {r["node"]: r["component"] for r in made.collect()} == {i: i // 10 * 10 for i in range(200)}
+    hub = [(i, 0) for i in range(1, 500)] + [(2000, 499), (2000, 1999), (1999, 1998), (1000, -5), (1000, 0)]
+    made = components(spark.createDataFrame(hub, "a long, b long"))
+    want = {i: -5 for i in [*range(500), 1000, 1998, 1999, 2000, -5]}
+    assert {r["node"]: r["component"] for r in made.collect()} == want
+    assert sent and max(sent) < 10
+
+
+def test_a_block_sends_links_between_components_to_the_smallest():
+    from tidemark.llm.ngram_join import _stars
+
+    keys = [[1, 2, 3, 4, 5], [1, 2, 3, 4, 6], [1, 2, 3, 4, 5, 6], [7, 8, 9], [7, 8, 9], [20, 21]]
+    block = pa.table(
+        {
+            "class": [10, 11, 12, 13, 14, 15],
+            "component": [10, 5, 12, 13, 4, 15],
+            "place": [0] * 6,
+            "pivot": [True] * 6,
+            "n": [len(k) for k in keys],
+            "keys": pa.array(keys, pa.list_(pa.int64())),
+        }
+    )
+    made = _stars(block, 80)
+    assert sorted(zip(made["a"].to_pylist(), made["b"].to_pylist())) == [(10, 5), (12, 5), (13, 4)]
+
+
 def test_empty_tables(empty, spark):
     assert ngram_jaccard_components(empty).collect() == []
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []

@@ -286,6 +286,25 @@ def _pivots(block: pa.Table, percent: int) -> pa.Table:
     return pa.table([pa.array(made[:, 0]), pa.array(made[:, 1])], schema=_LINKED)
 
 
+def _stars(block: pa.Table, percent: int) -> pa.Table:
+    """What ``_pivots`` finds, as links of the block's components to the smallest that each can reach."""
+    links = _pivots(block, percent)
+    component = dict(zip(block["class"].to_pylist(), block["component"].to_pylist()))
+    least: dict[int, int] = {}
+
+    def root(one: int) -> int:
+        while (above := least.setdefault(one, one)) != one:
+            least[one] = least[above]
+            one = least[one]
+        return one
+
+    for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist()):
+        a, b = sorted((root(component[a]), root(component[b])))
+        least[b] = a
+    joined = [one for one in least if root(one) != one]
+    return pa.table([pa.array(joined, pa.int64()), pa.array(map(root, joined), pa.int64())], schema=_LINKED)
+
+
 def _blocks(found: DataFrame) -> DataFrame:
     """``block``, ``class``, ``place`` (the first of the class's n-grams there), ``weight`` (its set's size)."""
     rows = found.select("class", F.size("keys").alias("weight"), F.posexplode("prefix").alias("place", "key"))
@@ -299,10 +318,9 @@ def _blocks(found: DataFrame) -> DataFrame:
 
 
 def _compared(found: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that the pivots of each block, part and set of pivots find."""
+    """Links (a, b) between components that the pivots of each block, part and set of pivots find."""
     blocks = found.select("class", "n", "keys").join(dealt, "class")
-    made = blocks.groupBy("block", "part", "against").applyInArrow(lambda x: _pivots(x, percent), "a long, b long")
-    return written(made, "links")
+    return blocks.groupBy("block", "part", "against").applyInArrow(lambda x: _stars(x, percent), "a long, b long")
 
 
 def _parts(weight: Column, members: Column, keys_per_part: int, classes_per_part: int) -> Column:
@@ -336,8 +354,16 @@ def _between(rows: DataFrame, keys_per_part: int, classes_per_part: int) -> Data
     return members.union(pivots)
 
 
-def _links(found: DataFrame, percent: int, keys_per_part: int) -> DataFrame:
-    """Verified links (a, b) that join all classes between which there is a path of links."""
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (node, component) after links between components, or classes that had none, are found."""
+    more = components(links)
+    named = more.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    old = groups.join(named, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    return written(old.union(more.join(groups, "node", "left_anti")), "groups")
+
+
+def _groups(found: DataFrame, percent: int, keys_per_part: int) -> DataFrame:
+    """``node`` and ``component`` (the smallest class reachable by links) of every class with a link."""
     met = _blocks(found)
     sizes = met.groupBy("block").agg(F.sum("weight").alias("all"), F.count("*").alias("members")).where("members > 1")
     partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -351,24 +377,24 @@ def _links(found: DataFrame, percent: int, keys_per_part: int) -> DataFrame:
             "block", "class", "component", "place", F.lit(True).alias("pivot"), part.alias("part"), F.lit(0).alias("against")
         )
 
-    links, rounds, left = _compared(found, at_random(rows, 0), percent), 0, None
+    groups, rounds, left = components(_compared(found, at_random(rows, 0), percent)), 0, None
     cut = written(rows.where("parts > 1").drop("component"), "cut")
     if cut.isEmpty():
-        return links
-    # Later rounds read and send the n-grams of these classes alone.
+        return groups
+    # Later rounds read and send the n-grams of these classes alone, and search for components among components.
     found = written(found.join(cut.select("class").distinct(), "class", "left_semi"), "cut-keys")
     while True:
-        groups = components(links).select(F.col("node").alias("class"), "component")
-        rows = cut.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        rows = cut.join(groups.withColumnRenamed("node", "class"), "class", "left")
+        rows = rows.withColumn("component", F.coalesce("component", "class"))
         sizes = rows.groupBy("block", "component").agg(F.count("*").alias("m")).groupBy("block")
         pairs = sizes.agg((F.pow(F.sum("m"), F.lit(2)) - F.sum(F.col("m") * F.col("m"))).alias("pairs"))
         now = pairs.agg(F.sum("pairs")).first()[0]
         if not now:
-            return links
+            return groups
         if left is not None and now > LESS * left:
-            return links.union(_compared(found, _between(rows.drop("parts"), keys_per_part, classes_per_part), percent))
+            return _joined(groups, _compared(found, _between(rows.drop("parts"), keys_per_part, classes_per_part), percent))
         left, rounds = now, rounds + 1
-        links = links.union(_compared(found, at_random(rows, rounds), percent))
+        groups = _joined(groups, _compared(found, at_random(rows, rounds), percent))
 
 
 def ngram_jaccard_components(
@@ -400,8 +426,7 @@ def ngram_jaccard_components(
         .withColumn("prefix", F.slice("keys", 1, (F.size("keys") - need + 1).cast("int"))),
         "found",
     )
-    links = _links(found, percent, keys_per_part)
-    groups = components(links).select(F.col("node").alias("class"), "component")
+    groups = _groups(found, percent, keys_per_part).withColumnRenamed("node", "class")
     placed = classes.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
     firsts = placed.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     of_class = placed.join(firsts, "component").select("class", "component_id")
