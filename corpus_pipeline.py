@@ -55,13 +55,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = ngram_jaccard_components(docs)
     first = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("class").alias("of"))
     kept = first.select(F.col("component_id").alias("_id"), F.col("of").alias("_class"))
-    # A text without words is in no class; under its id it is a copy of its like.
-    rows = docs.withColumn("_words", class_of("text"))
+    # Words are hashed in one pass over the texts: a filter on the class, or a second branch, would be another.
+    rows = docs.where("doc_id is not null").withColumn("_words", class_of("text"))
     same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_words") == F.col("_class"))
-    chosen = rows.where("doc_id is not null and _words is not null").join(kept, same, "left_semi")
-    chosen = chosen.dropDuplicates(["doc_id", "_words"]).select(*docs.columns)
-    wordless = rows.where("doc_id is not null and _words is null").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return chosen.union(wordless).union(docs.where("doc_id is null"))
+    # A text without words is in no class; under its id it is a copy of its like.
+    chosen = rows.join(kept, same, "left").where("_words is null or _id is not null")
+    chosen = chosen.withColumn("_wordless", F.when(F.col("_words").isNull(), F.col("text")))
+    chosen = chosen.dropDuplicates(["doc_id", "_words", "_wordless"]).select(*docs.columns)
+    return chosen.union(docs.where("doc_id is null"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -196,3 +196,20 @@ def test_places_are_sent_in_a_byte_or_two():
         packed = _pack_places(places)
         assert _unpack_places(*packed).tolist() == places.tolist()
         assert most > 2_000 or sum(map(len, packed)) <= size
+
+
+def test_sets_of_a_block_take_few_arrays():
+    import tracemalloc
+
+    from tidemark.llm.ngram_join import _by_bucket
+
+    rng = random.Random(5)
+    word = ["".join(rng.choices("abcdefgh", k=rng.randint(4, 9))) for _ in range(5_000)]
+    texts = [" ".join(rng.choices(word, k=400)) for _ in range(1_300)]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    tracemalloc.start()
+    try:
+        made = sum(b.num_rows for b in _by_bucket(iter([batch]), 5, 50))
+        assert made and tracemalloc.get_traced_memory()[1] < 11 * batch.nbytes
+    finally:
+        tracemalloc.stop()

@@ -105,6 +105,12 @@ def test_one_row_of_each_group_of_near_copies_stays(spark, given, folder):
         assert len(kept) == 1 and left[kept[0]] == 1 and kept[0][0] == component, (component, kept)
 
 
+def test_near_copies_are_chosen_in_one_pass_of_python(spark, given, folder):
+    """Two Python nodes in a task are two workers, which keep their memory; each also hashes all texts again."""
+    plan = P.drop_near_copies(spark, given, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_a_second_text_under_a_kept_id(spark, folder):
     long = [f"w{k}" for k in range(100)]
     near = " ".join(["other", *long[1:]])

@@ -78,8 +78,7 @@ def _classes(words: Words, hashes: np.ndarray) -> np.ndarray:
 def class_of(text: str = "text") -> Column:
     """The ``class`` that ``ngram_jaccard_components`` gives each text; null without words."""
 
-    @F.arrow_udf("long")
-    def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def hashed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             for _, _, data, offs in text_blocks(column):
@@ -88,6 +87,10 @@ def class_of(text: str = "text") -> Column:
             classes, counts = (np.concatenate(x) for x in zip(*parts))
             yield pa.array(classes.view(np.int64), mask=counts == 0)
 
+    @F.arrow_udf("long")
+    def made(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return lean(hashed(texts))
+
     return made(text)
 
 
@@ -96,20 +99,25 @@ class _Sets:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, size: int) -> None:
         words = Words(data, offs, fold=True)
-        hashes, owner, counts = words.hashes(), words.owners(), words.counts
+        hashes, counts, firsts = words.hashes(), words.counts, words.bounds[:-1]
         self.classes = _classes(words, hashes)
-        keys, owners = [], []
-        for n in range(1, size + 1):
-            found = window_hashes(hashes, n, 31 + n)
-            if n == size:
-                at = np.flatnonzero(owner[: len(found)] == owner[n - 1 :]) if len(found) else np.zeros(0, np.int64)
-            else:
-                at = words.bounds[:-1][counts == n]
-            keys.append(found[at])
-            owners.append(owner[at])
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((keys, owners))
-        keys, owners = keys[order], owners[order]
+        del words
+        windows = np.where(counts < size, np.minimum(counts, 1), counts - size + 1)
+        ends = np.cumsum(windows)
+        owners = np.repeat(np.arange(len(counts), dtype=np.int32), windows)
+        # Where each window begins: its text's first word and its place among the text's windows.
+        at = np.arange(len(owners)) + np.repeat(firsts - ends + windows, windows)
+        found = window_hashes(hashes, size, 31 + size)
+        # A text of fewer words has one window, which may be beyond the last that was hashed.
+        keys = found[np.minimum(at, len(found) - 1)] if len(found) else np.zeros(len(owners), np.uint64)
+        del found, at
+        for n in range(1, size):
+            short = np.flatnonzero(counts == n)
+            spans = firsts[short, None] + np.arange(n)
+            keys[ends[short] - 1] = window_hashes(hashes[spans.ravel()], n, 31 + n)[::n]
+        # Text by text and in place: a sort of the whole block would need several arrays of its size.
+        for a, b in zip((ends - windows)[windows > 1].tolist(), ends[windows > 1].tolist()):
+            keys[a:b].sort()
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
         self.keys, self.owners = keys[new], owners[new]
@@ -163,14 +171,18 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> It
                     fresh[i] = True
             if not fresh.any():
                 continue
-            use = fresh[sets.owners]
-            keys, texts = sets.keys[use], sets.owners[use]
+            block = _block_of(sets.classes)
+            rows = [(-1 - block % buckets, block, None, pack_ints(sets.sizes), None, None, sets.classes.tobytes())]
+            keys, texts = sets.keys, sets.owners
+            del sets
+            if not fresh.all():
+                use = fresh[texts]
+                keys, texts = keys[use], texts[use]
             bucket = (mix(keys, 41) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             keys, texts, bucket = keys[order], texts[order], bucket[order]
+            del order
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            block = _block_of(sets.classes)
-            rows = [(-1 - block % buckets, block, None, pack_ints(sets.sizes), None, None, sets.classes.tobytes())]
             for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
                 rows.append((bucket[a], block, *_pack_places(texts[a:b]), pack_tail(keys[a:b], _KEY_BYTES), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _SENT)], schema=_SENT)

@@ -73,24 +73,30 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> It
 
 
 def _block_rows(ids: np.ndarray, words: Words, size: int, buckets: int) -> Iterator[tuple]:
-    hashes, owner = words.hashes(), words.owners()
-    keys = window_hashes(hashes, size, _KEY_SEED)
-    if not len(keys):
+    windows = np.maximum(words.counts - size + 1, 0)
+    owner = np.repeat(np.arange(len(windows), dtype=np.int32), windows)
+    if not len(owner):
         return
-    places = np.flatnonzero(owner[: len(keys)] == owner[size - 1 :])
-    if not len(places):
-        return
-    bucket = (window_hashes(hashes, size, _BUCKET_SEED)[places] % np.uint64(buckets)).astype(np.int32)
-    keys, owner = keys[places], owner[places]
-    places = places - words.bounds[owner]
+    hashes, bounds = words.hashes(), words.bounds
+    del words
+    places = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = places + bounds[owner]
+    places = places.astype(np.int32)
+    bucket = (window_hashes(hashes, size, _BUCKET_SEED)[at] % np.uint64(buckets)).astype(np.int32)
+    keys = window_hashes(hashes, size, _KEY_SEED)[at]
+    del hashes, at
 
     # Stable by key, and places ascend by document: the first of a key is in the smallest document.
     order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
     new = np.ones(len(order), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    smallest = np.empty(len(order), np.int64)
-    smallest[order] = ids[owner[order[np.flatnonzero(new)]]][np.cumsum(new) - 1]
-    later = ids[owner] > smallest
+    new[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    smallest = np.empty(len(order), np.int32)
+    smallest[order] = owner[order[new]][np.cumsum(new) - 1]
+    del order, new
+    later = ids[owner] > ids[smallest]
+    del smallest
     for known in (False, True):
         some = np.flatnonzero(later == known)
         some = some[np.argsort(bucket[some], kind="stable")]

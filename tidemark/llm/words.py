@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
-_SEGMENT = 1 << 20
+# Bytes that are hashed at a time, some 40 bytes of arrays each; a longer word by itself.
+_SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -21,9 +22,12 @@ _MASK = (1 << 64) - 1
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Spread the bits of 64-bit integers (the finisher of SplitMix64)."""
     x = x + np.uint64(seed & _MASK)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
@@ -41,7 +45,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << max(20, (n - 1).bit_length())
+            size = 1 << max(18, (n - 1).bit_length())
 
             def powers(base: int) -> np.ndarray:
                 steps = np.full(size, base, np.uint64)
@@ -123,7 +127,8 @@ def window_hashes(words: np.ndarray, size: int, seed: int) -> np.ndarray:
     out = np.full(n, (seed * 2 + 1) & _MASK, np.uint64)
     base = np.uint64((_BASE * (2 * seed + 3)) & _MASK | 1)
     for i in range(size):
-        out = out * base + words[i : i + n]
+        out *= base
+        out += words[i : i + n]
     return mix(out, seed)
 
 
